@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, warc
+from . import exact_dedup, mixing, ngram_join, packing, warc
 
-MODULES = (warc, exact_dedup, packing, mixing)
+MODULES = (warc, exact_dedup, packing, mixing, ngram_join)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in getattr(m, "SQL", {}).items()}
