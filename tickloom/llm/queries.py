@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, imatch, mixing, ngram_join, packing, warc
+from . import exact_dedup, imatch, mixing, ngram_join, packing, secrets, warc
 
-MODULES = (warc, exact_dedup, packing, imatch, mixing, ngram_join)
+MODULES = (warc, exact_dedup, secrets, packing, imatch, mixing, ngram_join)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in getattr(m, "SQL", {}).items()}
