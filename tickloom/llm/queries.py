@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, imatch, licences, mixing, ngram_join, packing, secrets, toxicity, warc
+from . import exact_dedup, imatch, licences, lm_score, mixing, ngram_join, packing, secrets, toxicity, warc
 
-MODULES = (warc, exact_dedup, secrets, toxicity, packing, licences, imatch, mixing, ngram_join)
+MODULES = (warc, exact_dedup, secrets, toxicity, packing, licences, lm_score, imatch, mixing, ngram_join)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in getattr(m, "SQL", {}).items()}
