@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import market, performance, regime, signals  # noqa: F401
+from . import market, performance, regime, research, signals  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
