@@ -22,7 +22,7 @@ def block_index(n: int, block: int, rng: np.random.Generator, draws: int) -> np.
 def share_intervals(rows: DataFrame, key: str, order: str, label: str, block: int = 3, draws: int = 5000, level: float = 0.95) -> DataFrame:
     """key, label, share, low, high: percentile intervals of label shares, widened to hold the share itself."""
 
-    def run(k, part: pd.DataFrame) -> pd.DataFrame:
+    def run(k: tuple, part: pd.DataFrame) -> pd.DataFrame:
         values = part.sort_values(order, kind="stable")[label].to_numpy()
         rng = np.random.default_rng(SEED)
         index = block_index(len(values), block, rng, draws)
@@ -45,7 +45,7 @@ def family_bounds(returns: DataFrame, family: str, candidate: str, order: str, v
     the same periods; missing ones count as zero.
     """
 
-    def run(k, part: pd.DataFrame) -> pd.DataFrame:
+    def run(k: tuple, part: pd.DataFrame) -> pd.DataFrame:
         table = part.pivot_table(index=order, columns=candidate, values=value, aggfunc="sum", fill_value=0.0).sort_index()
         x, names = table.to_numpy(), [str(c) for c in table.columns]
         n = len(x)
@@ -79,7 +79,7 @@ def selection_states(rows: DataFrame, key: str, order: str, cluster: str, confid
     """
     kind = dict(rows.dtypes)
 
-    def run(k, part: pd.DataFrame) -> pd.DataFrame:
+    def run(k: tuple, part: pd.DataFrame) -> pd.DataFrame:
         current, pending, count, low, out = None, None, 0, 0, []
         for at, c, sure in part.sort_values(order, kind="stable")[[order, cluster, confident]].itertuples(index=False):
             if not sure:
@@ -116,7 +116,7 @@ def separate_pivots(bars: DataFrame, k: int = 3) -> DataFrame:
     high = found.where("pivot_high").select("symbol", F.lit("high").alias("kind"), "opened_at", "rn", F.col("high").alias("price"))
     low = found.where("pivot_low").select("symbol", F.lit("low").alias("kind"), "opened_at", "rn", F.col("low").alias("price"))
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         kept: list = []
         for r in part.sort_values("rn").itertuples(index=False):
             if kept and r.rn - kept[-1].rn <= k:

@@ -154,7 +154,7 @@ def simulate(signals: DataFrame, policies: list[Policy], cash: float = 1_000_000
     rows = signals.select("symbol", "closed_at", "high", "low", "close", "direction", "confidence", "atr", ids)
     names = [c.split()[0] for c in TRADES.split(", ")]
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         out = run_pair(part.sort_values("closed_at", kind="stable"), by_id[key[1]], cash)
         return pd.DataFrame([(*key, *r) for r in out], columns=names)
 
