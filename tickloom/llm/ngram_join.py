@@ -3,11 +3,13 @@
 1. Documents with the same set form one class; the smallest doc_id represents it.
 2. Prefilter. With tokens (shingle hashes) in hash order, two sets of Jaccard >= t share at least l
    tokens among their first n - ceil(t n) + l. A class stays only if that many of its prefix tokens
-   occur in another class's prefix. This removes most of a corpus at the price of counting about a
-   tenth of its shingles.
+   occur in a second document's prefix. This removes most of a corpus at the price of counting a part
+   of its shingles.
 3. For the classes left, all tokens are counted and ordered by frequency, then hash. Tokens of one
-   class only cannot be shared; with k shared ones a class is dropped if k < ceil(t n), else its
+   set only cannot be shared; with k shared ones a class is dropped if k < ceil(t n), else its
    prefix is the first k - ceil(t n) + 1 of them.
+   Before rows are shuffled to the counts they meet, bit filters of fixed size (``bits``) drop those
+   that cannot meet any; a filter that would be too full to help is left out, and the plain join serves.
 4. Classes with the same prefix and size are one group. Groups meet through the tokens of their
    prefixes, filtered by size and by the overlap their positions still allow. First only with the
    token's pivot group (the one with the fewest unshared tokens): a number of pairs linear in
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bits
 from .common import table, text_of, written
 from .graph import components
 from .hashing import shingles, text_words
@@ -54,12 +57,15 @@ class Similarity:
         return F.expr(f"{self.den} * least({a}, {b}) >= {self.num} * greatest({a}, {b})")
 
 
-def _sets(k: int, prefix: tuple[int, int] | None):
-    """doc_id, n, d1, d2 and the first tokens (with ``prefix``) or all of them."""
+def _sets(k: int, prefix: tuple[int, int] | None, ids=None):
+    """doc_id, n, d1, d2 and the first tokens (with ``prefix``) or all of them; of the ``ids`` only."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
+            if ids is not None:
+                known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+                b = b.filter(pa.array(known & bits.test(ids.value, b.column(0).fill_null(0).to_numpy())))
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 texts = [t.encode() for t in part.column(1).to_pylist()]
@@ -73,37 +79,72 @@ def _sets(k: int, prefix: tuple[int, int] | None):
                             num, den = prefix
                             own = own[: len(own) - -(-num * len(own) // den) + 1 + len(own) // SPARE]
                         tokens.append(own)
-                ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-                flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
                 d = np.array(digests, np.int64).reshape(-1, 2)
-                columns = [part.column(0), pa.array(n, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                columns = [part.column(0), pa.array(n, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists(tokens)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
+def lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
 #: One more shared token is asked for in the prefilter per so many tokens of a set.
-SPARE = 50
+SPARE = 20
 SETS = "doc_id long, n int, d1 long, d2 long, tokens array<long>"
 
 
-def sets_of(docs: DataFrame, k: int, prefix: tuple[int, int] | None = None) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_sets(k, prefix), SETS)
+def sets_of(docs: DataFrame, k: int, prefix: tuple[int, int] | None = None, ids=None) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(ids) if ids is not None else None
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_sets(k, prefix, held), SETS)
+
+
+def _only_shared(held, num: int, den: int):
+    """Rows (key, n, tokens) with tokens that may be shared; without rows that have too few."""
+
+    def run(batches):
+        for b in batches:
+            tokens = b.column(2)
+            flat, ends = tokens.flatten().to_numpy(), np.concatenate([[0], np.cumsum(tokens.value_lengths().fill_null(0).to_numpy())])
+            hit = bits.test(held.value, flat)
+            sums = np.concatenate([[0], np.cumsum(hit)])
+            left = sums[ends[1:]] - sums[ends[:-1]]
+            n = b.column(1).to_numpy()
+            enough = left >= (-(-num * n.astype(np.int64) // den) if num else 1)
+            rows = np.repeat(enough, np.diff(ends)) & hit
+            kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left[enough])]).astype(np.int32)), pa.array(flat[rows]))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(enough)), b.column(1).filter(pa.array(enough)), kept], names=b.schema.names)
+
+    return run
+
+
+def only_shared(rows: DataFrame, shared: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
+    """``rows`` (key, n, tokens) without tokens outside ``shared`` (token), as far as a bit filter tells."""
+    filled = bits.filled(shared)
+    if filled is None:
+        return rows
+    held = rows.sparkSession.sparkContext.broadcast(filled)
+    return rows.mapInArrow(_only_shared(held, num, den), rows.schema)
 
 
 def possible_classes(heads: DataFrame, t: Similarity) -> DataFrame:
-    """Digests of the classes that pass the prefilter."""
-    rows = heads.where("n > 0").select("n", "d1", "d2", F.explode("tokens").alias("token"))
-    shared = written(rows.groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("token"))
-    counts = rows.join(shared, "token").groupBy("d1", "d2").agg(F.first("n").alias("n"), F.count_distinct("token").alias("met"))
-    return counts.where(F.col("met") >= 1 + F.expr(f"({t.num} * n + {t.den - 1}) div {t.den} div {SPARE}")).select("d1", "d2")
+    """d1, n of the classes that pass the prefilter."""
+    rows = heads.where("n > 0").select("d1", "n", "tokens")
+    shared = written(rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token"))
+    met = only_shared(rows, shared).select("d1", "n", F.explode("tokens").alias("token")).join(shared, "token")
+    counts = met.groupBy("d1").agg(F.max("n").alias("n"), F.count_distinct("token").alias("met"))
+    return counts.where(F.col("met") >= 1 + F.expr(f"({t.num} * n + {t.den - 1}) div {t.den} div {SPARE}")).select("d1")
 
 
 def frequency_prefixes(sets: DataFrame, t: Similarity) -> DataFrame:
     """doc_id, n, k and the prefix in frequency order, of sets that can still have a partner."""
-    rows = sets.select("doc_id", "n", F.explode("tokens").alias("token"))
-    often = written(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    core = rows.join(often, "token").groupBy("doc_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("core"))
+    often = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    often = written(often.where("df > 1"))
+    rows = only_shared(sets, often.select("token"), t.num, t.den).select("doc_id", "n", F.explode("tokens").alias("token"))
+    core = rows.join(often, "token").groupBy("doc_id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("core"))
     core = core.withColumn("k", F.size("core")).where(F.col("k") >= t.least_overlap("n"))
     prefix = F.transform(F.slice("core", F.lit(1), F.col("k") - t.least_overlap("n") + 1), lambda c: c["token"])
     return core.select("doc_id", "n", "k", prefix.alias("prefix"))
@@ -175,10 +216,13 @@ def ngram_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     t = Similarity(num, den)
     heads = written(sets_of(docs, k, (num, den)))
     classes = written(heads.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id")))
-    chosen = classes.join(possible_classes(heads, t), ["d1", "d2"]).where("class_id is not null").select(F.col("class_id").alias("__id"))
+    chosen = classes.join(possible_classes(heads, t), "d1").where("class_id is not null").select(F.col("class_id").alias("__id"))
     chosen = written(chosen.distinct())
-    few = docs.join(chosen, docs["doc_id"] == F.col("__id"), "left_semi")
-    sets = written(sets_of(few, k).select("doc_id", "n", "tokens").dropDuplicates(["doc_id"]))
+    ids = bits.filled(chosen)
+    few = docs if ids is not None else docs.join(chosen, docs["doc_id"] == F.col("__id"), "left_semi")
+    sets = written(sets_of(few, k, ids=ids).select("doc_id", "n", "tokens"))
+    if sets.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        sets = written(sets.dropDuplicates(["doc_id"]))
     comps = written(linked(sets, t))
     rows = heads.drop("tokens").join(classes, ["d1", "d2"], "left")
     rows = rows.join(comps, rows["class_id"] == comps["v"], "left")
