@@ -6,13 +6,19 @@ of a bucket are chosen by (time, trade id), which makes ties certain.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def tick_order() -> Column:
+    """(time, trade id) as one whole number: aggregates ordered by it can be hashed, by a struct they must sort."""
+    micros = F.unix_micros("ts").cast("decimal(18,0)") * F.lit("10000000000000000000").cast("decimal(20,0)")
+    return (micros + F.col("trade_id").cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def bars_of(ticks: DataFrame, every: str) -> DataFrame:
     """symbol, opened_at, closed_at, open, high, low, close, volume, trades of the ticks of each bucket."""
-    order = F.struct("ts", "trade_id")
+    order = tick_order()
     rows = ticks.groupBy("symbol", F.window("ts", every).alias("w")).agg(
         F.min_by("price", order).alias("open"),
         F.max("price").alias("high"),
