@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 DIGITS = 6
+#: Moves values off the middle between two roundings, which engines resolve differently.
+NUDGE = 1e-10
 
 
 def finish(df: DataFrame) -> DataFrame:
@@ -17,7 +19,7 @@ def finish(df: DataFrame) -> DataFrame:
     out = []
     for name, kind in df.dtypes:
         if kind in ("double", "float"):
-            out.append((F.round(F.col(name), DIGITS) + 0.0).alias(name))
+            out.append((F.round(F.col(name) + NUDGE, DIGITS) + 0.0).alias(name))
         elif kind == "timestamp":
             out.append(F.col(name).cast("timestamp_ntz").alias(name))
         else:
@@ -31,7 +33,7 @@ def query(name: str, sql: str | None = None, doubles: Sequence[str] = ()):
     def register(fn):
         QUERIES[name] = lambda spark, sf_dir: finish(fn(spark, sf_dir))
         if sql is not None:
-            rounded = ", ".join(f"round({c}, {DIGITS}) + 0.0 AS {c}" for c in doubles)
+            rounded = ", ".join(f"round({c} + {NUDGE}, {DIGITS}) + 0.0 AS {c}" for c in doubles)
             head, body = split_with(sql)
             SQL[name] = f"{head}SELECT * REPLACE ({rounded}) FROM ({body})" if doubles else f"{head}{body}"
         return fn
