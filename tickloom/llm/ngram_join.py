@@ -130,13 +130,17 @@ def only_shared(rows: DataFrame, shared: DataFrame, num: int = 0, den: int = 1)
     return rows.mapInArrow(_only_shared(held, num, den), rows.schema)
 
 
-def possible_classes(heads: DataFrame, t: Similarity) -> DataFrame:
-    """d1, n of the classes that pass the prefilter."""
-    rows = heads.where("n > 0").select("d1", "n", "tokens")
+def possible_ids(heads: DataFrame, t: Similarity) -> DataFrame:
+    """doc_id of the documents whose sets pass the prefilter; their classes' representatives are among them.
+
+    Rows of one set are grouped by the document, not by the token they were joined on, so Spark can
+    split the join of a frequent token.
+    """
+    rows = heads.where("n > 0 and doc_id is not null").select("doc_id", "n", "tokens")
     shared = written(rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token"))
-    met = only_shared(rows, shared).select("d1", "n", F.explode("tokens").alias("token")).join(shared, "token")
-    counts = met.groupBy("d1").agg(F.max("n").alias("n"), F.count_distinct("token").alias("met"))
-    return counts.where(F.col("met") >= 1 + F.expr(f"({t.num} * n + {t.den - 1}) div {t.den} div {SPARE}")).select("d1")
+    met = only_shared(rows, shared).select("doc_id", "n", F.explode("tokens").alias("token")).join(shared, "token")
+    counts = met.groupBy("doc_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("met"))
+    return counts.where(F.col("met") >= 1 + F.expr(f"({t.num} * n + {t.den - 1}) div {t.den} div {SPARE}")).select("doc_id")
 
 
 def frequency_prefixes(sets: DataFrame, t: Similarity) -> DataFrame:
@@ -216,8 +220,9 @@ def ngram_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     t = Similarity(num, den)
     heads = written(sets_of(docs, k, (num, den)))
     classes = written(heads.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id")))
-    chosen = classes.join(possible_classes(heads, t), "d1").where("class_id is not null").select(F.col("class_id").alias("__id"))
-    chosen = written(chosen.distinct())
+    chosen = classes.select(F.col("class_id").alias("__id")).where("__id is not null").distinct()
+    possible = possible_ids(heads, t)
+    chosen = written(chosen.join(possible, chosen["__id"] == possible["doc_id"], "left_semi"))
     ids = bits.filled(chosen)
     few = docs if ids is not None else docs.join(chosen, docs["doc_id"] == F.col("__id"), "left_semi")
     sets = written(sets_of(few, k, ids=ids).select("doc_id", "n", "tokens"))
