@@ -43,3 +43,16 @@ def text_of(column: str = "text") -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only, as the word rule wants; other letters stay as they are."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hash of ``key``; the same ones in every run.
+
+    Only rows under twice the share that is needed enter the sort, so all tasks together send about
+    ``2 * most`` rows, however many tasks there are.
+    """
+    whole, n = 1 << 40, rows.count()
+    rows = rows.withColumn("__h", F.pmod(F.xxhash64(key), F.lit(whole)))
+    if n > 2 * most:
+        rows = rows.where(F.col("__h") < whole * 2 * most // n)
+    return rows.orderBy("__h", key).limit(most).drop("__h")

@@ -21,14 +21,14 @@ an empty table gives an empty result; other columns are kept by the filter and i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import hashed_sample, table, text_of
 from .hashing import BLOCK, batches_of, blocks, hash_words
 from .linear import Logistic, associated, present, sigmoid
 
@@ -40,6 +40,7 @@ PREFIXES = (4, 5, 6)
 Z = 3.5
 LEAST_ROWS = 2
 MOST_FEATURES = 8192
+PAIRS_HELD = 1 << 20
 
 
 def features_of(texts: list[bytes], wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -63,9 +64,21 @@ def features_of(texts: list[bytes], wanted: np.ndarray | None = None) -> Iterato
                     yield h, r
 
 
-def distinct_pairs(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def distinct_pairs(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, rows) without repeats, in order of rows; repeats are dropped as parts come in."""
+    done, held, n = [], [], 0
+    for h, r in parts:
+        held.append((h, r.astype(np.int32)))
+        n += len(h)
+        if n > PAIRS_HELD:
+            done.append(_distinct(held))
+            held, n = [], 0
+    return _distinct(done + held)
+
+
+def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int32)
     h, r = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((h, r))
     h, r = h[order], r[order]
@@ -74,12 +87,22 @@ def distinct_pairs(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarr
     return h[new], r[new]
 
 
+def repeated(h: np.ndarray, r: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Only the features of at least ``least`` rows."""
+    order = np.argsort(h, kind="stable")
+    starts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]) if len(h) else np.empty(0, np.int64)
+    keep = np.zeros(len(h), bool)
+    keep[order] = np.repeat(np.diff(np.r_[starts, len(h)]) >= least, np.diff(np.r_[starts, len(h)]))
+    return h[keep], r[keep]
+
+
 class Chain:
     """Models of all categories in order; picklable."""
 
     def fit(self, h: np.ndarray, r: np.ndarray, targets: np.ndarray) -> "Chain":
         """targets: rows x categories of 0 and 1."""
         n, self.links = len(targets), []
+        h, r = repeated(h, r, LEAST_ROWS)
         fold = np.arange(n) % FOLDS
         logits = np.zeros((n, 0))
         for c in range(targets.shape[1]):
@@ -109,7 +132,7 @@ class Chain:
         return names, Logistic().fit(rows, columns, dense, y, len(names))
 
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
-        h, r = distinct_pairs(list(features_of(texts, self.wanted))) if len(self.wanted) else distinct_pairs([])
+        h, r = distinct_pairs(features_of(texts, self.wanted)) if len(self.wanted) else distinct_pairs([])
         logits = np.zeros((len(texts), 0))
         for names, model in self.links:
             rows, columns = present(h, r, names)
@@ -134,7 +157,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     """text, quality, toxic of the bounded sample."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("quality").alias("__quality"), F.max("toxic").alias("__toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    known = hashed_sample(known, "doc_id", max_rows)
     rows = docs.select("doc_id", text_of().alias("text")).where(F.length("text") <= MAX_CHARS)
     rows = rows.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
     return rows.select("doc_id", "text", F.col("__quality").alias("quality"), F.col("__toxic").alias("toxic"))
@@ -146,7 +169,7 @@ def _train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     data = pd.concat([f for f in frames if len(f)] or [pd.DataFrame({"doc_id": [], "text": [], "quality": [], "toxic": []})])
     data = data.sort_values("doc_id")
     low, toxic = (data["quality"].to_numpy() == 0), (data["toxic"].to_numpy() == 1)
-    h, r = distinct_pairs(list(features_of([t.encode() for t in data["text"]])))
+    h, r = distinct_pairs(features_of([t.encode() for t in data["text"]]))
     chain = Chain().fit(h, r, np.column_stack([low, toxic, toxic & ~low]).astype(np.int64))
     yield pd.DataFrame({"model": [pickle.dumps(chain)]})
 
