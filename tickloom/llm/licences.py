@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import hashed_sample, table, text_of
 from .hashing import hash_words, place_numbers
 from .linear import Logistic, present, sigmoid
 
@@ -61,7 +61,7 @@ TEMPLATES = {
 FAMILIES = tuple(TEMPLATES)
 GRAMS = 3
 SAMPLE_DOCS = 1000
-SAMPLE_CHARS = 20_000
+LINE_CHARS = 500
 KNOWN = 0.5
 ALIKE = 0.8
 LEAST_HITS = 2
@@ -193,11 +193,10 @@ def scraps(rng: random.Random, sentence: str) -> list[str]:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Classifier:
-    """Negatives: a line of each of the ``sample_docs`` documents with the smallest hash of doc_id."""
-    rows = docs.select(F.xxhash64("doc_id").alias("key"), F.substring(text_of(), 1, SAMPLE_CHARS).alias("text"))
-    full = F.filter(F.split("text", "\n"), lambda p: F.length(F.trim(p)) > 0)
-    lines = rows.orderBy("key", "text").limit(sample_docs).select(F.try_element_at(full, F.lit(-1)).alias("line"))
-    return Classifier().fit(sorted(r.line[:500] for r in lines.collect() if r.line))
+    """Negatives: the last line of each of the ``sample_docs`` documents with the smallest hash of doc_id."""
+    full = F.filter(F.split(text_of(), "\n"), lambda p: F.length(F.trim(p)) > 0)
+    lines = hashed_sample(docs.select("doc_id", F.substring(F.try_element_at(full, F.lit(-1)), 1, LINE_CHARS).alias("line")), "doc_id", sample_docs)
+    return Classifier().fit(sorted(r.line for r in lines.collect() if r.line))
 
 
 SCAN = "doc_id long, n_paragraphs long, n_licences long, families string, found string"
