@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
