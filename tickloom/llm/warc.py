@@ -221,10 +221,45 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_parse_files, PARSED)
 
 
-def reassembled(records: DataFrame) -> DataFrame:
-    """One row per logical record: page_id, record_type, refers_to, stated_digest, block, whole."""
-    single = records.where(F.col("segment").isNull()).select("page_id", "record_type", "refers_to", "stated_digest", "block", F.lit(True).alias("whole"))
-    parts = records.where(F.col("segment").isNotNull()).withColumn("origin", F.coalesce("origin", "record_id"))
+def unframed(block: bytes, kind: str | None, stated: str | None, whole: bool) -> tuple[bytes | None, int | None, str | None, bool]:
+    """(payload, its length, its digest, complete) of a logical record's block; revisits have no payload."""
+    if kind == "revisit":
+        return None, None, stated, whole
+    top, _, body = block.partition(b"\r\n\r\n")
+    data = dechunked(body) if b"transfer-encoding: chunked" in top.lower() else body
+    if data is None:
+        return None, None, None, False
+    digest = digest32(data)
+    return data, len(data), digest, whole and (not stated or stated == digest)
+
+
+def _decode(keep_payload: bool, keep_segments: bool):
+    """Unframes whole records; records of segments pass with their block where they are kept."""
+    names = [c.split()[0] for c in (DECODED + SEGMENT_COLUMNS if keep_segments else DECODED).split(", ")]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                if keep_segments and r.segment == r.segment and r.segment is not pd.NA:
+                    out.append((r.page_id, r.record_type, r.refers_to, None, None, None, None, r.record_id, r.origin, r.segment, r.total, r.stated_digest, bytes(r.block)))
+                    continue
+                data, size, digest, right = unframed(bytes(r.block), r.record_type, r.stated_digest, bool(getattr(r, "whole", True)))
+                row = (r.page_id, r.record_type, r.refers_to, data if keep_payload else None, size, digest, right)
+                out.append(row + (None,) * (6 if keep_segments else 0))
+            frame = pd.DataFrame(out, columns=names)
+            kinds = {"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"}
+            yield frame.astype(kinds | ({"segment": "Int32", "total": "Int64"} if keep_segments else {}))
+
+    return run
+
+
+SEGMENT_COLUMNS = ", record_id string, origin string, segment int, total long, stated_digest string, block binary"
+
+
+def reassembled(parts: DataFrame) -> DataFrame:
+    """Segments to logical records: page_id, record_type, refers_to, stated_digest, block, whole."""
+    parts = parts.withColumn("origin", F.coalesce("origin", "record_id"))
     part = F.struct("segment", F.col("block").cast("string").alias("bytes"))
     first = F.col("segment") == 1
     rows = parts.groupBy("origin").agg(
@@ -234,42 +269,23 @@ def reassembled(records: DataFrame) -> DataFrame:
         F.max(F.when(first, F.col("stated_digest"))).alias("stated_digest"),
         F.sort_array(F.collect_set(part)).alias("parts"),
         F.max("total").alias("total"),
-        F.sum(F.octet_length("block")).alias("sum"),
         F.max("segment").alias("last"),
-        F.count(F.lit(1)).alias("n"),
     )
     block = F.array_join(F.transform("parts", lambda p: p["bytes"]), "").cast("binary")
     whole = (F.size("parts") == F.col("last")) & (F.octet_length(block) == F.col("total"))
-    joined = rows.select("page_id", F.coalesce("record_type", F.lit("response")).alias("record_type"), "refers_to", "stated_digest", block.alias("block"), F.coalesce(whole, F.lit(False)).alias("whole"))
-    return single.unionByName(joined)
-
-
-def _decode(keep_payload: bool):
-    def run(batches):
-        for b in batches:
-            out = {k: [] for k in ("payload", "payload_bytes", "payload_digest", "complete")}
-            for block, kind, stated, whole in zip(b["block"], b["record_type"], b["stated_digest"], b["whole"], strict=True):
-                block = bytes(block)
-                top, _, body = block.partition(b"\r\n\r\n")
-                if kind == "revisit":
-                    data, size, digest, right = None, None, stated, bool(whole)
-                else:
-                    data = dechunked(body) if b"transfer-encoding: chunked" in top.lower() else body
-                    right = bool(whole) and data is not None
-                    size = len(data) if data is not None else None
-                    digest = digest32(data) if data is not None else None
-                    right = right and (not stated or stated == digest)
-                for k, v in zip(out, (data if keep_payload else None, size, digest, right), strict=True):
-                    out[k].append(v)
-            frame = pd.DataFrame({"page_id": b["page_id"], "record_type": b["record_type"], "refers_to": b["refers_to"], **out})
-            yield frame.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
-
-    return run
+    return rows.select("page_id", F.coalesce("record_type", F.lit("response")).alias("record_type"), "refers_to", "stated_digest", block.alias("block"), F.coalesce(whole, F.lit(False)).alias("whole"))
 
 
 def read_pages(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
-    """The archive's records with their payloads: reassembled, verified and unframed."""
-    return reassembled(read_records(spark, path)).mapInPandas(_decode(keep_payload), DECODED)
+    """The archive's records with their payloads: reassembled, verified and unframed.
+
+    The archives are parsed once: what is whole is unframed at once, segments are kept in a table
+    (with the payloads, where they are asked for) and joined from there.
+    """
+    parsed = written(read_records(spark, path).mapInPandas(_decode(keep_payload, True), DECODED + SEGMENT_COLUMNS))
+    single = parsed.where("segment is null").select(*(c.split()[0] for c in DECODED.split(", ")))
+    joined = reassembled(parsed.where("segment is not null")).mapInPandas(_decode(keep_payload, False), DECODED)
+    return single.unionByName(joined)
 
 
 def resolved(pages: DataFrame) -> DataFrame:
