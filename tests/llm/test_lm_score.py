@@ -106,3 +106,21 @@ def test_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b"), (3, None), (3, None)], "doc_id long, text string")
     assert sorted(r.n_tokens for r in op.lm_scores(df).collect()) == [1, 1, 3]
     assert op.lm_scores(df.limit(0)).count() == 0
+
+
+def test_texts_end_to_end_on_a_lane_have_the_gradient_of_lanes_of_their_own():
+    layout, flat, rng = small(5, 12)
+    ids = rng.integers(0, 12, (8, 2))
+    before = np.vstack([np.full((1, 2), -1), ids[:-1]])
+    apart, joined = np.zeros(len(flat)), np.zeros(len(flat))
+    p = layout.named(flat.astype(float))
+    gru.window_gradient(layout, p, layout.named(apart), before, ids, np.zeros((2, gru.HIDDEN)))
+    gru.window_gradient(layout, p, layout.named(joined), before.T.reshape(-1, 1), ids.T.reshape(-1, 1), np.zeros((1, gru.HIDDEN)))
+    assert joined == pytest.approx(apart, abs=1e-9)
+
+
+def test_learns_from_whole_texts(spark):
+    text = " ".join(f"w{i % 50}" for i in range(3000))
+    df = spark.createDataFrame([(i, text) for i in range(12)], "doc_id long, text string").coalesce(1)
+    got = op.lm_scores(df).collect()
+    assert sum(r.score for r in got) > 0.6 * sum(r.base_score for r in got)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 HIDDEN = 16
@@ -76,54 +78,84 @@ class Layout:
         return (score, dh) if grads is not None else score
 
 
-def train(layout: Layout, flat: np.ndarray, texts: list[np.ndarray], rate: float, seed: int, batch: int = 128) -> np.ndarray:
-    """One pass of Adam over the texts (word numbers) by truncated back-propagation through time.
+class Trainer:
+    """Adam over whole texts (word numbers) by truncated back-propagation through time.
 
-    A text is read in windows of WINDOW steps; the state is carried into the next window, gradients
-    are not. The first input of a text is the zero vector.
+    Texts lie end to end on lanes of about equal length and are read in windows of WINDOW steps. The
+    state of a text is carried into the next window, gradients are not; a text begins with the zero
+    vector as input and state.
     """
-    flat = flat.astype(np.float32).copy()
-    p = layout.named(flat)
-    m, v, step = np.zeros_like(flat), np.zeros_like(flat), 0
-    order = np.random.default_rng(seed).permutation(len(texts))
-    for lo in range(0, len(order), batch):
-        own = [texts[i] for i in order[lo : lo + batch]]
-        longest = max(map(len, own))
-        ids = np.full((longest, len(own)), -1)
-        for j, t in enumerate(own):
-            ids[: len(t), j] = t
-        before = np.vstack([np.full((1, len(own)), -1), ids[:-1]])
-        h = np.zeros((len(own), HIDDEN), np.float32)
-        for at in range(0, longest, WINDOW):
-            grad = np.zeros_like(flat)
-            h, n = window_gradient(layout, p, layout.named(grad), before[at : at + WINDOW], ids[at : at + WINDOW], h)
-            if not n:
-                break
-            grad /= n
-            size = float(np.sqrt(grad @ grad))
-            grad *= min(1.0, 1.0 / max(size, 1e-9))
-            step += 1
-            m += 0.1 * (grad - m)
-            v += 0.01 * (grad * grad - v)
-            flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    return flat
+
+    def __init__(self, layout: Layout, flat: np.ndarray, rate: float, seed: int, lanes: int = 256):
+        self.layout, self.rate, self.lanes = layout, rate, lanes
+        self.flat = flat.astype(np.float32).copy()
+        self.m, self.v, self.step, self.words = np.zeros_like(self.flat), np.zeros_like(self.flat), 0, 0
+        self.rng = np.random.default_rng(seed)
+
+    def learn(self, texts: list[np.ndarray]) -> None:
+        """One pass over all windows of the texts."""
+        texts = [t for t in texts if len(t)]
+        if not texts:
+            return
+        lanes = dealt([texts[i] for i in self.rng.permutation(len(texts))], self.lanes)
+        sizes = np.array([sum(len(t) for t in lane) for lane in lanes])
+        ids = np.full((int(sizes[0]), len(lanes)), -1, np.int32)
+        before = np.full_like(ids, -1)
+        for j, lane in enumerate(lanes):
+            at = 0
+            for t in lane:
+                ids[at : at + len(t), j] = t
+                before[at + 1 : at + len(t), j] = t[:-1]
+                at += len(t)
+        p, h = self.layout.named(self.flat), np.zeros((len(lanes), HIDDEN), np.float32)
+        for at in range(0, len(ids), WINDOW):
+            live = int(np.searchsorted(-sizes, -at))
+            grad = np.zeros_like(self.flat)
+            h, n = window_gradient(self.layout, p, self.layout.named(grad), before[at : at + WINDOW, :live], ids[at : at + WINDOW, :live], h[:live])
+            self.words += n
+            self._step(grad, n)
+
+    def _step(self, grad: np.ndarray, n: int) -> None:
+        grad /= n
+        size = float(np.sqrt(grad @ grad))
+        grad *= min(1.0, 1.0 / max(size, 1e-9))
+        self.step += 1
+        self.m += 0.1 * (grad - self.m)
+        self.v += 0.01 * (grad * grad - self.v)
+        self.flat -= self.rate * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.v / (1 - 0.99**self.step)) + 1e-6)
+
+
+def dealt(texts: list[np.ndarray], lanes: int) -> list[list[np.ndarray]]:
+    """Texts put on at most ``lanes`` lanes, each to the shortest so far; the longest lane first."""
+    out: list[list[np.ndarray]] = [[] for _ in range(min(lanes, len(texts)))]
+    heap = [(0, j) for j in range(len(out))]
+    for t in texts:
+        n, j = heapq.heappop(heap)
+        out[j].append(t)
+        heapq.heappush(heap, (n + len(t), j))
+    return sorted(out, key=lambda lane: -sum(map(len, lane)))
 
 
 def window_gradient(layout: Layout, p: dict, g: dict, before: np.ndarray, ids: np.ndarray, h: np.ndarray):
-    """Adds the window's gradients to g; (state after the window, words scored)."""
+    """Adds the window's gradients to g; (state after the window, words scored).
+
+    Where ``before`` is negative a text begins: its input and state are zero.
+    """
     H, kept = HIDDEN, []
+    live = (before >= 0)[:, :, None]
+    x = np.where(live, p["emb"][np.maximum(before, 0)], np.float32(0))
+    inputs = x @ p["w"] + p["b"]
     for t in range(len(ids)):
-        live = (before[t] >= 0)[:, None]
-        x = np.where(live, p["emb"][np.maximum(before[t], 0)], np.float32(0))
-        a = x @ p["w"] + p["b"]
+        h = np.where(live[t], h, np.float32(0))
         hu = h @ p["u"]
+        a = inputs[t]
         zr = 0.5 + 0.5 * np.tanh(0.5 * (a[:, : 2 * H] + hu[:, : 2 * H]))
         z, r = zr[:, :H], zr[:, H:]
         n = np.tanh(a[:, 2 * H :] + r * hu[:, 2 * H :])
         new = n + z * (h - n)
-        kept.append((x, h, hu[:, 2 * H :], z, r, n, new))
+        kept.append((h, hu[:, 2 * H :], z, r, n, new))
         h = new
-    states = np.stack([k[6] for k in kept])
+    states = np.stack([k[5] for k in kept])
     real = ids >= 0
     count = int(real.sum())
     if not count:
@@ -132,19 +164,26 @@ def window_gradient(layout: Layout, p: dict, g: dict, before: np.ndarray, ids: n
     dout = np.zeros_like(states)
     dout[real] = dh_real
     dh = np.zeros_like(h)
+    da, du = np.empty_like(inputs), np.empty_like(inputs)
     for t in reversed(range(len(ids))):
-        x, old, hn, z, r, n, _ = kept[t]
+        old, hn, z, r, n, _ = kept[t]
         dh = dh + dout[t]
         dz, dn = dh * (old - n) * z * (1 - z), dh * (1 - z) * (1 - n * n)
         dr = dn * hn * r * (1 - r)
-        da = np.concatenate([dz, dr, dn], 1)
-        du = np.concatenate([dz, dr, dn * r], 1)
-        g["w"] += x.T @ da
-        g["b"] += da.sum(0)
-        g["u"] += old.T @ du
-        live = before[t] >= 0
-        np.add.at(g["emb"], before[t][live], (da @ p["w"].T)[live])
-        dh = dh * z + du @ p["u"].T
+        da[t, :, :H] = du[t, :, :H] = dz
+        da[t, :, H : 2 * H] = du[t, :, H : 2 * H] = dr
+        da[t, :, 2 * H :] = dn
+        du[t, :, 2 * H :] = dn * r
+        dh = np.where(live[t], dh * z + du[t] @ p["u"].T, 0)
+    flat = lambda v: v.reshape(-1, v.shape[-1])
+    g["w"] += flat(x).T @ flat(da)
+    g["b"] += flat(da).sum(0)
+    g["u"] += flat(np.stack([k[0] for k in kept])).T @ flat(du)
+    word = before[live[:, :, 0]]
+    if len(word):
+        order = np.argsort(word, kind="stable")
+        first = np.flatnonzero(np.diff(word[order], prepend=-1))
+        g["emb"][word[order[first]]] += np.add.reduceat((da[live[:, :, 0]] @ p["w"].T)[order], first)
     return h, count
 
 
@@ -165,8 +204,6 @@ class Scorer:
             return total
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         lanes: list[list[int]] = [[] for _ in range(min(self.lanes, len(texts)))]
-        import heapq
-
         heap = [(0, j) for j in range(len(lanes))]
         for i in order:
             n, j = heapq.heappop(heap)

@@ -5,10 +5,10 @@
 2. The most frequent words (``LISTED`` at most, by a threshold on the count) are held in every task; the
    network's own vocabulary is the first ``VOCABULARY`` of them, the end token, and one token for all
    other words, whose probability is shared out among them by their add-one smoothed counts.
-3. The network is trained in rounds: every partition trains a copy by truncated back-propagation on an
-   excerpt of each of its training documents, and the copies are averaged by their number of words in
-   Spark. Every training document takes part, so training grows with the corpus and no task or driver
-   holds more than one partition's excerpts or one set of parameters.
+3. The network is trained in rounds: every partition trains a copy by truncated back-propagation on all
+   windows of each of its training texts, the state carried through the text, and the copies are averaged
+   by their number of words in Spark. A task holds a block of texts (``BLOCK_WORDS`` words, or one longer
+   text) and one set of parameters.
 4. Every whole text is scored, the state carried through its windows to its end. Words outside the list
    are looked up in the counts by a join that Spark can split.
 
@@ -37,10 +37,10 @@ from .hashing import text_words
 LISTED = 1 << 18
 VOCABULARY = 2046
 CLASSES = 32
-EXCERPT = 160
 RATES = (0.02, 0.01, 0.005)
 END = np.uint64(0xE4D0E4D0E4D0E4D0)
 PART_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 20
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -121,38 +121,30 @@ class Vocabulary:
 def _trained(held, rate: float, turn: int):
     def run(batches):
         vocabulary, flat = held.value
-        texts = []
+        trainer = gru.Trainer(vocabulary.layout, flat, rate, seed=turn * 100_003 + TaskContext.get().partitionId())
+        texts, n = [], 0
         for b in batches:
-            cut, done = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for k, docs in text_words([t.encode() for t in b.column(0).to_pylist()]):
-                for j, words in enumerate(docs):
-                    words = words[1:] if cut[k + j] else words
-                    words = words if done[k + j] else words[:-1]
-                    ids = vocabulary.look_up(words)[0].astype(np.int64)
-                    texts.append(np.append(ids, vocabulary.end) if done[k + j] else ids)
-        texts = [t for t in texts if len(t)]
-        if texts:
-            new = gru.train(vocabulary.layout, flat, texts, rate, seed=turn * 100_003 + TaskContext.get().partitionId())
-            yield pa.RecordBatch.from_arrays([pa.array([new.tolist()], pa.list_(pa.float32())), pa.array([float(sum(map(len, texts)))])], names=["p", "n"])
+            for lo in range(0, b.num_rows, 512):
+                for _, docs in text_words([t.encode() for t in b.column(0).slice(lo, 512).to_pylist()]):
+                    for words in docs:
+                        texts.append(np.append(vocabulary.look_up(words)[0], np.int32(vocabulary.end)))
+                        n += len(words) + 1
+                if n >= BLOCK_WORDS:
+                    trainer.learn(texts)
+                    texts, n = [], 0
+        trainer.learn(texts)
+        if trainer.words:
+            yield pa.RecordBatch.from_arrays([pa.array([trainer.flat.tolist()], pa.list_(pa.float32())), pa.array([float(trainer.words)])], names=["p", "n"])
 
     return run
 
 
-def excerpts(docs: DataFrame) -> DataFrame:
-    """text, cut (begins inside), done (reaches the end): a seeded excerpt of each training document."""
-    rows = docs.where(~held_out()).select(text_of().alias("text"), F.xxhash64("doc_id", F.lit(3)).alias("key"))
-    rows = rows.withColumn("n", F.length("text"))
-    at = F.when(F.col("n") > EXCERPT, F.pmod("key", F.col("n") - EXCERPT + 1)).otherwise(0).cast("int")
-    rows = rows.withColumn("at", at)
-    return rows.select(F.expr(f"substring(text, at + 1, {EXCERPT})").alias("text"), (F.col("at") > 0).alias("cut"), (F.col("at") + EXCERPT >= F.col("n")).alias("done"))
-
-
 def train(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """The network's parameters, averaged over the partitions after every round."""
     flat = vocabulary.layout.first()
     for turn, rate in enumerate(RATES):
         held = docs.sparkSession.sparkContext.broadcast((vocabulary, flat))
-        parts = excerpts(docs).mapInArrow(_trained(held, rate, turn), "p array<float>, n double")
+        parts = docs.where(~held_out()).select(text_of().alias("text")).mapInArrow(_trained(held, rate, turn), "p array<float>, n double")
         cells = parts.select("n", F.posexplode("p").alias("at", "value"))
         means = cells.groupBy("at").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean")).toArrow()  # one row a parameter
         if means.num_rows:
