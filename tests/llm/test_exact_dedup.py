@@ -33,3 +33,9 @@ def test_empty_table_and_repeats(spark):
     df = spark.createDataFrame([(1, "x"), (1, "x")], "doc_id long, text string")
     assert [tuple(r)[:4] for r in op.exact_duplicates(df).collect()] == [(1, 1, 2, True)] * 2
     assert op.exact_duplicates(df.limit(0)).count() == 0
+
+
+def test_dropping_leaves_other_texts_of_a_dropped_doc_id(spark):
+    rows = [(1, "x"), (None, "x"), (None, "alone"), (2, "x"), (2, "own"), (3, "y"), (3, "y"), (None, "z"), (None, " z")]
+    kept = op.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, "x"), (None, "alone"), (2, "own"), (3, "y"), (3, "y"), (None, " z")], key=str)

@@ -56,23 +56,35 @@ def tree_merge(rows: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataF
     return level.select(*KEYS, F.col("best.doc_id").alias("keep_id"), F.col("rows").alias("group_size"))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
+def with_winners(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, KEYS, keep_id, group_size, kept for every row of ``docs``."""
     rows = digests(docs, id_col, text_col)
     winners = written(tree_merge(rows))
-    return rows.join(winners, [*KEYS], "inner").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    return rows.join(winners, [*KEYS], "inner").select("doc_id", *KEYS, "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
+    return with_winners(docs, id_col, text_col).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the dropped rows, columns as they were."""
-    dropped = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(written(dropped), docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    """``docs`` without the dropped rows, columns as they were.
+
+    A row is dropped by its doc_id and its text, so another text under the same doc_id stays. Rows
+    without a doc_id are documents of their own: of equal ones the one with the most code points stays.
+    """
+    dropped = with_winners(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), *(F.col(k).alias(f"__{k}") for k in KEYS))
+    norm = normalised(text_of(text_col))
+    keys = {"digest": F.unhex(F.sha2(norm, 256)), "norm_chars": F.length(norm), "check": F.xxhash64(norm)}
+    same = docs[id_col].eqNullSafe(F.col("__gone"))
+    for k, value in keys.items():
+        same = same & (value == F.col(f"__{k}"))
+    left = docs.join(written(dropped.distinct()), same, "left_anti")
+    text = text_of(text_col)
+    loose = left.where(F.col(id_col).isNull()).groupBy(*(v.alias(f"__{k}") for k, v in keys.items()))
+    loose = loose.agg(F.max_by(F.struct(*docs.columns), F.struct(F.length(text), text)).alias("__row")).select("__row.*")
+    return left.where(F.col(id_col).isNotNull()).unionByName(loose)
 
 
 def op2_exact_dedup(spark, sf_dir):
