@@ -72,3 +72,22 @@ def test_query_on_the_pages_table(spark):
     for p in pages:
         assert got[p.page_id].payload_bytes == len(p.html.encode()) and got[p.page_id].complete
         assert hashlib.sha1(p.html.encode()).digest() == __import__("base64").b32decode(got[p.page_id].payload_digest)
+
+
+def test_long_rows_with_one_page_id_stay_apart(spark):
+    a, b = "a" * 50_000, "b" * 60_000
+    rows = [(1, a), (1, a), (None, b), (None, a + b), (2, "c" * 3000), (2, "d" * 3000)]
+    df = spark.createDataFrame([(i, "", h, "") for i, h in rows], SCHEMA)
+    path = warc.shared_folder(spark)
+    warc.write_archives(df, path)
+    got = warc.read_pages(spark, path).collect()
+    assert all(r.complete for r in got)
+    assert sorted(((r.page_id, bytes(r.payload).decode()) for r in got), key=str) == sorted(rows, key=str)
+
+
+def test_most_pages_are_reassembled_from_segments(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    path = warc.shared_folder(spark)
+    warc.write_archives(pages, path)
+    parts = warc.read_records(spark, path)
+    assert parts.where("segment = 1").count() > 0.5 * parts.where("record_type = 'response'").count()

@@ -12,7 +12,9 @@ checked: numbers 1..n without a gap, and the sum of lengths equal to the stated
 chunked framing is decoded. Only segmented records are shuffled.
 
 Defined results: null html is an empty payload; a null page_id is written as 'null' and loses against
-any other; rows repeated with one page_id and payload are records of their own of the same type; an
+any other; rows repeated with one page_id and payload are records of their own of the same type, as every
+written row has its own record identifier (the number of the row in its task, with the page_id; a
+revisit's WARC-Refers-To names the page only); an
 incomplete or badly framed record is returned with ``complete`` false; an empty table gives an empty
 result; columns other than page_id and html (url for the target) are ignored.
 """
@@ -26,13 +28,14 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_folder, table, text_of, written
 
 CRLF = b"\r\n"
-SEGMENT_BYTES = 32 * 1024
+SEGMENT_BYTES = 1024
 CHUNK_BYTES = 8 * 1024
 RECORDS_PER_FILE = 2048
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -75,9 +78,9 @@ def head(fields: list[tuple[str, str]], length: int) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n"
 
 
-def records_of(page_id: str, url: str, payload: bytes, refers_to: str | None, segment_bytes: int) -> Iterator[bytes]:
-    """The WARC records of one page, each without its closing blank lines."""
-    own = f"<urn:page:{page_id}>"
+def records_of(page_id: str, url: str, payload: bytes, refers_to: str | None, segment_bytes: int, part: str = "0") -> Iterator[bytes]:
+    """The WARC records of one page, each without its closing blank lines; ``part`` tells rows with one page_id apart."""
+    own = f"<urn:row:{part}:page:{page_id}>"
     named = [("WARC-Record-ID", own), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest32(payload)}")]
     if refers_to is not None:
         block = HTTP_HEAD
@@ -90,18 +93,20 @@ def records_of(page_id: str, url: str, payload: bytes, refers_to: str | None, se
         if k == 1:
             fields = [("WARC-Type", "response"), *named, *([("WARC-Segment-Number", "1")] if len(parts) > 1 else [])]
         else:
-            fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page_id}:{k}>"), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k))]
+            fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:row:{part}:segment:{k}:page:{page_id}>"), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k))]
             fields += [("WARC-Segment-Total-Length", str(len(block)))] if k == len(parts) else []
         yield head(fields, len(part)) + part
 
 
 def _frame(segment_bytes: int):
     def run(batches):
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
             out = []
             for page_id, url, html, to, revisit in zip(b["page_id"], b["url"], b["html"], b["refers_to"], b["revisit"], strict=True):
                 url = "".join(url.split()) or "about:blank"
-                out += records_of(page_id, url, html.encode(), to if revisit else None, segment_bytes)
+                out += records_of(page_id, url, html.encode(), to if revisit else None, segment_bytes, str(row))
+                row += 1
             yield pd.DataFrame({"record": out})
 
     return run
