@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -33,7 +34,9 @@ def test_pieces_give_the_tokenizers_ids():
     texts = ["", " ", "a  b", "a \n b", "\n a", "x y ", "it's  a  b　 c  d", "\x1c \x1d a\x1c b", "<|endoftext|> a <|endoftext|>", "w" * 300 + " " + "w" * 300, "é ß 123 4,5 --"]
     random.seed(3)
     texts += ["".join(random.choice("ab1 \n\t.,' é\x1c") for _ in range(60)) for _ in range(500)]
-    for t, got in zip(texts, encoder.encode(texts), strict=True):
+    texts += ["".join(random.choice(["ab", "c.", " ", "\n", "é!!", "1", "'s", "--", "\t"]) for _ in range(40)) for _ in range(500)]
+    texts += [" ".join(random.choice(["ab", "c.", "d,,", "a\nb", "&&", "x—.", "it's!", "ß#%", "4."]) for _ in range(40)) for _ in range(500)]
+    for t, got in zip(texts, encoder.encode(pa.array(texts)), strict=True):
         assert got.tolist() == plain.encode(t, add_special_tokens=False).ids + [1], repr(t)
 
 

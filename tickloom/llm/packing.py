@@ -10,12 +10,11 @@ snake order of their attention cost (sum of squared piece lengths), so groups of
 tokens and near-equal cost.
 
 Packing runs inside the scan's partitions on Arrow batches: no shuffle, and the memory held is one
-batch and less than one window a tier. Sequence ids are (partition, number), so a lost task is redone
+batch, the ids of a slice of ``SLICE_BYTES`` (or of one longer text) and up to ``FLUSH_PIECES`` waiting pieces. Sequence ids are (partition, number), so a lost task is redone
 with the same ids.
 
-Token ids come from the public vocabulary. Text is cut before each white space that follows a
-non-blank, a place no pre-token ever spans, and the pieces are looked up in a bounded cache before
-the tokenizer is asked.
+Token ids come from the public vocabulary. Texts are cut at places that no pre-token spans, equal
+pieces are found by Arrow, and the tokenizer is asked once for each piece of a slice of texts.
 
 Defined results: null text is empty (one end id); very long texts take as many windows as they need; rows repeated
 with one doc_id are documents of their own; a null doc_id stays null; an empty table gives an empty
@@ -27,10 +26,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
@@ -38,17 +39,27 @@ from .common import table, text_of
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
-CACHE_WORDS = 1_000_000
+CACHE_BYTES = 48 << 20
+ENTRY_BYTES = 200  # of a kept piece with its ids, about
+SLICE_BYTES = 4 << 20
 FLUSH_PIECES = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, sequence_length long, step_group long"
 #: A blank before a non-blank starts a pre-token whatever stands before it, so texts may be cut there.
 CUT = re.compile(r"(?= \S)")
-ODD = re.compile(r" (?:\s|\Z)")
+#: Pieces that begin so (or are empty) stand next to more white space; their texts are cut one by one.
+SPACED = r"^(?:$|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])"
+#: Signs that end a word; after a letter or digit they are a pre-token of their own.
+SIGNS = ".,;:!?&*$#%)"
 LONG_PIECE = 64
 
 
 class Encoder:
-    """Text to ids as a little-endian uint32 array; equal pieces are encoded once."""
+    """Text to ids as a uint32 array; of a slice of texts, equal pieces are encoded once.
+
+    Texts are cut before every blank that a non-blank follows and around every newline between
+    non-blanks, and signs at the end of a word are cut off; no pre-token spans these places. Ids are
+    kept in two generations of half ``CACHE_BYTES``: what is met again moves to the young one.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,33 +67,121 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if ODD.search(text):
-            return [p for p in CUT.split(text) if p]
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + w for w in rest]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
 
-    def learn(self, pieces: list[str], into: dict[str, bytes]) -> None:
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
         for k in range(0, len(pieces), 20_000):
             part = pieces[k : k + 20_000]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                into[p] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.pieces(t) for t in texts]
-        wanted = set().union(*split) if split else set()
-        if len(self.known) + len(wanted) > CACHE_WORDS:
-            self.known.clear()
-        new = wanted - self.known.keys()
-        self.learn([p for p in new if len(p) <= LONG_PIECE], self.known)
-        long: dict[str, bytes] = {}
-        self.learn([p for p in new if len(p) > LONG_PIECE], long)
-        known = self.known
-        end = np.array([END_ID], "<u4").tobytes()
-        get = known.__getitem__ if not long else lambda p: known.get(p) or long[p]
-        return [np.frombuffer(b"".join(map(get, ps)) + end, "<u4") for ps in split]
+                out[p] = array("I", e.ids).tobytes()
+        return out
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        young, old = self.young, self.old
+        fresh = self.learn([p for p in pieces if p not in young and p not in old])
+        out = []
+        for p in pieces:
+            if (i := young.get(p)) is None:
+                i = old.get(p) or fresh[p]
+                if len(p) <= LONG_PIECE:
+                    young[p] = i
+                    self.held += ENTRY_BYTES
+            out.append(i)
+        if self.held > CACHE_BYTES // 2:
+            self.young, self.old, self.held = {}, self.young, 0
+        return out
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, with the end id."""
+        lines = pc.split_pattern(texts, "\n")
+        words = pc.split_pattern(lines.values, " ")
+        encoded = words.values.dictionary_encode()
+        names, number = encoded.dictionary, encoded.indices.to_numpy()
+        line_at, word_at = lines.offsets.to_numpy(), words.offsets.to_numpy()
+        odd = np.zeros(len(texts), bool)
+        spaced = pc.match_substring_regex(names, SPACED).to_numpy(zero_copy_only=False)[number]
+        if spaced.any():
+            owner = np.searchsorted(word_at[line_at[1:]], np.flatnonzero(spaced), side="right")
+            odd[owner] = True
+            odd[pc.equal(texts, "").to_numpy(zero_copy_only=False)] = False
+        # The first word of a line has no blank before it: entries of their own.
+        first = np.zeros(len(number), bool)
+        first[word_at[:-1]] = True
+        heads, head_number = np.unique(number[first], return_inverse=True)
+        entry = number.astype(np.int64)
+        entry[first] = len(names) + head_number
+        pieces = pa.concat_arrays([pc.binary_join_element_wise("", names, " "), names.take(pa.array(heads))])
+        used = np.zeros(len(pieces), bool)
+        used[entry] = True
+        entry = (np.cumsum(used) - 1)[entry]
+        head, tail, ids = self.of_entries(pieces.filter(pa.array(used)))
+        head = np.append(head, [len(ids), len(ids) + 1])
+        tail = np.append(tail, [-1, -1])
+        ids += [*self.ids_of(["\n"]), array("I", [END_ID]).tobytes()]
+        newline, end = len(head) - 2, len(head) - 1
+        # Entries in order: a newline before every line but a text's first, an end after every text.
+        text_of_line = np.repeat(np.arange(len(texts)), np.diff(line_at))
+        starts = word_at[line_at[:-1]]
+        more = np.setdiff1d(np.arange(len(text_of_line)), line_at[:-1])
+        row = np.concatenate([entry, np.full(len(more), newline), np.full(len(texts), end)])
+        place = np.concatenate([np.arange(len(entry)), word_at[more], word_at[line_at[1:]]])
+        rank = np.concatenate([np.full(len(entry), 2), np.ones(len(more), int), np.zeros(len(texts), int)])
+        row = row[np.lexsort((rank, place))]
+        sizes = np.array([len(i) // 4 for i in ids] + [0], np.int64)  # the last one is no piece
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        begin = np.cumsum(sizes) - sizes
+        parts = np.stack([head[row], tail[row]], 1).ravel()
+        n = sizes[parts]
+        stop = np.cumsum(n)
+        tokens = flat[np.repeat(begin[parts] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)]
+        stop = stop[1::2]
+        extra = np.diff(line_at) - 1
+        last = np.cumsum(np.diff(np.append(starts, len(entry))) + extra + 1) - 1
+        out = np.split(tokens, stop[last][:-1]) if len(texts) else []
+        for k in np.flatnonzero(odd):
+            out[k] = self.alone(texts[k].as_py())
+        return out
+
+    def of_entries(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Of distinct pieces the number of the word and of its closing signs (or -1), and the ids of both."""
+        words = pc.utf8_rtrim(pieces, characters=SIGNS)
+        cut = pc.and_(pc.match_substring_regex(words, r"[\pL\pN]$"), pc.less(pc.binary_length(words), pc.binary_length(pieces)))
+        words = pc.if_else(cut, words, pieces).dictionary_encode()
+        signs = pc.extract_regex(pieces.filter(cut), f"(?P<s>[{re.escape(SIGNS)}]+)$").field(0).dictionary_encode()
+        tail = np.full(len(pieces), -1)
+        tail[cut.to_numpy(zero_copy_only=False)] = signs.indices.to_numpy() + len(words.dictionary)
+        return words.indices.to_numpy(), tail, self.ids_of(words.dictionary.to_pylist()) + self.ids_of(signs.dictionary.to_pylist())
+
+    def alone(self, text: str) -> np.ndarray:
+        """A text with white space next to white space."""
+        parts = [p for p in CUT.split(text) if p]
+        distinct = list(dict.fromkeys(parts))
+        ids = dict(zip(distinct, self.ids_of(distinct), strict=True))
+        return np.frombuffer(b"".join(ids[p] for p in parts) + array("I", [END_ID]).tobytes(), np.uint32)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder a Python worker, so that its tasks load the vocabulary once and share what is kept."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def slices(texts: pa.Array):
+    """(first, end) of runs of texts of about ``SLICE_BYTES``; a longer text is a run of its own."""
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        yield at, end
+        at = end
 
 
 class Packer:
@@ -190,11 +289,11 @@ def _packed(path: str, tiers, group_tokens: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches):
-        encoder, packer = Encoder(path), Packer(TaskContext.get().partitionId(), tiers, group_tokens)
+        encoder, packer = encoder_of(path), Packer(TaskContext.get().partitionId(), tiers, group_tokens)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1)
-            for k in range(0, len(ids), 512):
-                for doc_id, tokens in zip(ids[k : k + 512], encoder.encode(texts[k : k + 512].to_pylist()), strict=True):
+            for k, end in slices(texts):
+                for doc_id, tokens in zip(ids[k:end], encoder.encode(texts[k:end]), strict=True):
                     packer.add(doc_id, tokens)
                 if sum(map(len, packer.waiting.values())) >= FLUSH_PIECES:
                     packer.pack()
