@@ -50,3 +50,14 @@ def test_stage_keeps_columns_and_empty_tables(spark):
     assert out.columns == df.columns and 20 <= out.count() <= 30
     assert op.mixed_rows(df.limit(0), 0.5).count() == 0
     assert op.mix(op.with_tree(df.limit(0)), op.LEVELS, op.WEIGHTS).count() == 0
+
+
+def test_stage_with_clashing_columns_and_nulls(spark):
+    rows = [(i if i % 7 else None, "a b c" if i % 5 else None, "en", f"src{i % 3}", 77, i, "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_tokens int, full int, rest string")
+    out = op.mixed_rows(df, 1.0)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert len(got) == 48 and {r.n_tokens for r in got} == {77} and {r.rest for r in got} == {"x"}
+    assert {r.full for r in got} == {r[5] for r in rows if r[1]}
+    assert len(op.mix(op.with_tree(df), op.LEVELS, op.WEIGHTS).collect()) == 60

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 
@@ -21,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``, which every executor reaches.
 
-    Only where the setting is missing (local tests) a temporary folder of this machine serves.
+    Where the setting is missing, a temporary folder of this machine serves local masters only.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/tickloom-shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -56,3 +60,26 @@ def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     if n > 2 * most:
         rows = rows.where(F.col("__h") < whole * 2 * most // n)
     return rows.orderBy("__h", key).limit(most).drop("__h")
+
+
+def give_back() -> None:
+    """Returns the free memory of this Python worker to the system; workers outlive their tasks."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run):
+    """``run`` over batches, with ``give_back`` at its end."""
+
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return out

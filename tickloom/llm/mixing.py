@@ -99,13 +99,14 @@ def keyed_documents(sized: DataFrame, plan: DataFrame, levels: list[str], seed:
     return rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
 
 
-def copies(seed: int) -> Column:
-    """How often a document is taken, from the columns of its leaf's plan."""
-    key = order_key(seed, F.col("full"), F.col("doc_id"))
+def copies(seed: int, prefix: str = "") -> Column:
+    """How often a document is taken, from the (prefixed) columns of its leaf's plan and of its tokens."""
+    full, rest, cut_bucket, cut_key, n_tokens = (F.col(prefix + c) for c in ("full", "rest", "cut_bucket", "cut_key", "n_tokens"))
+    key = order_key(seed, full, F.col("doc_id"))
     bucket = F.substring(key, 1, BUCKET_DIGITS)
-    part = F.col("cut_bucket").isNull() | (bucket < F.col("cut_bucket"))
-    part = part | ((bucket == F.col("cut_bucket")) & F.coalesce(key <= F.col("cut_key"), F.lit(False)))
-    return F.when(F.col("n_tokens") > 0, F.col("full") + F.when(part & (F.col("rest") > 0), 1).otherwise(0)).otherwise(0).cast("long")
+    part = cut_bucket.isNull() | (bucket < cut_bucket)
+    part = part | ((bucket == cut_bucket) & F.coalesce(key <= cut_key, F.lit(False)))
+    return F.when(n_tokens > 0, full + F.when(part & (rest > 0), 1).otherwise(0)).otherwise(0).cast("long")
 
 
 def mix(docs: DataFrame, levels: list[str], weights, share: float = 1.0, max_epochs: int = 4, seed: int = 17) -> DataFrame:
@@ -134,10 +135,10 @@ def mixed_rows(docs: DataFrame, share: float, seed: int = 17) -> DataFrame:
     """The rows of ``docs`` that one epoch's budget of ``share`` of all tokens takes, columns as they were."""
     named = lambda c: F.coalesce(F.col(c), F.lit("none"))
     _, plan = leaf_plan(with_tree(docs), LEVELS, WEIGHTS, share, 1, seed)
-    plan = plan.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "full", "rest", "cut_bucket", "cut_key")
-    rows = docs.withColumn("n_tokens", F.regexp_count(text_of(), F.lit(WORD)))
+    plan = plan.select(*(F.col(c).alias(f"__{c}") for c in ("lang", "source", "full", "rest", "cut_bucket", "cut_key")))
+    rows = docs.withColumn("__n_tokens", F.regexp_count(text_of(), F.lit(WORD)))
     rows = rows.join(plan, (named("lang") == F.col("__lang")) & (named("source") == F.col("__source")))
-    return rows.where(copies(seed) > 0).select(*docs.columns)
+    return rows.where(copies(seed, "__") > 0).select(*docs.columns)
 
 
 QUERIES = {"op9_mixing": op9_mixing}
