@@ -42,3 +42,22 @@ def test_whole_text_counts(spark):
     assert kept.columns == df.columns and kept.where("doc_id < 200").count() == 100
     assert op.toxicity(df.limit(0), lab).count() == 0
     assert not any(r.rejected for r in op.toxicity(df, lab.limit(0)).collect())
+
+
+def test_labels_without_signal_reject_nothing(spark):
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(15))) for i in range(300)]
+    labels = [(i, rng.randrange(2), int(rng.random() < 0.12)) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = op.toxicity(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == 300 and not any(r.rejected for r in got)
+    same = spark.createDataFrame([(i, "one text") for i in range(50)], "doc_id long, text string")
+    assert not any(r.rejected for r in op.toxicity(same, spark.createDataFrame([(i, 1, i % 2) for i in range(50)], "doc_id long, quality int, toxic int")).collect())
+
+
+def test_threshold_never_takes_all():
+    y = np.array([1, 0, 0, 0])
+    assert op.best_threshold(np.full(4, 0.3), y) == 2.0
+    assert op.best_threshold(np.array([0.9, 0.2, 0.1, 0.1]), y) == 0.55
+    assert op.best_threshold(np.array([0.1, 0.9, 0.8, 0.7]), y) == 2.0
+    assert op.best_threshold(np.empty(0), np.empty(0)) == 2.0

@@ -5,13 +5,14 @@ predicted in this order; each linear model gets, besides the words, the log odds
 the earlier categories. In training those are out-of-fold predictions (each fold is scored by models of
 the other folds, whose word lists are chosen on the other folds too), so later models see the earlier
 ones as uncertain as they are on new text. A document is rejected when the probability of ``toxic``
-reaches the threshold that is best (F1) on the out-of-fold predictions.
+reaches the threshold that is best (F1) on the out-of-fold predictions, of those where at least
+``LEAST_PRECISION`` of the rejected ones are toxic; without such a threshold nothing is rejected.
 
 Features are presence of words (letters and digits, A-Z lower-cased) and of their first 4, 5 and 6
 bytes, which catches inflected forms; a feature is chosen when its association with the category
-stands out by ``Z`` standard errors. Training takes at most ``MAX_ROWS`` labelled documents of at most
-``MAX_CHARS`` code points, those with the smallest hash of doc_id: a bounded sample, gathered in one
-task. Scoring reads whole texts and moves nothing.
+stands out by ``Z`` standard errors. Training takes at most ``MAX_ROWS`` labelled documents, those with
+the smallest hash of doc_id, until they have ``MAX_PAIRS`` distinct features: a bounded sample. Features are
+found where the whole texts are, and only they are gathered in one task. Scoring moves nothing.
 
 Defined results: null text is empty; an empty text gets the chain's base rate; labels that are null or belong to
 no document are ignored, repeated labels of one document take the largest; without labels of both kinds a
@@ -21,6 +22,7 @@ an empty table gives an empty result; other columns are kept by the filter and i
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,13 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, table, text_of
+from .common import give_back, hashed_sample, released, table, text_of
 from .hashing import BLOCK, batches_of, blocks, hash_words
 from .linear import Logistic, associated, present, sigmoid
 
 CATEGORIES = ("low_quality", "toxic", "toxic_fluent")
 MAX_ROWS = 8000
-MAX_CHARS = 200_000
+MAX_PAIRS = 1 << 25
+LEAST_PRECISION = 0.5
 FOLDS = 3
 PREFIXES = (4, 5, 6)
 Z = 3.5
@@ -48,51 +51,48 @@ def features_of(texts: list[bytes], wanted: np.ndarray | None = None) -> Iterato
     mask = None
     if wanted is not None:
         mask = np.zeros(1 << 18, bool)
-        mask[(wanted & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+        mask[wanted & np.uint32((1 << 18) - 1)] = True
     for first, end, data, borders in batches_of(texts):
         single = end - first == 1 and len(data) > BLOCK
         for offset, piece in blocks(data) if single else [(0, data)]:
             words, starts, _, *heads = hash_words(piece, PREFIXES, plain=True)
             row = np.searchsorted(borders, starts + offset, side="right") + first
             for h in (words, *heads):
-                keep = h != 0 if mask is None else mask[(h & np.uint64((1 << 18) - 1)).astype(np.int64)]
+                keep = h != 0 if mask is None else mask[(h & np.uint64((1 << 18) - 1)).astype(np.int64)] & (h != 0)
                 h, r = h[keep], row[keep]
                 if wanted is not None:
-                    r, at = present(h, r, wanted)
+                    r, at = present(h.astype(np.uint32), r, wanted)
                     h = wanted[at]
                 if len(h):
                     yield h, r
 
 
 def distinct_pairs(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(features, rows) without repeats, in order of rows; repeats are dropped as parts come in."""
+    """(features, rows) without repeats, in order of rows; features shortened to 32 bits, repeats dropped as parts come in."""
     done, held, n = [], [], 0
     for h, r in parts:
-        held.append((h, r.astype(np.int32)))
+        held.append((r.astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)))
         n += len(h)
         if n > PAIRS_HELD:
             done.append(_distinct(held))
             held, n = [], 0
-    return _distinct(done + held)
+    pairs = _distinct(done + held)
+    return pairs.astype(np.uint32), (pairs >> np.uint64(32)).astype(np.int32)
 
 
-def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.int32)
-    h, r = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((h, r))
-    h, r = h[order], r[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    return h[new], r[new]
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    pairs = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    pairs.sort()
+    return pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
 
 
 def repeated(h: np.ndarray, r: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Only the features of at least ``least`` rows."""
-    order = np.argsort(h, kind="stable")
-    starts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]) if len(h) else np.empty(0, np.int64)
-    keep = np.zeros(len(h), bool)
-    keep[order] = np.repeat(np.diff(np.r_[starts, len(h)]) >= least, np.diff(np.r_[starts, len(h)]))
+    names = np.sort(h)
+    again = names[least - 1 :] == names[: max(len(names) - least + 1, 0)]
+    names = np.unique(names[least - 1 :][again])
+    at = np.searchsorted(names, h).astype(np.int32)
+    keep = names[np.minimum(at, len(names) - 1)] == h if len(names) else np.zeros(len(h), bool)
     return h[keep], r[keep]
 
 
@@ -117,8 +117,8 @@ class Chain:
                 out[own] = model.logits(rows, columns, logits)[own]
             self.links.append(self.one(h, r, logits, y))
             logits = np.column_stack([logits, np.clip(out, -15, 15)])
-        self.threshold = best_threshold(sigmoid(logits[:, CATEGORIES.index("toxic")]), targets[:, CATEGORIES.index("toxic")]) if n else 2.0
-        self.wanted = np.unique(np.concatenate([names for names, _ in self.links])) if self.links else np.empty(0, np.uint64)
+        self.threshold = best_threshold(sigmoid(logits[:, CATEGORIES.index("toxic")]), targets[:, CATEGORIES.index("toxic")])
+        self.wanted = np.unique(np.concatenate([names for names, _ in self.links])) if self.links else np.empty(0, np.uint32)
         return self
 
     @staticmethod
@@ -126,7 +126,7 @@ class Chain:
         if not len(y) or y.min() == y.max():
             model = Logistic(rounds=0).fit(np.empty(0, np.int64), np.empty(0, np.int64), dense, y, 0)
             model.bias = -15.0 if not len(y) or y.max() == 0 else model.bias
-            return np.empty(0, np.uint64), model
+            return np.empty(0, np.uint32), model
         names = associated(h, r, y, LEAST_ROWS, Z, MOST_FEATURES)
         rows, columns = present(h, r, names)
         return names, Logistic().fit(rows, columns, dense, y, len(names))
@@ -141,45 +141,66 @@ class Chain:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Of the midpoints between predictions, the one with the best F1; 2 without positives."""
-    if not len(y) or y.sum() == 0:
-        return 2.0
+    """Of the midpoints between predictions, the one with the best F1 of those with ``LEAST_PRECISION``.
+
+    2 (nothing is rejected) where no cut is that precise; a cut below all predictions is none.
+    """
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    last = np.append(np.diff(p[order]) != 0, True)  # a cut lies between different values only
-    k = int(np.argmax(np.where(last, f1, -1)))
-    low = p[order][k + 1] if k + 1 < len(y) else 0.0
-    return float((p[order][k] + low) / 2)
+    hits, taken = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    f1 = 2 * hits / (taken + y.sum() + 1e-9)
+    right = np.append(np.diff(p[order]) != 0, False) & (hits >= LEAST_PRECISION * taken)
+    if not right.any():
+        return 2.0
+    k = int(np.argmax(np.where(right, f1, -1)))
+    return float((p[order][k] + p[order][k + 1]) / 2)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """text, quality, toxic of the bounded sample."""
+    """doc_id, text, quality, toxic of the bounded sample."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("quality").alias("__quality"), F.max("toxic").alias("__toxic"))
     known = hashed_sample(known, "doc_id", max_rows)
-    rows = docs.select("doc_id", text_of().alias("text")).where(F.length("text") <= MAX_CHARS)
-    rows = rows.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
-    return rows.select("doc_id", "text", F.col("__quality").alias("quality"), F.col("__toxic").alias("toxic"))
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id")
+    return rows.select("doc_id", "text", F.col("__quality").cast("int").alias("quality"), F.col("__toxic").cast("int").alias("toxic"))
 
 
-def _train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pickle
+LEARNT = "doc_id long, quality int, toxic int, features binary"
+
 
-    data = pd.concat([f for f in frames if len(f)] or [pd.DataFrame({"doc_id": [], "text": [], "quality": [], "toxic": []})])
-    data = data.sort_values("doc_id")
-    low, toxic = (data["quality"].to_numpy() == 0), (data["toxic"].to_numpy() == 1)
-    h, r = distinct_pairs(features_of([t.encode() for t in data["text"]]))
+def _learnt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct features of each row, where the texts are; only these move."""
+    for f in frames:
+        h, r = distinct_pairs(features_of([t.encode() for t in f["text"]]))
+        parts = np.split(h, np.searchsorted(r, np.arange(1, len(f))))
+        yield pd.DataFrame({"doc_id": f["doc_id"], "quality": f["quality"], "toxic": f["toxic"], "features": [p.astype("<u4").tobytes() for p in parts[: len(f)]]})
+
+
+def _train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of a hash: those after the first ``MAX_PAIRS`` features are not learnt."""
+    h, r, low, toxic, n = [], [], [], [], 0
+    for f in frames:
+        for q, t, data in zip(f["quality"], f["toxic"], f["features"], strict=True):
+            if n < MAX_PAIRS:
+                own = np.frombuffer(data, "<u4")
+                h.append(own)
+                r.append(np.full(len(own), len(low), np.int32))
+                low.append(q == 0)
+                toxic.append(t == 1)
+                n += len(own)
+    low, toxic = np.array(low, bool), np.array(toxic, bool)
+    h, r = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((h, np.uint32), (r, np.int32)))
     chain = Chain().fit(h, r, np.column_stack([low, toxic, toxic & ~low]).astype(np.int64))
     yield pd.DataFrame({"model": [pickle.dumps(chain)]})
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Chain:
     """The chain, fitted in one task on the bounded sample."""
-    import pickle
-
-    rows = training_rows(docs, labels, max_rows).coalesce(1).mapInPandas(_train, "model binary").collect()
-    return pickle.loads(bytes(rows[0].model)) if rows else Chain().fit(np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros((0, len(CATEGORIES)), np.int64))
+    rows = training_rows(docs, labels, max_rows).mapInPandas(released(_learnt), LEARNT)
+    first = rows.groupBy("doc_id").agg(*(F.max_by(c, "features").alias(c) for c in ("quality", "toxic", "features")))
+    order = F.xxhash64("doc_id")
+    one = first.repartition(1).sortWithinPartitions(order, "doc_id")
+    got = one.mapInPandas(released(_train), "model binary").collect()
+    return pickle.loads(bytes(got[0].model)) if got else Chain().fit(np.empty(0, np.uint32), np.empty(0, np.int32), np.zeros((0, len(CATEGORIES)), np.int64))
 
 
 def scores(spark, chain: Chain):
@@ -189,8 +210,9 @@ def scores(spark, chain: Chain):
     @F.pandas_udf(", ".join(f"{c} double" for c in CATEGORIES))
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            p = held.value.probabilities([t.encode() for t in texts])
-            yield pd.DataFrame(p.reshape(len(texts), -1), columns=CATEGORIES)
+            p = [held.value.probabilities([t.encode() for t in texts.iloc[k : k + 1024]]) for k in range(0, len(texts), 1024)]
+            yield pd.DataFrame(np.concatenate(p) if p else np.empty((0, len(CATEGORIES))), columns=CATEGORIES)
+        give_back()
 
     return score
 
