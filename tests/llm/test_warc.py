@@ -1,5 +1,3 @@
-import hashlib
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,12 +64,40 @@ def test_empty_table(spark):
 
 def test_query_on_the_pages_table(spark):
     sf = "/root/testdata/sf0.001"
-    got = {r.page_id: r for r in warc.op1_warc_segments(spark, sf).collect()}
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.col("html")).collect()
-    assert len(got) == len(pages)
-    for p in pages:
-        assert got[p.page_id].payload_bytes == len(p.html.encode()) and got[p.page_id].complete
-        assert hashlib.sha1(p.html.encode()).digest() == __import__("base64").b32decode(got[p.page_id].payload_digest)
+    got = warc.op1_warc_segments(spark, sf).collect()
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()
+    assert all(r.complete for r in got)
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == pages_by_hand([(p.page_id, p.html) for p in pages])
+
+
+@pytest.mark.parametrize("per_file", [3, 50])
+def test_records_over_several_files_are_joined_by_the_shuffle(spark, monkeypatch, per_file):
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", per_file)
+    rows = [(i, chr(97 + i % 26) * (i * 700)) for i in range(40)] + [(None, "z" * 9000), (7, "y" * 9000)]
+    df = spark.createDataFrame([(i, "", h, "") for i, h in rows], SCHEMA)
+    path = warc.shared_folder(spark)
+    warc.write_archives(df, path)
+    files = spark.read.format("binaryFile").load(path).select("content")
+    loose = files.mapInPandas(warc._assembled(False), warc.DECODED + warc.SEGMENT_COLUMNS).where("segment is not null")
+    assert loose.select(F.coalesce("origin", "record_id")).distinct().count() > 1
+    got = warc.read_pages(spark, path).collect()
+    assert all(r.complete for r in got)
+    assert sorted(((r.page_id, bytes(r.payload).decode()) for r in got), key=str) == sorted(rows, key=str)
+
+
+def test_segments_in_any_order_and_lost_ones():
+    records = [r for k in range(3) for r in warc.records_of(str(k), "u", bytes([65 + k]) * 5000, None, 1000, str(k))]
+    parsed = [next(warc.parse(r + b"\r\n\r\n")) for r in records]
+    joined = warc.Assembler(True)
+    for r in reversed(parsed):
+        joined.add(r)
+    assert {r[0]: r[3] for r in joined.rows} == {k: bytes([65 + k]) * 5000 for k in range(3)} and not joined.open
+    joined = warc.Assembler(True)
+    for k, r in enumerate(parsed):
+        if k != 2:
+            joined.add(r)
+    assert len(joined.rows) == 2 and len(joined.open) == 1
+    assert joined.out()["segment"].notna().sum() == len(parsed) // 3 - 1
 
 
 def test_long_rows_with_one_page_id_stay_apart(spark):

@@ -6,16 +6,18 @@ Blocks longer than ``segment_bytes`` are split into a first record and ``continu
 name their origin, their number and, in the last one, the total length. Spark's text sink stores the
 records, gzip-compressed, in files of a bounded number of records in the shared folder.
 
-Reading: archives are parsed as byte streams by their Content-Length. Records without segments pass
-straight on; segments are grouped by the origin's identifier, ordered by segment number, joined, and
-checked: numbers 1..n without a gap, and the sum of lengths equal to the stated total. Then the
-chunked framing is decoded. Only segmented records are shuffled.
+Reading: archives are parsed as byte streams by their Content-Length. Segments are grouped by the
+origin's identifier, ordered by segment number, joined, and checked: numbers 1..n without a gap, and the
+sum of lengths equal to the stated total. Then the chunked framing is decoded. As with a partial
+aggregation, the groups that one file holds whole are joined there; only the segments of records that
+go over several files are shuffled.
 
 Defined results: null html is an empty payload; a null page_id is written as 'null' and loses against
 any other; rows repeated with one page_id and payload are records of their own of the same type, as every
 written row has its own record identifier (the number of the row in its task, with the page_id; a
 revisit's WARC-Refers-To names the page only); an
-incomplete or badly framed record is returned with ``complete`` false; an empty table gives an empty
+incomplete or badly framed record is returned with ``complete`` false; a record stored twice may be returned
+twice; an empty table gives an empty
 result; columns other than page_id and html (url for the target) are ignored.
 """
 
@@ -38,6 +40,7 @@ CRLF = b"\r\n"
 SEGMENT_BYTES = 1024
 CHUNK_BYTES = 8 * 1024
 RECORDS_PER_FILE = 2048
+HELD_BYTES = 8 << 20
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PARSED = "record_id string, page_id long, record_type string, origin string, segment int, total long, refers_to long, stated_digest string, block binary"
@@ -238,23 +241,78 @@ def unframed(block: bytes, kind: str | None, stated: str | None, whole: bool) ->
     return data, len(data), digest, whole and (not stated or stated == digest)
 
 
-def _decode(keep_payload: bool, keep_segments: bool):
-    """Unframes whole records; records of segments pass with their block where they are kept."""
-    names = [c.split()[0] for c in (DECODED + SEGMENT_COLUMNS if keep_segments else DECODED).split(", ")]
+class Assembler:
+    """Joins the segments that lie in one archive file; the rest is left for the shuffle.
+
+    A record is whole when its numbers run from 1 to that of the segment with the total length, and
+    the lengths add up to it. Segments wait until ``HELD_BYTES`` are held or the file ends.
+    """
+
+    def __init__(self, keep_payload: bool):
+        self.keep_payload = keep_payload
+        self.open: dict[str, dict[int, dict]] = {}
+        self.rows: list[tuple] = []
+        self.held = 0
+
+    def add(self, r: dict) -> None:
+        self.held += len(r["block"])
+        if r["segment"] is None:
+            self.whole(r, r["block"])
+            return
+        origin = r["origin"] or r["record_id"]
+        parts = self.open.setdefault(origin, {})
+        if r["segment"] in parts:
+            self.loose(r)
+            return
+        parts[r["segment"]] = r
+        last = next((p for p in (r, parts[max(parts)]) if p["total"] is not None), None)
+        if last and last["segment"] == len(parts) and 1 in parts:
+            block = b"".join(parts[k]["block"] for k in sorted(parts))
+            if len(block) == last["total"] and max(parts) == len(parts):
+                self.whole(parts[1], block)
+                del self.open[origin]
+
+    def whole(self, first: dict, block: bytes) -> None:
+        data, size, digest, right = unframed(block, first["record_type"], first["stated_digest"], True)
+        self.rows.append((first["page_id"], first["record_type"], first["refers_to"], data if self.keep_payload else None, size, digest, right) + (None,) * 6)
+
+    def loose(self, r: dict) -> None:
+        self.rows.append((r["page_id"], r["record_type"], r["refers_to"], None, None, None, None) + tuple(r[k] for k in ("record_id", "origin", "segment", "total", "stated_digest", "block")))
+
+    def out(self) -> pd.DataFrame:
+        for parts in self.open.values():
+            for r in parts.values():
+                self.loose(r)
+        frame = pd.DataFrame(self.rows, columns=[c.split()[0] for c in (DECODED + SEGMENT_COLUMNS).split(", ")])
+        self.open, self.rows, self.held = {}, [], 0
+        return frame.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64", "segment": "Int32", "total": "Int64"})
+
+
+def _assembled(keep_payload: bool):
+    def run(batches):
+        for b in batches:
+            for content in b["content"]:
+                joined = Assembler(keep_payload)
+                for r in parse(content):
+                    joined.add(r)
+                    if joined.held > HELD_BYTES:
+                        yield joined.out()
+                yield joined.out()
+
+    return run
+
+
+def _decode(keep_payload: bool):
+    """Unframes the records that the shuffle has joined."""
+    names = [c.split()[0] for c in DECODED.split(", ")]
 
     def run(batches):
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                if keep_segments and r.segment == r.segment and r.segment is not pd.NA:
-                    out.append((r.page_id, r.record_type, r.refers_to, None, None, None, None, r.record_id, r.origin, r.segment, r.total, r.stated_digest, bytes(r.block)))
-                    continue
-                data, size, digest, right = unframed(bytes(r.block), r.record_type, r.stated_digest, bool(getattr(r, "whole", True)))
-                row = (r.page_id, r.record_type, r.refers_to, data if keep_payload else None, size, digest, right)
-                out.append(row + (None,) * (6 if keep_segments else 0))
-            frame = pd.DataFrame(out, columns=names)
-            kinds = {"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"}
-            yield frame.astype(kinds | ({"segment": "Int32", "total": "Int64"} if keep_segments else {}))
+                data, size, digest, right = unframed(bytes(r.block), r.record_type, r.stated_digest, bool(r.whole))
+                out.append((r.page_id, r.record_type, r.refers_to, data if keep_payload else None, size, digest, right))
+            yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
     return run
 
@@ -284,12 +342,13 @@ def reassembled(parts: DataFrame) -> DataFrame:
 def read_pages(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
     """The archive's records with their payloads: reassembled, verified and unframed.
 
-    The archives are parsed once: what is whole is unframed at once, segments are kept in a table
-    (with the payloads, where they are asked for) and joined from there.
+    The archives are parsed once. Segments that lie in one file are joined where it is read, before
+    any shuffle; those of records that go over several files are kept in a table and joined from there.
     """
-    parsed = written(read_records(spark, path).mapInPandas(_decode(keep_payload, True), DECODED + SEGMENT_COLUMNS))
+    files = spark.read.format("binaryFile").load(path).select("content")
+    parsed = written(files.mapInPandas(_assembled(keep_payload), DECODED + SEGMENT_COLUMNS))
     single = parsed.where("segment is null").select(*(c.split()[0] for c in DECODED.split(", ")))
-    joined = reassembled(parsed.where("segment is not null")).mapInPandas(_decode(keep_payload, False), DECODED)
+    joined = reassembled(parsed.where("segment is not null")).mapInPandas(_decode(keep_payload), DECODED)
     return single.unionByName(joined)
 
 
