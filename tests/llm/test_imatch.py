@@ -1,4 +1,11 @@
 import hashlib
+import math
+import re
+import struct
+from collections import Counter
+
+import pytest
+import xxhash
 
 from tickloom.llm import imatch as op
 
@@ -41,3 +48,93 @@ def test_repeats_null_ids_and_empty_tables(spark):
     assert sorted(str(r.doc_id) for r in got) == ["1", "1", "3", "None"]
     assert {r.next_id for r in got if r.doc_id is None} == {3}
     assert op.fingerprints(df.limit(0)).count() == 0
+
+
+def hash_of(data, seed=42):
+    return xxhash.xxh64(data, seed=seed).intdigest()
+
+
+def signed(h):
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def terms_by_hand(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return {signed(hash_of(w.encode())) for w in re.findall(r"[^\x20\x09-\x0D]+", lower)}
+
+
+def print_by_hand(terms, lexicon):
+    def of(ts):
+        h = 42
+        for t in sorted(ts):
+            h = hash_of(struct.pack("<q", t), h)
+        return f"{h:X}"
+
+    kept = terms & lexicon
+    if not kept:
+        return "=" + of(terms)
+    out = []
+    for g in range(op.GROUPS):
+        ladder = []
+        for k in range(op.RUNGS):
+            own = [t for t in kept if t % op.GROUPS == g and (t // op.GROUPS) % 4**k == 0]
+            ladder += [of(own)[-op.DIGITS :].zfill(op.DIGITS)] if own else []
+        out.append(",".join(ladder))
+    return ".".join(out)
+
+
+def likeness_by_hand(a, b):
+    if a == b:
+        return 1.0
+    if "=" in a + b:
+        return 0.0
+    x, y = ([g.split(",") for g in f.split(".")] for f in (a, b))
+    best = None
+    for k in range(op.RUNGS):
+        at = lambda z: [g[k] if len(g) > k else "" for g in z]  # noqa: B023, E731
+        pairs = list(zip(at(x), at(y), strict=True))
+        used = sum(p != ("", "") for p in pairs)
+        if best is None or used >= op.GROUPS / 2:
+            best = used, sum(p[0] == p[1] != "" for p in pairs)
+    used, same = best
+    if not same:
+        return 0.0
+    z, e = max(op.GROUPS - used, 0.5) / op.GROUPS, (op.GROUPS - used + same) / op.GROUPS
+    return min(max(1 - math.log(e) / math.log(z), 0.0), 1.0)
+
+
+def test_fingerprints_and_likeness_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    rows = [(d.doc_id, d.text) for d in docs] + [(5000, None), (5001, "only once written"), (5002, " ".join(f"w{i}" for i in range(5000)) + " the")]
+    got = op.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    df = Counter(t for _, text in rows for t in terms_by_hand(text))
+    lexicon = {t for t, n in df.items() if op.BAND[0] <= 1 - math.log(n) / math.log(len(rows)) <= op.BAND[1]}
+    texts, order = dict(rows), sorted((d for d, _ in rows), reverse=True)
+    for r in got:
+        text, after = texts[r.doc_id] or "", texts[r.next_id] or ""
+        assert r.next_id == order[(order.index(r.doc_id) + 1) % len(order)]
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        assert r.fingerprint == print_by_hand(terms_by_hand(text), lexicon)
+        assert r.edited_fingerprint == print_by_hand(terms_by_hand(edited), lexicon)
+        assert r.near_edited == pytest.approx(likeness_by_hand(r.fingerprint, r.edited_fingerprint))
+        assert r.near_next == pytest.approx(likeness_by_hand(r.fingerprint, print_by_hand(terms_by_hand(after), lexicon)))
+
+
+def test_unrelated_texts_without_lexicon_terms_are_not_alike(spark):
+    rows = [(i, " ".join(f"word{i}x{k}" for k in range(40))) for i in range(6)]
+    got = op.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.fingerprint for r in got}) == 6 and all(r.near_next == 0.0 for r in got)
+
+
+def test_frequent_ids_are_split(spark, monkeypatch):
+    monkeypatch.setattr(op, "BUCKET_ROWS", 10)
+    rows = [(None, f"n{i}") for i in range(150)] + [(7, f"s{i}") for i in range(150)] + [(i, f"t{i}") for i in range(20, 170)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_key", op.F.xxhash64("text"))
+    _, parts = op.bounds_of(df, len(rows))
+    assert parts[0] > 8 and max(parts[1:]) > 8
+    got = op.with_next(df).collect()
+    key = lambda d, k: (d is not None, d or 0, k)
+    order = sorted(((r.doc_id, r.text_key) for r in got), key=lambda x: key(*x), reverse=True)
+    place = {x: i for i, x in enumerate(order)}
+    assert len(got) == 450 and all(place[(r.next.doc_id, r.next.text_key)] == (place[(r.doc_id, r.text_key)] + 1) % 450 for r in got)

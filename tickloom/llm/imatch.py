@@ -1,18 +1,25 @@
-"""I-Match fingerprints with randomised lexicon subsets, in DataFrame functions only.
-
-Terms are words with A-Z lower-cased. The document frequency of every term is counted over all texts;
-the lexicon is the band of terms whose relative inverse document frequency, ln(N/df)/ln(N), lies
-between ``band`` (so it scales with the corpus). A text's distinct terms inside the lexicon are sorted
-and hashed once per randomised lexicon subset. A subset keeps a term by a seeded hash, so it is the
-same for all texts. Its density follows a text's number of distinct terms in powers of two (level),
-which keeps one to three terms in a subset however long the text is; the hashes of the next sparser
-level are part of the fingerprint too, so texts on both sides of a power of two stay comparable. The
-likeness of two fingerprints is the share of equal hashes, at their common level, among subsets that
-are not empty in both; equal fingerprints have likeness 1.
-
-Only terms that some subset can keep are looked up in the lexicon (at most 2 * TERMS a text), by a
-join that Spark can split for frequent terms. The next document (by descending doc_id) is found in
-buckets of the id's quantiles; each bucket gets the head of the next one as an additional row.
+r"""I-Match fingerprints with randomised lexicon subsets, in DataFrame functions only.
+
+Terms are words with A-Z lower-cased, known by a 64-bit hash. The document frequency of every term is
+counted over all texts; the lexicon is the band of terms whose relative inverse document frequency,
+ln(N/df)/ln(N), lies between ``band`` (so it scales with the corpus). All distinct terms of a text and of
+its edited text that are in the lexicon are sorted and hashed once per randomised lexicon subset.
+
+The subsets are the same for all texts: ``GROUPS`` groups, to which terms are dealt at random, and in each
+group a ladder of ``RUNGS`` random subsets, every one a quarter of the one before. A long text finds few
+of its terms in the sparse rungs, a short one in the dense ones, so both have subsets that an edit leaves
+alone. A fingerprint lists, group by group, the hashes of the rungs that hold a term (a rung without one
+ends its ladder). Where no term of a text is in the lexicon, it is a hash of all its sorted terms.
+
+The likeness of two fingerprints is taken at the sparsest rung that at least half of the groups use in
+one of them (else the first): with Z the share of groups that are empty in both and E the share of
+groups that are equal (empty ones too), it is 1 - ln(E)/ln(Z), which estimates the Jaccard similarity of
+the lexicon terms whatever the rung's density. Equal fingerprints have likeness 1, fingerprints without
+a common hash 0.
+
+The next document (by descending doc_id) is found in buckets of the id's quantiles, a frequent id's (and
+null's) bucket being split by the texts' hash; each bucket gets the head of the next one as an
+additional row. Whole texts are shuffled once, for this.
 
 Defined results: null text is empty, has no terms and the fingerprint of no terms; a null doc_id comes
 after all others; rows repeated with one doc_id follow each other in the order of a hash of their text;
@@ -23,33 +30,51 @@ ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLANK, ascii_lower, table, text_of, written
 
-SUBSETS = 16
-TERMS = 16
-KEEP = 12
+GROUPS = 16
+RUNGS = 9
+DIGITS = 5
 BAND = (0.2, 0.95)
 BUCKET_ROWS = 500
 MOST_BUCKETS = 16_384
 
 
 def terms_of(text: Column) -> Column:
-    """Distinct words."""
-    return F.array_remove(F.array_distinct(F.split(ascii_lower(text), BLANK + "+")), "")
+    """Hashes of the distinct words."""
+    words = F.transform(F.split(ascii_lower(text), BLANK + "+"), lambda t: F.xxhash64(t))
+    return F.array_remove(F.array_distinct(words), F.xxhash64(F.lit("")))
 
 
-def lexicon(docs: DataFrame, rows: int, band: tuple[float, float]) -> DataFrame:
-    """Hashes of the terms inside the band."""
-    terms = docs.select(F.explode(terms_of(text_of())).alias("term")).select(F.xxhash64("term").alias("term"))
+def lexicon(terms: DataFrame, rows: int, band: tuple[float, float]) -> DataFrame:
+    """The terms (one row a document and term) inside the band."""
     counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = (F.lit(math.log(max(rows, 2))) - F.log("df")) / F.lit(math.log(max(rows, 2)))
     return counts.where((idf >= band[0]) & (idf <= band[1])).select("term")
 
 
+def bounds_of(base: DataFrame, rows: int) -> tuple[list[int], list[int]]:
+    """(bounds of the id buckets, number of parts of each bucket); the first part number is that of null."""
+    buckets = min(MOST_BUCKETS, rows // BUCKET_ROWS)
+    if buckets < 2:
+        return [], [1, 1]
+    shares = [k / buckets for k in range(1, buckets)]
+    found = Counter(int(x) for x in base.approxQuantile("doc_id", shares, 0.25 / buckets))
+    nulls = base.where("doc_id is null").count()
+    parts = {}
+    for bound, n in found.items():  # an id on several quantiles gets a bucket of its own, in parts
+        parts[bound] = max(n, parts.get(bound, 1))
+        if n > 1:
+            parts.setdefault(bound + 1, 1)
+    bounds = sorted(parts)
+    return bounds, [1 + nulls * buckets // max(rows, 1), 1, *(parts[b] for b in bounds)]
+
+
 def bucket_of(bounds: list[int], doc_id: Column) -> Column:
     """The number of bounds at or below the id, by binary search; -1 for null."""
     if not bounds:
@@ -60,13 +85,14 @@ def bucket_of(bounds: list[int], doc_id: Column) -> Column:
     return F.when(doc_id.isNull(), -1).otherwise(at)
 
 
-def with_next(docs: DataFrame, rows: int) -> DataFrame:
+def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, text, next (doc_id, text_key, text) by descending doc_id, around the end."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("text_key", F.xxhash64("text"))
-    buckets = min(MOST_BUCKETS, rows // BUCKET_ROWS)
-    shares = [k / buckets for k in range(1, buckets)]
-    bounds = sorted({int(x) for x in base.approxQuantile("doc_id", shares, 0.25 / buckets)}) if shares else []
-    base = base.withColumn("bucket", bucket_of(bounds, F.col("doc_id")))
+    bounds, parts = bounds_of(base, base.count())
+    base = base.withColumn("id_bucket", bucket_of(bounds, F.col("doc_id")))
+    many = F.get(F.lit(parts).cast("array<int>"), F.col("id_bucket") + 1)
+    part = F.floor((F.col("text_key").cast("double") / 2.0**64 + 0.5) * many).cast("int")
+    base = base.withColumn("bucket", F.struct("id_bucket", F.least(part, many - 1).alias("part"))).drop("id_bucket")
     heads = base.groupBy("bucket").agg(F.max(F.struct("doc_id", "text_key")).alias("head"))
     down = Window.orderBy(F.desc("bucket"))  # one row a bucket
     first = F.first("bucket").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -82,79 +108,84 @@ def with_next(docs: DataFrame, rows: int) -> DataFrame:
     return both.where("extra = 0").drop("extra", "bucket")
 
 
-def level_of(terms: str) -> Column:
-    return F.expr(f"greatest(0, cast(floor(log2(greatest(size({terms}), 1) / {TERMS}d)) as int))")
-
-
-def reachable(terms: str, level: str) -> Column:
-    """Terms that the level's lexicon sample keeps."""
-    return F.expr(f"filter({terms}, t -> (t & (shiftleft(1L, {level}) - 1)) = 0)")
-
+def _sparser(rung: int):
+    return lambda t: t.bitwiseAND(F.lit(((1 << 2 * rung) - 1) * GROUPS)) == 0
 
-def subset_hashes(terms: Column) -> Column:
-    """One hash a subset of the sorted terms; null where a subset keeps none."""
 
-    def one(r):
-        kept = F.filter(terms, lambda t: F.pmod(F.xxhash64(t, F.lit(r)), F.lit(KEEP)) == 0)
-        return F.when(F.size(kept) > 0, F.substring(F.lpad(F.hex(F.xxhash64(kept, F.lit(r))), 16, "0"), 9, 8)).otherwise("-")
+def fingerprint(kept: str, terms: str) -> Column:
+    """Of the sorted lexicon terms ``kept``; of all terms where there is none.
 
-    return F.concat_ws(".", *(one(r) for r in range(SUBSETS)))
+    The lowest bits of a term's hash tell its group, the pairs of bits above them its last rung.
+    """
+    groups = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.filter(kept, lambda t: t.bitwiseAND(F.lit(GROUPS - 1)) == g))
 
+    def ladder(own):
+        rungs = [F.filter(own, _sparser(k)) for k in range(RUNGS)]
+        shown = F.transform(F.filter(F.array(*rungs), lambda r: F.size(r) > 0), lambda r: F.right(F.concat(F.lit("0" * DIGITS), F.hex(F.xxhash64(r))), F.lit(DIGITS)))
+        return F.array_join(shown, ",")
 
-def fingerprint(terms: Column, level: Column) -> Column:
-    """Of the sorted lexicon terms of a text; ``level`` is also a column of the row."""
-    sparser = F.filter(terms, lambda t: t.bitwiseAND(F.expr("shiftleft(1L, level + 1) - 1")) == 0)
-    return F.concat_ws("|", F.concat(level.cast("string"), F.lit(":"), subset_hashes(terms)), subset_hashes(sparser))
+    whole = F.concat(F.lit("="), F.hex(F.xxhash64(F.sort_array(terms))))
+    return F.when(F.size(kept) > 0, F.array_join(F.transform(groups, ladder), ".")).otherwise(whole)
 
 
 def likeness(a: str, b: str) -> Column:
     """Of two fingerprints, see the module's text."""
-    level = lambda x: F.split(x, ":")[0].cast("int")
-    part = lambda x, k: F.split(F.split(F.split(x, ":")[1], r"\|")[k], r"\.")
-    pick = F.when(level(a) == level(b), F.arrays_zip(part(a, 0).alias("x"), part(b, 0).alias("y")))
-    pick = pick.when(level(a) == level(b) + 1, F.arrays_zip(part(a, 0).alias("x"), part(b, 1).alias("y")))
-    pick = pick.when(level(b) == level(a) + 1, F.arrays_zip(part(a, 1).alias("x"), part(b, 0).alias("y")))
-    full = F.filter(pick, lambda p: (p["x"] != "-") | (p["y"] != "-"))
-    same = F.size(F.filter(full, lambda p: p["x"] == p["y"])) / F.greatest(F.size(full), F.lit(1))
-    return F.when(F.col(a) == F.col(b), 1.0).when(pick.isNull() | (F.size(full) == 0), 0.0).otherwise(same).cast("double")
-
-
-def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id."""
-    rows = docs.count()
-    words = written(lexicon(docs, rows, band))
-    pairs = with_next(docs, rows).withColumn("n_chars", F.length("text").cast("long"))
+    ladders = lambda x: F.transform(F.split(x, r"\."), lambda g: F.split(g, ","))
+    both = F.arrays_zip(ladders(a).alias("x"), ladders(b).alias("y"))
+
+    def at(k):
+        hashes = F.transform(both, lambda p: F.struct(F.coalesce(F.get(p["x"], k), F.lit("")).alias("x"), F.coalesce(F.get(p["y"], k), F.lit("")).alias("y")))
+        used = F.filter(hashes, lambda p: (p["x"] != "") | (p["y"] != ""))
+        return F.struct(F.size(used).cast("double").alias("used"), F.size(F.filter(used, lambda p: p["x"] == p["y"])).cast("double").alias("same"))
+
+    rungs = F.transform(F.sequence(F.lit(0), F.lit(RUNGS - 1)), at)
+    pick = F.aggregate(rungs, F.get(rungs, F.lit(0)), lambda best, r: F.when(r["used"] >= GROUPS / 2, r).otherwise(best))
+    empty = F.greatest(F.lit(GROUPS) - pick["used"], F.lit(0.5))
+    equal = F.greatest(F.lit(GROUPS) - pick["used"] + pick["same"], F.lit(0.5))
+    value = 1 - F.log(equal / GROUPS) / F.log(empty / GROUPS)
+    none = F.startswith(F.col(a), F.lit("=")) | F.startswith(F.col(b), F.lit("=")) | (pick["same"] == 0)
+    return F.when(F.col(a) == F.col(b), 1.0).when(none, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(value, F.lit(1.0)))).cast("double")
+
+
+def term_table(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text_key, n_chars, edited_sha256, next_id, next_key, own and other (terms of text and edited text)."""
+    pairs = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.substring(F.col("next.text"), F.lit(1), third))
-    pairs = pairs.withColumn("edited", edited)
-    hashed = lambda c: F.transform(terms_of(F.col(c)), lambda t: F.xxhash64(t))
-    base = pairs.select(
+    return pairs.withColumn("edited", edited).select(
+        F.monotonically_increasing_id().alias("row"),
         "doc_id",
         "text_key",
-        F.xxhash64("edited").alias("edited_key"),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         F.col("next.doc_id").alias("next_id"),
         F.col("next.text_key").alias("next_key"),
-        hashed("text").alias("own"),
-        hashed("edited").alias("other"),
-    )
-    base = base.withColumn("own_level", level_of("own")).withColumn("other_level", level_of("other"))
-    base = written(base.withColumn("own", reachable("own", "own_level")).withColumn("other", reachable("other", "other_level")))
-    key = ["doc_id", "text_key", "edited_key"]
-    looked_up = base.select(*key, "own", "other", F.explode(F.array_union("own", "other")).alias("term"))
-    looked_up = looked_up.select(*key, "term", F.array_contains("own", F.col("term")).alias("in_own"), F.array_contains("other", F.col("term")).alias("in_other"))
-    kept = looked_up.join(words, "term").groupBy(*key).agg(
-        F.sort_array(F.collect_set(F.when(F.col("in_own"), F.col("term")))).alias("own"),
-        F.sort_array(F.collect_set(F.when(F.col("in_other"), F.col("term")))).alias("other"),
+        terms_of(F.col("text")).alias("own"),
+        terms_of(F.col("edited")).alias("other"),
     )
-    kept = kept.select(F.col("doc_id").alias("k1"), F.col("text_key").alias("k2"), F.col("edited_key").alias("k3"), "own", "other")
-    rows_ = base.drop("own", "other").join(kept, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("text_key") == F.col("k2")) & (F.col("edited_key") == F.col("k3")), "left")
+
+
+def in_lexicon(base: DataFrame, words: DataFrame) -> DataFrame:
+    """k_row, own, other: the terms that are in the lexicon, sorted; by a join that Spark can split for frequent terms."""
+    side = lambda n, terms: F.transform(terms, lambda t: F.struct((F.col("row") * 4 + n).alias("place"), t.alias("term")))
+    sides = F.concat(side(1, F.array_except("own", "other")), side(2, F.array_except("other", "own")), side(3, F.array_intersect("own", "other")))
+    met = base.select(F.explode(sides).alias("x")).select("x.place", "x.term").join(words, "term")
+    own = F.when(F.col("place") % 4 != 2, F.col("term"))
+    other = F.when(F.col("place") % 4 != 1, F.col("term"))
+    return met.groupBy(F.shiftright("place", 2).alias("k_row")).agg(F.sort_array(F.collect_list(own)).alias("k_own"), F.sort_array(F.collect_list(other)).alias("k_other"))
+
+
+def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id."""
+    base = written(term_table(docs))
+    words = written(lexicon(base.select(F.explode("own").alias("term")), base.count(), band))
+    rows = base.join(in_lexicon(base, words), F.col("row") == F.col("k_row"), "left")
     none = F.array().cast("array<bigint>")
-    rows_ = rows_.withColumn("own", F.coalesce("own", none)).withColumn("other", F.coalesce("other", none))
-    rows_ = rows_.withColumn("level", F.col("own_level")).withColumn("fingerprint", fingerprint(F.col("own"), F.col("own_level")))
-    rows_ = rows_.withColumn("level", F.col("other_level")).withColumn("edited_fingerprint", fingerprint(F.col("other"), F.col("other_level")))
-    out = written(rows_.select("doc_id", "text_key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_id", "next_key"))
+    rows = rows.withColumn("k_own", F.coalesce("k_own", none)).withColumn("k_other", F.coalesce("k_other", none))
+    out = rows.select(
+        "doc_id", "text_key", "n_chars", "edited_sha256", fingerprint("k_own", "own").alias("fingerprint"), fingerprint("k_other", "other").alias("edited_fingerprint"), "next_id", "next_key"
+    )
+    out = written(out)
     after = out.groupBy(F.col("doc_id").alias("n_id"), F.col("text_key").alias("n_key")).agg(F.first("fingerprint").alias("next_fingerprint"))
     out = out.join(written(after), F.col("next_id").eqNullSafe(F.col("n_id")) & (F.col("next_key") == F.col("n_key")), "left")
     return out.select(
