@@ -70,14 +70,14 @@ def print_by_hand(terms, lexicon):
             h = hash_of(struct.pack("<q", t), h)
         return f"{h:X}"
 
-    kept = terms & lexicon
+    kept = {t for t in terms & lexicon if t % op.PARTS < op.GROUPS}
     if not kept:
         return "=" + of(terms)
     out = []
     for g in range(op.GROUPS):
         ladder = []
         for k in range(op.RUNGS):
-            own = [t for t in kept if t % op.GROUPS == g and (t // op.GROUPS) % 4**k == 0]
+            own = [t for t in kept if t % op.PARTS == g and (t // op.PARTS) % 4**k == 0]
             ladder += [of(own)[-op.DIGITS :].zfill(op.DIGITS)] if own else []
         out.append(",".join(ladder))
     return ".".join(out)

@@ -5,11 +5,13 @@ counted over all texts; the lexicon is the band of terms whose relative inverse
 ln(N/df)/ln(N), lies between ``band`` (so it scales with the corpus). All distinct terms of a text and of
 its edited text that are in the lexicon are sorted and hashed once per randomised lexicon subset.
 
-The subsets are the same for all texts: ``GROUPS`` groups, to which terms are dealt at random, and in each
-group a ladder of ``RUNGS`` random subsets, every one a quarter of the one before. A long text finds few
-of its terms in the sparse rungs, a short one in the dense ones, so both have subsets that an edit leaves
-alone. A fingerprint lists, group by group, the hashes of the rungs that hold a term (a rung without one
-ends its ladder). Where no term of a text is in the lexicon, it is a hash of all its sorted terms.
+The subsets are the same for all texts: ``GROUPS`` groups, each a random ``1/PARTS`` of the lexicon, and in
+each group a ladder of ``RUNGS`` random subsets, every one a quarter of the one before. A long text finds
+few of its terms in the sparse rungs, a short one in the dense ones, so both have subsets that an edit
+leaves alone. A fingerprint lists, group by group, the hashes of the rungs that hold a term (a rung
+without one ends its ladder). Where no subset holds a term of a text, it is a hash of all its sorted
+terms. Terms that lie in no subset cannot change a fingerprint, so neither their frequency is counted nor
+are they looked up.
 
 The likeness of two fingerprints is taken at the sparsest rung that at least half of the groups use in
 one of them (else the first): with Z the share of groups that are empty in both and E the share of
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from .common import BLANK, ascii_lower, table, text_of, written
 
 GROUPS = 16
+PARTS = 64
 RUNGS = 9
 DIGITS = 5
 BAND = (0.2, 0.95)
@@ -51,6 +54,11 @@ def terms_of(text: Column) -> Column:
     return F.array_remove(F.array_distinct(words), F.xxhash64(F.lit("")))
 
 
+def in_subsets(terms: Column) -> Column:
+    """The terms that lie in some subset."""
+    return F.filter(terms, lambda t: t.bitwiseAND(F.lit(PARTS - 1)) < GROUPS)
+
+
 def lexicon(terms: DataFrame, rows: int, band: tuple[float, float]) -> DataFrame:
     """The terms (one row a document and term) inside the band."""
     counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -108,24 +116,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     return both.where("extra = 0").drop("extra", "bucket")
 
 
-def _sparser(rung: int):
-    return lambda t: t.bitwiseAND(F.lit(((1 << 2 * rung) - 1) * GROUPS)) == 0
+def _in_rung(rung: int):
+    return lambda t: t.bitwiseAND(F.lit(((1 << 2 * rung) - 1) * PARTS)) == 0
 
 
-def fingerprint(kept: str, terms: str) -> Column:
-    """Of the sorted lexicon terms ``kept``; of all terms where there is none.
+def fingerprint(kept: str, whole: str) -> Column:
+    """Of the sorted lexicon terms ``kept`` of the subsets; where there is none, ``whole``.
 
     The lowest bits of a term's hash tell its group, the pairs of bits above them its last rung.
     """
-    groups = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.filter(kept, lambda t: t.bitwiseAND(F.lit(GROUPS - 1)) == g))
+    groups = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.filter(kept, lambda t: t.bitwiseAND(F.lit(PARTS - 1)) == g))
 
     def ladder(own):
-        rungs = [F.filter(own, _sparser(k)) for k in range(RUNGS)]
-        shown = F.transform(F.filter(F.array(*rungs), lambda r: F.size(r) > 0), lambda r: F.right(F.concat(F.lit("0" * DIGITS), F.hex(F.xxhash64(r))), F.lit(DIGITS)))
+        rungs = F.filter(F.array(*(F.filter(own, _in_rung(k)) for k in range(RUNGS))), lambda r: F.size(r) > 0)
+        shown = F.transform(rungs, lambda r: F.right(F.concat(F.lit("0" * DIGITS), F.hex(F.xxhash64(r))), F.lit(DIGITS)))
         return F.array_join(shown, ",")
 
-    whole = F.concat(F.lit("="), F.hex(F.xxhash64(F.sort_array(terms))))
-    return F.when(F.size(kept) > 0, F.array_join(F.transform(groups, ladder), ".")).otherwise(whole)
+    return F.when(F.size(kept) > 0, F.array_join(F.transform(groups, ladder), ".")).otherwise(F.col(whole))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -148,11 +155,14 @@ def likeness(a: str, b: str) -> Column:
 
 
 def term_table(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text_key, n_chars, edited_sha256, next_id, next_key, own and other (terms of text and edited text)."""
+    """row, doc_id, text_key, n_chars, edited_sha256, next_id, next_key; terms of the subsets and hash of all terms of text and edited text."""
     pairs = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.substring(F.col("next.text"), F.lit(1), third))
-    return pairs.withColumn("edited", edited).select(
+    pairs = pairs.withColumn("edited", edited)
+    pairs = pairs.withColumn("own", terms_of(F.col("text"))).withColumn("other", terms_of(F.col("edited")))
+    whole = lambda terms: F.concat(F.lit("="), F.hex(F.xxhash64(F.sort_array(terms))))
+    return pairs.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         "text_key",
@@ -160,8 +170,10 @@ def term_table(docs: DataFrame) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         F.col("next.doc_id").alias("next_id"),
         F.col("next.text_key").alias("next_key"),
-        terms_of(F.col("text")).alias("own"),
-        terms_of(F.col("edited")).alias("other"),
+        whole("own").alias("own_whole"),
+        whole("other").alias("other_whole"),
+        in_subsets(F.col("own")).alias("own"),
+        in_subsets(F.col("other")).alias("other"),
     )
 
 
@@ -179,12 +191,11 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id."""
     base = written(term_table(docs))
     words = written(lexicon(base.select(F.explode("own").alias("term")), base.count(), band))
-    rows = base.join(in_lexicon(base, words), F.col("row") == F.col("k_row"), "left")
+    rows = base.drop("own", "other").join(in_lexicon(base, words), F.col("row") == F.col("k_row"), "left")
     none = F.array().cast("array<bigint>")
     rows = rows.withColumn("k_own", F.coalesce("k_own", none)).withColumn("k_other", F.coalesce("k_other", none))
-    out = rows.select(
-        "doc_id", "text_key", "n_chars", "edited_sha256", fingerprint("k_own", "own").alias("fingerprint"), fingerprint("k_other", "other").alias("edited_fingerprint"), "next_id", "next_key"
-    )
+    prints = [fingerprint("k_own", "own_whole").alias("fingerprint"), fingerprint("k_other", "other_whole").alias("edited_fingerprint")]
+    out = rows.select("doc_id", "text_key", "n_chars", "edited_sha256", *prints, "next_id", "next_key")
     out = written(out)
     after = out.groupBy(F.col("doc_id").alias("n_id"), F.col("text_key").alias("n_key")).agg(F.first("fingerprint").alias("next_fingerprint"))
     out = out.join(written(after), F.col("next_id").eqNullSafe(F.col("n_id")) & (F.col("next_key") == F.col("n_key")), "left")
