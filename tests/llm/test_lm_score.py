@@ -94,7 +94,7 @@ def test_gradient_by_differences():
         return total
 
     grad = np.zeros_like(flat)
-    gru.window_gradient(layout, layout.named(flat), layout.named(grad), before, ids, np.zeros((4, gru.HIDDEN)))
+    gru.window_gradient(layout, layout.named(flat), layout.named(grad), before, ids, np.zeros((gru.HIDDEN, 4)))
     for i in rng.integers(0, len(flat), 60):
         up, down = flat.copy(), flat.copy()
         up[i] += 1e-5
@@ -114,8 +114,8 @@ def test_texts_end_to_end_on_a_lane_have_the_gradient_of_lanes_of_their_own():
     before = np.vstack([np.full((1, 2), -1), ids[:-1]])
     apart, joined = np.zeros(len(flat)), np.zeros(len(flat))
     p = layout.named(flat.astype(float))
-    gru.window_gradient(layout, p, layout.named(apart), before, ids, np.zeros((2, gru.HIDDEN)))
-    gru.window_gradient(layout, p, layout.named(joined), before.T.reshape(-1, 1), ids.T.reshape(-1, 1), np.zeros((1, gru.HIDDEN)))
+    gru.window_gradient(layout, p, layout.named(apart), before, ids, np.zeros((gru.HIDDEN, 2)))
+    gru.window_gradient(layout, p, layout.named(joined), before.T.reshape(-1, 1), ids.T.reshape(-1, 1), np.zeros((gru.HIDDEN, 1)))
     assert joined == pytest.approx(apart, abs=1e-9)
 
 
@@ -124,3 +124,11 @@ def test_learns_from_whole_texts(spark):
     df = spark.createDataFrame([(i, text) for i in range(12)], "doc_id long, text string").coalesce(1)
     got = op.lm_scores(df).collect()
     assert sum(r.score for r in got) > 0.6 * sum(r.base_score for r in got)
+
+
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(op, "SHARD_WORDS", 4000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one = {r.doc_id: r.score for r in op.lm_scores(docs.coalesce(1)).collect()}
+    many = {r.doc_id: r.score for r in op.lm_scores(docs.repartition(5)).collect()}
+    assert many == pytest.approx(one, rel=1e-6)

@@ -7,6 +7,7 @@ import heapq
 import numpy as np
 
 HIDDEN = 16
+SAFE = 60.0  # logits within it need no shift before the exponential
 WINDOW = 24  # steps of truncated back-propagation, and of a block of scoring
 
 
@@ -43,39 +44,68 @@ class Layout:
     def output(self, p: dict, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
         """Natural log probability of each target word after state h; with ``grads`` also dloss/dh."""
         k = self.word_class[target]
-        logits = h @ p["c"] + p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        row = np.arange(len(target))
-        score = logits[row, k] - np.log(total)
+        order = np.argsort(k, kind="stable")
+        k, target, h = k[order], target[order], h[order]
+        ends = np.searchsorted(k, np.arange(self.classes + 1))
+        score, e = log_softmax(h @ p["c"] + p["cb"], k, grads is not None)
         if grads is not None:
-            e /= total[:, None]
-            e[row, k] -= 1
             grads["c"] += h.T @ e
             grads["cb"] += e.sum(0)
             dh = e @ p["c"].T
-        order = np.argsort(k, kind="stable")
-        ends = np.searchsorted(k[order], np.arange(self.classes + 1))
         for c in range(self.classes):
             lo, hi = self.start[c], self.start[c + 1]
             if hi - lo == 1 or ends[c] == ends[c + 1]:
                 continue
-            own = order[ends[c] : ends[c + 1]]
-            hc, t = h[own], target[own] - lo
-            logits = hc @ p["o"][lo:hi].T + p["ob"][lo:hi]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1)
-            r = np.arange(len(own))
-            score[own] += logits[r, t] - np.log(total)
+            own = slice(ends[c], ends[c + 1])
+            part, e = log_softmax(h[own] @ p["o"][lo:hi].T + p["ob"][lo:hi], target[own] - lo, grads is not None)
+            score[own] += part
             if grads is not None:
-                e /= total[:, None]
-                e[r, t] -= 1
-                grads["o"][lo:hi] += e.T @ hc
+                grads["o"][lo:hi] += e.T @ h[own]
                 grads["ob"][lo:hi] += e.sum(0)
                 dh[own] += e @ p["o"][lo:hi]
-        return (score, dh) if grads is not None else score
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return (score[back], dh[back]) if grads is not None else score[back]
+
+
+def log_softmax(logits: np.ndarray, target: np.ndarray, gradient: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(log probability of each row's target, gradient of the loss by the logits if wanted)."""
+    row = np.arange(len(target))
+    if max(logits.max(), -logits.min()) > SAFE:
+        logits -= logits.max(1, keepdims=True)
+    score = logits[row, target]
+    e = np.exp(logits, out=logits)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    score -= np.log(total)
+    if gradient:
+        e /= total[:, None]
+        e[row, target] -= 1
+    return score, e
+
+
+def step(a: np.ndarray, hu: np.ndarray, h: np.ndarray, zr: np.ndarray, n: np.ndarray, new: np.ndarray) -> None:
+    """One step of the gates from input a and hu = u' h (gates x lanes); fills zr, n and the new state."""
+    H = len(h)
+    np.add(a[: 2 * H], hu[: 2 * H], out=zr)
+    zr *= 0.5
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
+    np.multiply(zr[H:], hu[2 * H :], out=n)
+    n += a[2 * H :]
+    np.tanh(n, out=n)
+    np.subtract(h, n, out=new)
+    new *= zr[:H]
+    new += n
+
+
+def input_table(p: dict) -> np.ndarray:
+    """Gate inputs of every word (gates x words), and in the last column those of a text's begin."""
+    out = np.empty((3 * HIDDEN, len(p["emb"]) + 1), p["emb"].dtype)
+    np.matmul(p["w"].T, p["emb"].T, out=out[:, :-1])
+    out[:, -1] = 0
+    out += p["b"][:, None]
+    return out
 
 
 class Trainer:
@@ -107,11 +137,12 @@ class Trainer:
                 ids[at : at + len(t), j] = t
                 before[at + 1 : at + len(t), j] = t[:-1]
                 at += len(t)
-        p, h = self.layout.named(self.flat), np.zeros((len(lanes), HIDDEN), np.float32)
+        p, h = self.layout.named(self.flat), np.zeros((HIDDEN, len(lanes)), np.float32)
+        self.full = min(WINDOW, len(ids)) * len(lanes)
         for at in range(0, len(ids), WINDOW):
             live = int(np.searchsorted(-sizes, -at))
             grad = np.zeros_like(self.flat)
-            h, n = window_gradient(self.layout, p, self.layout.named(grad), before[at : at + WINDOW, :live], ids[at : at + WINDOW, :live], h[:live])
+            h, n = window_gradient(self.layout, p, self.layout.named(grad), before[at : at + WINDOW, :live], ids[at : at + WINDOW, :live], h[:, :live])
             self.words += n
             self._step(grad, n)
 
@@ -119,10 +150,11 @@ class Trainer:
         grad /= n
         size = float(np.sqrt(grad @ grad))
         grad *= min(1.0, 1.0 / max(size, 1e-9))
+        rate = self.rate * min(1.0, 4 * n / self.full)  # smaller steps where few lanes are left
         self.step += 1
         self.m += 0.1 * (grad - self.m)
         self.v += 0.01 * (grad * grad - self.v)
-        self.flat -= self.rate * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.v / (1 - 0.99**self.step)) + 1e-6)
+        self.flat -= rate * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.v / (1 - 0.99**self.step)) + 1e-6)
 
 
 def dealt(texts: list[np.ndarray], lanes: int) -> list[list[np.ndarray]]:
@@ -137,53 +169,67 @@ def dealt(texts: list[np.ndarray], lanes: int) -> list[list[np.ndarray]]:
 
 
 def window_gradient(layout: Layout, p: dict, g: dict, before: np.ndarray, ids: np.ndarray, h: np.ndarray):
-    """Adds the window's gradients to g; (state after the window, words scored).
+    """Adds the window's gradients to g; (state after the window (units x lanes), words scored).
 
     Where ``before`` is negative a text begins: its input and state are zero.
     """
-    H, kept = HIDDEN, []
-    live = (before >= 0)[:, :, None]
-    x = np.where(live, p["emb"][np.maximum(before, 0)], np.float32(0))
-    inputs = x @ p["w"] + p["b"]
-    for t in range(len(ids)):
-        h = np.where(live[t], h, np.float32(0))
-        hu = h @ p["u"]
-        a = inputs[t]
-        zr = 0.5 + 0.5 * np.tanh(0.5 * (a[:, : 2 * H] + hu[:, : 2 * H]))
-        z, r = zr[:, :H], zr[:, H:]
-        n = np.tanh(a[:, 2 * H :] + r * hu[:, 2 * H :])
-        new = n + z * (h - n)
-        kept.append((h, hu[:, 2 * H :], z, r, n, new))
-        h = new
-    states = np.stack([k[5] for k in kept])
+    H, (steps, lanes), kind = HIDDEN, ids.shape, p["u"].dtype
+    begin = before < 0
+    begins = begin.any(1)
+    table, index, turned = input_table(p), np.where(begin, len(p["emb"]), before), np.ascontiguousarray(p["u"].T)
+    states, zr = np.empty((steps, H, lanes), kind), np.empty((steps, 2 * H, lanes), kind)
+    n, hn, olds = np.empty((steps, H, lanes), kind), np.empty((steps, H, lanes), kind), []
+    for t in range(steps):
+        if begins[t]:
+            h = h.copy()
+            h[:, begin[t]] = 0
+        olds.append(h)
+        hu = turned @ h
+        hn[t] = hu[2 * H :]
+        step(np.take(table, index[t], axis=1), hu, h, zr[t], n[t], states[t])
+        h = states[t]
     real = ids >= 0
     count = int(real.sum())
     if not count:
         return h, 0
-    _, dh_real = layout.output(p, states[real], ids[real], g)
-    dout = np.zeros_like(states)
+    _, dh_real = layout.output(p, states.transpose(0, 2, 1)[real], ids[real], g)
+    dout = np.zeros((steps, lanes, H), kind)
     dout[real] = dh_real
-    dh = np.zeros_like(h)
-    da, du = np.empty_like(inputs), np.empty_like(inputs)
-    for t in reversed(range(len(ids))):
-        old, hn, z, r, n, _ = kept[t]
-        dh = dh + dout[t]
-        dz, dn = dh * (old - n) * z * (1 - z), dh * (1 - z) * (1 - n * n)
-        dr = dn * hn * r * (1 - r)
-        da[t, :, :H] = du[t, :, :H] = dz
-        da[t, :, H : 2 * H] = du[t, :, H : 2 * H] = dr
-        da[t, :, 2 * H :] = dn
-        du[t, :, 2 * H :] = dn * r
-        dh = np.where(live[t], dh * z + du[t] @ p["u"].T, 0)
-    flat = lambda v: v.reshape(-1, v.shape[-1])
-    g["w"] += flat(x).T @ flat(da)
-    g["b"] += flat(da).sum(0)
-    g["u"] += flat(np.stack([k[0] for k in kept])).T @ flat(du)
-    word = before[live[:, :, 0]]
-    if len(word):
+    dout = np.ascontiguousarray(dout.transpose(0, 2, 1))
+    dh, da = np.zeros((H, lanes), kind), np.empty((steps, 3 * H, lanes), kind)
+    du = np.empty((3 * H, lanes), kind)
+    for t in reversed(range(steps)):
+        z, r, old, d = zr[t, :H], zr[t, H:], olds[t], da[t]
+        dh += dout[t]
+        scaled = 1 - z
+        scaled *= dh
+        np.subtract(old, n[t], out=d[:H])
+        d[:H] *= scaled
+        d[:H] *= z
+        dn = d[2 * H :]
+        np.multiply(n[t], n[t], out=dn)
+        np.subtract(1, dn, out=dn)
+        dn *= scaled
+        np.multiply(dn, r, out=du[2 * H :])
+        np.subtract(1, r, out=d[H : 2 * H])
+        d[H : 2 * H] *= du[2 * H :]
+        d[H : 2 * H] *= hn[t]
+        du[: 2 * H] = d[: 2 * H]
+        g["u"] += old @ du.T
+        dh *= z
+        dh += p["u"] @ du
+        if begins[t]:
+            dh[:, begin[t]] = 0
+    g["b"] += da.sum((0, 2))
+    live = np.flatnonzero(~begin)
+    if len(live):
+        word = before.ravel()[live]
         order = np.argsort(word, kind="stable")
         first = np.flatnonzero(np.diff(word[order], prepend=-1))
-        g["emb"][word[order[first]]] += np.add.reduceat((da[live[:, :, 0]] @ p["w"].T)[order], first)
+        names = word[order[first]]
+        each = np.add.reduceat(da.transpose(0, 2, 1).reshape(-1, 3 * H)[live[order]], first)
+        g["emb"][names] += each @ p["w"].T
+        g["w"] += p["emb"][names].T @ each
     return h, count
 
 
@@ -192,10 +238,7 @@ class Scorer:
 
     def __init__(self, layout: Layout, flat: np.ndarray, lanes: int = 512):
         self.layout, self.p, self.lanes = layout, layout.named(flat.astype(np.float32)), lanes
-        half = np.ones(3 * HIDDEN, np.float32)
-        half[: 2 * HIDDEN] = 0.5  # a sigmoid is the tanh of half its argument
-        table = np.vstack([self.p["emb"] @ self.p["w"], np.zeros((1, 3 * HIDDEN), np.float32)]) + self.p["b"]
-        self.table, self.u = (table * half).astype(np.float32), (self.p["u"] * half).astype(np.float32)
+        self.table, self.turned = input_table(self.p), np.ascontiguousarray(self.p["u"].T)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """texts: word numbers. Texts are put end to end on lanes of about equal length."""
@@ -214,12 +257,12 @@ class Scorer:
         by = sorted(range(len(lanes)), key=lambda j: -len(streams[j]))
         streams, owners = [streams[j] for j in by], [owners[j] for j in by]
         sizes = np.array([len(s) for s in streams])
-        H, none = HIDDEN, len(self.table) - 1
-        h = np.zeros((len(streams), H), np.float32)
+        H, none = HIDDEN, self.table.shape[1] - 1
+        h = np.zeros((H, len(streams)), np.float32)
         last = np.full(len(streams), -1)
         for at in range(0, int(sizes[0]), WINDOW):
             live = int(np.searchsorted(-sizes, -at))
-            h = h[:live]
+            h = np.ascontiguousarray(h[:, :live])
             width = min(WINDOW, int(sizes[0]) - at)
             ids, own = np.full((width, live), -1), np.full((width, live), -1)
             for j in range(live):
@@ -230,20 +273,16 @@ class Scorer:
             before_own = np.vstack([last[:live][None], own[:-1]])
             fresh = before_own != own
             inputs = np.where(fresh, none, before_id)
-            states = np.empty((width, live, H), np.float32)
+            states, zr, n = np.empty((width, H, live), np.float32), np.empty((2 * H, live), np.float32), np.empty((H, live), np.float32)
+            begins = fresh.any(1)
             for t in range(width):
-                if fresh[t].any():
-                    h = np.where(fresh[t][:, None], np.float32(0), h)
-                a = self.table[inputs[t]]
-                hu = h @ self.u
-                zr = np.tanh(a[:, : 2 * H] + hu[:, : 2 * H])
-                zr *= 0.5
-                zr += 0.5
-                n = np.tanh(a[:, 2 * H :] + zr[:, H:] * hu[:, 2 * H :])
-                h = n + zr[:, :H] * (h - n)
-                states[t] = h
+                if begins[t]:
+                    h = h.copy()
+                    h[:, fresh[t]] = 0
+                step(np.take(self.table, inputs[t], axis=1), self.turned @ h, h, zr, n, states[t])
+                h = states[t]
             real = own >= 0
-            got = self.layout.output(self.p, states[real], ids[real])
+            got = self.layout.output(self.p, states.transpose(0, 2, 1)[real], ids[real])
             total += np.bincount(own[real], got, len(texts))
             last, self.held = own[-1], ids[-1]
         return total / np.log(10)

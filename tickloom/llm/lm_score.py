@@ -5,10 +5,11 @@
 2. The most frequent words (``LISTED`` at most, by a threshold on the count) are held in every task; the
    network's own vocabulary is the first ``VOCABULARY`` of them, the end token, and one token for all
    other words, whose probability is shared out among them by their add-one smoothed counts.
-3. The network is trained in rounds: every partition trains a copy by truncated back-propagation on all
-   windows of each of its training texts, the state carried through the text, and the copies are averaged
-   by their number of words in Spark. A task holds a block of texts (``BLOCK_WORDS`` words, or one longer
-   text) and one set of parameters.
+3. Training texts are dealt to shards by a hash. The network is trained in rounds, each on its own shards:
+   every shard trains a copy by truncated back-propagation on all windows of each of its texts, the state
+   carried through the text, and the copies are averaged by their number of words in Spark. So each
+   window of each training text is learnt from once. A task holds a block of texts (``BLOCK_WORDS`` words, or
+   one longer text) and one set of parameters.
 4. Every whole text is scored, the state carried through its windows to its end. Words outside the list
    are looked up in the counts by a join that Spark can split.
 
@@ -26,12 +27,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import table, text_of, written
+from .common import released, table, text_of, written
 from .hashing import text_words
 
 LISTED = 1 << 18
@@ -40,7 +42,9 @@ CLASSES = 32
 RATES = (0.02, 0.01, 0.005)
 END = np.uint64(0xE4D0E4D0E4D0E4D0)
 PART_WORDS = 1 << 21
-BLOCK_WORDS = 1 << 20
+SHARD_WORDS = 1 << 22
+BLOCK_WORDS = 1 << 22
+UNITS = 1 << 20  # of a parameter, when it is averaged
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -71,7 +75,7 @@ def _count(batches):
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """h, c: the tokens of the training documents."""
-    parts = docs.where(~held_out()).select(text_of().alias("text")).mapInArrow(_count, "h long, c long")
+    parts = docs.where(~held_out()).select(text_of().alias("text")).mapInArrow(released(_count), "h long, c long")
     return parts.groupBy("h").agg(F.sum("c").alias("c"))
 
 
@@ -118,75 +122,125 @@ class Vocabulary:
         return np.where(listed, self.number[at], self.other), np.where(listed, self.counts[at], 0), listed
 
 
-def _trained(held, rate: float, turn: int):
+NUMBERED = "row long, doc_id long, out boolean, shard long, place long, n_tokens long, listed_known long, listed_sum double, other_sum double, other_rare long, ids binary, rare array<long>"
+
+
+def _numbered(held):
+    """The word numbers of each text with its end, what its listed words add to the scores, and its other words' hashes."""
+    names = [c.split()[0] for c in NUMBERED.split(", ")]
+    types = {"ids": pa.binary(), "rare": pa.list_(pa.int64()), "listed_sum": pa.float64(), "other_sum": pa.float64()}
+
     def run(batches):
-        vocabulary, flat = held.value
-        trainer = gru.Trainer(vocabulary.layout, flat, rate, seed=turn * 100_003 + TaskContext.get().partitionId())
-        texts, n = [], 0
+        vocabulary = held.value
+        row = TaskContext.get().partitionId() << 36
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                for _, docs in text_words([t.encode() for t in b.column(0).slice(lo, 512).to_pylist()]):
+                part, columns = b.slice(lo, 512), {k: [] for k in names}
+                for _, docs in text_words([t.encode() for t in part.column(4).to_pylist()]):
                     for words in docs:
-                        texts.append(np.append(vocabulary.look_up(words)[0], np.int32(vocabulary.end)))
-                        n += len(words) + 1
-                if n >= BLOCK_WORDS:
-                    trainer.learn(texts)
-                    texts, n = [], 0
-        trainer.learn(texts)
-        if trainer.words:
-            yield pa.RecordBatch.from_arrays([pa.array([trainer.flat.tolist()], pa.list_(pa.float32())), pa.array([float(trainer.words)])], names=["p", "n"])
+                        words = np.append(words, END)
+                        number, count, listed = vocabulary.look_up(words)
+                        number[-1] = vocabulary.end
+                        other = number == vocabulary.other
+                        logs = np.log10(count + 1.0)
+                        columns["n_tokens"].append(len(words))
+                        columns["listed_known"].append(int((count > 0).sum()))
+                        columns["listed_sum"].append(float(logs.sum()))
+                        columns["other_sum"].append(float(logs[other].sum()))
+                        columns["other_rare"].append(int(other.sum()))
+                        columns["ids"].append(number.astype("<u2").tobytes())
+                        columns["rare"].append(words[~listed].view(np.int64))
+                columns["row"] = np.arange(row, row + part.num_rows)
+                row += part.num_rows
+                own = dict(zip(("doc_id", "out", "shard", "place"), part.columns[:4], strict=True))
+                yield pa.RecordBatch.from_arrays([own[k] if k in own else pa.array(columns[k], types.get(k, pa.int64())) for k in names], names=names)
 
     return run
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """The network's parameters, averaged over the partitions after every round."""
-    flat = vocabulary.layout.first()
+def shards_of(vocabulary: Vocabulary) -> int:
+    return len(RATES) * max(1, -(-vocabulary.total // (len(RATES) * SHARD_WORDS)))
+
+
+def numbered(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """All documents as ``NUMBERED``; shards and places in them are hashes of a row's doc_id and text."""
+    key = [F.col("doc_id").cast("long"), text_of()]
+    shard, place = F.pmod(F.xxhash64(*key), F.lit(shards_of(vocabulary))), F.xxhash64(F.lit(7), *key)
+    rows = docs.select(key[0].alias("doc_id"), held_out().alias("out"), shard.alias("shard"), place.alias("place"), key[1].alias("text"))
+    return written(rows.mapInArrow(released(_numbered(docs.sparkSession.sparkContext.broadcast(vocabulary))), NUMBERED))
+
+
+def _trained(held, rate: float, turn: int):
+    """A network for each shard; the rows of a shard come one after another, in their order."""
+
+    def out(trainer, shard):
+        n = float(trainer.words)
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([trainer.flat.tolist()], pa.list_(pa.float32())), pa.array([n])], names=["shard", "p", "n"])
+
+    def run(batches):
+        vocabulary, flat = held.value
+        trainer, shard, texts, n = None, None, [], 0
+        for b in batches:
+            for s, data in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                if s != shard or n >= BLOCK_WORDS:
+                    if trainer:
+                        trainer.learn(texts)
+                        texts, n = [], 0
+                    if s != shard:
+                        if trainer:
+                            yield out(trainer, shard)
+                        trainer, shard = gru.Trainer(vocabulary.layout, flat, rate, seed=turn * 100_003 + s), s
+                texts.append(np.frombuffer(data.as_py(), "<u2"))
+                n += len(texts[-1])
+        if trainer:
+            trainer.learn(texts)
+            yield out(trainer, shard)
+
+    return run
+
+
+def train(rows: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """The network's parameters: every training text is read once, in the round of its shard.
+
+    Shards hold about ``SHARD_WORDS`` words each, and neither they nor the order inside them depend on how
+    the table is laid out. After each round the copies of its shards are averaged by their words, in
+    whole numbers, so that the order of adding does not count either.
+    """
+    flat, context = vocabulary.layout.first(), rows.sparkSession.sparkContext
+    rounds, shards = len(RATES), shards_of(vocabulary)
     for turn, rate in enumerate(RATES):
-        held = docs.sparkSession.sparkContext.broadcast((vocabulary, flat))
-        parts = docs.where(~held_out()).select(text_of().alias("text")).mapInArrow(_trained(held, rate, turn), "p array<float>, n double")
+        held = context.broadcast((vocabulary, flat))
+        own = rows.where(~F.col("out") & (F.col("shard") % rounds == turn)).select("shard", "place", "ids")
+        own = own.repartition(shards // rounds, "shard").sortWithinPartitions("shard", "place", "ids")
+        parts = own.mapInArrow(released(_trained(held, rate, turn)), "shard long, p array<float>, n double")
         cells = parts.select("n", F.posexplode("p").alias("at", "value"))
-        means = cells.groupBy("at").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean")).toArrow()  # one row a parameter
+        whole = F.round(F.col("value").cast("double") * UNITS).cast("decimal(18,0)") * F.col("n").cast("decimal(18,0)")
+        means = cells.groupBy("at").agg((F.sum(whole).cast("double") / F.sum("n") / UNITS).alias("mean")).toArrow()  # one row a parameter
+        held.unpersist()
         if means.num_rows:
             flat = flat.copy()
             flat[means["at"].to_numpy()] = means["mean"].to_numpy()
     return flat
 
 
-SCORED = "row long, doc_id long, n_tokens long, listed_known long, listed_sum double, other_sum double, other_rare long, net double, rare array<long>"
+SCORED = [c for c in NUMBERED.split(", ") if c.split()[0] not in ("shard", "place", "ids", "rare")]
 
 
 def _scored(held):
-    names = [c.split()[0] for c in SCORED.split(", ")]
+    """The columns ``SCORED`` and the network's score of the last column, ids."""
+    names = [c.split()[0] for c in SCORED] + ["net"]
 
     def run(batches):
         vocabulary, flat = held.value
         scorer = gru.Scorer(vocabulary.layout, flat)
-        row = TaskContext.get().partitionId() << 36
         for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                part = b.slice(lo, 4096)
-                ids, columns = [], {k: [] for k in names}
-                for k, docs in text_words([t.encode() for t in part.column(1).to_pylist()]):
-                    for words in docs:
-                        words = np.append(words, END)
-                        number, count, listed = vocabulary.look_up(words)
-                        number[-1] = vocabulary.end
-                        other = number == vocabulary.other
-                        logs = np.log10(count + 1.0)
-                        ids.append(number.astype(np.int64))
-                        columns["n_tokens"].append(len(words))
-                        columns["listed_known"].append(int((count > 0).sum()))
-                        columns["listed_sum"].append(float(logs.sum()))
-                        columns["other_sum"].append(float(logs[other].sum()))
-                        columns["other_rare"].append(int(other.sum()))
-                        columns["rare"].append(words[~listed].view(np.int64))
-                columns["net"] = scorer.score(ids)
-                columns["row"] = np.arange(row, row + part.num_rows)
-                row += part.num_rows
-                types = {"rare": pa.list_(pa.int64()), "listed_sum": pa.float64(), "other_sum": pa.float64(), "net": pa.float64()}
-                arrays = [part.column(0) if k == "doc_id" else pa.array(columns[k], types.get(k, pa.int64())) for k in names]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+            ids = b.column(b.num_columns - 1)
+            ends, at = np.cumsum(pc.binary_length(ids).to_numpy()), 0
+            while at < b.num_rows:  # about 2 * BLOCK_WORDS bytes, or one longer text
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2 * BLOCK_WORDS, side="right")))
+                net = scorer.score([np.frombuffer(i.as_py(), "<u2") for i in ids[at:end]])
+                yield pa.RecordBatch.from_arrays([*b.slice(at, end - at).columns[:-1], pa.array(net)], names=names)
+                at = end
 
     return run
 
@@ -197,19 +251,19 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     counts = written(word_counts(docs))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     vocabulary = Vocabulary(*frequent(counts, LISTED), int(sums.n), int(sums.v))
-    flat = train(docs, vocabulary)
+    rows = numbered(docs, vocabulary)
+    flat = train(rows, vocabulary)
     held = spark.sparkContext.broadcast((vocabulary, flat))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_scored(held), SCORED)
-    rows = written(rows)
-    rare = rows.select("row", F.explode("rare").alias("h")).join(counts, "h", "left").groupBy("row")
+    net = rows.select(*(c.split()[0] for c in SCORED), "ids").mapInArrow(released(_scored(held)), ", ".join([*SCORED, "net double"]))
+    rare = rows.select("row", F.explode("rare").alias("h")).join(counts, "h", "left").groupBy(F.col("row").alias("r_row"))
     rare = rare.agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("rare_sum"), F.count("c").alias("rare_known"))
-    rows = rows.drop("rare").join(rare, "row", "left")
+    rows = net.join(rare, F.col("row") == F.col("r_row"), "left")
     found = F.coalesce("rare_sum", F.lit(0.0))
     base = F.col("listed_sum") + found - F.col("n_tokens") * F.lit(math.log10(sums.n + sums.v + 1))
     net = F.col("net") + F.col("other_sum") + found - F.col("other_rare") * F.lit(math.log10(vocabulary.other_mass))
     return rows.select(
         "doc_id",
-        held_out().alias("held_out"),
+        F.col("out").alias("held_out"),
         "n_tokens",
         (F.col("listed_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(sums.n)).cast("long").alias("train_tokens"),
