@@ -135,23 +135,36 @@ def fingerprint(kept: str, whole: str) -> Column:
     return F.when(F.size(kept) > 0, F.array_join(F.transform(groups, ladder), ".")).otherwise(F.col(whole))
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def likeness(a: str, b: str) -> Column:
     """Of two fingerprints, see the module's text."""
     ladders = lambda x: F.transform(F.split(x, r"\."), lambda g: F.split(g, ","))
-    both = F.arrays_zip(ladders(a).alias("x"), ladders(b).alias("y"))
 
-    def at(k):
-        hashes = F.transform(both, lambda p: F.struct(F.coalesce(F.get(p["x"], k), F.lit("")).alias("x"), F.coalesce(F.get(p["y"], k), F.lit("")).alias("y")))
-        used = F.filter(hashes, lambda p: (p["x"] != "") | (p["y"] != ""))
-        return F.struct(F.size(used).cast("double").alias("used"), F.size(F.filter(used, lambda p: p["x"] == p["y"])).cast("double").alias("same"))
-
-    rungs = F.transform(F.sequence(F.lit(0), F.lit(RUNGS - 1)), at)
-    pick = F.aggregate(rungs, F.get(rungs, F.lit(0)), lambda best, r: F.when(r["used"] >= GROUPS / 2, r).otherwise(best))
-    empty = F.greatest(F.lit(GROUPS) - pick["used"], F.lit(0.5))
-    equal = F.greatest(F.lit(GROUPS) - pick["used"] + pick["same"], F.lit(0.5))
-    value = 1 - F.log(equal / GROUPS) / F.log(empty / GROUPS)
-    none = F.startswith(F.col(a), F.lit("=")) | F.startswith(F.col(b), F.lit("=")) | (pick["same"] == 0)
-    return F.when(F.col(a) == F.col(b), 1.0).when(none, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(value, F.lit(1.0)))).cast("double")
+    def rungs(both):
+        def at(k):
+            hashes = F.transform(both, lambda p: F.struct(F.coalesce(F.get(p["x"], k), F.lit("")).alias("x"), F.coalesce(F.get(p["y"], k), F.lit("")).alias("y")))
+            used = lambda hashes: F.filter(hashes, lambda p: (p["x"] != "") | (p["y"] != ""))
+            return let(used(hashes), lambda used: F.struct(F.size(used).cast("double").alias("used"), F.size(F.filter(used, lambda p: p["x"] == p["y"])).cast("double").alias("same")))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(RUNGS - 1)), at)
+
+    def sparsest(rungs):
+        return F.aggregate(rungs, F.get(rungs, F.lit(0)), lambda best, r: F.when(r["used"] >= GROUPS / 2, r).otherwise(best))
+
+    def value(pick):
+        empty = F.greatest(F.lit(GROUPS) - pick["used"], F.lit(0.5))
+        equal = F.greatest(F.lit(GROUPS) - pick["used"] + pick["same"], F.lit(0.5))
+        share = 1 - F.log(equal / GROUPS) / F.log(empty / GROUPS)
+        return F.when(pick["same"] == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(share, F.lit(1.0))))
+
+    both = F.arrays_zip(ladders(a).alias("x"), ladders(b).alias("y"))
+    share = let(both, lambda both: let(rungs(both), lambda rungs: let(sparsest(rungs), value)))
+    none = F.startswith(F.col(a), F.lit("=")) | F.startswith(F.col(b), F.lit("="))
+    return F.when(F.col(a) == F.col(b), 1.0).when(none, 0.0).otherwise(share).cast("double")
 
 
 def term_table(docs: DataFrame) -> DataFrame:
