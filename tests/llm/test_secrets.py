@@ -57,6 +57,46 @@ def test_battery_finds_random_runs_and_leaves_structured_ones(spark):
     assert [spans[i] for i in range(60, 64)] == [""] * 4
 
 
+#: Names and paths of words and numbers.
+IDENTIFIERS = [
+    "handleUserLoginWithCallback2", "Page2ofTheReportSummaryFinal", "getElementByIdAndClassName3", "TestCase17ForTheParserModule", "MAX2RETRIESPERCONNECTION", "section2paragraph14sentence3",
+    "MyLongVariableNameVersion10", "com/example/project2/SourceFileReader", "AbstractSingletonProxyFactoryBean2", "chapter12theoldmanandthesea", "Invoice2024ForCustomerNumber15", "windowWidthInPixels1024Default",
+    "theQuickBrownFoxJumps0verTheLazyDog", "ReleaseNotesOfVersion3Point2", "UniversityOfTheArts1998Edition", "readAllLinesFromTextFile2Buffer", "Meeting20minutesWithThePlanningTeam", "/Images/Summer2019/Beach/Sunset1",
+    "convertHtmlToPlainText4Emails", "DatabaseConnectionTimeout30Seconds",
+]
+
+
+def test_added_spans_on_planted_keys_and_identifiers(spark):
+    """Recall on random keys by encoding, and the share of identifiers among the added spans."""
+    rng = random.Random(6)
+    draw = lambda name, n: "".join(rng.choice(op.ALPHABETS[name]) for _ in range(n))
+    texts, kinds = [], []
+    for name, n in (("base62", 24), ("base62", 40), ("base64", 40), ("base64url", 43), ("base32", 32), ("base36", 32)):
+        for _ in range(40):
+            key = draw(name, n)
+            texts.append(rng.choice(["client_key=", "sig=", "x ", "/hook/id=", "aws_secret_access_key_of_the_user="]) + key)
+            kinds.append(name)
+    texts += [f"see {x} there" for x in IDENTIFIERS * 6]
+    got = {r.doc_id: r.spans for r in op.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = [i for i in range(len(kinds)) if "random:" in got[i] or "assign:" in got[i] or "access:" in got[i]]
+    false = sum("random:" in got[i] for i in range(len(kinds), len(texts)))
+    for name in set(kinds):
+        hit, n = sum(kinds[i] == name for i in found), kinds.count(name)
+        print(name, hit, n)
+        assert hit >= (0.75 if name in ("base32", "base36") else 0.85) * n, name
+    print("false", false, "of", len(IDENTIFIERS) * 6)
+    assert false <= 0.05 * (len(found) + false)
+
+
+def test_runs_are_cut_at_signs(spark):
+    rng = random.Random(8)
+    key = "".join(rng.choice(op.ALPHABETS["base62"]) for _ in range(40))
+    texts = [f"/hook/{key}_x/y-z", f"a-b_{key}/t_1-2 and {key}=={key}="]
+    got = {r.doc_id: r.spans for r in op.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == ",".join(f"random:{m.start()}:{m.end() + len(re.match('={0,2}', t[m.end():])[0])}" for m in re.finditer(key, t))
+
+
 def test_random_runs_inside_base_spans_are_not_added(spark):
     text = "token=" + "aB3xK9pQ7rT2mN8vL5cD1fG6" + " f615884ddebcf51f06151f3ee4d3cf6dd92d6850"
     got = op.scan_secrets(spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")).collect()

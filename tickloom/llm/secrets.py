@@ -2,15 +2,21 @@ r"""Secret scan: fixed patterns and a randomness test battery, in DataFrame func
 
 Base kinds are assign, access and hex (patterns below), found leftmost and without overlap per kind;
 matches that are too short are dropped. The battery adds spans of kind random: runs of 20 or more
-characters of ``[A-Za-z0-9+/_=-]`` whose encoding can be inferred (hex, base32, base62, base64, URL-safe
-base64; the run must hold the character classes that encoding needs) and which carry ``MIN_BITS`` bits.
+characters of ``[A-Za-z0-9+/_-]`` (and closing ``=``) whose encoding can be inferred (hex, base32, base36,
+base62, base64, URL-safe base64; the run must hold the character classes that encoding needs) and which
+carry ``MIN_BITS`` bits. A run that no encoding fits is cut at ``/``, ``-`` and ``_`` and its parts are tried.
+
 Under the hypothesis that the characters are drawn evenly, three p-values are found: chi-squared
 uniformity over the encoding's alphabet (with its exact variance for short strings), a runs test about
 the middle of the alphabet, and a lag-1 serial correlation. Fisher's method joins them. A
-Benjamini-Hochberg procedure at ``FALSE_RATE`` in each stratum of encoding and length decides which
-runs are shown not to be random; strata keep short runs, whose tests have little power, from hiding
-behind long ones. Runs not rejected and not overlapping a base span of their document are added. The
-procedure's ranks come from p-values binned at 1/50 of a decade, so it needs counts only.
+Benjamini-Hochberg procedure at ``FALSE_RATE`` in each stratum of encoding and length takes out the runs
+that are shown not to be random; strata keep short runs, whose tests have little power, from hiding
+behind long ones. Not being shown to be structured makes no secret, so what is left is tested against
+the contrary hypothesis, that the run is made of words and numbers: how likely its letters are in
+written language, and how often letters of one case, capitalised words and digits take turns. The same
+procedure on these p-values decides which runs are added, so that of the added spans the expected share
+of words is ``FALSE_RATE``. Spans that overlap a base span of their document are left out. The
+procedures' ranks come from p-values binned at 1/50 of a decade, so they need counts only.
 
 Positions come from the lengths of what stands between matches, summed by a window per text, so a
 text with very many matches costs no more than sorting them. Texts without a match are never split.
@@ -22,6 +28,8 @@ often as they occur; a null doc_id stays null; an empty table gives an empty res
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +40,7 @@ PATTERNS = {
     "assign": r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]+",
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}",
-    "random": r"[A-Za-z0-9+/_=-]{20,}",
+    "random": r"[A-Za-z0-9+/_-]{20,}={0,2}",
 }
 KINDS = tuple(PATTERNS)
 LEAST = {"assign": 6, "access": 20, "hex": 24, "random": 20}
@@ -40,11 +48,16 @@ LEAST = {"assign": 6, "access": 20, "hex": 24, "random": 20}
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-BITS = {"hex": 4.0, "base32": 5.0, "base62": 5.954, "base64": 6.0, "base64url": 6.0}
+BITS = {"hex": 4.0, "base32": 5.0, "base36": 5.17, "base62": 5.954, "base64": 6.0, "base64url": 6.0}
+#: Percent of the letters a to z in English text.
+LETTERS = [8.17, 1.29, 2.78, 4.25, 12.7, 2.23, 2.02, 6.09, 6.97, 0.15, 0.77, 4.03, 2.41, 6.75, 7.51, 1.93, 0.095, 5.99, 6.33, 9.06, 2.76, 0.98, 2.36, 0.15, 1.97, 0.074]
+#: Of words and numbers written together, the share of neighbours between which one ends.
+TURNS = 0.22
 MIN_BITS = 80
 FALSE_RATE = 0.05
 BINS_PER_DECADE = 50
@@ -78,7 +91,8 @@ def encoding(match: Column) -> Column:
     core = F.regexp_replace(match, "=+$", "")
     lower, upper, digit = (core.rlike(c) for c in ("[a-z]", "[A-Z]", "[0-9]"))
     out = F.when(core.rlike("^[0-9a-f]+$") & lower & digit | core.rlike("^[0-9A-F]+$") & upper & digit, "hex")
-    out = out.when(core.rlike("^[A-Z2-7]+$") & upper & digit, "base32")
+    out = out.when((core.rlike("^[A-Z2-7]+$") & upper | core.rlike("^[a-z2-7]+$") & lower) & digit, "base32")
+    out = out.when(core.rlike("^[a-z0-9]+$") & lower & digit, "base36")
     out = out.when(core.rlike("^[A-Za-z0-9]+$") & lower & upper & digit, "base62")
     out = out.when(core.rlike("^[A-Za-z0-9+/]+$") & lower & upper & digit, "base64")
     return out.when(core.rlike("^[A-Za-z0-9_-]+$") & lower & upper & digit, "base64url")
@@ -97,7 +111,7 @@ def battery(runs: DataFrame) -> DataFrame:
     """Adds encoding, n, p_uniform, p_runs, p_serial and p (all three) to rows with ``match``."""
     core = F.regexp_replace("match", "=+$", "")
     rows = runs.withColumn("encoding", encoding(F.col("match"))).where("encoding is not null")
-    core = F.when(F.col("encoding") == "hex", F.lower(core)).otherwise(core)
+    core = F.when(F.col("encoding") == "hex", F.lower(core)).when(F.col("encoding") == "base32", F.upper(core)).otherwise(core)
     alphabet = F.create_map(*(x for k, v in ALPHABETS.items() for x in (F.lit(k), F.lit(v))))[F.col("encoding")]
     rows = rows.withColumn("core", core).withColumn("alphabet", alphabet).withColumn("n", F.length("core")).withColumn("k", F.length("alphabet"))
     bits = F.create_map(*(x for k, v in BITS.items() for x in (F.lit(k), F.lit(v))))[F.col("encoding")]
@@ -126,13 +140,37 @@ def battery(runs: DataFrame) -> DataFrame:
     return rows.withColumn("p", joined).drop("core", "alphabet", "chars", "x", "high", "dev", "mean", "n1", "n0", "k")
 
 
+def wordlike(rows: DataFrame) -> DataFrame:
+    """Adds p_words: how likely a run of words and numbers would look as little like one."""
+    total = sum(LETTERS)
+    shares = [x / total for x in LETTERS]
+    weights = [math.log(1 / 26 / x) for x in shares]
+    mean = sum(f * w for f, w in zip(shares, weights, strict=True))
+    spread = sum(f * w * w for f, w in zip(shares, weights, strict=True)) - mean**2
+    held = F.create_map(*(x for k, w in enumerate(weights) for x in (F.lit(chr(97 + k)), F.lit(w))))
+    core = F.regexp_replace("match", "=+$", "")
+    letters = F.filter(F.split(F.regexp_replace(F.lower(core), "[^a-z]", ""), ""), lambda c: c != "")
+    rows = rows.withColumn("letters", letters)
+    n = F.size("letters")
+    sum_ = F.aggregate("letters", F.lit(0.0), lambda a, c: a + held[c])
+    test = (n > 0) & (F.col("encoding") != "hex")  # six letters tell nothing
+    p_letters = F.when(test, normal_tail((sum_ - n * mean) / F.sqrt(F.greatest(n, F.lit(1)) * spread))).otherwise(F.lit(1.0))
+    # A word is letters of one case or a capital with small letters, a number is digits.
+    pieces = F.regexp_count(core, F.lit("[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]|[0-9]+|[^A-Za-z0-9]+")) - 1
+    places = F.length(core) - 1
+    p_turns = normal_tail((pieces - 0.5 - places * TURNS) / F.sqrt(places * TURNS * (1 - TURNS)))
+    rows = rows.withColumn("p_letters", p_letters).withColumn("p_turns", p_turns)
+    half = -(F.log("p_letters") + F.log("p_turns"))
+    return rows.withColumn("p_words", F.greatest(F.exp(-half) * (1 + half), F.lit(1e-300))).drop("letters")
+
+
 def length_band(n: Column) -> Column:
     return F.floor(F.log2(n) * 2).cast("int")
 
 
-def not_rejected(tested: DataFrame, rate: float = FALSE_RATE) -> DataFrame:
-    """Rows that the stepwise procedure of each stratum does not show to be structured."""
-    decades = F.least(-F.log10("p"), F.lit(float(MOST_DECADES)))
+def discoveries(tested: DataFrame, p: str, rate: float = FALSE_RATE) -> DataFrame:
+    """Adds shown: rows whose hypothesis the stepwise procedure of their stratum rejects."""
+    decades = F.least(-F.log10(p), F.lit(float(MOST_DECADES)))
     rows = tested.withColumn("band", length_band(F.col("n"))).withColumn("bin", F.floor(decades * BINS_PER_DECADE).cast("int"))
     bins = rows.groupBy("encoding", "band", "bin").agg(F.count(F.lit(1)).alias("rows"))
     stratum = Window.partitionBy("encoding", "band")
@@ -140,7 +178,24 @@ def not_rejected(tested: DataFrame, rate: float = FALSE_RATE) -> DataFrame:
     bins = bins.withColumn("rank", F.sum("rows").over(upto)).withColumn("all", F.sum("rows").over(stratum))
     edge = F.pow(F.lit(10.0), -F.col("bin") / BINS_PER_DECADE)
     cut = bins.where(edge <= rate * F.col("rank") / F.col("all")).groupBy("encoding", "band").agg(F.min("bin").alias("cut"))
-    return rows.join(F.broadcast(cut), ["encoding", "band"], "left").where("cut is null or bin < cut")
+    rows = rows.join(F.broadcast(cut), ["encoding", "band"], "left")
+    return rows.withColumn("shown", F.coalesce(F.col("bin") >= F.col("cut"), F.lit(False))).drop("band", "bin", "cut")
+
+
+def parts_of(runs: DataFrame) -> DataFrame:
+    """Runs with an encoding, and of the others the parts between signs that have one."""
+    whole = runs.where(encoding(F.col("match")).isNotNull()).select("doc_id", "text_key", "start", "stop", "match")
+    rest = runs.where(encoding(F.col("match")).isNull()).select("doc_id", "text_key", "start", F.posexplode(F.split("match", "[/_-]")).alias("at", "match"))
+    upto = Window.partitionBy("doc_id", "text_key", "start").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rest = rest.withColumn("stop", F.col("start") + F.sum(F.length("match").cast("long") + 1).over(upto) - 1)
+    rest = rest.where((F.length("match") >= LEAST["random"]) & encoding(F.col("match")).isNotNull())
+    return whole.unionByName(rest.select("doc_id", "text_key", (F.col("stop") - F.length("match")).alias("start"), "stop", "match"))
+
+
+def added_runs(runs: DataFrame) -> DataFrame:
+    """The runs that are neither shown to be structured nor may be words."""
+    left = discoveries(written(battery(parts_of(runs))), "p").where("not shown").drop("shown")
+    return discoveries(written(wordlike(left)), "p_words").where("shown")
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
@@ -150,7 +205,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     for kind, least in LEAST.items():
         right = right | (F.col("kind") == kind) & (F.length("value") >= least)
     base = found.where(right & (F.col("kind") != "random")).select("doc_id", "text_key", "kind", "start", "stop")
-    added = not_rejected(battery(found.where("kind = 'random'"))).select("doc_id", "text_key", "kind", "start", "stop")
+    added = added_runs(found.where("kind = 'random'")).select("doc_id", "text_key", F.lit("random").alias("kind"), "start", "stop")
     both = base.unionByName(added)
     order = Window.partitionBy("doc_id", "text_key").orderBy("start")
     is_base = F.col("kind") != "random"
