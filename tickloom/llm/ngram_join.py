@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bits
-from .common import table, text_of, written
+from .common import released, table, text_of, written
 from .graph import components
 from .hashing import shingles, text_words
 
@@ -99,7 +99,7 @@ SETS = "doc_id long, n int, d1 long, d2 long, tokens array<long>"
 
 def sets_of(docs: DataFrame, k: int, prefix: tuple[int, int] | None = None, ids=None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(ids) if ids is not None else None
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_sets(k, prefix, held), SETS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(released(_sets(k, prefix, held)), SETS)
 
 
 def _only_shared(held, num: int, den: int):
@@ -127,7 +127,7 @@ def only_shared(rows: DataFrame, shared: DataFrame, num: int = 0, den: int = 1)
     if filled is None:
         return rows
     held = rows.sparkSession.sparkContext.broadcast(filled)
-    return rows.mapInArrow(_only_shared(held, num, den), rows.schema)
+    return rows.mapInArrow(released(_only_shared(held, num, den)), rows.schema)
 
 
 def possible_ids(heads: DataFrame, t: Similarity) -> DataFrame:

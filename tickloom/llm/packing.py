@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import released, table, text_of
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
@@ -306,7 +306,7 @@ def _packed(path: str, tiers, group_tokens: int):
 
 def pack_documents(docs, vocabulary: str, tiers=TIERS, group_tokens: int = 8 * 2048):
     """One row per piece; see the module's text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_packed(vocabulary, tiers, group_tokens), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(released(_packed(vocabulary, tiers, group_tokens)), PIECES)
 
 
 def vocabulary_path() -> str:
