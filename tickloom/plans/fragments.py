@@ -46,7 +46,7 @@ LEDGER = """ledger AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 VECTORS = """vectors AS (
-  SELECT vec_id, label, i - 1 AS dim, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 9) t(i))"""
+  SELECT vec_id, label, i - 1 AS dim, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"""
 
 
 def ema(column: str, alpha: float | str, least: int, name: str, source: str = "r") -> str:

@@ -78,12 +78,40 @@ def _(spark, sf):
     return profile.control_point(profile.volume_profile(rows, 5.0, ["symbol", "day"]), ["symbol", "day"])
 
 
-@query("a5_value_area")
+#: Grown bin by bin over the numbered bins of a profile.
+AREA = f"""{PROFILE}, nb AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY symbol, day) AS m FROM prof WINDOW w AS (PARTITION BY symbol, day ORDER BY bin)),
+pt AS (SELECT symbol, day, arg_max(i, (round(volume, 9), -bin)) AS i, sum(volume) AS total FROM nb GROUP BY symbol, day),
+grown AS (SELECT pt.symbol, pt.day, pt.i AS a, pt.i AS b, n.volume AS v, total, n.m, 0 AS step FROM pt JOIN nb n ON n.symbol = pt.symbol AND n.day = pt.day AND n.i = pt.i UNION ALL
+  SELECT g.symbol, g.day, CASE WHEN down THEN a - 1 ELSE a END, CASE WHEN down THEN b ELSE b + 1 END, v + CASE WHEN down THEN lv ELSE uv END, total, m, step + 1 FROM (
+    SELECT g.*, l.volume AS lv, u.volume AS uv, a > 1 AND (b >= g.m OR round(l.volume, 9) >= round(u.volume, 9)) AS down FROM grown g LEFT JOIN nb l ON l.symbol = g.symbol AND l.day = g.day AND l.i = a - 1 LEFT JOIN nb u ON u.symbol = g.symbol AND u.day = g.day AND u.i = b + 1
+    WHERE v < 0.7 * total - 0.000000001 AND (a > 1 OR b < g.m)) g),
+area AS (SELECT e.symbol, e.day, p.bin AS poc, l.bin AS area_low, u.bin AS area_high, e.v AS area_volume, e.total FROM (SELECT * FROM grown QUALIFY row_number() OVER (PARTITION BY symbol, day ORDER BY step DESC) = 1) e
+  JOIN pt ON pt.symbol = e.symbol AND pt.day = e.day JOIN nb p ON p.symbol = e.symbol AND p.day = e.day AND p.i = pt.i JOIN nb l ON l.symbol = e.symbol AND l.day = e.day AND l.i = e.a JOIN nb u ON u.symbol = e.symbol AND u.day = e.day AND u.i = e.b)"""
+
+
+@query("a5_value_area", f"WITH RECURSIVE {AREA} --- SELECT * FROM area", ["area_volume", "total"])
 def _(spark, sf):
     rows = a.bars_1h(spark, sf).withColumn("day", F.to_date("opened_at"))
     return profile.value_area(profile.volume_profile(rows, 5.0, ["symbol", "day"]), ["symbol", "day"])
 
 
+@query(
+    "t27_session_profile",
+    f"""WITH RECURSIVE {AREA}, x AS (SELECT symbol, CAST(opened_at AS DATE) AS day, opened_at, open, high, low, close, volume, count(*) OVER (PARTITION BY symbol, CAST(opened_at AS DATE)) AS n FROM bars QUALIFY row_number() OVER (PARTITION BY symbol, CAST(opened_at AS DATE) ORDER BY opened_at DESC) = 1),
+y AS (SELECT x.*, poc * 5.0::DOUBLE AS point, area_low * 5.0::DOUBLE AS bottom, area_high * 5.0::DOUBLE AS top, total, total / n AS usual, CASE WHEN high > low THEN (least(open, close) - low) / (high - low) ELSE 0 END AS lw, CASE WHEN high > low THEN (high - greatest(open, close)) / (high - low) ELSE 0 END AS uw FROM x JOIN area USING (symbol, day)),
+z AS (SELECT *, low < bottom AND close >= bottom AND lw >= 0.4 AS lr, high > top AND close <= top AND uw >= 0.4 AS ur, close >= top AND volume >= usual * 1.2 AS ub, close <= bottom AND volume >= usual * 1.2 AS lb FROM y),
+k AS (SELECT *, CASE WHEN n < 3 THEN 'insufficient_bars' WHEN total = 0 THEN 'empty_profile' WHEN low < bottom AND high > top THEN 'ambiguous_overlap' WHEN CAST(lr AS INT) + CAST(ur AS INT) + CAST(ub AS INT) + CAST(lb AS INT) > 1 THEN 'conflicting_signals' END AS w,
+  CASE WHEN lr THEN 'lower_rejection' WHEN ur THEN 'upper_rejection' WHEN ub THEN 'upper_breakout' WHEN lb THEN 'lower_breakout' END AS kind, CASE WHEN close > top THEN close - top WHEN close < bottom THEN bottom - close ELSE least(abs(close - top), abs(close - bottom)) END AS distance FROM z) ---
+SELECT symbol, day, opened_at, CASE WHEN w IS NULL AND kind IS NOT NULL THEN CASE WHEN kind IN ('lower_rejection', 'upper_breakout') THEN 1 ELSE -1 END ELSE 0 END AS direction, CASE WHEN w IS NULL AND kind IS NOT NULL THEN kind ELSE 'wait' END AS decision,
+  coalesce(w, kind, CASE WHEN close > top OR close < bottom THEN 'unconfirmed_breakout' WHEN abs(close - point) <= 5 THEN 'balanced_near_point' ELSE 'no_signal' END) AS reason,
+  CASE WHEN w IS NULL AND kind IS NOT NULL THEN least(1.0, greatest(0.1, CASE WHEN kind LIKE '%rejection' THEN 0.45 ELSE 0.5 END + least(0.25, distance / 5 * 0.05) + least(0.2, volume / usual * 0.05))) ELSE 0 END AS confidence FROM k""",
+    ["confidence"],
+)
+def _(spark, sf):
+    rows = a.bars_1h(spark, sf).withColumn("day", F.to_date("opened_at"))
+    return profile.session_signals(rows, 5.0, ["symbol", "day"])
+
+
 @query("a24_balance", "--- SELECT CAST(i AS INTEGER) AS label, coalesce(n, 0) AS n, coalesce(n, 0) / sum(n) OVER () AS share FROM range(12) t(i) LEFT JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) g ON g.label = i", ["share"])
 def _(spark, sf):
     return stats.balance(a.read(spark, sf, "embeddings").select("label"), "label", 12)

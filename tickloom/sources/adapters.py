@@ -91,7 +91,7 @@ def ledger(spark: SparkSession, sf_dir: str, candidates: int = 10) -> DataFrame:
     )
 
 
-def vectors(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
-    """vec_id, label, dim, x: the first ``dims`` components as long rows."""
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, dims)).alias("dim", "x"))
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, label, dim, x: all components as long rows."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("dim", "x"))
     return rows.withColumn("x", F.col("x").cast("double"))
