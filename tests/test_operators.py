@@ -251,7 +251,24 @@ def test_zipped_csv(spark, tmp_path):
         z.writestr("a.csv", "1\n")
         z.writestr("b.csv", "1\n")
     with pytest.raises(ValueError, match="one CSV"):
-        list(archives.csv_rows(two.getvalue()))
+        list(archives.unpacked("two.zip", two.getvalue()))
+
+
+def test_headers_and_pieces(spark, tmp_path):
+    archive(tmp_path, "h.zip", "1.5,b\r\n7,x\r\n\r\n-8,\"y, z\"")
+    got = archives.read_zipped_csv(spark, f"file://{tmp_path}", ["a", "b"]).orderBy("line").collect()
+    assert [(r.line, r.a, r.b) for r in got] == [(1, "7", "x"), (3, "-8", "y, z")]
+    content = (tmp_path / "h.zip").read_bytes()
+    assert [x for run in archives.unpacked("h", content, 3) for x in run] == ["1.5,b", "7,x", "", '-8,"y, z"']
+
+
+def test_funding_and_price_rows(spark):
+    raw = ['{"fundingTime": 1704067200000, "fundingRate": "0.0001"}', '{"calc_time": "1704067200000", "last_funding_rate": -2e-4}', "[1704067200000, 8, 0.5]", '{"calc_time": 5}', '{"calc_time": "x", "fundingRate": 1}', '{"calc_time": 1, "fundingRate": "NaN"}']
+    got = archives.funding_rows(spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string")).orderBy("i").collect()
+    assert [r.rate for r in got[:3]] == [0.0001, -0.0002, 0.5] and [r.broken for r in got] == [None, None, None, "missing", "bad_time", "not_finite"]
+    rows = [("markPriceKlines", "0", "5"), ("premiumIndexKlines", "0", "-0.1"), ("indexPriceKlines", "0", "0"), ("x", "0", "1"), ("markPriceKlines", "-1", "1"), ("markPriceKlines", "0", "inf")]
+    got = archives.price_klines(spark.createDataFrame(rows, "source string, open_time string, close string")).collect()
+    assert [r.broken for r in got] == [None, None, "not_positive", "unknown_source", "bad_time", "not_finite"]
 
 
 def test_appending_is_idempotent(spark, tmp_path):

@@ -185,14 +185,14 @@ def _(spark, sf):
 
 @query(
     "w22_adverse_excursion",
-    f"""WITH {f.NUMBERED}, e AS (SELECT symbol, opened_at, rn, close FROM r WHERE rn % 24 = 0) ---
+    f"""WITH {f.NUMBERED}, e AS (SELECT symbol, opened_at, rn, close FROM r) ---
 SELECT e.symbol, e.opened_at, greatest(0, (e.close - min(q.low)) / e.close) AS adverse_long, greatest(0, (max(q.high) - e.close) / e.close) AS adverse_short FROM e JOIN r q ON q.symbol = e.symbol AND q.rn BETWEEN e.rn + 1 AND e.rn + 12 GROUP BY e.symbol, e.opened_at, e.close""",
     ["adverse_long", "adverse_short"],
 )
 def _(spark, sf):
     ahead = by_time().rowsBetween(1, 12)
     rows = a.bars_1h(spark, sf).withColumn("rn", F.row_number().over(by_time())).withColumn("lo", F.min("low").over(ahead)).withColumn("hi", F.max("high").over(ahead))
-    rows = rows.where("rn % 24 = 0 and lo is not null")
+    rows = rows.where("lo is not null")
     zero = F.lit(0.0)
     return rows.select("symbol", "opened_at", F.greatest(zero, (F.col("close") - F.col("lo")) / F.col("close")).alias("adverse_long"), F.greatest(zero, (F.col("hi") - F.col("close")) / F.col("close")).alias("adverse_short"))
 
@@ -350,12 +350,12 @@ def _(spark, sf):
 
 @query(
     "q3_forward_window",
-    f"""WITH {f.NUMBERED}, e AS (SELECT symbol, opened_at AS signal_at, rn FROM r WHERE rn % 40 = 0) --- SELECT e.symbol, e.signal_at, r.opened_at, r.close, r.rn - e.rn AS step FROM e JOIN r ON r.symbol = e.symbol AND r.rn BETWEEN e.rn + 1 AND e.rn + 6""",
+    f"""WITH {f.NUMBERED}, e AS (SELECT symbol, opened_at AS signal_at, rn FROM r) --- SELECT e.symbol, e.signal_at, r.opened_at, r.close, r.rn - e.rn AS step FROM e JOIN r ON r.symbol = e.symbol AND r.rn BETWEEN e.rn + 1 AND e.rn + 6""",
     ["close"],
 )
 def _(spark, sf):
     rows = a.bars_1h(spark, sf).withColumn("rn", F.row_number().over(by_time()))
-    e = rows.where("rn % 40 = 0").select("symbol", F.col("opened_at").alias("signal_at"), F.col("rn").alias("rn0"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("step"))
+    e = rows.select("symbol", F.col("opened_at").alias("signal_at"), F.col("rn").alias("rn0"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("step"))
     e = e.withColumn("rn", F.col("rn0") + F.col("step"))
     return e.join(rows.select("symbol", "rn", "opened_at", "close"), ["symbol", "rn"]).select("symbol", "signal_at", "opened_at", "close", F.col("step").cast("long").alias("step"))
 

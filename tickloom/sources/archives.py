@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import io
 import zipfile
 from collections.abc import Iterator
@@ -41,49 +40,85 @@ def path_of() -> Column:
     return F.concat_ws("/", "grain", "source", "symbol", F.concat_ws("-", "symbol", "source", "period"))
 
 
-def read_zipped_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Rows of archives that hold one CSV file each, as strings with the file's path and line.
+def packed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line, raw: the text lines of zipped files, numbered from 0; files are the unit of work.
 
-    A header is recognised by a first cell that is no number; a byte-order mark is skipped. Files are the
-    unit of work, and a file is decoded line by line.
+    Bytes are unpacked piece by piece, so memory holds a piece and the lines made from it.
     """
-    schema = "path string, line long, " + ", ".join(f"{c} string" for c in columns)
-    names = ["path", "line", *columns]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for where, content in zip(f["path"], f["content"], strict=True):
-                rows = []
-                for line, cells in enumerate(csv_rows(content)):
-                    rows.append((where, line, *(cells + [None] * len(columns))[: len(columns)]))
-                    if len(rows) >= 50_000:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-                yield pd.DataFrame(rows, columns=names)
+            for where, packed in zip(f["path"], f["content"], strict=True):
+                first = 0
+                for lines in unpacked(where, packed):
+                    yield pd.DataFrame({"path": where, "line": range(first, first + len(lines)), "raw": lines})
+                    first += len(lines)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return files.select("path", "content").mapInPandas(run, schema)
-
-
-def csv_rows(content: bytes) -> Iterator[list[str]]:
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        members = [n for n in z.namelist() if not n.endswith("/")]
-        if len(members) != 1 or not members[0].endswith(".csv"):
-            raise ValueError(f"an archive must hold one CSV file, not {members}")
-        with io.TextIOWrapper(z.open(members[0]), encoding="utf-8-sig", newline="") as text:
-            for k, cells in enumerate(csv.reader(text)):
-                if k == 0 and cells and not is_number(cells[0]):
-                    continue
-                if cells:
-                    yield cells
-
-
-def is_number(cell: str) -> bool:
-    try:
-        float(cell)
-    except ValueError:
-        return False
-    return True
+    return files.select("path", "content").mapInPandas(run, "path string, line long, raw string")
+
+
+def unpacked(where: str, packed: bytes, piece: int = 4 << 20) -> Iterator[list[str]]:
+    """Runs of whole lines of the only table that a zip file holds."""
+    box = zipfile.ZipFile(io.BytesIO(packed))
+    tables = [i for i in box.infolist() if not i.is_dir()]
+    if [i.filename[-4:].lower() for i in tables] != [".csv"]:
+        raise ValueError(f"{where}: expected one CSV table, found {', '.join(i.filename for i in tables) or 'nothing'}")
+    left = b""
+    with box.open(tables[0]) as member:
+        while data := member.read(piece):
+            *whole, left = (left + data).split(b"\n")
+            yield [x.rstrip(b"\r").decode() for x in whole]
+    if left:
+        yield [left.rstrip(b"\r").decode()]
+
+
+def read_zipped_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """path, line and the ``columns`` as strings; cells are cut by Spark's CSV parser.
+
+    A first line whose first cell is no whole number is a header; a byte-order mark before it does not count,
+    blank lines are left out, and cells cannot hold line ends.
+    """
+    rows = packed_lines(spark, path).withColumn("raw", F.regexp_replace("raw", "^\ufeff", "")).where(F.trim("raw") != "")
+    header = (F.col("line") == 0) & ~F.col("raw").rlike(r'^\s*"?[+-]?[0-9]+"?\s*(,|$)')
+    cells = F.from_csv("raw", ", ".join(f"{c} string" for c in columns), {"mode": "PERMISSIVE"})
+    return rows.where(~header).withColumn("cells", cells).select("path", "line", "cells.*")
+
+
+#: The feature that each reference-price source gives; a premium may be zero or negative.
+PRICE_FEATURES = {"markPriceKlines": "mark_price", "indexPriceKlines": "index_price", "premiumIndexKlines": "premium_index"}
+
+
+def price_klines(rows: DataFrame) -> DataFrame:
+    """source, minute_end, feature, value, broken of klines (source, open_time, close as strings) of reference prices."""
+    value, opened = F.expr("try_cast(close as double)"), F.expr("try_cast(open_time as bigint)")
+    feature = F.create_map(*(F.lit(x) for kv in PRICE_FEATURES.items() for x in kv))[F.col("source")]
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    broken = F.when(feature.isNull(), "unknown_source").when(opened.isNull() | (opened < 0), "bad_time").when(~finite, "not_finite").when((F.col("source") != "premiumIndexKlines") & (value <= 0), "not_positive")
+    return rows.select("source", (F.timestamp_millis(opened) + F.expr("interval 1 minute")).alias("minute_end"), feature.alias("feature"), value.alias("value"), broken.alias("broken"))
+
+
+def funding_rows(rows: DataFrame) -> DataFrame:
+    """funding_at, rate, broken of JSON texts (column ``raw``): objects in either naming, or lists [time, hours, rate]."""
+    first = lambda *paths: F.coalesce(*(F.get_json_object("raw", p) for p in paths))
+    time = first("$.fundingTime", "$.calc_time", "$[0]")
+    rate = first("$.fundingRate", "$.last_funding_rate", "$[2]")
+    at, value = F.try_to_number(time, F.lit("9999999999999")).cast("bigint"), rate.try_cast("double")
+    broken = F.when(time.isNull() | rate.isNull(), "missing").when(at.isNull(), "bad_time").when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), "not_finite")
+    return rows.withColumn("funding_at", F.timestamp_millis(at)).withColumn("rate", value).withColumn("broken", broken)
+
+
+def content_hash(rows: DataFrame, keys: list[str], line: Column, order: list[str]) -> DataFrame:
+    """keys, rows, sha256 of the lines of each group in order; a group is a file of bounded length."""
+    items = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.transform(items, lambda x: x["line"]), "\n"), 256).alias("sha256"))
+
+
+def checked(found: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, status: ok, changed, missing (only in the manifest) or unlisted (only found)."""
+    both = found.select(*keys, F.col("sha256").alias("found")).join(manifest.select(*keys, F.col("sha256").alias("listed")), keys, "full")
+    status = F.when(F.col("found").isNull(), "missing").when(F.col("listed").isNull(), "unlisted").when(F.col("found") == F.col("listed"), "ok").otherwise("changed")
+    return both.select(*keys, status.alias("status"))
 
 
 def klines(rows: DataFrame) -> DataFrame:
