@@ -39,9 +39,9 @@ from .common import released, table, text_of
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 32 << 20
 ENTRY_BYTES = 200  # of a kept piece with its ids, about
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 FLUSH_PIECES = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, sequence_length long, step_group long"
 #: A blank before a non-blank starts a pre-token whatever stands before it, so texts may be cut there.
@@ -112,36 +112,33 @@ class Encoder:
         first = np.zeros(len(number), bool)
         first[word_at[:-1]] = True
         heads, head_number = np.unique(number[first], return_inverse=True)
-        entry = number.astype(np.int64)
+        entry = number.copy()
         entry[first] = len(names) + head_number
         pieces = pa.concat_arrays([pc.binary_join_element_wise("", names, " "), names.take(pa.array(heads))])
         used = np.zeros(len(pieces), bool)
         used[entry] = True
-        entry = (np.cumsum(used) - 1)[entry]
+        entry = (np.cumsum(used, dtype=np.int32) - 1)[entry]
         head, tail, ids = self.of_entries(pieces.filter(pa.array(used)))
-        head = np.append(head, [len(ids), len(ids) + 1])
-        tail = np.append(tail, [-1, -1])
+        newline, end = len(head), len(head) + 1
+        head = np.append(head, [len(ids), len(ids) + 1]).astype(np.int32)
+        tail = np.append(tail, [-1, -1]).astype(np.int32)
         ids += [*self.ids_of(["\n"]), array("I", [END_ID]).tobytes()]
-        newline, end = len(head) - 2, len(head) - 1
         # Entries in order: a newline before every line but a text's first, an end after every text.
-        text_of_line = np.repeat(np.arange(len(texts)), np.diff(line_at))
-        starts = word_at[line_at[:-1]]
-        more = np.setdiff1d(np.arange(len(text_of_line)), line_at[:-1])
-        row = np.concatenate([entry, np.full(len(more), newline), np.full(len(texts), end)])
-        place = np.concatenate([np.arange(len(entry)), word_at[more], word_at[line_at[1:]]])
-        rank = np.concatenate([np.full(len(entry), 2), np.ones(len(more), int), np.zeros(len(texts), int)])
-        row = row[np.lexsort((rank, place))]
-        sizes = np.array([len(i) // 4 for i in ids] + [0], np.int64)  # the last one is no piece
+        more = np.delete(np.arange(len(words)), line_at[:-1])
+        places = np.concatenate([word_at[more], word_at[line_at[1:]]])
+        row = np.insert(entry, places, np.repeat(np.array([newline, end], np.int32), [len(more), len(texts)]))
+        sizes = np.array([len(i) // 4 for i in ids] + [0], np.int32)  # the last one is no piece
         flat = np.frombuffer(b"".join(ids), np.uint32)
-        begin = np.cumsum(sizes) - sizes
+        begin = np.cumsum(sizes, dtype=np.int32) - sizes
         parts = np.stack([head[row], tail[row]], 1).ravel()
         n = sizes[parts]
-        stop = np.cumsum(n)
-        tokens = flat[np.repeat(begin[parts] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)]
-        stop = stop[1::2]
-        extra = np.diff(line_at) - 1
-        last = np.cumsum(np.diff(np.append(starts, len(entry))) + extra + 1) - 1
-        out = np.split(tokens, stop[last][:-1]) if len(texts) else []
+        stop = np.cumsum(n, dtype=np.int32)
+        place = np.repeat(begin[parts] - stop + n, n)
+        place += np.arange(len(place), dtype=np.int32)
+        tokens = flat[place]
+        per_text = np.diff(word_at[line_at]) + np.diff(line_at)  # words, newlines, end
+        last = np.cumsum(per_text) - 1
+        out = np.split(tokens, stop[1::2][last][:-1]) if len(texts) else []
         for k in np.flatnonzero(odd):
             out[k] = self.alone(texts[k].as_py())
         return out
