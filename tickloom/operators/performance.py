@@ -153,3 +153,30 @@ def walk_forward(months: DataFrame, train_months: int = 6, top: int = 3) -> Data
     order = Window.partitionBy("month").orderBy(F.desc("train_mean"), "candidate_id")
     rows = rows.where(F.col("train_n") == train_months).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     return rows.select("month", "candidate_id", "place", "train_mean", F.col("return_ratio").alias("test_return"), F.col("trades").alias("test_trades"))
+
+
+def exposure(trades: DataFrame, limit: float, odd: float, by: str = "candidate_id", cash: float = CASH) -> DataFrame:
+    """Worst day's loss and largest day's notional against the equity before it, days over ``limit``, share of odd trades."""
+    rows = trades.groupBy(by, F.to_date("exit_ts").alias("day")).agg(
+        F.sum("pnl").alias("pnl"), F.sum("notional").alias("notional"), F.count(F.lit(1)).alias("trades"), F.count(F.when(F.abs("ret") > odd, 1)).alias("odd")
+    )
+    earlier = Window.partitionBy(by).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", cash + F.coalesce(F.sum("pnl").over(earlier), F.lit(0.0)))
+    used = F.col("notional") / F.col("before")
+    return rows.groupBy(by).agg(
+        F.max(F.greatest(F.lit(0.0), -F.col("pnl")) / F.col("before")).alias("worst_day_ratio"), F.max(used).alias("largest_exposure"),
+        F.count(F.when(used > limit, 1)).alias("days_over_limit"), (F.sum("odd") / F.sum("trades")).alias("anomaly_rate"),
+    )
+
+
+def diagnostics(trades: DataFrame, by: str = "candidate_id") -> DataFrame:
+    """Share of days without a trade, turnover (both legs), share of the five best trades in all gains, share of all trades."""
+    best = Window.partitionBy(by).orderBy(F.desc("pnl"), "trade_id")
+    gain = F.when(F.col("pnl") > 0, F.col("pnl")).otherwise(0.0)
+    day = F.to_date("exit_ts")
+    rows = trades.withColumn("rn", F.row_number().over(best)).groupBy(by).agg(
+        (1 - F.countDistinct(day) / (F.date_diff(F.max(day), F.min(day)) + 1)).alias("cash_share"), F.sum(2 * F.col("notional") + F.col("pnl")).alias("turnover"),
+        F.try_divide(F.sum(F.when(F.col("rn") <= 5, gain)), F.sum(gain)).alias("top_5_share"), F.count(F.lit(1)).alias("own"),
+    )
+    total = rows.agg(F.sum("own").alias("total"))
+    return rows.crossJoin(F.broadcast(total)).withColumn("trade_share", F.col("own") / F.col("total")).drop("own", "total")  # one row

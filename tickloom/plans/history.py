@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import texts
 from ..sources import adapters as a
 from ..sources import archives
 from . import fragments as f
@@ -129,3 +130,18 @@ def _(spark, sf):
     rows = a.read(spark, sf, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("state_id"), F.col("o_orderdate").alias("at"), use.alias("use_yn")).where("use_yn = 'Y'")
     order = Window.partitionBy("owner").orderBy("at", "state_id")
     return rows.select("owner", "state_id", F.row_number().over(order).alias("version"), F.lag("state_id").over(order).alias("before"), F.lead("state_id").over(order).isNull().alias("latest"))
+
+
+@query("fn_normal_key", """--- SELECT p_name, regexp_replace(regexp_replace(lower(trim(p_type || ' (' || p_name || ')')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key FROM part""")
+def _(spark, sf):
+    return a.read(spark, sf, "part").select("p_name", texts.normal_key(F.concat("p_type", F.lit(" ("), "p_name", F.lit(")"))).alias("key"))
+
+
+@query(
+    "fn_canonical_json",
+    """WITH x AS (SELECT event_id, '{"event":"' || event_type || '","k":"' || json_extract_string(props, '$.k') || '","user":"' || user_id || '"}' AS json FROM events) --- SELECT event_id, json, sha256(json) AS hash FROM x""",
+)
+def _(spark, sf):
+    entries = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("k"), F.get_json_object("props", "$.k"), F.lit("event"), F.col("event_type"))
+    rows = a.read(spark, sf, "events").select("event_id", texts.canonical_json(entries).alias("json"))
+    return rows.withColumn("hash", texts.content_hash(F.col("json")))

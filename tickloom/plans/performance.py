@@ -328,3 +328,34 @@ def _(spark, sf):
     rows = bars.join(m, ["symbol", "closed_at"], "left").join(x, ["symbol", "opened_at"], "left")
     rows = rows.select(F.explode(F.create_map(F.lit("metrics"), F.col("metrics"), F.lit("funding"), F.col("funding"))).alias("source", "has"))
     return rows.groupBy("source").agg(F.count("has").alias("available"), F.count(F.when(F.col("has").isNull(), 1)).alias("unavailable"))
+
+
+@query(
+    "a16_worst_14_days",
+    f"""WITH {DAILY}, n AS (SELECT *, lag(day, 13) OVER w AS first, exp(sum(ln(1 + pnl / 1000000.0)) OVER (PARTITION BY candidate_id ORDER BY day ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) - 1 AS block FROM days WINDOW w AS (PARTITION BY candidate_id ORDER BY day)) ---
+SELECT candidate_id, min(block) AS worst, count(*) AS blocks FROM n WHERE day - first = 13 GROUP BY candidate_id""",
+    ["worst"],
+)
+def _(spark, sf):
+    return p.worst_block(p.daily(a.ledger(spark, sf)), 14)
+
+
+@query(
+    "a36_exposure",
+    f"""WITH {f.LEDGER}, d AS (SELECT candidate_id, CAST(exit_ts AS DATE) AS day, sum(pnl) AS pnl, sum(notional) AS notional, count(*) AS trades, count(*) FILTER (abs(ret) > 0.045) AS odd FROM ledger GROUP BY ALL),
+e AS (SELECT *, 1000000.0 + coalesce(sum(pnl) OVER (PARTITION BY candidate_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d) ---
+SELECT candidate_id, max(greatest(0, -pnl) / before) AS worst_day_ratio, max(notional / before) AS largest_exposure, count(*) FILTER (notional / before > 0.5) AS days_over_limit, sum(odd) / sum(trades) AS anomaly_rate FROM e GROUP BY candidate_id""",
+    ["worst_day_ratio", "largest_exposure", "anomaly_rate"],
+)
+def _(spark, sf):
+    return p.exposure(a.ledger(spark, sf), 0.5, 0.045)
+
+
+@query(
+    "a39_diagnostics",
+    f"""WITH {f.LEDGER}, t AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY pnl DESC, trade_id) AS rn FROM ledger), d AS (SELECT candidate_id, date_diff('day', min(CAST(exit_ts AS DATE)), max(CAST(exit_ts AS DATE))) + 1 AS span, count(DISTINCT CAST(exit_ts AS DATE)) AS active FROM ledger GROUP BY candidate_id) ---
+SELECT candidate_id, any_value(1 - active / span) AS cash_share, sum(2 * notional + pnl) AS turnover, sum(CASE WHEN rn <= 5 AND pnl > 0 THEN pnl ELSE 0 END) / nullif(sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END), 0) AS top_5_share, count(*) / (SELECT count(*) FROM ledger) AS trade_share FROM t JOIN d USING (candidate_id) GROUP BY candidate_id""",
+    ["cash_share", "turnover", "top_5_share", "trade_share"],
+)
+def _(spark, sf):
+    return p.diagnostics(a.ledger(spark, sf))

@@ -166,6 +166,17 @@ def _(spark, sf):
     return jobs.run_to_end(jobs.stream_bars(jobs.tick_stream(spark, f"{sf}/events.parque[t]"), "1 hour", "10 minutes"))
 
 
+@query(
+    "stream_sliding_bars",
+    f"""WITH {f.TICKS}, w AS (SELECT *, unnest(generate_series(time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') - INTERVAL '3 hours', time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01'), INTERVAL '1 hour')) AS opened_at FROM ticks) ---
+SELECT symbol, opened_at, opened_at + INTERVAL '4 hours' AS closed_at, arg_min(price, (ts, trade_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, trade_id)) AS close, sum(qty) AS volume, count(*) AS trades
+FROM w WHERE opened_at + INTERVAL '4 hours' <= (SELECT max(ts) FROM ticks) - INTERVAL '10 minutes' GROUP BY symbol, opened_at""",
+    ["open", "high", "low", "close", "volume"],
+)
+def _(spark, sf):
+    return jobs.run_to_end(jobs.stream_bars(jobs.tick_stream(spark, f"{sf}/events.parque[t]"), "4 hours", "10 minutes", "1 hour"))
+
+
 @query("stream_position")
 def _(spark, sf):
     fills = jobs.tick_stream(spark, f"{sf}/events.parque[t]").withColumn("buy", F.col("trade_id") % 2 == 0)

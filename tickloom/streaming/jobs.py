@@ -7,6 +7,8 @@ checkpoint.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,10 +21,11 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def folder(spark: SparkSession) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; without the setting local masters get a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/tickloom-shared"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
@@ -34,10 +37,13 @@ def tick_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return rows.where("value > 0").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("trade_id"), F.col("value").alias("price"), qty.alias("qty"))
 
 
-def stream_bars(ticks: DataFrame, every: str, late: str) -> DataFrame:
-    """Bars of closed windows, each emitted once the watermark has passed its end."""
+def stream_bars(ticks: DataFrame, every: str, late: str, slide: str | None = None) -> DataFrame:
+    """Bars of closed windows, each emitted once the watermark has passed its end.
+
+    With ``slide`` windows overlap: one begins every ``slide``, and a tick belongs to several.
+    """
     order = F.struct("ts", "trade_id")
-    rows = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", every).alias("w")).agg(
+    rows = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", every, slide).alias("w")).agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("qty").alias("volume"), F.count(F.lit(1)).alias("trades")
     )
     return rows.select("symbol", F.col("w.start").alias("opened_at"), F.col("w.end").alias("closed_at"), "open", "high", "low", "close", "volume", "trades")
