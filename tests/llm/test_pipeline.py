@@ -55,9 +55,10 @@ def test_stages_with_nulls_repeats_clashing_columns_and_no_rows(spark, tmp_path)
         assert set(map(tuple, docs.collect())) <= set(rows)
         if name == "ngram_join":
             texts = sorted(r.text or "" for r in docs.collect())
-            assert texts == sorted([r[1] for r in rows[:60]] + ["", "long " * 30_000])
+            # Rows repeated with one doc_id are one document and stay together.
+            assert texts == sorted([r[1] for r in rows[:60]] + [rows[5][1]] * 2 + ["", "long " * 30_000])
     left = docs.collect()
-    assert 0 < len(left) < 62
+    assert 0 < len(left) < 64
     pieces = cp.STAGES[-1][1](spark, docs, sf).collect()
     assert sorted(str(r.doc_id) for r in pieces if r.start == 0) == sorted(str(r.doc_id) for r in left)
     none = df.limit(0)
