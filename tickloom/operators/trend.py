@@ -1,4 +1,4 @@
-"""Rules on long trends: a pull-back that resumes, and an acceleration asked at one hour of the day."""
+"""Rules on long trends: pull-backs, retests, breakouts, accelerations and exhausted moves; windows are counted in bars."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .signals import signal
-from .windows import prior_full, shift
+from .windows import full, prior_full, shift
 
 
 def pullback_resume(rows: DataFrame, trend: int = 2880, pullback: int = 240, trigger: int = 12, least_trend: float = 0.018, least_pullback: float = 0.004, resume: float = 0.0008) -> DataFrame:
@@ -26,3 +26,36 @@ def timed_acceleration(rows: DataFrame, trend: int = 1440, impulse: int = 15, le
     long = at & F.lit(side in ("both", "long")) & (F.col("gain") >= least_trend) & (F.col("move") >= least_impulse)
     short = at & F.lit(side in ("both", "short")) & (F.col("gain") <= -least_trend) & (F.col("move") <= -least_impulse)
     return signal(rows, long, short, F.lit(0.99))
+
+
+def breakout_momentum(rows: DataFrame, w: int = 60, buffer: float = 0.001, n: int = 10, least: float = 0.001) -> DataFrame:
+    """A close beyond the range of the ``w`` bars before, with a move of ``n`` bars the same way."""
+    rows = rows.withColumn("ph", prior_full(F.max("high"), w)).withColumn("pl", prior_full(F.min("low"), w)).withColumn("move", F.col("close") / shift("close", n) - 1)
+    long = (F.col("close") > F.col("ph") * (1 + buffer)) & (F.col("move") >= least)
+    return signal(rows, long, (F.col("close") < F.col("pl") * (1 - buffer)) & (F.col("move") <= -least), F.lit(0.8))
+
+
+def selective_breakout(rows: DataFrame, w: int = 720, buffer: float = 0.002, trend: int = 1440, least: float = 0.01, cooldown: int = 240) -> DataFrame:
+    """A breakout along a long trend; bars must have moved on in time over the last ``cooldown`` of them."""
+    rows = rows.withColumn("ph", prior_full(F.max("high"), w)).withColumn("pl", prior_full(F.min("low"), w)).withColumn("gain", F.col("close") / shift("close", trend) - 1)
+    cool = F.coalesce(F.col("opened_at") > shift("opened_at", cooldown), F.lit(True))
+    long = cool & (F.col("gain") >= least) & (F.col("close") > F.col("ph") * (1 + buffer))
+    return signal(rows, long, cool & (F.col("gain") <= -least) & (F.col("close") < F.col("pl") * (1 - buffer)), F.lit(1.0))
+
+
+def swing_retest(rows: DataFrame, trend: int = 4320, pullback: int = 720, least: float = 0.03, depth: float = 0.01, reclaim: float = 0.003) -> DataFrame:
+    """In a long trend, a previous close well off the extreme of the bars before, and a close that takes it back."""
+    rows = rows.withColumn("gain", F.col("close") / shift("close", trend) - 1).withColumn("c1", shift("close", 1))
+    rows = rows.withColumn("ph", prior_full(F.max("high"), pullback)).withColumn("pl", prior_full(F.min("low"), pullback))
+    long = (F.col("gain") >= least) & (F.col("ph") > 0) & ((F.col("ph") - F.col("c1")) / F.col("ph") >= depth) & (F.col("close") >= F.col("c1") * (1 + reclaim))
+    short = (F.col("gain") <= -least) & (F.col("c1") > 0) & ((F.col("c1") - F.col("pl")) / F.col("c1") >= depth) & (F.col("close") <= F.col("c1") * (1 - reclaim))
+    return signal(rows, long, short, F.lit(1.0))
+
+
+def exhaustion_reversal(rows: DataFrame, move: int = 240, extreme: float = 0.02, turn: int = 20, reclaim: float = 0.002, w: int = 720, low: float = 0.35, high: float = 0.65) -> DataFrame:
+    """A far move that has begun to turn while the close is still in the outer part of the range, this bar included."""
+    rows = rows.withColumn("gain", F.col("close") / shift("close", move) - 1).withColumn("back", F.col("close") / shift("close", turn) - 1)
+    rows = rows.withColumn("rh", full(F.max("high"), w)).withColumn("rl", full(F.min("low"), w))
+    place = F.try_divide(F.col("close") - F.col("rl"), F.col("rh") - F.col("rl"))
+    long = (F.col("gain") <= -extreme) & (F.col("back") >= reclaim) & (place <= low)
+    return signal(rows, long, (F.col("gain") >= extreme) & (F.col("back") <= -reclaim) & (place >= high), F.lit(1.0))

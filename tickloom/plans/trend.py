@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import trend as t
 from ..sources import adapters as a
 from .registry import query
-from .signals import OUT, D, _lag, _prior, _sql
+from .signals import OUT, D, _full, _lag, _prior, _sql
 
 
 @query(
@@ -30,3 +30,44 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return t.timed_acceleration(a.bars_1h(spark, sf), 24, 4, hour=6).select(*OUT)
+
+
+_RANGE = f"{_prior('max(high)', 24)} AS ph, {_prior('min(low)', 24)} AS pl"
+
+
+@query("t31_breakout_momentum", _sql(f"{_RANGE}, close / {_lag('close', 4)} - 1 AS move", "close > ph * 1.001 AND move >= 0.001", "close < pl * 0.999 AND move <= -0.001", "0.8"), D)
+def _(spark, sf):
+    return t.breakout_momentum(a.bars_1h(spark, sf), 24, 0.001, 4, 0.001).select(*OUT)
+
+
+@query(
+    "t31_selective_breakout",
+    _sql(f"{_RANGE}, close / {_lag('close', 48)} - 1 AS gain, coalesce(opened_at > {_lag('opened_at', 12)}, true) AS cool", "cool AND gain >= 0.01 AND close > ph * 1.002", "cool AND gain <= -0.01 AND close < pl * 0.998", "1.0"),
+    D,
+)
+def _(spark, sf):
+    return t.selective_breakout(a.bars_1h(spark, sf), 24, 0.002, 48, 0.01, 12).select(*OUT)
+
+
+@query(
+    "t31_swing_retest",
+    _sql(
+        f"{_RANGE}, close / {_lag('close', 48)} - 1 AS gain, {_lag('close', 1)} AS c1",
+        "gain >= 0.03 AND ph > 0 AND (ph - c1) / ph >= 0.01 AND close >= c1 * 1.003", "gain <= -0.03 AND c1 > 0 AND (c1 - pl) / c1 >= 0.01 AND close <= c1 * 0.997", "1.0",
+    ),
+    D,
+)
+def _(spark, sf):
+    return t.swing_retest(a.bars_1h(spark, sf), 48, 24).select(*OUT)
+
+
+@query(
+    "t31_exhaustion_reversal",
+    _sql(
+        f"close / {_lag('close', 24)} - 1 AS gain, close / {_lag('close', 3)} - 1 AS back, {_full('max(high)', 48)} AS rh, {_full('min(low)', 48)} AS rl",
+        "gain <= -0.02 AND back >= 0.002 AND (close - rl) / nullif(rh - rl, 0) <= 0.35", "gain >= 0.02 AND back <= -0.002 AND (close - rl) / nullif(rh - rl, 0) >= 0.65", "1.0",
+    ),
+    D,
+)
+def _(spark, sf):
+    return t.exhaustion_reversal(a.bars_1h(spark, sf), 24, 0.02, 3, 0.002, 48).select(*OUT)
