@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, filter_audit, imatch, licences, lm_score, mixing, ngram_join, packing, secrets, toxicity, warc
+from . import embedding_dedup, exact_dedup, filter_audit, imatch, licences, lm_score, mixing, ngram_join, packing, prefix_trie, secrets, toxicity, warc
 
-MODULES = (warc, exact_dedup, secrets, toxicity, packing, licences, lm_score, imatch, mixing, ngram_join, filter_audit, embedding_dedup)
+MODULES = (warc, exact_dedup, secrets, toxicity, packing, licences, lm_score, imatch, mixing, ngram_join, prefix_trie, filter_audit, embedding_dedup)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in getattr(m, "SQL", {}).items()}
