@@ -117,3 +117,23 @@ def test_most_pages_are_reassembled_from_segments(spark):
     warc.write_archives(pages, path)
     parts = warc.read_records(spark, path)
     assert parts.where("segment = 1").count() > 0.5 * parts.where("record_type = 'response'").count()
+
+
+def test_record_ids_are_short_and_distinct():
+    body = bytes(range(33, 127)) * 60
+    parts = list(warc.records_of("8", "u", body, None, 1000, "77"))
+    rows = list(warc.parse(b"".join(p + b"\r\n\r\n" for p in parts)))
+    ids = [r["record_id"] for r in rows]
+    assert ids[0] == "<urn:row:77:page:8>" and ids[1:] == [f"<urn:row:77:segment:{k}:page:8>" for k in range(2, len(rows) + 1)]
+    assert {r["origin"] for r in rows[1:]} == {ids[0]} and [r["segment"] for r in rows] == list(range(1, len(rows) + 1))
+    assert sum(map(len, parts)) < 1.5 * len(body) + 1000
+
+
+def test_segments_of_a_file_in_any_order_and_twice():
+    body = b"z" * 9000
+    rows = list(warc.parse(b"".join(p + b"\r\n\r\n" for p in warc.records_of("8", "u", body, None, 1000))))
+    joined = warc.Assembler(True)
+    for r in [rows[-1], *rows[3:-1], rows[4], *rows[:3]]:
+        joined.add(r)
+    out = joined.out()
+    assert len(out) == 2 and out["payload"][1] == body and bool(out["complete"][1]) and out["segment"][0] == 5

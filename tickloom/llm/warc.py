@@ -91,14 +91,14 @@ def records_of(page_id: str, url: str, payload: bytes, refers_to: str | None, se
         yield head([("WARC-Type", "revisit"), *named, *extra], len(block)) + block
         return
     block = HTTP_HEAD + chunked(payload)
-    parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
-    for k, part in enumerate(parts, 1):
+    pieces = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
+    for k, piece in enumerate(pieces, 1):
         if k == 1:
-            fields = [("WARC-Type", "response"), *named, *([("WARC-Segment-Number", "1")] if len(parts) > 1 else [])]
+            fields = [("WARC-Type", "response"), *named, *([("WARC-Segment-Number", "1")] if len(pieces) > 1 else [])]
         else:
             fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:row:{part}:segment:{k}:page:{page_id}>"), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k))]
-            fields += [("WARC-Segment-Total-Length", str(len(block)))] if k == len(parts) else []
-        yield head(fields, len(part)) + part
+            fields += [("WARC-Segment-Total-Length", str(len(block)))] if k == len(pieces) else []
+        yield head(fields, len(piece)) + piece
 
 
 def _frame(segment_bytes: int):
@@ -251,6 +251,7 @@ class Assembler:
     def __init__(self, keep_payload: bool):
         self.keep_payload = keep_payload
         self.open: dict[str, dict[int, dict]] = {}
+        self.last: dict[str, dict] = {}  # by origin, the segment that states the total length
         self.rows: list[tuple] = []
         self.held = 0
 
@@ -265,12 +266,14 @@ class Assembler:
             self.loose(r)
             return
         parts[r["segment"]] = r
-        last = next((p for p in (r, parts[max(parts)]) if p["total"] is not None), None)
+        if r["total"] is not None:
+            self.last[origin] = r
+        last = self.last.get(origin)
         if last and last["segment"] == len(parts) and 1 in parts:
             block = b"".join(parts[k]["block"] for k in sorted(parts))
             if len(block) == last["total"] and max(parts) == len(parts):
                 self.whole(parts[1], block)
-                del self.open[origin]
+                del self.open[origin], self.last[origin]
 
     def whole(self, first: dict, block: bytes) -> None:
         data, size, digest, right = unframed(block, first["record_type"], first["stated_digest"], True)
@@ -284,7 +287,7 @@ class Assembler:
             for r in parts.values():
                 self.loose(r)
         frame = pd.DataFrame(self.rows, columns=[c.split()[0] for c in (DECODED + SEGMENT_COLUMNS).split(", ")])
-        self.open, self.rows, self.held = {}, [], 0
+        self.open, self.last, self.rows, self.held = {}, {}, [], 0
         return frame.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64", "segment": "Int32", "total": "Int64"})
 
 
