@@ -61,3 +61,13 @@ def test_threshold_never_takes_all():
     assert op.best_threshold(np.array([0.9, 0.2, 0.1, 0.1]), y) == 0.55
     assert op.best_threshold(np.array([0.1, 0.9, 0.8, 0.7]), y) == 2.0
     assert op.best_threshold(np.empty(0), np.empty(0)) == 2.0
+
+
+def test_labels_of_one_kind_reject_nothing(spark):
+    docs = spark.createDataFrame([(i, f"words w{i % 7} here v{i % 3}") for i in range(40)], "doc_id long, text string")
+    for quality, toxic in ((1, 1), (1, 0), (0, 1), (0, 0)):
+        labels = spark.createDataFrame([(i, quality, toxic) for i in range(40)], "doc_id long, quality int, toxic int")
+        rows = op.toxicity(docs, labels).collect()
+        assert len(rows) == 40 and not any(r.rejected for r in rows)
+        assert max(max(r.p_low_quality, r.p_toxic, r.p_toxic_fluent) for r in rows) < 1e-6
+        assert op.without_toxic(docs, labels).count() == 40

@@ -43,6 +43,7 @@ PREFIXES = (4, 5, 6)
 Z = 3.5
 LEAST_ROWS = 2
 MOST_FEATURES = 8192
+NEVER = -40.0  # log odds of a category without labels of both kinds
 PAIRS_HELD = 1 << 20
 
 
@@ -117,15 +118,17 @@ class Chain:
                 out[own] = model.logits(rows, columns, logits)[own]
             self.links.append(self.one(h, r, logits, y))
             logits = np.column_stack([logits, np.clip(out, -15, 15)])
-        self.threshold = best_threshold(sigmoid(logits[:, CATEGORIES.index("toxic")]), targets[:, CATEGORIES.index("toxic")])
+        toxic = targets[:, CATEGORIES.index("toxic")]
+        self.threshold = best_threshold(sigmoid(logits[:, CATEGORIES.index("toxic")]), toxic) if 0 < toxic.sum() < n else 2.0
         self.wanted = np.unique(np.concatenate([names for names, _ in self.links])) if self.links else np.empty(0, np.uint32)
         return self
 
     @staticmethod
     def one(h, r, dense, y):
+        """(features, model) of a category; of labels of one kind nothing can be learnt, and it gets about probability 0."""
         if not len(y) or y.min() == y.max():
             model = Logistic(rounds=0).fit(np.empty(0, np.int64), np.empty(0, np.int64), dense, y, 0)
-            model.bias = -15.0 if not len(y) or y.max() == 0 else model.bias
+            model.bias = NEVER
             return np.empty(0, np.uint32), model
         names = associated(h, r, y, LEAST_ROWS, Z, MOST_FEATURES)
         rows, columns = present(h, r, names)
