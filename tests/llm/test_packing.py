@@ -30,8 +30,7 @@ def check(rows, wanted):
 
 def test_pieces_give_the_tokenizers_ids():
     encoder, plain = packing.Encoder(PATH), Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
-    texts = ["", " ", "a  b", "a \n b", "\n a", "x y ", "it's  a  b　 c  d", "\x1c \x1d a\x1c b", "<|endoftext|> a <|endoftext|>", "w" * 300 + " " + "w" * 300, "é ß 123 4,5 --"]
+    texts = ["<|endoftext|>", "a<|endoftext|>", "x.  <|endoftext|><|endoftext|>  b\n", "<|endoftext|", "c\n<|endoftext|>\n\n d", "", " ", "a  b", "a \n b", "\n a", "x y ", "it's  a  b　 c  d", "\x1c \x1d a\x1c b", "<|endoftext|> a <|endoftext|>", "w" * 300 + " " + "w" * 300, "é ß 123 4,5 --"]
     random.seed(3)
     texts += ["".join(random.choice("ab1 \n\t.,' é\x1c") for _ in range(60)) for _ in range(500)]
     texts += ["".join(random.choice(["ab", "c.", " ", "\n", "é!!", "1", "'s", "--", "\t"]) for _ in range(40)) for _ in range(500)]

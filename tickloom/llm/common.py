@@ -62,6 +62,17 @@ def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.orderBy("__h", key).limit(most).drop("__h")
 
 
+def slices(texts, most_rows: int = 512, most_bytes: int = 3 << 20):
+    """(first, end) of runs of an Arrow array of texts, of so many rows and bytes; a longer text is a run of its own."""
+    import pyarrow.compute as pc
+
+    ends, at = pc.cumulative_sum(pc.binary_length(texts).cast("int64")).to_numpy(zero_copy_only=False), 0
+    while at < len(ends):
+        far = int(ends.searchsorted((ends[at - 1] if at else 0) + most_bytes, side="right"))
+        yield at, (end := max(at + 1, min(far, at + most_rows)))
+        at = end
+
+
 def give_back() -> None:
     """Returns the free memory of this Python worker to the system; workers outlive their tasks."""
     import pyarrow

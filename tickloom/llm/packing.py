@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from .common import released, table, text_of
+from .common import released, slices, table, text_of
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
@@ -66,7 +66,9 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = {s: self.tokenizer.encode(s, add_special_tokens=False).ids for s in special}
+        self.marks = re.compile("|".join(map(re.escape, special))) if special else None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
@@ -96,7 +98,20 @@ class Encoder:
         return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text, with the end id."""
+        """The ids of each text, with the end id; the vocabulary's special tokens in a text have their own ids."""
+        if not any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special):
+            return self.plain(texts)
+        out = []
+        for text in texts.to_pylist():
+            between = self.plain(pa.array(self.marks.split(text), pa.string()))
+            ids = [between[0][:-1]]
+            for mark, part in zip(self.marks.findall(text), between[1:], strict=True):
+                ids += [np.array(self.special[mark], np.uint32), part[:-1]]
+            out.append(np.concatenate([*ids, np.array([END_ID], np.uint32)]))
+        return out
+
+    def plain(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of texts that hold no special token."""
         lines = pc.split_pattern(texts, "\n")
         words = pc.split_pattern(lines.values, " ")
         encoded = words.values.dictionary_encode()
@@ -172,15 +187,6 @@ def encoder_of(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def slices(texts: pa.Array):
-    """(first, end) of runs of texts of about ``SLICE_BYTES``; a longer text is a run of its own."""
-    ends, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
-    while at < len(ends):
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
-        yield at, end
-        at = end
-
-
 class Packer:
     """Packs the documents of one partition; ``flush`` returns finished pieces."""
 
@@ -289,7 +295,7 @@ def _packed(path: str, tiers, group_tokens: int):
         encoder, packer = encoder_of(path), Packer(TaskContext.get().partitionId(), tiers, group_tokens)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1)
-            for k, end in slices(texts):
+            for k, end in slices(texts, 1 << 20, SLICE_BYTES):
                 for doc_id, tokens in zip(ids[k:end], encoder.encode(texts[k:end]), strict=True):
                     packer.add(doc_id, tokens)
                 if sum(map(len, packer.waiting.values())) >= FLUSH_PIECES:
