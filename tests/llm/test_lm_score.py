@@ -132,3 +132,33 @@ def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
     one = {r.doc_id: r.score for r in op.lm_scores(docs.coalesce(1)).collect()}
     many = {r.doc_id: r.score for r in op.lm_scores(docs.repartition(5)).collect()}
     assert many == pytest.approx(one, rel=1e-6)
+
+
+def test_windows_of_streams_equal_a_dense_layout():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 9, n).astype(np.uint16) for n in (1, 2, 300, 25, 24, 48, 7, 1, 130)]
+    lanes = gru.dealt(texts, 4)
+    dense = np.full((max(sum(map(len, lane)) for lane in lanes), 4), -1)
+    before = np.full_like(dense, -1)
+    for j, lane in enumerate(lanes):
+        at = 0
+        for t in lane:
+            dense[at : at + len(t), j], before[at + 1 : at + len(t), j] = t, t[:-1]
+            at += len(t)
+    streams = gru.Streams(lanes)
+    for at in range(0, streams.longest, gru.WINDOW):
+        got_before, got = streams.window(at)
+        live = got.shape[1]
+        assert (got == dense[at : at + gru.WINDOW, :live]).all() and (got_before == before[at : at + gru.WINDOW, :live]).all()
+        assert (dense[at : at + gru.WINDOW, live:] == -1).all()
+
+
+def test_one_long_text_beside_short_ones_holds_little_memory():
+    import tracemalloc
+
+    texts = [np.ones(2_000_000, np.uint16)] + [np.ones(30, np.uint16)] * 800
+    tracemalloc.start()
+    streams = gru.Streams(gru.dealt(texts, 256))
+    streams.window(0), streams.window(1_000_008)
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()

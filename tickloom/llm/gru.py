@@ -127,22 +127,13 @@ class Trainer:
         texts = [t for t in texts if len(t)]
         if not texts:
             return
-        lanes = dealt([texts[i] for i in self.rng.permutation(len(texts))], self.lanes)
-        sizes = np.array([sum(len(t) for t in lane) for lane in lanes])
-        ids = np.full((int(sizes[0]), len(lanes)), -1, np.int32)
-        before = np.full_like(ids, -1)
-        for j, lane in enumerate(lanes):
-            at = 0
-            for t in lane:
-                ids[at : at + len(t), j] = t
-                before[at + 1 : at + len(t), j] = t[:-1]
-                at += len(t)
-        p, h = self.layout.named(self.flat), np.zeros((HIDDEN, len(lanes)), np.float32)
-        self.full = min(WINDOW, len(ids)) * len(lanes)
-        for at in range(0, len(ids), WINDOW):
-            live = int(np.searchsorted(-sizes, -at))
+        streams = Streams(dealt([texts[i] for i in self.rng.permutation(len(texts))], self.lanes))
+        p, h = self.layout.named(self.flat), np.zeros((HIDDEN, streams.lanes), np.float32)
+        self.full = min(WINDOW, streams.longest) * streams.lanes
+        for at in range(0, streams.longest, WINDOW):
+            before, ids = streams.window(at)
             grad = np.zeros_like(self.flat)
-            h, n = window_gradient(self.layout, p, self.layout.named(grad), before[at : at + WINDOW, :live], ids[at : at + WINDOW, :live], h[:, :live])
+            h, n = window_gradient(self.layout, p, self.layout.named(grad), before, ids, h[:, : ids.shape[1]])
             self.words += n
             self._step(grad, n)
 
@@ -157,6 +148,30 @@ class Trainer:
         self.flat -= rate * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.v / (1 - 0.99**self.step)) + 1e-6)
 
 
+class Streams:
+    """Lanes of texts end to end in one array: what is held is the words, whatever the lanes' lengths."""
+
+    def __init__(self, lanes: list[list[np.ndarray]]):
+        """lanes: the longest first."""
+        texts = [t for lane in lanes for t in lane]
+        self.words = np.concatenate(texts)
+        self.begins = np.zeros(len(self.words), bool)
+        self.begins[np.cumsum([0, *map(len, texts[:-1])])] = True
+        self.sizes = np.array([sum(map(len, lane)) for lane in lanes])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.lanes, self.longest = len(lanes), int(self.sizes[0])
+
+    def window(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """(words before, words) of the steps from ``at`` on (steps x lanes still running); -1 where there is none."""
+        live = int(np.searchsorted(-self.sizes, -at))
+        step = np.arange(at, min(at + WINDOW, self.longest))[:, None]
+        inside = step < self.sizes[:live]
+        place = np.where(inside, self.starts[:live] + step, 0)
+        ids = np.where(inside, self.words[place].astype(np.int32), -1)
+        before = np.where(inside & ~self.begins[place], self.words[place - 1].astype(np.int32), -1)
+        return before, ids
+
+
 def dealt(texts: list[np.ndarray], lanes: int) -> list[list[np.ndarray]]:
     """Texts put on at most ``lanes`` lanes, each to the shortest so far; the longest lane first."""
     out: list[list[np.ndarray]] = [[] for _ in range(min(lanes, len(texts)))]
@@ -253,7 +268,7 @@ class Scorer:
             lanes[j].append(i)
             heapq.heappush(heap, (n + len(texts[i]), j))
         streams = [np.concatenate([texts[i] for i in lane]) for lane in lanes]
-        owners = [np.repeat(lane, [len(texts[i]) for i in lane]) for lane in lanes]
+        owners = [np.repeat(np.array(lane, np.int32), [len(texts[i]) for i in lane]) for lane in lanes]
         by = sorted(range(len(lanes)), key=lambda j: -len(streams[j]))
         streams, owners = [streams[j] for j in by], [owners[j] for j in by]
         sizes = np.array([len(s) for s in streams])

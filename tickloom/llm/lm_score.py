@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import released, table, text_of, written
+from .common import released, slices, table, text_of, written
 from .hashing import text_words
 
 LISTED = 1 << 18
@@ -59,8 +59,8 @@ def _count(batches):
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
     for b in batches:
-        for lo in range(0, b.num_rows, 512):
-            texts = [t.encode() for t in b.column(0).slice(lo, 512).to_pylist()]
+        for lo, end in slices(b.column(0)):
+            texts = [t.encode() for t in b.column(0).slice(lo, end - lo).to_pylist()]
             for _, docs in text_words(texts):
                 held += docs
                 n += sum(map(len, docs))
@@ -134,8 +134,8 @@ def _numbered(held):
         vocabulary = held.value
         row = TaskContext.get().partitionId() << 36
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part, columns = b.slice(lo, 512), {k: [] for k in names}
+            for lo, end in slices(b.column(4)):
+                part, columns = b.slice(lo, end - lo), {k: [] for k in names}
                 for _, docs in text_words([t.encode() for t in part.column(4).to_pylist()]):
                     for words in docs:
                         words = np.append(words, END)
