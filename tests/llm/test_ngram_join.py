@@ -74,6 +74,37 @@ def test_repeats_null_ids_and_empty_tables(spark):
     assert op.ngram_components(df.limit(0), 3, 90, 100).count() == 0
 
 
+def test_one_doc_id_with_several_texts(spark):
+    rng = random.Random(11)
+    a, b = ([f"{x}{rng.randrange(10**6)}" for _ in range(60)] for x in "ab")
+    near = lambda w, k: " ".join(w[:-k] + [f"n{k}{i}" for i in range(k)])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (12, near(a, 2)), (13, near(b, 2)), (14, near(b, 1)), (15, " ".join(b)), (4, "alone " + near(a, 40)), (4, "alone " + near(b, 40))]
+    rows += [(30, near(a, 3)), (30, near(a, 1)), (None, near(b, 1)), (None, "no partner at all"), (20, near(a, 2) + " z1 z2 z3"), (3, "x y"), (3, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets, link = [set_of(t, 3) for _, t in rows], {k: {k} for k in range(len(rows))}
+    for i in link:
+        for j in link:
+            same = sets[i] == sets[j] if None in (rows[i][0], rows[j][0]) else 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+            if same:
+                link[i].add(j)
+    want, groups = [], {}
+    for i in link:
+        seen, todo = {i}, [i]
+        while todo:
+            new = link[todo.pop()] - seen
+            seen |= new
+            todo += new
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        want.append((rows[i][0], len(sets[i]), min(ids, default=None)))
+        groups[min(seen)] = min(ids, default=None)
+    got = op.ngram_components(df, 3, 80, 100).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(want, key=str)
+    assert {r.component_id for r in got if r.doc_id == 13} == {5} == {r.component_id for r in got if r.doc_id == 12}
+    kept = op.one_of_each(df, 3, 80, 100).collect()
+    # Two components have doc_id 5 as their smallest, two sets of doc_id 4 stand alone, equal rows of doc_id 3 stay together.
+    assert sorted((r.doc_id for r in kept), key=str) == sorted([*groups.values(), 3], key=str)
+
+
 def test_word_hashes():
     texts = [b"Aa bB\taa", b"", b"  ", "é aa".encode(), b"x" * 700]
     got = {}

@@ -18,8 +18,12 @@
    way. Pairs inside a component need no check, so a large group of near copies costs one pass; no
    link between components is lost.
 
+Sets, classes and links are known by their content, not by doc_id: a doc_id with several texts has a set for
+each, and they are linked only through their own links.
+
 Defined results: null or blank text has an empty set and is linked with nothing; texts with fewer
-words than n have one shingle; rows repeated with one doc_id are one document; a null doc_id is linked
+words than n have one shingle; of a component the filter keeps the rows of its smallest doc_id with one set and text (equal
+rows repeated with it stay together); a null doc_id is linked
 through equal sets only (component_id of its class; null if no member has an id); an empty table gives
 an empty result; other columns are ignored.
 """
@@ -34,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bits
-from .common import released, table, text_of, written
+from .common import released, slices, table, text_of, written
 from .graph import components
 from .hashing import shingles, text_words
 
@@ -58,16 +62,16 @@ class Similarity:
 
 
 def _sets(k: int, prefix: tuple[int, int] | None, ids=None):
-    """doc_id, n, d1, d2 and the first tokens (with ``prefix``) or all of them; of the ``ids`` only."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    """doc_id, mark, n, d1, d2 and the first tokens (with ``prefix``) or all of them; of the ``ids`` only."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
             if ids is not None:
                 known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
                 b = b.filter(pa.array(known & bits.test(ids.value, b.column(0).fill_null(0).to_numpy())))
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo, end in slices(b.column(1), 256):
+                part = b.slice(lo, end - lo)
                 texts = [t.encode() for t in part.column(1).to_pylist()]
                 n, digests, tokens = [], [], []
                 for _, docs in text_words(texts):
@@ -80,7 +84,7 @@ def _sets(k: int, prefix: tuple[int, int] | None, ids=None):
                             own = own[: len(own) - -(-num * len(own) // den) + 1 + len(own) // SPARE]
                         tokens.append(own)
                 d = np.array(digests, np.int64).reshape(-1, 2)
-                columns = [part.column(0), pa.array(n, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists(tokens)]
+                columns = [part.column(0), part.column(2), pa.array(n, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists(tokens)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
@@ -94,12 +98,17 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
 
 #: One more shared token is asked for in the prefilter per so many tokens of a set.
 SPARE = 20
-SETS = "doc_id long, n int, d1 long, d2 long, tokens array<long>"
+SETS = "doc_id long, mark long, n int, d1 long, d2 long, tokens array<long>"
 
 
 def sets_of(docs: DataFrame, k: int, prefix: tuple[int, int] | None = None, ids=None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(ids) if ids is not None else None
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(released(_sets(k, prefix, held)), SETS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), mark_of()).mapInArrow(released(_sets(k, prefix, held)), SETS)
+
+
+def mark_of() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(text_of()).alias("mark")
 
 
 def _only_shared(held, num: int, den: int):
@@ -131,16 +140,16 @@ def only_shared(rows: DataFrame, shared: DataFrame, num: int = 0, den: int = 1)
 
 
 def possible_ids(heads: DataFrame, t: Similarity) -> DataFrame:
-    """doc_id of the documents whose sets pass the prefilter; their classes' representatives are among them.
+    """doc_id, d1, d2 of the sets that pass the prefilter; their classes' representatives are among them.
 
     Rows of one set are grouped by the document, not by the token they were joined on, so Spark can
     split the join of a frequent token.
     """
-    rows = heads.where("n > 0 and doc_id is not null").select("doc_id", "n", "tokens")
+    rows = heads.where("n > 0 and doc_id is not null").select(F.struct("doc_id", "d1", "d2").alias("set"), "n", "tokens")
     shared = written(rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token"))
-    met = only_shared(rows, shared).select("doc_id", "n", F.explode("tokens").alias("token")).join(shared, "token")
-    counts = met.groupBy("doc_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("met"))
-    return counts.where(F.col("met") >= 1 + F.expr(f"({t.num} * n + {t.den - 1}) div {t.den} div {SPARE}")).select("doc_id")
+    met = only_shared(rows, shared).select("set.*", "n", F.explode("tokens").alias("token")).join(shared, "token")
+    counts = met.groupBy("doc_id", "d1", "d2").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("met"))
+    return counts.where(F.col("met") >= 1 + F.expr(f"({t.num} * n + {t.den - 1}) div {t.den} div {SPARE}")).select("doc_id", "d1", "d2")
 
 
 def frequency_prefixes(sets: DataFrame, t: Similarity) -> DataFrame:
@@ -215,34 +224,50 @@ def remaining_pairs(members: DataFrame, groups: DataFrame, comps: DataFrame, t:
     return written(met.join(a, ["group1", "comp1"]).join(b, ["group2", "comp2"]).select("a", "b"))
 
 
-def ngram_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id of every document."""
+def set_key(several: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, d1, d2) with the key of the set: its doc_id, or a hash where the doc_id (of ``several``) has other sets too."""
+    known = rows.join(several, rows["doc_id"] == several["several_id"], "left")
+    return known.withColumn("key", F.when(F.col("several_id").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "d1", "d2"))).drop("several_id")
+
+
+def in_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, mark, n, class_id, component_id, and whether the row is the one that stays, for every document."""
     t = Similarity(num, den)
     heads = written(sets_of(docs, k, (num, den)))
-    classes = written(heads.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id")))
-    chosen = classes.select(F.col("class_id").alias("__id")).where("__id is not null").distinct()
-    possible = possible_ids(heads, t)
-    chosen = written(chosen.join(possible, chosen["__id"] == possible["doc_id"], "left_semi"))
-    ids = bits.filled(chosen)
-    few = docs if ids is not None else docs.join(chosen, docs["doc_id"] == F.col("__id"), "left_semi")
-    sets = written(sets_of(few, k, ids=ids).select("doc_id", "n", "tokens"))
+    full = heads.where("n > 0")
+    several = full.where("doc_id is not null").groupBy(F.col("doc_id").alias("several_id")).agg(F.min(F.struct("d1", "d2")).alias("one"), F.max(F.struct("d1", "d2")).alias("other"))
+    several = written(several.where("one <> other").select("several_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")).alias("first")
+    classes = full.groupBy("d1", "d2").agg(first).select("d1", "d2", "first", F.col("first.doc_id").alias("doc_id"))
+    classes = written(set_key(several, classes))
+    chosen = classes.where("doc_id is not null").select("key", "doc_id", "d1", "d2")
+    chosen = written(chosen.join(possible_ids(heads, t), ["doc_id", "d1", "d2"], "left_semi"))
+    ids = bits.filled(chosen.select("doc_id"))
+    few = docs if ids is not None else docs.join(chosen.select(F.col("doc_id").alias("__id")).distinct(), docs["doc_id"] == F.col("__id"), "left_semi")
+    rows = set_key(several, sets_of(few, k, ids=ids))
+    # Rows of one key have one set. What a full bit lets pass by chance is the set of a class that it does no harm to.
+    odd = chosen.join(several, chosen["doc_id"] == several["several_id"], "left_semi").select(F.col("key").alias("odd"))
+    sets = written(rows.join(several, rows["doc_id"] == several["several_id"], "left_anti").unionByName(rows.join(written(odd), F.col("key") == F.col("odd"), "left_semi")).select(F.col("key").alias("doc_id"), "n", "tokens"))
     if sets.groupBy("doc_id").count().where("count > 1").limit(1).count():
         sets = written(sets.dropDuplicates(["doc_id"]))
-    comps = written(linked(sets, t))
-    rows = heads.drop("tokens").join(classes, ["d1", "d2"], "left")
-    rows = rows.join(comps, rows["class_id"] == comps["v"], "left")
-    return rows.select(
-        "doc_id",
-        F.col("n").cast("long").alias("n_shingles"),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("comp", "class_id", "doc_id").alias("component_id"),
-    )
+    comps = linked(sets, t)
+    classes = written(classes.join(comps, classes["key"] == comps["v"], "left").select("d1", "d2", "first", "comp"))
+    tops = classes.where("comp is not null").groupBy(F.col("comp").alias("top")).agg(F.min("first").alias("best"))
+    classes = classes.join(tops, F.col("comp") == F.col("top"), "left").select("d1", "d2", F.col("first.doc_id").alias("class_id"), F.coalesce("best", "first").alias("best"))
+    rows = heads.drop("tokens").join(written(classes), ["d1", "d2"], "left")
+    stays = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark")))
+    return rows.select("doc_id", "mark", "n", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("best.doc_id", "doc_id").alias("component_id"), stays.alias("stays"))
+
+
+def ngram_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id of every document."""
+    return in_classes(docs, k, num, den).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with only the smallest doc_id of each component, columns as they were."""
-    gone = ngram_components(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(written(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = in_classes(docs, k, num, den).where("not stays").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(written(gone), docs["doc_id"].eqNullSafe(F.col("__gone")) & (mark_of() == F.col("__mark")), "left_anti")
 
 
 def op10_ngram_join(spark, sf_dir):
