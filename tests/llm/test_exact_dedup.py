@@ -38,4 +38,10 @@ def test_empty_table_and_repeats(spark):
 def test_dropping_leaves_other_texts_of_a_dropped_doc_id(spark):
     rows = [(1, "x"), (None, "x"), (None, "alone"), (2, "x"), (2, "own"), (3, "y"), (3, "y"), (None, "z"), (None, " z")]
     kept = op.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, "x"), (None, "alone"), (2, "own"), (3, "y"), (3, "y"), (None, " z")], key=str)
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, "x"), (None, "alone"), (2, "own"), (3, "y"), (None, " z")], key=str)
+
+
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(1, "same text", "a"), (1, "same text", "b"), (1, "same  text", "a"), (1, "other", "a"), (2, None, None), (2, "", "c"), (3, "same text", "z")] + [(7, "hot", "h")] * 500
+    kept = op.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, "same  text", "a"), (1, "other", "a"), (2, None, None), (7, "hot", "h")], key=str)

@@ -11,8 +11,8 @@ is reduced to one row per task before it is shuffled. Texts are never shuffled.
 
 Defined results: null text is empty; texts of white space only are equal to the empty text; of equal
 texts the one with the most code points stays, then the smallest doc_id; a null doc_id loses against
-any other; rows repeated with the same doc_id are one document (all of them carry ``kept``); an empty
-table gives an empty result; other columns of the input are not looked at.
+any other; rows repeated with the same doc_id are one document (all of them carry ``kept``), of which the filter keeps one row;
+an empty table gives an empty result; other columns of the input are not looked at, but for ties of repeated rows.
 """
 
 from __future__ import annotations
@@ -69,22 +69,27 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the dropped rows, columns as they were.
+    """``docs`` with one row of each group of equal texts, columns as they were.
 
-    A row is dropped by its doc_id and its text, so another text under the same doc_id stays. Rows
-    without a doc_id are documents of their own: of equal ones the one with the most code points stays.
+    The row that stays is that of ``keep_id``. Where several equal texts have that doc_id (or none of them has one), one
+    of these rows stays: the one with the most code points, then the last text, then the last of the other columns as JSON.
+    A row is dropped by its doc_id and its text, so another text under a dropped doc_id stays.
     """
-    dropped = with_winners(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), *(F.col(k).alias(f"__{k}") for k in KEYS))
-    norm = normalised(text_of(text_col))
-    keys = {"digest": F.unhex(F.sha2(norm, 256)), "norm_chars": F.length(norm), "check": F.xxhash64(norm)}
-    same = docs[id_col].eqNullSafe(F.col("__gone"))
-    for k, value in keys.items():
-        same = same & (value == F.col(f"__{k}"))
-    left = docs.join(written(dropped.distinct()), same, "left_anti")
+    keys = [F.col(k).alias(f"__{k}") for k in KEYS]
+    marked = with_winners(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__id"), *keys, "kept").agg(F.count(F.lit(1)).alias("__many"))
+    marked = written(marked.where("not kept or __many > 1").select("__id", *(f"__{k}" for k in KEYS), F.col("kept").alias("__kept")))
     text = text_of(text_col)
-    loose = left.where(F.col(id_col).isNull()).groupBy(*(v.alias(f"__{k}") for k, v in keys.items()))
-    loose = loose.agg(F.max_by(F.struct(*docs.columns), F.struct(F.length(text), text)).alias("__row")).select("__row.*")
-    return left.where(F.col(id_col).isNotNull()).unionByName(loose)
+    norm = normalised(text)
+    values = {"digest": F.unhex(F.sha2(norm, 256)), "norm_chars": F.length(norm), "check": F.xxhash64(norm)}
+    same = docs[id_col].eqNullSafe(F.col("__id"))
+    for k, value in values.items():
+        same = same & (value == F.col(f"__{k}"))
+    rows = docs.join(marked, same, "left").where("__kept is null or __kept")
+    once, again = rows.where("__kept is null").select(*docs.columns), rows.where("__kept")
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    order = F.struct(F.length(text), text, *([F.to_json(F.struct(*others))] if others else []))
+    picked = again.groupBy("__id", *(f"__{k}" for k in KEYS)).agg(F.max_by(F.struct(*docs.columns), order).alias("__row"))
+    return once.unionByName(picked.select("__row.*"))
 
 
 def op2_exact_dedup(spark, sf_dir):
