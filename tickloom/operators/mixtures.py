@@ -1,4 +1,4 @@
-"""Clustering fits: k-means by Spark ML and diagonal Gaussian mixtures by distributed EM."""
+"""K-means by Spark ML; mixtures and grids of fits are in ``fits``."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stats import assign
-
 
 def kmeans(points: DataFrame, k: int, features: str = "x", seed: int = 7, quantile: float = 0.99) -> tuple[DataFrame, DataFrame]:
     """(points with cluster and distance, clusters with the distance that holds ``quantile`` of their points)."""
@@ -20,30 +18,3 @@ def kmeans(points: DataFrame, k: int, features: str = "x", seed: int = 7, quanti
     gap = F.zip_with(F.col(features).cast("array<double>"), held[F.col("cluster")], lambda a, b: (a - b) * (a - b))
     out = out.withColumn("distance", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, v: s + v)))
     return out, out.groupBy("cluster").agg(F.percentile("distance", quantile).alias("limit"), F.count(F.lit(1)).alias("n"))
-
-
-def diagonal_mixture(vectors: DataFrame, start: DataFrame, rounds: int = 5, floor: float = 1e-3) -> DataFrame:
-    """Centres (component, dim, mean, var, weight) after ``rounds`` of EM over long rows (vec_id, dim, x).
-
-    E and M steps are one grouped aggregate each; the centres are a fixed small table between rounds.
-    """
-    spark, centres = vectors.sparkSession, start
-    for _ in range(rounds):
-        rows = vectors.join(F.broadcast(centres), "dim")
-        d2 = F.pow(F.col("x") - F.col("mean"), 2) / F.col("var")
-        lp = rows.groupBy("vec_id", "component").agg((F.log(F.first("weight")) - F.sum(F.log("var") + d2) / 2).alias("lp"))
-        top = lp.groupBy("vec_id").agg(F.max("lp").alias("m"))
-        e = lp.join(top, "vec_id").withColumn("e", F.exp(F.col("lp") - F.col("m")))
-        total = e.groupBy("vec_id").agg(F.sum("e").alias("t"))
-        r = e.join(total, "vec_id").select("vec_id", "component", (F.col("e") / F.col("t")).alias("r"))
-        joined = vectors.join(r, "vec_id")
-        m = joined.groupBy("component", "dim").agg(F.sum("r").alias("w"), F.sum(F.col("r") * F.col("x")).alias("s"), F.sum(F.col("r") * F.col("x") * F.col("x")).alias("q"))
-        m = m.withColumn("mean", F.col("s") / F.col("w")).withColumn("var", F.greatest(F.col("q") / F.col("w") - F.pow(F.col("s") / F.col("w"), 2), F.lit(0.0)) + floor)
-        n = m.groupBy("dim").agg(F.sum("w").alias("n"))
-        table = m.join(n, "dim").select("component", "dim", "mean", "var", (F.col("w") / F.col("n")).alias("weight")).collect()  # components x dims
-        centres = spark.createDataFrame(table, "component int, dim int, mean double, var double, weight double")
-    return centres
-
-
-def mixture_assignments(vectors: DataFrame, centres: DataFrame) -> DataFrame:
-    return assign(vectors, centres)

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import inference, mixtures, performance, signals, simulation
+from ..operators import bootstrap, inference, mixtures, performance, ranking, signals, simulation
 from ..operators.recursive import smooth
 from ..operators.windows import full, true_range
 from ..sources import adapters as a
 from ..sources import archives
 from ..streaming import jobs
 from . import fragments as f
-from .regime import centres
 from .registry import query
 
 POLICIES = [
@@ -69,17 +68,55 @@ def _(spark, sf):
     return grid.join(grid.agg(F.count(F.lit(1)).alias("n")).hint("broadcast"))
 
 
-@query("c6_share_intervals")
+def draws_sql(draws: int, blocks: str, name: str = "draws") -> str:
+    """Uniform numbers by draw and block, as a CTE (draw, us)."""
+    return f"""{name} AS (SELECT draw, list(CAST(('0x' || substr(md5('{bootstrap.SEED}:' || draw || ':' || b), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE ORDER BY b) AS us
+  FROM (SELECT unnest(range(0, {draws})) AS draw), (SELECT unnest(range(0, CAST(({blocks}) AS BIGINT))) AS b) GROUP BY draw)"""
+
+
+SHARES_SQL = f"""WITH m AS (SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus, count(*) AS k FROM orders GROUP BY ALL),
+top AS (SELECT o_orderpriority, month, o_orderstatus AS status FROM m QUALIFY row_number() OVER (PARTITION BY o_orderpriority, month ORDER BY k DESC, o_orderstatus) = 1),
+ser AS (SELECT o_orderpriority, list(status ORDER BY month) AS labels, count(*) AS n, CAST(ceil(count(*) / 3.0) AS BIGINT) AS blocks FROM top GROUP BY o_orderpriority),
+lab AS (SELECT ser.*, n - 3 * (blocks - 1) AS tail, unnest(list_distinct(labels)) AS status FROM ser),
+hit AS (SELECT *, list_transform(labels, lambda v: CAST(v = status AS INTEGER)) AS hits FROM lab),
+blk AS (SELECT *, list_transform(range(0, n), lambda i: list_sum(list_transform(range(0, 3), lambda k: hits[(i + k) % n + 1]))) AS whole, list_transform(range(0, n), lambda i: list_sum(list_transform(range(0, tail), lambda k: hits[(i + k) % n + 1]))) AS last FROM hit),
+{draws_sql(5000, "SELECT max(blocks) FROM ser")},
+d AS (SELECT o_orderpriority, status, list_sum(hits) / n AS share, (coalesce(list_sum(list_transform(us[1:blocks - 1], lambda u: whole[CAST(floor(u * n) AS BIGINT) + 1])), 0) + last[CAST(floor(us[blocks] * n) AS BIGINT) + 1]) / n AS value FROM blk, draws),
+q AS (SELECT o_orderpriority, status, any_value(share) AS share, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM d GROUP BY o_orderpriority, status) ---
+SELECT o_orderpriority, status, share, greatest(0, least(lo, share)) AS low, least(1, greatest(hi, share)) AS high FROM q"""
+
+
+@query("c6_share_intervals", SHARES_SQL, ["share", "low", "high"])
 def _(spark, sf):
-    rows = a.read(spark, sf, "orders").select("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderstatus")
-    top = rows.groupBy("o_orderpriority", "month").agg(F.mode("o_orderstatus", True).alias("status"))
-    return inference.share_intervals(top, "o_orderpriority", "month", "status", draws=1000)
+    rows = a.read(spark, sf, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderstatus").agg(F.count(F.lit(1)).alias("k"))
+    top = rows.groupBy("o_orderpriority", "month").agg(F.min_by("o_orderstatus", F.struct(-F.col("k"), "o_orderstatus")).alias("status"))
+    return bootstrap.share_intervals(top, "o_orderpriority", "month", "status")
+
+
+#: Weekly returns of a candidate in a regime (the return flag) with their bounds.
+BOUNDS_SQL = f"""{f.LEDGER}, wk AS (SELECT flag, candidate_id, date_trunc('week', exit_ts) AS week, sum(ret) AS v, count(*) AS trades FROM ledger GROUP BY ALL),
+mt AS (SELECT flag, candidate_id, count(DISTINCT m) AS months FROM (SELECT flag, candidate_id, unnest([strftime(week, '%Y-%m'), strftime(week + INTERVAL '7 days' - INTERVAL '1 microsecond', '%Y-%m')]) AS m FROM wk) GROUP BY ALL),
+nb AS (SELECT *, coalesce(week - lag(week) OVER w = INTERVAL '7 days', false) AS after, coalesce(lead(week) OVER w - week = INTERVAL '7 days', false) AS before, lead(v) OVER w AS v1 FROM wk WINDOW w AS (PARTITION BY flag, candidate_id ORDER BY week)),
+ev AS (SELECT flag, candidate_id, count(*) AS n, CAST(sum(trades) AS BIGINT) AS trades, avg(v) AS mean, median(v) AS median, bool_and(before OR after) AS adjacent, list(v + v1 ORDER BY week) FILTER (before) AS pair, list(v ORDER BY week) FILTER (before) AS single FROM nb GROUP BY ALL),
+en AS (SELECT ev.*, months, n >= 8 AND months >= 3 AND trades >= 30 AND adjacent AS enough FROM ev JOIN mt USING (flag, candidate_id)),
+{draws_sql(2000, "SELECT coalesce(max(ceil(n / 2.0)), 1) FROM en WHERE enough")},
+dr AS (SELECT flag, draw, max((coalesce(list_sum(list_transform(us[1:n // 2], lambda u: pair[CAST(least(floor(u * len(pair)), len(pair) - 1) AS BIGINT) + 1])), 0) + CASE WHEN n % 2 = 1 THEN single[CAST(least(floor(us[n // 2 + 1] * len(single)), len(single) - 1) AS BIGINT) + 1] ELSE 0 END) / n - mean) AS top FROM en, draws WHERE enough GROUP BY flag, draw),
+cr AS (SELECT flag, list_sort(list(top))[1900] AS critical FROM dr GROUP BY flag),
+bd AS (SELECT en.flag, candidate_id, n, months, trades, mean, median, adjacent, enough, CASE WHEN enough THEN mean - critical ELSE 0.0 END AS bound FROM en LEFT JOIN cr USING (flag))"""
+
+
+def weekly(spark, sf):
+    return bootstrap.weekly_bounds(a.ledger(spark, sf), "flag", "candidate_id", "exit_ts", "ret")
+
+
+def weekly_medians(spark, sf):
+    weeks = a.ledger(spark, sf).groupBy("flag", "candidate_id", F.date_trunc("week", "exit_ts").alias("week")).agg(F.sum("ret").alias("v"))
+    return weeks.groupBy("flag", "candidate_id").agg(F.percentile("v", F.lit(0.5)).alias("median"))
 
 
-@query("c7_weekly_bounds")
+@query("c7_weekly_bounds", f"WITH {BOUNDS_SQL} --- SELECT flag, candidate_id, n, months, trades, mean, adjacent, enough, bound FROM bd", ["mean", "bound"])
 def _(spark, sf):
-    weeks = a.ledger(spark, sf).groupBy("flag", "candidate_id", F.date_trunc("week", "exit_ts").alias("week")).agg(F.sum("ret").alias("ret"))
-    return inference.family_bounds(weeks, "flag", "candidate_id", "week", "ret", block=2, draws=500)
+    return weekly(spark, sf).withColumn("n", F.col("n").cast("long")).withColumn("months", F.col("months").cast("long"))
 
 
 @query("c8_daily_bounds")
@@ -88,12 +125,27 @@ def _(spark, sf):
     return inference.family_bounds(days, "family", "candidate_id", "day", "ret", block=7, draws=500)
 
 
-@query("c9_mapping")
+@query(
+    "c9_mapping",
+    f"""WITH {BOUNDS_SQL}, rs AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in bootstrap.REASONS.items())}], lambda x: x IS NOT NULL) AS failed FROM bd),
+best AS (SELECT flag, candidate_id, bound FROM rs WHERE len(failed) = 0 QUALIFY row_number() OVER (PARTITION BY flag ORDER BY bound DESC, median DESC, mean DESC, candidate_id) = 1),
+al AS (SELECT flag, flatten(list(failed)) AS failed FROM rs GROUP BY flag) ---
+SELECT al.flag, CASE WHEN candidate_id IS NULL THEN 'cash' ELSE 'strategy' END AS decision, candidate_id, coalesce(bound, 0.0) AS bound, CASE WHEN candidate_id IS NULL THEN array_to_string(list_filter([{", ".join(f"'{n}'" for n in bootstrap.REASONS)}], lambda n: list_contains(failed, n)), ',') ELSE '' END AS reasons FROM al LEFT JOIN best USING (flag)""",
+    ["bound"],
+)
+def _(spark, sf):
+    return bootstrap.weekly_mapping(weekly(spark, sf), weekly_medians(spark, sf), "flag", "candidate_id")
+
+
+@query(
+    "l8_weekly_ranks",
+    f"WITH {BOUNDS_SQL} --- SELECT flag, candidate_id, bound, row_number() OVER (PARTITION BY flag ORDER BY bound DESC, median DESC, mean DESC, candidate_id) AS place FROM bd WHERE enough",
+    ["bound"],
+)
 def _(spark, sf):
-    weeks = a.ledger(spark, sf).groupBy("flag", "candidate_id", F.date_trunc("week", "exit_ts").alias("week")).agg(F.sum("ret").alias("ret"))
-    bounds = inference.family_bounds(weeks, "flag", "candidate_id", "week", "ret", block=2, draws=500)
-    best = bounds.groupBy("flag").agg(F.max_by(F.struct("candidate_id", "bound", "mean"), F.struct(F.round("bound", 9), F.round("mean", 9), -F.col("candidate_id").cast("int"))).alias("b"))
-    return best.select("flag", F.when(F.col("b.bound") > 0, F.col("b.candidate_id")).alias("candidate_id"), "b.bound", "b.mean")
+    rows = weekly(spark, sf).where("enough").join(weekly_medians(spark, sf), ["flag", "candidate_id"])
+    rows = rows.select("flag", "candidate_id", "bound", F.col("bound").alias("lower_bound"), F.col("median").alias("median_return"), F.col("mean").alias("mean_return"))
+    return ranking.ranked(rows, ranking.KEYS["weekly_winner"], "candidate_id", ["flag"]).select("flag", "candidate_id", "bound", "place")
 
 
 @query("c12_selection")
@@ -124,12 +176,6 @@ def _(spark, sf):
     return rows.join(F.broadcast(limits), "cluster").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("limit").alias("limit"), F.count(F.when(F.col("distance") > F.col("limit"), 1)).alias("outside"))
 
 
-@query("c2_diagonal_mixture")
-def _(spark, sf):
-    fitted = mixtures.diagonal_mixture(a.vectors(spark, sf), centres(spark, sf), rounds=3)
-    return mixtures.mixture_assignments(a.vectors(spark, sf), fitted).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("p"), F.avg("distance").alias("distance"))
-
-
 PLAN_SQL = """WITH r AS (SELECT event_type AS symbol, date_trunc('hour', min(ts)) - INTERVAL '40 days' AS s, date_trunc('hour', max(ts)) AS e FROM events GROUP BY event_type),
 m AS (SELECT symbol, s, e, CAST(unnest(generate_series(date_trunc('month', s), date_trunc('month', e - INTERVAL '1 microsecond'), INTERVAL '1 month')) AS DATE) AS month FROM r),
 x AS (SELECT m.*, v.source, strftime(month, '%Y-%m') >= '2024-01' AS current FROM m, (VALUES ('klines'), ('fundingRate'), ('metrics')) v(source) WHERE NOT (v.source = 'fundingRate' AND strftime(month, '%Y-%m') >= '2024-01')),
