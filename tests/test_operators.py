@@ -196,15 +196,13 @@ def test_selection_states(spark):
     assert [r.current for r in out] == [None, 1, 1, 1, 1, 2, 2, None, 1]
 
 
-def test_bounds_and_intervals(spark):
+def test_daily_bounds(spark):
     rng = np.random.default_rng(1)
     rows = [("f", c, i, float(rng.normal(m, 0.01))) for c, m in (("good", 0.01), ("none", 0.0)) for i in range(120)]
     df = spark.createDataFrame(rows, "f string, c string, d int, r double")
     low, high = ({r.c: r for r in inference.family_bounds(df, "f", "c", "d", "r", draws=400, level=v).collect()} for v in (0.9, 0.99))
     assert low["good"].bound > 0 > low["none"].bound
     assert all(high[c].bound <= low[c].bound <= low[c].mean for c in low)
-    shares = inference.share_intervals(df.withColumn("l", F.col("r") > 0), "c", "d", "l", draws=400).collect()
-    assert all(r.low <= r.share <= r.high for r in shares)
 
 
 def test_pivots_keep_the_more_extreme(spark):

@@ -19,24 +19,6 @@ def block_index(n: int, block: int, rng: np.random.Generator, draws: int) -> np.
     return ((starts[:, :, None] + np.arange(block)) % n).reshape(draws, -1)[:, :n]
 
 
-def share_intervals(rows: DataFrame, key: str, order: str, label: str, block: int = 3, draws: int = 5000, level: float = 0.95) -> DataFrame:
-    """key, label, share, low, high: percentile intervals of label shares, widened to hold the share itself."""
-
-    def run(k: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        values = part.sort_values(order, kind="stable")[label].to_numpy()
-        rng = np.random.default_rng(SEED)
-        index = block_index(len(values), block, rng, draws)
-        out = []
-        for v in sorted(set(values)):
-            flag = (values == v).astype(float)
-            low, high = np.quantile(flag[index].mean(1), [(1 - level) / 2, (1 + level) / 2])
-            share = flag.mean()
-            out.append((k[0], str(v), share, min(low, share), max(high, share)))
-        return pd.DataFrame(out, columns=[key, label, "share", "low", "high"])
-
-    return rows.select(key, order, F.col(label).cast("string").alias(label)).groupBy(key).applyInPandas(run, f"{key} string, {label} string, share double, low double, high double")
-
-
 def family_bounds(returns: DataFrame, family: str, candidate: str, order: str, value: str, block: int = 7, draws: int = 5000, level: float = 0.95, most_redraws: int = 100) -> DataFrame:
     """Lower confidence bounds of mean returns, corrected for the family by the largest studentised deviation.
 
