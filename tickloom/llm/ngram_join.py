@@ -252,8 +252,10 @@ def in_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         sets = written(sets.dropDuplicates(["doc_id"]))
     comps = linked(sets, t)
     classes = written(classes.join(comps, classes["key"] == comps["v"], "left").select("d1", "d2", "first", "comp"))
-    tops = classes.where("comp is not null").groupBy(F.col("comp").alias("top")).agg(F.min("first").alias("best"))
-    classes = classes.join(tops, F.col("comp") == F.col("top"), "left").select("d1", "d2", F.col("first.doc_id").alias("class_id"), F.coalesce("best", "first").alias("best"))
+    grouped, alone = classes.where("comp is not null"), classes.where("comp is null")
+    tops = written(grouped.groupBy(F.col("comp").alias("top")).agg(F.min("first").alias("best")))
+    grouped = grouped.join(tops, F.col("comp") == F.col("top")).select("d1", "d2", F.col("first.doc_id").alias("class_id"), "best")
+    classes = grouped.unionByName(alone.select("d1", "d2", F.col("first.doc_id").alias("class_id"), F.col("first").alias("best")))
     rows = heads.drop("tokens").join(written(classes), ["d1", "d2"], "left")
     stays = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark")))
     return rows.select("doc_id", "mark", "n", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("best.doc_id", "doc_id").alias("component_id"), stays.alias("stays"))
