@@ -9,7 +9,7 @@ import xxhash
 
 from tickloom.llm import imatch as op
 
-SCHEMA = "doc_id long, text string, level int, own string"
+SCHEMA = "doc_id long, text string, side int, own string"
 
 
 def edited_by_hand(rows):
@@ -63,24 +63,23 @@ def terms_by_hand(text):
     return {signed(hash_of(w.encode())) for w in re.findall(r"[^\x20\x09-\x0D]+", lower)}
 
 
+def chained(values):
+    h = 42
+    for t in values:
+        h = hash_of(struct.pack("<q", t), h)
+    return h
+
+
 def print_by_hand(terms, lexicon):
-    def of(ts):
-        h = 42
-        for t in sorted(ts):
-            h = hash_of(struct.pack("<q", t), h)
-        return f"{h:X}"
-
-    kept = {t for t in terms & lexicon if t % op.PARTS < op.GROUPS}
-    if not kept:
-        return "=" + of(terms)
     out = []
     for g in range(op.GROUPS):
-        ladder = []
-        for k in range(op.RUNGS):
-            own = [t for t in kept if t % op.PARTS == g and (t // op.PARTS) % 4**k == 0]
-            ladder += [of(own)[-op.DIGITS :].zfill(op.DIGITS)] if own else []
+        own = [signed(hash_of(struct.pack("<q", t), hash_of(struct.pack("<i", g)))) for t in sorted(terms & lexicon)]
+        own, ladder = [h for h in own if h % 3], []
+        while own and len(ladder) < op.RUNGS:
+            ladder.append(f"{chained(own):X}"[-op.DIGITS :].zfill(op.DIGITS))
+            own = [h for h in own if h % 4 ** len(ladder) == 0]
         out.append(",".join(ladder))
-    return ".".join(out)
+    return ".".join(out) if any(out) else f"={chained(sorted(terms)):X}"
 
 
 def likeness_by_hand(a, b):
@@ -121,6 +120,43 @@ def test_fingerprints_and_likeness_against_brute_force(spark):
         assert r.near_next == pytest.approx(likeness_by_hand(r.fingerprint, print_by_hand(terms_by_hand(after), lexicon)))
 
 
+def near(rows, got):
+    """Mean absolute error of near_edited against the Jaccard similarity of lexicon terms, by length."""
+    df = Counter(t for _, text in rows for t in terms_by_hand(text))
+    lexicon = {t for t, n in df.items() if op.BAND[0] <= 1 - math.log(n) / math.log(len(rows)) <= op.BAND[1]}
+    texts, errors = dict(rows), {True: [], False: []}
+    for r in got:
+        text, after = texts[r.doc_id] or "", texts[r.next_id] or ""
+        third = len(text) // 3
+        a, b = terms_by_hand(text) & lexicon, terms_by_hand(text[: len(text) - third] + after[:third]) & lexicon
+        if a | b:
+            errors[len(text) < 200].append(abs(r.near_edited - len(a & b) / len(a | b)))
+    return {k: sum(v) / len(v) for k, v in errors.items() if v}
+
+
+def test_likeness_is_near_the_jaccard_similarity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(d.doc_id, d.text) for d in docs.select("doc_id", "text").collect()]
+    errors = near(rows, op.fingerprints(docs).collect())
+    assert errors[True] < 0.13 and errors[False] < 0.13  # a share of 24 groups strays by about 0.1
+
+
+def test_short_random_texts_have_fingerprints_of_their_own(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = [(i, " ".join(f"w{draw.randrange(3000)}" for _ in range(10))) for i in range(2000)]
+    got = op.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.fingerprint for r in got}) == len({frozenset(t.split()) for _, t in rows})
+
+
+def test_a_large_lexicon_meets_terms_by_a_shuffled_join(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted(map(tuple, op.fingerprints(docs).collect()))
+    monkeypatch.setattr(op, "SENT_TERMS", 0)
+    assert sorted(map(tuple, op.fingerprints(docs).collect())) == want
+
+
 def test_unrelated_texts_without_lexicon_terms_are_not_alike(spark):
     rows = [(i, " ".join(f"word{i}x{k}" for k in range(40))) for i in range(6)]
     got = op.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()

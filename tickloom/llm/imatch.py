@@ -5,13 +5,12 @@ counted over all texts; the lexicon is the band of terms whose relative inverse
 ln(N/df)/ln(N), lies between ``band`` (so it scales with the corpus). All distinct terms of a text and of
 its edited text that are in the lexicon are sorted and hashed once per randomised lexicon subset.
 
-The subsets are the same for all texts: ``GROUPS`` groups, each a random ``1/PARTS`` of the lexicon, and in
-each group a ladder of ``RUNGS`` random subsets, every one a quarter of the one before. A long text finds
-few of its terms in the sparse rungs, a short one in the dense ones, so both have subsets that an edit
-leaves alone. A fingerprint lists, group by group, the hashes of the rungs that hold a term (a rung
-without one ends its ladder). Where no subset holds a term of a text, it is a hash of all its sorted
-terms. Terms that lie in no subset cannot change a fingerprint, so neither their frequency is counted nor
-are they looked up.
+The subsets are the same for all texts: ``GROUPS`` groups, each a random two thirds of the whole lexicon (a term is in some
+sixteen of them), and in each group a ladder of ``RUNGS`` random subsets, every one a quarter of the one before. A
+long text finds few of its terms in the sparse rungs, a short one in the dense ones, so both have subsets that an
+edit leaves alone. A fingerprint lists, group by group, the hashes of the rungs that hold a term (a rung without one ends
+its ladder); texts that differ in one lexicon term differ in it. Where no subset holds a term of a text, it is a hash of
+all its sorted terms.
 
 The likeness of two fingerprints is taken at the sparsest rung that at least half of the groups use in
 one of them (else the first): with Z the share of groups that are empty in both and E the share of
@@ -19,6 +18,10 @@ groups that are equal (empty ones too), it is 1 - ln(E)/ln(Z), which estimates t
 the lexicon terms whatever the rung's density. Equal fingerprints have likeness 1, fingerprints without
 a common hash 0.
 
+Terms meet the lexicon where the texts are: a lexicon of ``SENT_TERMS`` terms at most (its size is counted) is sent to the
+tasks, and a document's terms are put together again in the task that took them apart. A larger one meets them by a
+shuffled join, which Spark can split for frequent terms.
+
 The next document (by descending doc_id) is found in buckets of the id's quantiles, a frequent id's (and
 null's) bucket being split by the texts' hash; each bucket gets the head of the next one as an
 additional row. Whole texts are shuffled once, for this.
@@ -39,10 +42,10 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, ascii_lower, table, text_of, written
 
-GROUPS = 16
-PARTS = 64
+GROUPS = 24
 RUNGS = 9
-DIGITS = 5
+DIGITS = 4
+SENT_TERMS = 1 << 21
 BAND = (0.2, 0.95)
 BUCKET_ROWS = 500
 MOST_BUCKETS = 16_384
@@ -54,11 +57,6 @@ def terms_of(text: Column) -> Column:
     return F.array_remove(F.array_distinct(words), F.xxhash64(F.lit("")))
 
 
-def in_subsets(terms: Column) -> Column:
-    """The terms that lie in some subset."""
-    return F.filter(terms, lambda t: t.bitwiseAND(F.lit(PARTS - 1)) < GROUPS)
-
-
 def lexicon(terms: DataFrame, rows: int, band: tuple[float, float]) -> DataFrame:
     """The terms (one row a document and term) inside the band."""
     counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -94,7 +92,7 @@ def bucket_of(bounds: list[int], doc_id: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, text, next (doc_id, text_key, text) by descending doc_id, around the end."""
+    """bucket, doc_id, text_key, text, next (doc_id, text_key, text) by descending doc_id, around the end."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("text_key", F.xxhash64("text"))
     bounds, parts = bounds_of(base, base.count())
     base = base.withColumn("id_bucket", bucket_of(bounds, F.col("doc_id")))
@@ -113,26 +111,30 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("doc_id"), F.desc("text_key"))
     both = base.withColumn("extra", F.lit(0)).select("doc_id", "text", "text_key", "bucket", "extra").unionByName(tails)
     both = both.withColumn("next", F.lead(F.struct("doc_id", "text_key", "text")).over(order))
-    return both.where("extra = 0").drop("extra", "bucket")
-
-
-def _in_rung(rung: int):
-    return lambda t: t.bitwiseAND(F.lit(((1 << 2 * rung) - 1) * PARTS)) == 0
+    return both.where("extra = 0").drop("extra")
 
 
 def fingerprint(kept: str, whole: str) -> Column:
-    """Of the sorted lexicon terms ``kept`` of the subsets; where there is none, ``whole``.
+    """Of the sorted lexicon terms ``kept``; where there is none in any subset, ``whole``.
 
-    The lowest bits of a term's hash tell its group, the pairs of bits above them its last rung.
+    A group has a hash of its own for each term: a third of them (its remainder by 3) is dropped, and the pairs of zero bits at its
+    end tell the term's last rung.
     """
-    groups = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.filter(kept, lambda t: t.bitwiseAND(F.lit(PARTS - 1)) == g))
 
-    def ladder(own):
-        rungs = F.filter(F.array(*(F.filter(own, _in_rung(k)) for k in range(RUNGS))), lambda r: F.size(r) > 0)
+    def ladder(group):
+        own = F.filter(F.transform(kept, lambda t: F.xxhash64(group, t)), lambda h: h % 3 != 0)
+        step = lambda rungs, k: F.concat(rungs, F.array(F.filter(F.element_at(rungs, -1), lambda h: h.bitwiseAND(_ones(k)) == 0)))
+        rungs = F.filter(F.aggregate(F.sequence(F.lit(1), F.lit(RUNGS - 1)), F.array(own), step), lambda r: F.size(r) > 0)
         shown = F.transform(rungs, lambda r: F.right(F.concat(F.lit("0" * DIGITS), F.hex(F.xxhash64(r))), F.lit(DIGITS)))
         return F.array_join(shown, ",")
 
-    return F.when(F.size(kept) > 0, F.array_join(F.transform(groups, ladder), ".")).otherwise(F.col(whole))
+    ladders = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), ladder), ".")
+    return let(ladders, lambda x: F.when(x != "." * (GROUPS - 1), x).otherwise(F.col(whole)))
+
+
+def _ones(k: Column) -> Column:
+    """2 k one bits at the end of a long."""
+    return F.get(F.array(*(F.lit((1 << 2 * i) - 1).cast("long") for i in range(RUNGS))), k)
 
 
 def let(value: Column, then) -> Column:
@@ -167,49 +169,49 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), 1.0).when(none, 0.0).otherwise(share).cast("double")
 
 
-def term_table(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text_key, n_chars, edited_sha256, next_id, next_key; terms of the subsets and hash of all terms of text and edited text."""
+META = ("doc_id", "text_key", "n_chars", "edited_sha256", "next_id", "next_key", "own_whole", "other_whole")
+
+
+def term_items(docs: DataFrame) -> DataFrame:
+    """bucket, row, items: of each document one item with its META, and one for each term of text (side 1), edited text (2) or both (3)."""
     pairs = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.substring(F.col("next.text"), F.lit(1), third))
     pairs = pairs.withColumn("edited", edited)
     pairs = pairs.withColumn("own", terms_of(F.col("text"))).withColumn("other", terms_of(F.col("edited")))
     whole = lambda terms: F.concat(F.lit("="), F.hex(F.xxhash64(F.sort_array(terms))))
-    return pairs.select(
-        F.monotonically_increasing_id().alias("row"),
-        "doc_id",
-        "text_key",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        F.col("next.doc_id").alias("next_id"),
-        F.col("next.text_key").alias("next_key"),
-        whole("own").alias("own_whole"),
-        whole("other").alias("other_whole"),
-        in_subsets(F.col("own")).alias("own"),
-        in_subsets(F.col("other")).alias("other"),
+    meta = F.struct(
+        "doc_id", "text_key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("next.doc_id").alias("next_id"), F.col("next.text_key").alias("next_key"), whole("own").alias("own_whole"), whole("other").alias("other_whole")
     )
+    pairs = pairs.select("bucket", F.monotonically_increasing_id().alias("row"), meta.alias("meta"), "own", "other")
+    item = lambda side, terms: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(side).alias("side")))
+    terms = F.concat(F.array(F.struct(F.lit(None).cast("long").alias("term"), F.lit(0).alias("side"))), item(1, F.array_except("own", "other")), item(2, F.array_except("other", "own")), item(3, F.array_intersect("own", "other")))
+    return pairs.select("bucket", "row", "meta", terms.alias("items"))
+
 
+def with_lexicon_terms(items: DataFrame, words: DataFrame, sent: bool) -> DataFrame:
+    """META and the sorted lexicon terms k_own, k_other of every document.
 
-def in_lexicon(base: DataFrame, words: DataFrame) -> DataFrame:
-    """k_row, own, other: the terms that are in the lexicon, sorted; by a join that Spark can split for frequent terms."""
-    side = lambda n, terms: F.transform(terms, lambda t: F.struct((F.col("row") * 4 + n).alias("place"), t.alias("term")))
-    sides = F.concat(side(1, F.array_except("own", "other")), side(2, F.array_except("other", "own")), side(3, F.array_intersect("own", "other")))
-    met = base.select(F.explode(sides).alias("x")).select("x.place", "x.term").join(words, "term")
-    own = F.when(F.col("place") % 4 != 2, F.col("term"))
-    other = F.when(F.col("place") % 4 != 1, F.col("term"))
-    return met.groupBy(F.shiftright("place", 2).alias("k_row")).agg(F.sort_array(F.collect_list(own)).alias("k_own"), F.sort_array(F.collect_list(other)).alias("k_other"))
+    The groups are of (bucket, row), and rows are dealt by bucket already, so without a shuffled join nothing moves.
+    """
+    if not sent:
+        items = written(items)
+    known = words.select("term", F.lit(True).alias("known"))
+    first = F.when(F.col("x.side") == 0, F.col("meta"))
+    rows = items.select("bucket", "row", "meta", F.explode("items").alias("x")).select("bucket", "row", first.alias("meta"), "x.term", "x.side")
+    met = rows.join(F.broadcast(known) if sent else known, "term", "left").where("side = 0 or known")
+    of = lambda other: F.sort_array(F.collect_list(F.when((F.col("side") > 0) & (F.col("side") != other), F.col("term"))))
+    out = met.groupBy("bucket", "row").agg(F.first("meta", ignorenulls=True).alias("meta"), of(2).alias("k_own"), of(1).alias("k_other"))
+    return out.select("meta.*", "k_own", "k_other")
 
 
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id."""
-    base = written(term_table(docs))
-    words = written(lexicon(base.select(F.explode("own").alias("term")), base.count(), band))
-    rows = base.drop("own", "other").join(in_lexicon(base, words), F.col("row") == F.col("k_row"), "left")
-    none = F.array().cast("array<bigint>")
-    rows = rows.withColumn("k_own", F.coalesce("k_own", none)).withColumn("k_other", F.coalesce("k_other", none))
+    terms = docs.select(F.explode(terms_of(text_of())).alias("term"))
+    words = written(lexicon(terms, docs.count(), band))
+    rows = with_lexicon_terms(term_items(docs), words, words.count() <= SENT_TERMS)
     prints = [fingerprint("k_own", "own_whole").alias("fingerprint"), fingerprint("k_other", "other_whole").alias("edited_fingerprint")]
-    out = rows.select("doc_id", "text_key", "n_chars", "edited_sha256", *prints, "next_id", "next_key")
-    out = written(out)
+    out = written(rows.select("doc_id", "text_key", "n_chars", "edited_sha256", *prints, "next_id", "next_key"))
     after = out.groupBy(F.col("doc_id").alias("n_id"), F.col("text_key").alias("n_key")).agg(F.first("fingerprint").alias("next_fingerprint"))
     out = out.join(written(after), F.col("next_id").eqNullSafe(F.col("n_id")) & (F.col("next_key") == F.col("n_key")), "left")
     return out.select(
