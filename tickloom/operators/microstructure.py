@@ -109,11 +109,13 @@ def premium_funding(rows: DataFrame, premium: float = 0.0008, basis: float = 0.0
 SESSIONS = {"asia": 0, "europe": 7 * 60, "us": 13 * 60 + 30}
 
 
-def session_opening_range(rows: DataFrame, minutes: int = 15, buffer: float = 0.0, move: float = 0.0005, imbalance: float = 0.15, cvd: float = 0.0, intensity: float = 100, confidence: float = 0.69) -> DataFrame:
-    """Breaks of the range of a session's first ``minutes``, later in that session.
+def session_opening_range(
+    rows: DataFrame, minutes: int = 15, bar_minutes: int = 1, confirm: int = 5, buffer: float = 0.0, move: float = 0.0005, imbalance: float = 0.15, cvd: float = 0.0, intensity: float = 100, confidence: float = 0.69
+) -> DataFrame:
+    """Breaks of the range of a session's first ``minutes`` by bars of ``bar_minutes`` that open after them, in that session.
 
-    Bars of ``minutes``: the opening range is the bar that opens with the session, met by an equality join;
-    the move is against the bar just before, which must end where this one begins.
+    The range needs every one of its bars. The move is against the close of the last whole ``confirm`` minutes on the
+    clock that ended when the bar opened or before; where one of their bars is missing there is no signal.
     """
     day, minute = F.date_trunc("day", "opened_at"), F.hour("opened_at") * 60 + F.minute("opened_at")
     name = start = None
@@ -121,11 +123,15 @@ def session_opening_range(rows: DataFrame, minutes: int = 15, buffer: float = 0.
         name = F.when(minute >= v, k) if name is None else name.when(minute >= v, k)
         start = F.when(minute >= v, v) if start is None else start.when(minute >= v, v)
     rows = rows.withColumn("session", name).withColumn("session_at", day + F.make_dt_interval(F.lit(0), F.lit(0), start))
-    rows = rows.withColumn("before", F.when(F.lag("closed_at").over(by_time()) == F.col("opened_at"), shift("close", 1)))
-    first = rows.where("opened_at = session_at").select("symbol", "session_at", F.col("high").alias("rh"), F.col("low").alias("rl"))
-    rows = rows.join(first, ["symbol", "session_at"], "left").withColumn("move", F.col("close") / F.col("before") - 1)
-    later, (up, down) = F.col("opened_at") > F.col("session_at"), _flow(imbalance, cvd, intensity)
+    since = F.unix_timestamp("opened_at") - F.unix_timestamp("session_at")
+    first = rows.where(since < minutes * 60).groupBy("symbol", "session_at").agg(F.max("high").alias("rh"), F.min("low").alias("rl"), F.count(F.lit(1)).alias("n"))
+    first = first.where(F.col("n") == minutes // bar_minutes).drop("n")
+    step, at = confirm * 60, F.floor(F.unix_timestamp("opened_at") / (confirm * 60))
+    closed = rows.groupBy("symbol", (at + 1).alias("part")).agg(F.max_by("close", "opened_at").alias("before"), F.count(F.lit(1)).alias("n"))
+    closed = closed.where(F.col("n") == step // (bar_minutes * 60)).drop("n")
+    rows = rows.withColumn("part", at).join(first, ["symbol", "session_at"], "left").join(closed, ["symbol", "part"], "left")
+    rows = rows.withColumn("move", F.col("close") / F.col("before") - 1)
+    later, (up, down) = since >= minutes * 60, _flow(imbalance, cvd, intensity)
     long = later & (F.col("close") > F.col("rh") * (1 + buffer)) & (F.col("move") >= move) & up
     short = later & (F.col("close") < F.col("rl") * (1 - buffer)) & (F.col("move") <= -move) & down
     return signal(rows, long, short, F.lit(confidence))
-

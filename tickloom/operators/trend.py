@@ -9,20 +9,26 @@ from .signals import signal
 from .windows import full, prior_full, shift
 
 
+def waited(rows: DataFrame, bars: int) -> DataFrame:
+    """``rows`` with ``warm``: whether the rule has seen that many bars, the present one included."""
+    return rows.withColumn("warm", shift("opened_at", bars - 1).isNotNull())
+
+
 def pullback_resume(rows: DataFrame, trend: int = 2880, pullback: int = 240, trigger: int = 12, least_trend: float = 0.018, least_pullback: float = 0.004, resume: float = 0.0008) -> DataFrame:
     """A trend over ``trend`` bars, a close away from the extreme of the ``pullback`` bars before, and a move of ``trigger`` bars with the trend."""
     gain = lambda n: F.col("close") / shift("close", n) - 1
+    rows = waited(rows, max(trend, pullback, trigger) + 2)
     rows = rows.withColumn("gain", gain(trend)).withColumn("move", gain(trigger)).withColumn("ph", prior_full(F.max("high"), pullback)).withColumn("pl", prior_full(F.min("low"), pullback))
-    long = (F.col("gain") >= least_trend) & ((F.col("ph") - F.col("close")) / F.col("close") >= least_pullback) & (F.col("move") >= resume)
-    short = (F.col("gain") <= -least_trend) & ((F.col("close") - F.col("pl")) / F.col("close") >= least_pullback) & (F.col("move") <= -resume)
+    long = F.col("warm") & (F.col("gain") >= least_trend) & ((F.col("ph") - F.col("close")) / F.col("close") >= least_pullback) & (F.col("move") >= resume)
+    short = F.col("warm") & (F.col("gain") <= -least_trend) & ((F.col("close") - F.col("pl")) / F.col("close") >= least_pullback) & (F.col("move") <= -resume)
     return signal(rows, long, short, F.lit(0.88))
 
 
 def timed_acceleration(rows: DataFrame, trend: int = 1440, impulse: int = 15, least_trend: float = 0.01, least_impulse: float = 0.002, hour: int = 0, side: str = "both") -> DataFrame:
     """A trend and an impulse the same way, at the bar that opens at ``hour`` exactly."""
     gain = lambda n: F.col("close") / shift("close", n) - 1
-    rows = rows.withColumn("gain", gain(trend)).withColumn("move", gain(impulse))
-    at = (F.hour("opened_at") == hour) & (F.minute("opened_at") == 0)
+    rows = waited(rows, max(trend, impulse) + 2).withColumn("gain", gain(trend)).withColumn("move", gain(impulse))
+    at = F.col("warm") & (F.hour("opened_at") == hour) & (F.minute("opened_at") == 0)
     long = at & F.lit(side in ("both", "long")) & (F.col("gain") >= least_trend) & (F.col("move") >= least_impulse)
     short = at & F.lit(side in ("both", "short")) & (F.col("gain") <= -least_trend) & (F.col("move") <= -least_impulse)
     return signal(rows, long, short, F.lit(0.99))
@@ -45,17 +51,17 @@ def selective_breakout(rows: DataFrame, w: int = 720, buffer: float = 0.002, tre
 
 def swing_retest(rows: DataFrame, trend: int = 4320, pullback: int = 720, least: float = 0.03, depth: float = 0.01, reclaim: float = 0.003) -> DataFrame:
     """In a long trend, a previous close well off the extreme of the bars before, and a close that takes it back."""
-    rows = rows.withColumn("gain", F.col("close") / shift("close", trend) - 1).withColumn("c1", shift("close", 1))
+    rows = waited(rows, max(trend, pullback) + 2).withColumn("gain", F.col("close") / shift("close", trend) - 1).withColumn("c1", shift("close", 1))
     rows = rows.withColumn("ph", prior_full(F.max("high"), pullback)).withColumn("pl", prior_full(F.min("low"), pullback))
-    long = (F.col("gain") >= least) & (F.col("ph") > 0) & ((F.col("ph") - F.col("c1")) / F.col("ph") >= depth) & (F.col("close") >= F.col("c1") * (1 + reclaim))
-    short = (F.col("gain") <= -least) & (F.col("c1") > 0) & ((F.col("c1") - F.col("pl")) / F.col("c1") >= depth) & (F.col("close") <= F.col("c1") * (1 - reclaim))
+    long = F.col("warm") & (F.col("gain") >= least) & (F.col("ph") > 0) & ((F.col("ph") - F.col("c1")) / F.col("ph") >= depth) & (F.col("close") >= F.col("c1") * (1 + reclaim))
+    short = F.col("warm") & (F.col("gain") <= -least) & (F.col("c1") > 0) & ((F.col("c1") - F.col("pl")) / F.col("c1") >= depth) & (F.col("close") <= F.col("c1") * (1 - reclaim))
     return signal(rows, long, short, F.lit(1.0))
 
 
 def exhaustion_reversal(rows: DataFrame, move: int = 240, extreme: float = 0.02, turn: int = 20, reclaim: float = 0.002, w: int = 720, low: float = 0.35, high: float = 0.65) -> DataFrame:
     """A far move that has begun to turn while the close is still in the outer part of the range, this bar included."""
-    rows = rows.withColumn("gain", F.col("close") / shift("close", move) - 1).withColumn("back", F.col("close") / shift("close", turn) - 1)
+    rows = waited(rows, max(move, turn, w) + 1).withColumn("gain", F.col("close") / shift("close", move) - 1).withColumn("back", F.col("close") / shift("close", turn) - 1)
     rows = rows.withColumn("rh", full(F.max("high"), w)).withColumn("rl", full(F.min("low"), w))
     place = F.try_divide(F.col("close") - F.col("rl"), F.col("rh") - F.col("rl"))
-    long = (F.col("gain") <= -extreme) & (F.col("back") >= reclaim) & (place <= low)
-    return signal(rows, long, (F.col("gain") >= extreme) & (F.col("back") <= -reclaim) & (place >= high), F.lit(1.0))
+    long = F.col("warm") & (F.col("gain") <= -extreme) & (F.col("back") >= reclaim) & (place <= low)
+    return signal(rows, long, F.col("warm") & (F.col("gain") >= extreme) & (F.col("back") <= -reclaim) & (place >= high), F.lit(1.0))

@@ -70,15 +70,18 @@ def _register(name: str, rule, *sql: str) -> None:
 for _name, (_rule, *_parts) in RULES.items():
     _register(_name, _rule, *_parts)
 
-_OPENING = """, s0 AS (SELECT *, extract(hour FROM opened_at) * 60 + extract(minute FROM opened_at) AS mi, lag(closed_at) OVER (PARTITION BY symbol ORDER BY opened_at) AS ended, lag(close) OVER (PARTITION BY symbol ORDER BY opened_at) AS c1 FROM fx),
+_OPENING = """, s0 AS (SELECT *, extract(hour FROM opened_at) * 60 + extract(minute FROM opened_at) AS mi FROM fx),
 s1 AS (SELECT *, date_trunc('day', opened_at) + INTERVAL '1 minute' * CASE WHEN mi >= 810 THEN 810 WHEN mi >= 420 THEN 420 ELSE 0 END AS session_at FROM s0),
-x AS (SELECT s1.* EXCLUDE (ph, pl), r.high AS rh, r.low AS rl, CASE WHEN s1.ended = s1.opened_at THEN s1.close / s1.c1 - 1 END AS move FROM s1 LEFT JOIN s1 r ON r.symbol = s1.symbol AND r.opened_at = s1.session_at)"""
+op AS (SELECT symbol, session_at, max(high) AS rh, min(low) AS rl FROM s1 WHERE opened_at < session_at + INTERVAL '30 minutes' GROUP BY ALL HAVING count(*) = 2),
+cl AS (SELECT symbol, time_bucket(INTERVAL '30 minutes', opened_at, TIMESTAMP '1970-01-01') + INTERVAL '30 minutes' AS ended, arg_max(close, opened_at) AS c1 FROM s1 GROUP BY ALL HAVING count(*) = 2),
+x AS (SELECT s1.*, op.rh, op.rl, s1.close / c1 - 1 AS move FROM s1 LEFT JOIN op ON op.symbol = s1.symbol AND op.session_at = s1.session_at LEFT JOIN cl ON cl.symbol = s1.symbol AND cl.ended = time_bucket(INTERVAL '30 minutes', s1.opened_at, TIMESTAMP '1970-01-01'))"""
+_LATER = "opened_at >= session_at + INTERVAL '30 minutes'"
 
 
 @query(
     "t24_session_opening_range",
-    _sql(f"opened_at > session_at AND close > rh AND move >= 0.0005 AND {_UP} AND trade_intensity >= 1", f"opened_at > session_at AND close < rl AND move <= -0.0005 AND {_DOWN} AND trade_intensity >= 1", "0.69", _OPENING, "x", "15 minutes"),
+    _sql(f"{_LATER} AND close > rh AND move >= 0.0005 AND {_UP} AND trade_intensity >= 1", f"{_LATER} AND close < rl AND move <= -0.0005 AND {_DOWN} AND trade_intensity >= 1", "0.69", _OPENING, "x", "15 minutes"),
     D,
 )
 def _(spark, sf):
-    return m.session_opening_range(features(spark, sf, "15 minutes"), intensity=1).select(*OUT)
+    return m.session_opening_range(features(spark, sf, "15 minutes"), 30, 15, 30, intensity=1).select(*OUT)

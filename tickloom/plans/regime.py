@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, profile, stats
+from ..operators import chart_blocks, features, profile, stats
+from ..operators.bars import bars_of, dense_bars
 from ..operators.recursive import hysteresis
 from ..operators.windows import full, shift
 from ..sources import adapters as a
@@ -41,6 +42,41 @@ def _(spark, sf):
     return features.registry(a.bars_15m(spark, sf))
 
 
+def _path_sql(k: int) -> str:
+    """Features of the path over the last k bars of 15 minutes, which begins with the first of their opens."""
+    return f"""p{k} AS (SELECT symbol, anchor_at, first_value(open) OVER w AS start, close, coalesce(lag(close) OVER w, open) AS p, opened_at FROM w15 WHERE age <= {k} WINDOW w AS ({O3})),
+q{k} AS (SELECT *, close / p - 1 AS x, greatest(start, max(close) OVER w) AS peak, least(start, min(close) OVER w) AS trough FROM p{k} WINDOW w AS ({O3})),
+s{k} AS (SELECT *, lag(x) OVER ({O3}) AS x0 FROM q{k}),
+f{k} AS (SELECT symbol, anchor_at, arg_max(close, opened_at) / any_value(start) - 1 AS ret, stddev_pop(ln(close / p)) AS rv, abs(arg_max(close, opened_at) - any_value(start)) / nullif(sum(abs(close - p)), 0) AS eff,
+  CAST(count(*) FILTER (x * x0 < 0) AS DOUBLE) / nullif(count(*) FILTER (x <> 0 AND x0 <> 0), 0) AS turns, corr(x, x0) AS ac, least(0, min(close / peak - 1)) AS dd, greatest(0, max(close / trough - 1)) AS ru FROM s{k} GROUP BY symbol, anchor_at)"""
+
+
+DENSE_SYMBOLS = f.DENSE.replace("SELECT 'ALL' AS symbol,", "SELECT symbol,")
+WEEK_SQL = f"""WITH {DENSE_SYMBOLS}, an AS (SELECT DISTINCT symbol, time_bucket(INTERVAL '4 hours', opened_at, TIMESTAMP '1970-01-01') + INTERVAL '4 hours' AS anchor_at FROM dense),
+w15 AS (SELECT d.*, an.anchor_at, row_number() OVER (PARTITION BY d.symbol, an.anchor_at ORDER BY d.opened_at DESC) AS age FROM an JOIN dense d ON d.symbol = an.symbol AND d.opened_at >= an.anchor_at - INTERVAL '7 days' AND d.opened_at < an.anchor_at
+  QUALIFY count(*) OVER (PARTITION BY d.symbol, an.anchor_at) = 672 AND min(d.opened_at) OVER (PARTITION BY d.symbol, an.anchor_at) = an.anchor_at - INTERVAL '7 days'),
+{", ".join(_path_sql(k) for k in (16, 48, 96, 288, 672))},
+h0 AS (SELECT symbol, date_trunc('hour', opened_at) AS hour, arg_min(open, opened_at) AS open, max(high) AS high, min(low) AS low, arg_max(close, opened_at) AS close, sum(volume) AS volume FROM dense GROUP BY ALL HAVING count(*) = 4),
+h1 AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY hour) AS c0 FROM h0),
+wh AS (SELECT h.*, an.anchor_at, row_number() OVER (PARTITION BY h.symbol, an.anchor_at ORDER BY h.hour DESC) AS age FROM (SELECT DISTINCT symbol, anchor_at FROM w15) an JOIN h1 h ON h.symbol = an.symbol AND h.hour >= an.anchor_at - INTERVAL '7 days' AND h.hour < an.anchor_at),
+wi AS (SELECT *, greatest(high - low, abs(high - CASE WHEN age = 168 THEN open ELSE c0 END), abs(low - CASE WHEN age = 168 THEN open ELSE c0 END)) AS tr, CASE WHEN age <= 144 THEN CAST(close > max(high) OVER w OR close < min(low) OVER w AS INTEGER) END AS broke,
+  row_number() OVER (PARTITION BY symbol, anchor_at ORDER BY volume DESC, age) AS vrank FROM wh WINDOW w AS (PARTITION BY symbol, anchor_at ORDER BY hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+fh AS (SELECT symbol, anchor_at, arg_max(close, hour) AS c, sum(CASE WHEN age <= 24 THEN tr END) / 24 AS atr1, avg(tr) AS atr7, max(high) AS hi, min(low) AS lo, avg(broke) AS br, avg(coalesce(abs(close - open) / nullif(high - low, 0), 0)) AS body,
+  avg(coalesce((high - greatest(open, close)) / nullif(high - low, 0), 0)) AS upper, avg(coalesce((least(open, close) - low) / nullif(high - low, 0), 0)) AS lower, stddev_pop(volume) / nullif(avg(volume), 0) AS cv,
+  sum(CASE WHEN vrank <= 17 THEN volume END) / nullif(sum(volume), 0) AS top, avg(CASE WHEN age <= 24 THEN volume END) / nullif(avg(volume), 0) AS vr FROM wi GROUP BY symbol, anchor_at) ---
+SELECT symbol, anchor_at, f16.ret AS return_4h, f48.ret AS return_12h, f96.ret AS return_1d, f288.ret AS return_3d, f672.ret AS return_7d, f16.rv AS rv_4h, f96.rv AS rv_1d, f672.rv AS rv_7d, f96.rv / nullif(f672.rv, 0) AS rv_ratio_1d_7d,
+  atr1 / c AS atr_ratio_1d, atr7 / c AS atr_ratio_7d, (hi - lo) / c AS range_ratio_7d, (c - lo) / nullif(hi - lo, 0) AS close_location_7d, f96.eff AS directional_efficiency_1d, f672.eff AS directional_efficiency_7d,
+  f96.turns AS sign_change_rate_1d, f672.turns AS sign_change_rate_7d, f96.ac AS return_autocorr_1d, f672.ac AS return_autocorr_7d, f672.dd AS max_drawdown_7d, f672.ru AS max_runup_7d, br AS breakout_rate_7d,
+  body AS mean_body_ratio_7d, upper AS mean_upper_wick_ratio_7d, lower AS mean_lower_wick_ratio_7d, cv AS volume_cv_7d, top AS top_decile_volume_share_7d, vr AS volume_ratio_1d_7d
+FROM fh JOIN f16 USING (symbol, anchor_at) JOIN f48 USING (symbol, anchor_at) JOIN f96 USING (symbol, anchor_at) JOIN f288 USING (symbol, anchor_at) JOIN f672 USING (symbol, anchor_at)
+WHERE f96.turns IS NOT NULL AND f672.turns IS NOT NULL AND f96.ac IS NOT NULL AND NOT isnan(f96.ac) AND f672.ac IS NOT NULL AND NOT isnan(f672.ac) AND f96.eff IS NOT NULL AND f672.eff IS NOT NULL AND f672.rv > 0 AND hi > lo AND top IS NOT NULL"""
+
+
+@query("f_registry_7d", WEEK_SQL, list(chart_blocks.NAMES))
+def _(spark, sf):
+    return chart_blocks.weekly_registry(dense_bars(bars_of(a.ticks(spark, sf), "15 minutes"), 900))
+
+
 @query(
     "f13_spearman",
     f"""WITH {f.VECTORS}, k AS (SELECT *, rank() OVER (PARTITION BY dim ORDER BY x) + (count(*) OVER (PARTITION BY dim, x) - 1) / 2 AS rk FROM vectors) ---

@@ -8,11 +8,15 @@ from .registry import query
 from .signals import OUT, D, _full, _lag, _prior, _sql
 
 
+def _warm(bars: int) -> str:
+    return f"{_lag('opened_at', bars - 1)} IS NOT NULL AS warm"
+
+
 @query(
     "t30_pullback_resume",
     _sql(
-        f"close / {_lag('close', 48)} - 1 AS gain, close / {_lag('close', 3)} - 1 AS move, {_prior('max(high)', 24)} AS ph, {_prior('min(low)', 24)} AS pl",
-        "gain >= 0.018 AND (ph - close) / close >= 0.004 AND move >= 0.0008", "gain <= -0.018 AND (close - pl) / close >= 0.004 AND move <= -0.0008", "0.88",
+        f"close / {_lag('close', 48)} - 1 AS gain, close / {_lag('close', 3)} - 1 AS move, {_prior('max(high)', 24)} AS ph, {_prior('min(low)', 24)} AS pl, {_warm(50)}",
+        "warm AND gain >= 0.018 AND (ph - close) / close >= 0.004 AND move >= 0.0008", "warm AND gain <= -0.018 AND (close - pl) / close >= 0.004 AND move <= -0.0008", "0.88",
     ),
     D,
 )
@@ -23,8 +27,8 @@ def _(spark, sf):
 @query(
     "t29_timed_acceleration",
     _sql(
-        f"close / {_lag('close', 24)} - 1 AS gain, close / {_lag('close', 4)} - 1 AS move",
-        "extract(hour FROM opened_at) = 6 AND gain >= 0.01 AND move >= 0.002", "extract(hour FROM opened_at) = 6 AND gain <= -0.01 AND move <= -0.002", "0.99",
+        f"close / {_lag('close', 24)} - 1 AS gain, close / {_lag('close', 4)} - 1 AS move, {_warm(26)}",
+        "warm AND extract(hour FROM opened_at) = 6 AND gain >= 0.01 AND move >= 0.002", "warm AND extract(hour FROM opened_at) = 6 AND gain <= -0.01 AND move <= -0.002", "0.99",
     ),
     D,
 )
@@ -52,8 +56,8 @@ def _(spark, sf):
 @query(
     "t31_swing_retest",
     _sql(
-        f"{_RANGE}, close / {_lag('close', 48)} - 1 AS gain, {_lag('close', 1)} AS c1",
-        "gain >= 0.03 AND ph > 0 AND (ph - c1) / ph >= 0.01 AND close >= c1 * 1.003", "gain <= -0.03 AND c1 > 0 AND (c1 - pl) / c1 >= 0.01 AND close <= c1 * 0.997", "1.0",
+        f"{_RANGE}, close / {_lag('close', 48)} - 1 AS gain, {_lag('close', 1)} AS c1, {_warm(50)}",
+        "warm AND gain >= 0.03 AND ph > 0 AND (ph - c1) / ph >= 0.01 AND close >= c1 * 1.003", "warm AND gain <= -0.03 AND c1 > 0 AND (c1 - pl) / c1 >= 0.01 AND close <= c1 * 0.997", "1.0",
     ),
     D,
 )
@@ -64,8 +68,8 @@ def _(spark, sf):
 @query(
     "t31_exhaustion_reversal",
     _sql(
-        f"close / {_lag('close', 24)} - 1 AS gain, close / {_lag('close', 3)} - 1 AS back, {_full('max(high)', 48)} AS rh, {_full('min(low)', 48)} AS rl",
-        "gain <= -0.02 AND back >= 0.002 AND (close - rl) / nullif(rh - rl, 0) <= 0.35", "gain >= 0.02 AND back <= -0.002 AND (close - rl) / nullif(rh - rl, 0) >= 0.65", "1.0",
+        f"close / {_lag('close', 24)} - 1 AS gain, close / {_lag('close', 3)} - 1 AS back, {_full('max(high)', 48)} AS rh, {_full('min(low)', 48)} AS rl, {_warm(49)}",
+        "warm AND gain <= -0.02 AND back >= 0.002 AND (close - rl) / nullif(rh - rl, 0) <= 0.35", "warm AND gain >= 0.02 AND back <= -0.002 AND (close - rl) / nullif(rh - rl, 0) >= 0.65", "1.0",
     ),
     D,
 )
