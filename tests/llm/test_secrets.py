@@ -66,26 +66,80 @@ IDENTIFIERS = [
 ]
 
 
-def test_added_spans_on_planted_keys_and_identifiers(spark):
-    """Recall on random keys by encoding, and the share of identifiers among the added spans."""
-    rng = random.Random(6)
+#: Words that the fitted names do not use.
+OTHER_WORDS = "river mountain green apple winter garden castle bridge dragon silver velvet thunder coffee planet rocket shadow harvest lantern marble ocean pepper quartz saddle timber umbrella village whisper yellow zephyr anchor basket candle".split()
+
+
+def planted(seed=6):
+    """(texts, encoding of the key in each or None where a name is in it)."""
+    rng = random.Random(seed)
     draw = lambda name, n: "".join(rng.choice(op.ALPHABETS[name]) for _ in range(n))
     texts, kinds = [], []
     for name, n in (("base62", 24), ("base62", 40), ("base64", 40), ("base64url", 43), ("base32", 32), ("base36", 32)):
         for _ in range(40):
-            key = draw(name, n)
-            texts.append(rng.choice(["client_key=", "sig=", "x ", "/hook/id=", "aws_secret_access_key_of_the_user="]) + key)
+            texts.append(rng.choice(["client_key=", "sig=", "x ", "/hook/id=", "aws_secret_access_key_of_the_user="]) + draw(name, n))
             kinds.append(name)
-    texts += [f"see {x} there" for x in IDENTIFIERS * 6]
+    names = set(IDENTIFIERS)
+    while len(names) < 320:
+        words = [rng.choice(OTHER_WORDS) for _ in range(rng.randrange(4, 8))]
+        form = rng.choice([str.title, str.lower, str.upper])
+        names.add(rng.choice(["", "", "_", "-", "/"]).join(form(w) + (str(rng.randrange(3000)) if rng.random() < 0.4 else "") for w in words))
+    texts += [f"see {x} there" for x in sorted(names)]
+    return texts, kinds + [None] * len(names)
+
+
+def scan(spark, texts):
     got = {r.doc_id: r.spans for r in op.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    found = [i for i in range(len(kinds)) if "random:" in got[i] or "assign:" in got[i] or "access:" in got[i]]
-    false = sum("random:" in got[i] for i in range(len(kinds), len(texts)))
-    for name in set(kinds):
+    return [got[i] for i in range(len(texts))]
+
+
+def test_added_spans_on_planted_keys_and_names(spark):
+    """Recall on random keys by encoding, and the share of names among the added spans."""
+    texts, kinds = planted()
+    spans = scan(spark, texts)
+    found = [i for i, k in enumerate(kinds) if k and any(x in spans[i] for x in ("random:", "assign:", "access:"))]
+    false = [texts[i] for i, k in enumerate(kinds) if not k and "random:" in spans[i]]
+    for name in sorted({k for k in kinds if k}):
         hit, n = sum(kinds[i] == name for i in found), kinds.count(name)
         print(name, hit, n)
         assert hit >= (0.75 if name in ("base32", "base36") else 0.85) * n, name
-    print("false", false, "of", len(IDENTIFIERS) * 6)
-    assert false <= 0.05 * (len(found) + false)
+    print("false", len(false), "of", kinds.count(None), false)
+    assert len(false) <= 0.08 * (len(found) + len(false))
+
+
+def test_the_battery_decides(spark):
+    """Without it every run with an encoding would be added; any test alone finds fewer keys or adds more names than all three."""
+    texts, kinds = planted(9)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("text_key", op.F.xxhash64("text"))
+    runs = op.written(op.matches_in(rows).where("kind = 'random'"))
+
+    def counts(df):
+        ids = [r.doc_id for r in df.select("doc_id").distinct().collect()]
+        return sum(kinds[i] is not None for i in ids), sum(kinds[i] is None for i in ids)
+
+    keys, names = counts(op.added_runs(runs))
+    alone = {t: counts(op.added_runs(runs, (t,))) for t in op.TESTS}
+    off = counts(op.battery(op.parts_of(runs)))
+    print("all", (keys, names), "alone", alone, "off", off)
+    assert keys >= 0.95 * 240 and names <= 0.05 * keys and off[1] > 10 * names
+    assert all(k < keys or n > names for k, n in alone.values())
+
+
+def test_statistics_against_brute_force(spark):
+    rng = random.Random(3)
+    matches = ["".join(rng.choice(op.ALPHABETS[e]) for _ in range(n)) for e in op.ALPHABETS for n in (22, 41, 90)] + IDENTIFIERS + ["ab12" * 8, "A1" * 20, "DEADBEEF" * 3 + "01"]
+    got = op.battery(spark.createDataFrame([(m,) for m in matches], "match string")).collect()
+    assert len(got) > 25
+    for r in got:
+        alphabet = op.ALPHABETS[r.encoding]
+        core = r.match.lower() if r.encoding == "hex" else r.match.upper() if r.encoding == "base32" else r.match
+        x, n, k = [alphabet.index(c) for c in core], len(core), len(alphabet)
+        chi = sum((x.count(v) - n / k) ** 2 / (n / k) for v in range(k))
+        assert abs(r.z_uniform - (chi - (k - 1)) / (2 * (k - 1) * (n - 1) / n) ** 0.5) < 1e-9
+        changes = sum((a >= k / 2) != (b >= k / 2) for a, b in zip(x, x[1:], strict=False))
+        assert abs(r.z_runs - (changes - (n - 1) / 2) / ((n - 1) ** 0.5 / 2)) < 1e-9
+        serial = sum((a - (k - 1) / 2) * (b - (k - 1) / 2) for a, b in zip(x, x[1:], strict=False))
+        assert abs(r.z_serial - serial / ((k * k - 1) / 12 * (n - 1) ** 0.5)) < 1e-9
 
 
 def test_runs_are_cut_at_signs(spark):

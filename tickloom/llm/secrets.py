@@ -6,16 +6,16 @@ characters of ``[A-Za-z0-9+/_-]`` (and closing ``=``) whose encoding can be infe
 base62, base64, URL-safe base64; the run must hold the character classes that encoding needs) and which
 carry ``MIN_BITS`` bits. A run that no encoding fits is cut at ``/``, ``-`` and ``_`` and its parts are tried.
 
-Under the hypothesis that the characters are drawn evenly, three p-values are found: chi-squared
-uniformity over the encoding's alphabet (with its exact variance for short strings), a runs test about
-the middle of the alphabet, and a lag-1 serial correlation. Fisher's method joins them. A
-Benjamini-Hochberg procedure at ``FALSE_RATE`` in each stratum of encoding and length takes out the runs
-that are shown not to be random; strata keep short runs, whose tests have little power, from hiding
-behind long ones. Not being shown to be structured makes no secret, so what is left is tested against
-the contrary hypothesis, that the run is made of words and numbers: how likely its letters are in
-written language, and how often letters of one case, capitalised words and digits take turns. The same
-procedure on these p-values decides which runs are added, so that of the added spans the expected share
-of words is ``FALSE_RATE``. Spans that overlap a base span of their document are left out. The
+The battery has three statistics: chi-squared uniformity over the encoding's alphabet (with its exact variance for
+short strings), a runs test about the middle of the alphabet and a lag-1 serial correlation. Alphabets
+number their symbols by how common they are in writing, so in words symbols stay on one side of the middle and
+neighbours agree. In even draws all three are about standard normal. In words and numbers written together
+they are not: how they lie there is fitted, by encoding and length, on names composed of ``WORDS`` and numbers in
+``STYLES``. The three are weighted by how far their means lie apart over their variances; the weighted sum of a run,
+against its mean and spread in such names, gives the probability that a name would look as random. A
+Benjamini-Hochberg procedure at ``FALSE_RATE`` in each stratum of encoding and length, which keeps short runs,
+whose tests have little power, from hiding behind long ones, decides which runs are added, so that of the added spans
+the expected share of names is ``FALSE_RATE``. Spans that overlap a base span of their document are left out. The
 procedures' ranks come from p-values binned at 1/50 of a decade, so they need counts only.
 
 Positions come from the lengths of what stands between matches, summed by a window per text, so a
@@ -28,9 +28,7 @@ often as they occur; a null doc_id stays null; an empty table gives an empty res
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, text_of, written
@@ -44,20 +42,35 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 LEAST = {"assign": 6, "access": 20, "hex": 24, "random": 20}
-#: Alphabets in the order of their symbol numbers.
+#: Letters from the most to the least common one in writing.
+LETTERS = "etaoinshrdlcumwfgypbvkjxqz"
+DIGITS = "0123456789"
+#: The symbols of each encoding in the order of their numbers.
 ALPHABETS = {
-    "hex": "0123456789abcdef",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
-    "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
-    "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "hex": DIGITS + "abcdef",
+    "base32": LETTERS.upper() + "234567",
+    "base36": LETTERS + DIGITS,
+    "base62": LETTERS + LETTERS.upper() + DIGITS,
+    "base64": LETTERS + LETTERS.upper() + DIGITS + "+/",
+    "base64url": LETTERS + LETTERS.upper() + DIGITS + "-_",
 }
 BITS = {"hex": 4.0, "base32": 5.0, "base36": 5.17, "base62": 5.954, "base64": 6.0, "base64url": 6.0}
-#: Percent of the letters a to z in English text.
-LETTERS = [8.17, 1.29, 2.78, 4.25, 12.7, 2.23, 2.02, 6.09, 6.97, 0.15, 0.77, 4.03, 2.41, 6.75, 7.51, 1.93, 0.095, 5.99, 6.33, 9.06, 2.76, 0.98, 2.36, 0.15, 1.97, 0.074]
-#: Of words and numbers written together, the share of neighbours between which one ends.
-TURNS = 0.22
+#: Words of names, and words that are hexadecimal digits.
+WORDS = (
+    "get set user name list item page file path data time date load save read write open close start stop event handler test case class value index count total number string report summary version release "
+    "image folder window width height button color table column order customer invoice account payment login session client server request response message email address phone city country street market price "
+    "product category search filter result error warning status update delete create insert select group team project task meeting note text line word chapter section paragraph title author book library school "
+    "student teacher music video photo camera battery light switch motor sensor signal network device driver kernel memory thread process"
+).split()
+HEX_WORDS = "face deed bad cafe feed beef dead fade decade add dad bead".split()
+#: How names are written: (words, form of the first, form of the others, between them, numbers in a hundred words).
+STYLES = (
+    (WORDS, "title", "title", "", 20), (WORDS, "lower", "title", "", 20), (WORDS, "lower", "lower", "", 20), (WORDS, "upper", "upper", "", 20),
+    (HEX_WORDS, "lower", "lower", "", 70), (WORDS, "title", "title", "/", 20), (WORDS, "title", "lower", "-", 20), (WORDS, "title", "title", "_", 20),
+)
+LENGTHS = (20, 22, 24, 27, 30, 34, 40, 48, 58, 72, 96, 140)
+NAMES_EACH = 800
+TESTS = ("uniform", "runs", "serial")
 MIN_BITS = 80
 FALSE_RATE = 0.05
 BINS_PER_DECADE = 50
@@ -108,7 +121,7 @@ def normal_tail(z: Column) -> Column:
 
 
 def battery(runs: DataFrame) -> DataFrame:
-    """Adds encoding, n, p_uniform, p_runs, p_serial and p (all three) to rows with ``match``."""
+    """Adds encoding, n, band and the statistics z_uniform, z_runs, z_serial to rows with ``match`` that have an encoding and enough bits."""
     core = F.regexp_replace("match", "=+$", "")
     rows = runs.withColumn("encoding", encoding(F.col("match"))).where("encoding is not null")
     core = F.when(F.col("encoding") == "hex", F.lower(core)).when(F.col("encoding") == "base32", F.upper(core)).otherwise(core)
@@ -122,46 +135,60 @@ def battery(runs: DataFrame) -> DataFrame:
     squares = F.aggregate(F.array_distinct("x"), F.lit(0.0), lambda a, s: a + F.pow(F.size(F.filter("x", lambda y: y == s)), 2))
     n, k = F.col("n"), F.col("k")
     chi = squares * k / n - n
-    rows = rows.withColumn("p_uniform", normal_tail((chi - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n)))
+    rows = rows.withColumn("z_uniform", (chi - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n))
+    # Half of each alphabet lies above its middle: of even draws every second neighbour lies on the other side.
     rows = rows.withColumn("high", F.expr("transform(x, v -> v >= k / 2)"))
-    rows = rows.withColumn("n1", F.expr("cast(size(filter(high, h -> h)) as double)")).withColumn("n0", F.col("n") - F.col("n1"))
-    changes = F.expr("size(filter(zip_with(slice(high, 1, n - 1), slice(high, 2, n - 1), (a, b) -> a <> b), d -> d))") + 1
-    n1, n0 = F.col("n1"), F.col("n0")
-    mean, spread = 2 * n1 * n0 / n + 1, 2 * n1 * n0 * (2 * n1 * n0 - n) / (n * n * (n - 1))
-    z_runs = F.when(spread > 0, (changes - mean) / F.sqrt(F.greatest(spread, F.lit(1e-9)))).otherwise(F.lit(38.0))
-    rows = rows.withColumn("p_runs", F.least(2 * normal_tail(F.abs(z_runs)), F.lit(1.0)))
-    rows = rows.withColumn("mean", F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / n).withColumn("dev", F.expr("transform(x, v -> v - mean)"))
-    power = F.aggregate("dev", F.lit(0.0), lambda a, v: a + v * v)
+    changes = F.expr("size(filter(zip_with(slice(high, 1, n - 1), slice(high, 2, n - 1), (a, b) -> a <> b), d -> d))")
+    rows = rows.withColumn("z_runs", (changes - (n - 1) / 2) / (F.sqrt(n - 1) / 2))
+    rows = rows.withColumn("dev", F.expr("transform(x, v -> v - (k - 1) / 2)"))
     lagged = F.expr("aggregate(zip_with(slice(dev, 1, n - 1), slice(dev, 2, n - 1), (a, b) -> a * b), 0d, (a, v) -> a + v)")
-    z_serial = F.when(power > 0, (lagged / F.greatest(power, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.lit(38.0))
-    rows = rows.withColumn("p_serial", F.least(2 * normal_tail(F.abs(z_serial)), F.lit(1.0)))
-    half = -(F.log("p_uniform") + F.log("p_runs") + F.log("p_serial"))
-    joined = F.greatest(F.exp(-half) * (1 + half + half * half / 2), F.lit(1e-300))
-    return rows.withColumn("p", joined).drop("core", "alphabet", "chars", "x", "high", "dev", "mean", "n1", "n0", "k")
-
-
-def wordlike(rows: DataFrame) -> DataFrame:
-    """Adds p_words: how likely a run of words and numbers would look as little like one."""
-    total = sum(LETTERS)
-    shares = [x / total for x in LETTERS]
-    weights = [math.log(1 / 26 / x) for x in shares]
-    mean = sum(f * w for f, w in zip(shares, weights, strict=True))
-    spread = sum(f * w * w for f, w in zip(shares, weights, strict=True)) - mean**2
-    held = F.create_map(*(x for k, w in enumerate(weights) for x in (F.lit(chr(97 + k)), F.lit(w))))
-    core = F.regexp_replace("match", "=+$", "")
-    letters = F.filter(F.split(F.regexp_replace(F.lower(core), "[^a-z]", ""), ""), lambda c: c != "")
-    rows = rows.withColumn("letters", letters)
-    n = F.size("letters")
-    sum_ = F.aggregate("letters", F.lit(0.0), lambda a, c: a + held[c])
-    test = (n > 0) & (F.col("encoding") != "hex")  # six letters tell nothing
-    p_letters = F.when(test, normal_tail((sum_ - n * mean) / F.sqrt(F.greatest(n, F.lit(1)) * spread))).otherwise(F.lit(1.0))
-    # A word is letters of one case or a capital with small letters, a number is digits.
-    pieces = F.regexp_count(core, F.lit("[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]|[0-9]+|[^A-Za-z0-9]+")) - 1
-    places = F.length(core) - 1
-    p_turns = normal_tail((pieces - 0.5 - places * TURNS) / F.sqrt(places * TURNS * (1 - TURNS)))
-    rows = rows.withColumn("p_letters", p_letters).withColumn("p_turns", p_turns)
-    half = -(F.log("p_letters") + F.log("p_turns"))
-    return rows.withColumn("p_words", F.greatest(F.exp(-half) * (1 + half), F.lit(1e-300))).drop("letters")
+    rows = rows.withColumn("z_serial", lagged / ((k * k - 1) / 12 * F.sqrt(n - 1)))
+    most = length_band(F.lit(max(LENGTHS)))
+    return rows.withColumn("band", F.least(length_band(n), most)).drop("core", "alphabet", "chars", "x", "high", "dev", "k")
+
+
+def names_of(spark: SparkSession) -> DataFrame:
+    """match: names of words and numbers in all STYLES and LENGTHS; the same ones in every run."""
+    rows = spark.range(len(STYLES) * len(LENGTHS) * NAMES_EACH)
+    rows = rows.withColumn("style", (F.col("id") % len(STYLES)).cast("int")).withColumn("n", F.get(F.lit(list(LENGTHS)), F.floor(F.col("id") / len(STYLES)).cast("int") % len(LENGTHS)))
+    draw = lambda i, salt, most: F.pmod(F.xxhash64(F.col("id"), i, F.lit(salt)), F.lit(most)).cast("int")
+
+    def written_as(words, first, others, between, numbers):
+        form = {"title": F.initcap, "lower": F.lower, "upper": F.upper}
+
+        def piece(i):
+            word = F.get(F.lit(words), draw(i, 1, len(words)))
+            number = F.when(draw(i, 2, 100) < numbers, draw(i, 4, 9000).cast("string").substr(F.lit(1), draw(i, 3, 3) + 1)).otherwise("")
+            return F.concat(F.when(i == 0, form[first](word)).otherwise(form[others](word)), number)
+
+        return F.substring(F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / 3).cast("int")), piece), between), F.lit(1), F.col("n"))
+
+    match = F.lit(None).cast("string")
+    for number, style in enumerate(STYLES):
+        match = F.when(F.col("style") == number, written_as(*style)).otherwise(match)
+    return rows.select(match.alias("match"))
+
+
+def fitted(names: DataFrame, tests: tuple[str, ...] = TESTS) -> DataFrame:
+    """encoding, band, weight of each of ``tests``, mean and spread of their weighted sum in names: a small table."""
+    z = [F.col(f"z_{t}") for t in tests]
+    pairs = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
+    rows = battery(names).groupBy("encoding", "band").agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(z)), *(F.avg(z[i] * z[j]).alias(f"v{i}{j}") for i, j in pairs))
+    spread = lambda i, j: F.col(f"v{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
+    for i in range(len(z)):
+        rows = rows.withColumn(f"w{i}", F.col(f"m{i}") / (spread(i, i) + 1))
+    mean = sum((F.col(f"w{i}") * F.col(f"m{i}") for i in range(len(z))), F.lit(0.0))
+    variance = sum(((1 if i == j else 2) * F.col(f"w{i}") * F.col(f"w{j}") * spread(i, j) for i, j in pairs), F.lit(0.0))
+    return rows.select("encoding", "band", *(F.col(f"w{i}").alias(f"w_{t}") for i, t in enumerate(tests)), mean.alias("mean"), F.sqrt(F.greatest(variance, F.lit(1e-6))).alias("spread"))
+
+
+def scored(tested: DataFrame, alternative: DataFrame, tests: tuple[str, ...] = TESTS) -> DataFrame:
+    """Adds p: the probability that a name of the run's encoding and length looks as random."""
+    sum_ = F.lit(0.0)
+    for t in tests:
+        sum_ = sum_ + F.col(f"w_{t}") * F.col(f"z_{t}")
+    rows = tested.join(F.broadcast(alternative), ["encoding", "band"], "left")  # a row an encoding and length
+    return rows.withColumn("p", F.coalesce(normal_tail((F.col("mean") - sum_) / F.col("spread")), F.lit(1.0))).drop("mean", "spread", *(f"w_{t}" for t in tests))
 
 
 def length_band(n: Column) -> Column:
@@ -171,7 +198,7 @@ def length_band(n: Column) -> Column:
 def discoveries(tested: DataFrame, p: str, rate: float = FALSE_RATE) -> DataFrame:
     """Adds shown: rows whose hypothesis the stepwise procedure of their stratum rejects."""
     decades = F.least(-F.log10(p), F.lit(float(MOST_DECADES)))
-    rows = tested.withColumn("band", length_band(F.col("n"))).withColumn("bin", F.floor(decades * BINS_PER_DECADE).cast("int"))
+    rows = tested.withColumn("bin", F.floor(decades * BINS_PER_DECADE).cast("int"))
     bins = rows.groupBy("encoding", "band", "bin").agg(F.count(F.lit(1)).alias("rows"))
     stratum = Window.partitionBy("encoding", "band")
     upto = stratum.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
@@ -179,7 +206,7 @@ def discoveries(tested: DataFrame, p: str, rate: float = FALSE_RATE) -> DataFram
     edge = F.pow(F.lit(10.0), -F.col("bin") / BINS_PER_DECADE)
     cut = bins.where(edge <= rate * F.col("rank") / F.col("all")).groupBy("encoding", "band").agg(F.min("bin").alias("cut"))
     rows = rows.join(F.broadcast(cut), ["encoding", "band"], "left")
-    return rows.withColumn("shown", F.coalesce(F.col("bin") >= F.col("cut"), F.lit(False))).drop("band", "bin", "cut")
+    return rows.withColumn("shown", F.coalesce(F.col("bin") >= F.col("cut"), F.lit(False))).drop("bin", "cut")
 
 
 def parts_of(runs: DataFrame) -> DataFrame:
@@ -192,10 +219,10 @@ def parts_of(runs: DataFrame) -> DataFrame:
     return whole.unionByName(rest.select("doc_id", "text_key", (F.col("stop") - F.length("match")).alias("start"), "stop", "match"))
 
 
-def added_runs(runs: DataFrame) -> DataFrame:
-    """The runs that are neither shown to be structured nor may be words."""
-    left = discoveries(written(battery(parts_of(runs))), "p").where("not shown").drop("shown")
-    return discoveries(written(wordlike(left)), "p_words").where("shown")
+def added_runs(runs: DataFrame, tests: tuple[str, ...] = TESTS) -> DataFrame:
+    """The runs that are shown to be no names, by ``tests`` of the battery."""
+    alternative = written(fitted(names_of(runs.sparkSession), tests))
+    return discoveries(written(scored(battery(parts_of(runs)), alternative, tests)), "p").where("shown")
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
