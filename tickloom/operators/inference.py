@@ -111,38 +111,3 @@ def separate_pivots(bars: DataFrame, k: int = 3) -> DataFrame:
 
     both = high.unionByName(low)
     return both.groupBy("symbol", "kind").applyInPandas(run, both.schema)
-
-
-def chart_patterns(bars: DataFrame, k: int = 3, near: float = 0.15) -> DataFrame:
-    """symbol, opened_at, pattern, direction, confidence from the last pivots of each kind.
-
-    double_top / double_bottom: two like pivots; head_and_shoulders and its inverse: the middle of three
-    stands out between two like ones; triangles: lower highs and higher lows, or one side flat; channels:
-    both sides rise or fall. Of the patterns of a row short goes before long before wait, then the
-    higher confidence, then the order given here.
-    """
-    points = separate_pivots(bars, k)
-    by = Window.partitionBy("symbol").orderBy("rn", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    rows = points
-    for kind in ("high", "low"):
-        own = Window.partitionBy("symbol", "kind").orderBy("rn")
-        last3 = F.when(F.col("kind") == kind, F.array(F.col("price"), F.lag("price", 1).over(own), F.lag("price", 2).over(own)))
-        rows = rows.withColumn(f"{kind}3", F.last(last3, ignorenulls=True).over(by))
-    h, low = [F.col("high3")[i] for i in range(3)], [F.col("low3")[i] for i in range(3)]
-    alike = lambda a, b: F.abs(a - b) <= near * F.greatest(F.abs(a), F.abs(b))
-    is_high, is_low = F.col("kind") == "high", F.col("kind") == "low"
-    rules = [
-        ("head_and_shoulders", "short", 0.8, is_high & alike(h[0], h[2]) & (h[1] > h[0] * (1 + near)) & (h[1] > h[2] * (1 + near))),
-        ("double_top", "short", 0.7, is_high & alike(h[0], h[1])),
-        ("descending_triangle", "short", 0.6, alike(low[0], low[1]) & (h[0] < h[1] * (1 - near))),
-        ("falling_channel", "short", 0.5, (h[0] < h[1] * (1 - near)) & (low[0] < low[1] * (1 - near))),
-        ("inverse_head_and_shoulders", "long", 0.8, is_low & alike(low[0], low[2]) & (low[1] < low[0] * (1 - near)) & (low[1] < low[2] * (1 - near))),
-        ("double_bottom", "long", 0.7, is_low & alike(low[0], low[1])),
-        ("ascending_triangle", "long", 0.6, alike(h[0], h[1]) & (low[0] > low[1] * (1 + near))),
-        ("rising_channel", "long", 0.5, (h[0] > h[1] * (1 + near)) & (low[0] > low[1] * (1 + near))),
-        ("symmetrical_triangle", "wait", 0.4, (h[0] < h[1] * (1 - near)) & (low[0] > low[1] * (1 + near))),
-    ]
-    first = {"short": 2, "long": 1, "wait": 0}
-    options = [F.when(c, F.struct(F.lit(first[d]).alias("side"), F.lit(p).alias("confidence"), F.lit(-i).alias("place"), F.lit(n).alias("pattern"), F.lit(d).alias("direction"))) for i, (n, d, p, c) in enumerate(rules)]
-    best = F.array_max(F.array_compact(F.array(*options)))
-    return rows.withColumn("b", best).where("b is not null").select("symbol", "opened_at", "b.pattern", "b.direction", "b.confidence")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, inference, mixtures, performance, ranking, signals, simulation
+from ..operators import bootstrap, inference, mixtures, patterns, performance, ranking, signals, simulation
 from ..operators.recursive import smooth
 from ..operators.windows import full, true_range
 from ..sources import adapters as a
@@ -167,7 +167,7 @@ def _(spark, sf):
 
 @query("t28_chart_patterns")
 def _(spark, sf):
-    return inference.chart_patterns(a.bars_1h(spark, sf))
+    return patterns.chart_patterns(a.bars_1h(spark, sf))
 
 
 @query("c1_kmeans")
