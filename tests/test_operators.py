@@ -281,13 +281,6 @@ def test_appending_is_idempotent(spark, tmp_path):
     assert merged == {1: ("a", False), 2: ("b", True)}
 
 
-def test_position_fold():
-    fills = pd.DataFrame([(1, 1, 10.0, 2.0, True), (2, 2, 20.0, 2.0, True), (3, 3, 30.0, 1.0, False), (4, 4, 10.0, 5.0, False)], columns=["ts", "trade_id", "price", "qty", "buy"])
-    assert jobs.fold((0, 0.0, 0.0, 0.0, None), fills) == (4, -2.0, 10.0, 0.0, 4)
-    half = jobs.fold(jobs.fold((0, 0.0, 0.0, 0.0, None), fills[:2]), fills[2:])
-    assert half == jobs.fold((0, 0.0, 0.0, 0.0, None), fills)
-
-
 def test_late_ticks_are_dropped_from_streams(spark, tmp_path):
     def batch(name, rows):
         spark.createDataFrame([(i, t, 1, "A", float(i), '{"k": 1}') for i, t in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/{name}")

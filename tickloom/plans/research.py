@@ -223,10 +223,21 @@ def _(spark, sf):
     return jobs.run_to_end(jobs.stream_bars(jobs.tick_stream(spark, f"{sf}/events.parque[t]"), "4 hours", "10 minutes", "1 hour"))
 
 
-@query("stream_position")
+@query(
+    "stream_position",
+    f"""WITH RECURSIVE {f.TICKS}, fl AS (SELECT symbol, ts, price, CASE WHEN trade_id % 2 = 0 THEN qty ELSE -qty END AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS rn FROM ticks),
+po AS (SELECT symbol, rn, ts, x AS q, price AS e, 0.0::DOUBLE AS r FROM fl WHERE rn = 1
+  UNION ALL
+  SELECT n.symbol, n.rn, n.ts, p.q + n.x, CASE WHEN p.q = 0 OR (p.q > 0) = (n.x > 0) THEN (abs(p.q) * p.e + abs(n.x) * n.price) / (abs(p.q) + abs(n.x)) WHEN p.q + n.x = 0 THEN 0 WHEN (p.q + n.x > 0) = (n.x > 0) THEN n.price ELSE p.e END,
+    p.r + CASE WHEN p.q = 0 OR (p.q > 0) = (n.x > 0) THEN 0 ELSE least(abs(n.x), abs(p.q)) * (n.price - p.e) * sign(p.q) END FROM po p JOIN fl n ON n.symbol = p.symbol AND n.rn = p.rn + 1) ---
+SELECT symbol, rn AS fills, CASE WHEN q > 0 THEN 'long' WHEN q < 0 THEN 'short' ELSE 'flat' END AS side, abs(q) AS quantity, e AS entry, r AS realized, ts AS last_at FROM po QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) = 1""",
+    ["quantity", "entry", "realized"],
+)
 def _(spark, sf):
     fills = jobs.tick_stream(spark, f"{sf}/events.parque[t]").withColumn("buy", F.col("trade_id") % 2 == 0)
-    return jobs.latest(spark, jobs.stream_positions(fills))
+    path = jobs.folder(spark)
+    jobs.run_positions(fills, path)
+    return jobs.positions(spark, path)
 
 
 @query(

@@ -10,12 +10,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.positions import folded
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -58,59 +57,36 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-POSITION = "symbol string, fills long, side string, quantity double, entry double, realized double, last_at timestamp"
-STATE = "fills long, quantity double, entry double, realized double, last_at timestamp"
+STATE = "symbol string, fills long, quantity double, entry double, realized double, last_at timestamp"
 
 
-def fold(state: tuple, fills: pd.DataFrame) -> tuple:
-    """(fills, signed quantity, mean entry, realized) after the fills in order of (ts, trade_id).
+def newest_states(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The newest state of every symbol under ``path``, of the batches before ``before``."""
+    rows = spark.read.schema(f"{STATE}, batch int").parquet(path)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    columns = [c.split()[0] for c in STATE.split(", ")[1:]]
+    return rows.groupBy("symbol").agg(F.max_by(F.struct(*columns), "batch").alias("m")).select("symbol", "m.*")
 
-    Adding to a position averages the entry; reducing realizes; crossing zero opens at the fill's price.
-    """
-    n, qty, entry, realized, last = state
-    for r in fills.sort_values(["ts", "trade_id"], kind="stable").itertuples(index=False):
-        change = r.qty if r.buy else -r.qty
-        n, last = n + 1, r.ts
-        if qty == 0 or (qty > 0) == (change > 0):
-            entry = (abs(qty) * entry + abs(change) * r.price) / (abs(qty) + abs(change)) if qty or change else 0.0
-            qty += change
-            continue
-        closed = min(abs(change), abs(qty))
-        realized += closed * (r.price - entry) * (1 if qty > 0 else -1)
-        qty += change
-        if abs(qty) < 1e-12:
-            qty, entry = 0.0, 0.0
-        elif (qty > 0) == (change > 0):
-            entry = r.price
-    return n, qty, entry, realized, last
-
-
-def _positions(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = state.get if state.exists else (0, 0.0, 0.0, 0.0, None)
-    held = fold(tuple(held), pd.concat(list(parts)))
-    state.update(held)
-    n, qty, entry, realized, last = held
-    side = "long" if qty > 0 else "short" if qty < 0 else "flat"
-    yield pd.DataFrame([(key[0], n, side, abs(qty), entry, realized, last)], columns=[c.split()[0] for c in POSITION.split(", ")])
-
-
-def stream_positions(fills: DataFrame) -> DataFrame:
-    """The position of every symbol after each batch; fills have symbol, ts, trade_id, price, qty, buy."""
-    return fills.groupBy("symbol").applyInPandasWithState(_positions, POSITION, STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def latest(spark: SparkSession, positions: DataFrame) -> DataFrame:
-    """Runs the stream of positions; every batch is kept under its number, and the newest state of a symbol is returned.
-
-    Writing a batch again (after a restart) replaces the same folder, so it counts once.
+
+def run_positions(fills: DataFrame, path: str) -> None:
+    """Folds a stream of fills (symbol, ts, trade_id, price, qty, buy) to positions under ``path``, to the end of what is there.
+
+    A batch starts from the states of the batches before it and is written under its number. A batch that is run
+    again after a restart replaces its own folder and reads the same earlier ones, so every fill counts once.
     """
-    path = folder(spark)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        spark = batch.sparkSession
+        before = newest_states(spark, f"{path}/out", number) if number else None
+        folded(batch, before).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    job = positions.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    job = fills.writeStream.option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start()
     job.awaitTermination()
-    rows = spark.read.schema(POSITION + ", batch int").parquet(f"{path}/out")
-    newest = rows.groupBy("symbol").agg(F.max(F.struct("fills", *[c.split()[0] for c in POSITION.split(", ") if not c.startswith(("symbol", "fills"))])).alias("m"))
-    return newest.select("symbol", "m.*")
+
+
+def positions(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, fills, side, quantity, entry, realized, last_at as of the last batch under ``path``."""
+    q = F.col("quantity")
+    side = F.when(q > 0, "long").when(q < 0, "short").otherwise("flat")
+    return newest_states(spark, f"{path}/out").select("symbol", "fills", side.alias("side"), F.abs(q).alias("quantity"), "entry", "realized", "last_at")
