@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.operators import htf
 from tickloom.operators import microstructure as m
 from tickloom.operators import trend as t
 
@@ -54,3 +55,23 @@ def test_opening_range_needs_its_minutes_and_a_closed_confirmation(spark):
     assert signal(opening(spark, last=101.05))[-1] == "wait", "inside the range"
     assert signal(opening(spark), minutes=20)[-1] == "long"
     assert signal(opening(spark), minutes=21)[-1] == "wait", "the bar lies in the range itself"
+
+
+@pytest.mark.parametrize("p", [2, 3, 7, 16, 40, 61])
+def test_long_ranges_from_blocks(spark, p):
+    closes = [(i * 37) % 101 + (i % 7) for i in range(150)]
+    rows = htf.prior_extremes(bars(spark, closes).repartition(4), p, "top", "bottom").orderBy("opened_at").collect()
+    for i, r in enumerate(rows):
+        before = closes[i - p : i] if i >= p else None
+        assert (r.top, r.bottom) == ((None, None) if before is None else (max(before) + 0.1, min(before) - 0.1)), i
+
+
+def test_higher_time_frame_rules_wait_one_bar_more_and_for_their_interval(spark):
+    climb = [100 + i for i in range(40)]
+    rule = lambda df, **kw: directions(htf.donchian(df, 20, 5, 6, 0.01, 0.001, 0.0, **kw))
+    assert rule(bars(spark, climb[:22], minutes=1), interval=1) == ["wait"] * 21 + ["long"]
+    assert [i for i, d in enumerate(rule(bars(spark, climb, minutes=1), interval=10)) if d == "long"] == [30]
+    fall = [200 - i for i in range(24)]
+    assert directions(htf.acceleration(bars(spark, fall, minutes=1), 15, 3, 6, 0.01, 0.001, 0.001, 0.5, 1))[-1] == "short"
+    dip = [100 + i for i in range(30)] + [120, 119, 118, 126]
+    assert directions(htf.pullback(bars(spark, dip, minutes=1), 25, 12, 8, 3, 0.01, 0.001, 0.01, 0.0, 1))[-1] == "long"

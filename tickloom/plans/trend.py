@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators import htf
 from ..operators import trend as t
 from ..sources import adapters as a
 from .registry import query
@@ -75,3 +76,51 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return t.exhaustion_reversal(a.bars_1h(spark, sf), 24, 0.02, 3, 0.002, 48).select(*OUT)
+
+
+def _since(n: int) -> str:
+    return f"close / {_lag('close', n)} - 1"
+
+
+def _gate(hours: int, longest: int) -> str:
+    return f"(extract(hour FROM opened_at) % {hours} = 0 AND {_lag('opened_at', longest + 1)} IS NOT NULL) AS warm"
+
+
+def _span(n: int, name: str) -> str:
+    return f"{_prior('max(high)', n)} AS {name}_high, {_prior('min(low)', n)} AS {name}_low"
+
+
+@query(
+    "t29_htf_donchian",
+    _sql(
+        f"{_since(72)} AS gain, {_since(12)} AS confirm, {_span(24, 'r')}, {_gate(2, 72)}",
+        "warm AND gain >= 0.02 AND confirm >= 0.005 AND close > r_high * 1.001", "warm AND gain <= -0.02 AND confirm <= -0.005 AND close < r_low * 0.999", "1.0",
+    ),
+    D,
+)
+def _(spark, sf):
+    return htf.donchian(a.bars_1h(spark, sf), 72, 12, 24, 0.02, 0.005, 0.001, 120).select(*OUT)
+
+
+@query(
+    "t29_htf_pullback",
+    _sql(
+        f"{_since(72)} AS gain, {_since(24)} AS confirm, {_span(36, 'r')}, {_span(5, 's')}, {_lag('close', 1)} AS c1, {_gate(2, 72)}",
+        "warm AND gain >= 0.02 AND confirm >= 0.005 AND (r_high - c1) / r_high >= 0.012 AND close > s_high * 1.001", "warm AND gain <= -0.02 AND confirm <= -0.005 AND (c1 - r_low) / c1 >= 0.012 AND close < s_low * 0.999", "1.0",
+    ),
+    D,
+)
+def _(spark, sf):
+    return htf.pullback(a.bars_1h(spark, sf), 72, 24, 36, 5, 0.02, 0.005, 0.012, 0.001, 120).select(*OUT)
+
+
+@query(
+    "t29_htf_acceleration",
+    _sql(
+        f"{_since(96)} AS gain, {_since(12)} AS fast, {_since(36)} AS slow, {_span(36, 'r')}, {_gate(2, 96)}",
+        "warm AND gain >= 0.02 AND fast >= 0.005 AND slow >= 0.01 AND (close - r_low) / r_low <= 5", "warm AND gain <= -0.02 AND fast <= -0.005 AND slow <= -0.01 AND (r_high - close) / r_high <= 5", "1.0",
+    ),
+    D,
+)
+def _(spark, sf):
+    return htf.acceleration(a.bars_1h(spark, sf), 96, 12, 36, 0.02, 0.005, 0.01, 5, 120).select(*OUT)
