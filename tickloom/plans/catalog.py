@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flow, history, market, microstructure, models, performance, ranking, regime, research, signals, tables, trend  # noqa: F401
+from . import files, flow, history, market, microstructure, models, performance, ranking, regime, research, signals, tables, trend  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
