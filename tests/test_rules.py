@@ -75,3 +75,22 @@ def test_higher_time_frame_rules_wait_one_bar_more_and_for_their_interval(spark)
     assert directions(htf.acceleration(bars(spark, fall, minutes=1), 15, 3, 6, 0.01, 0.001, 0.001, 0.5, 1))[-1] == "short"
     dip = [100 + i for i in range(30)] + [120, 119, 118, 126]
     assert directions(htf.pullback(bars(spark, dip, minutes=1), 25, 12, 8, 3, 0.01, 0.001, 0.01, 0.0, 1))[-1] == "long"
+
+
+def test_regime_entry_and_exit_by_hand(spark):
+    base = {"symbol": "A", "close": 100.0, "volume": 5.0, "ema_fast": 1.0, "ema_slow": 2.0, "adx": 30.0, "atr": 1.0, "rsi": 60.0, "upper": 99.0, "lower": 90.0}
+    cases = [
+        ({}, "short"), ({"adx": 20.0}, "wait"), ({"rsi": 57.0}, "wait"), ({"atr": 0.3}, "wait"), ({"close": 98.0}, "wait"), ({"volume": 0.0}, "wait"), ({"upper": None}, "wait"),
+        ({"ema_fast": 3.0, "lower": 101.0, "upper": 110.0, "rsi": 40.0}, "long"), ({"ema_fast": 3.0, "lower": 101.0, "upper": 110.0, "rsi": 43.0}, "wait"), ({"ema_slow": None}, "wait"),
+    ]
+    names = list(base)
+    rows = [tuple({**base, **c}[n] for n in names) + (START + timedelta(hours=i),) for i, (c, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, ", ".join("symbol string" if n == "symbol" else f"{n} double" for n in names) + ", opened_at timestamp")
+    got = t.regime_entry(df).orderBy("opened_at").collect()
+    assert [r.direction for r in got] == [d for _, d in cases]
+    assert got[0].confidence == pytest.approx(0.55 + 0.25 * 0.5 + 0.2 * 0.75)
+    leave = lambda **c: t.regime_exit(df.limit(1).withColumns({k: F.lit(v).cast("double") for k, v in c.items()})).first()
+    assert leave(c_close=1.0, rsi=50.0).leave == "long" and leave(c_close=3.0, rsi=44.0).leave == "long"
+    assert leave(c_close=3.0, rsi=50.0).leave == "short" and leave(c_close=2.0, rsi=56.0).leave == "short"
+    assert leave(c_close=2.0, rsi=50.0).reason == "keep_position" and leave(c_close=None).reason == "missing_required_fields"
+    assert t.regime_exit(df).first().reason == "missing_required_fields", "the exit reads a column of its own"

@@ -42,17 +42,25 @@ def ema(bars: DataFrame, fast: int = 12, slow: int = 26) -> DataFrame:
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    rows = ema(bars, fast, slow).withColumnRenamed("gap", "macd").drop("gap_ratio")
-    rows = smooth(rows, {"signal": ("close", ema_alpha(signal), signal)})
-    return rows.withColumn("hist", F.col("macd") - F.col("signal"))
+    rows = smooth(bars, {"ema_fast": ("close", ema_alpha(fast), fast), "ema_slow": ("close", ema_alpha(slow), slow), "signal": ("close", ema_alpha(signal), signal)})
+    return rows.withColumn("macd", F.col("ema_fast") - F.col("ema_slow")).withColumn("hist", F.col("macd") - F.col("signal"))
 
 
 def rsi(bars: DataFrame, w: int = 14) -> DataFrame:
-    step = F.col("close") - shift("close", 1)
-    rows = bars.withColumn("gain", F.greatest(F.coalesce(step, F.lit(0.0)), F.lit(0.0))).withColumn("loss", F.greatest(-F.coalesce(step, F.lit(0.0)), F.lit(0.0)))
-    rows = smooth(rows, {"avg_gain": ("gain", 1 / w, w), "avg_loss": ("loss", 1 / w, w)})
-    value = 100 - 100 / (1 + F.col("avg_gain") / F.col("avg_loss"))
-    return rows.withColumn("rsi", F.when(F.col("avg_loss") > 0, value).otherwise(0.0)).drop("gain", "loss", "avg_gain", "avg_loss")
+    rows = with_rsi(smooth(with_steps(bars), {"avg_gain": ("gain", 1 / w, w), "avg_loss": ("loss", 1 / w, w)}))
+    return rows.drop("gain", "loss", "avg_gain", "avg_loss")
+
+
+def with_steps(bars: DataFrame) -> DataFrame:
+    """Adds gain and loss of the close."""
+    step = F.coalesce(F.col("close") - shift("close", 1), F.lit(0.0))
+    return bars.withColumn("gain", F.greatest(step, F.lit(0.0))).withColumn("loss", F.greatest(-step, F.lit(0.0)))
+
+
+def with_rsi(rows: DataFrame) -> DataFrame:
+    """Adds rsi from the means of gain and loss."""
+    value = 100 - 100 / (1 + F.try_divide("avg_gain", "avg_loss"))
+    return rows.withColumn("rsi", F.when(F.col("avg_loss") > 0, value).otherwise(0.0))
 
 
 def atr(bars: DataFrame, w: int = 14) -> DataFrame:
@@ -60,21 +68,36 @@ def atr(bars: DataFrame, w: int = 14) -> DataFrame:
 
 
 def keltner(bars: DataFrame, w: int = 20, atr_w: int = 14, k: float = 2.0) -> DataFrame:
-    rows = smooth(atr(bars, atr_w), {"mid": ("close", ema_alpha(w), w)})
+    rows = smooth(bars.withColumn("tr", true_range()), {"atr": ("tr", 1 / atr_w, atr_w), "mid": ("close", ema_alpha(w), w)})
     return rows.withColumn("upper", F.col("mid") + k * F.col("atr")).withColumn("lower", F.col("mid") - k * F.col("atr"))
 
 
 def dmi(bars: DataFrame, w: int = 14) -> DataFrame:
+    rows = smooth(with_moves(bars), {"atr": ("tr", 1 / w, w), "sp": ("plus_dm", 1 / w, w), "sm": ("minus_dm", 1 / w, w)})
+    return with_adx(rows, w).select(*bars.columns, "plus_di", "minus_di", "adx")
+
+
+def with_moves(bars: DataFrame) -> DataFrame:
+    """Adds the true range and the directional moves."""
     up, down = F.col("high") - shift("high", 1), shift("low", 1) - F.col("low")
-    rows = bars.withColumn("tr", true_range())
-    rows = rows.withColumn("plus_dm", F.when((up > down) & (up > 0), up).otherwise(0.0))
-    rows = rows.withColumn("minus_dm", F.when((down > up) & (down > 0), down).otherwise(0.0))
-    rows = smooth(rows, {"atr": ("tr", 1 / w, w), "sp": ("plus_dm", 1 / w, w), "sm": ("minus_dm", 1 / w, w)})
+    rows = bars.withColumn("tr", true_range()).withColumn("plus_dm", F.when((up > down) & (up > 0), up).otherwise(0.0))
+    return rows.withColumn("minus_dm", F.when((down > up) & (down > 0), down).otherwise(0.0))
+
+
+def with_adx(rows: DataFrame, w: int) -> DataFrame:
+    """Adds plus_di, minus_di and adx from the means atr, sp and sm."""
     rows = rows.withColumn("p", F.try_divide(F.col("sp") * 100, "atr")).withColumn("m", F.try_divide(F.col("sm") * 100, "atr"))
     rows = rows.withColumn("dx", F.try_divide(F.abs(F.col("p") - F.col("m")) * 100, F.col("p") + F.col("m")))
     rows = smooth(rows, {"raw_adx": ("dx", 1 / w, w)})
-    filled = lambda c: F.coalesce(c, F.lit(0.0))
-    return rows.select(*bars.columns, filled("p").alias("plus_di"), filled("m").alias("minus_di"), filled("raw_adx").alias("adx"))
+    return rows.withColumns({"plus_di": F.coalesce("p", F.lit(0.0)), "minus_di": F.coalesce("m", F.lit(0.0)), "adx": F.coalesce("raw_adx", F.lit(0.0))})
+
+
+def together(bars: DataFrame, fast: int = 12, slow: int = 26, w: int = 14, band: int = 20) -> DataFrame:
+    """Bars with ema_fast, ema_slow, adx, atr, rsi and the Bollinger bands upper and lower; all means but ADX's in one pass."""
+    means = {n: (c, 1 / w, w) for n, c in (("avg_gain", "gain"), ("avg_loss", "loss"), ("atr", "tr"), ("sp", "plus_dm"), ("sm", "minus_dm"))}
+    means |= {"ema_fast": ("close", ema_alpha(fast), fast), "ema_slow": ("close", ema_alpha(slow), slow)}
+    rows = with_adx(with_rsi(smooth(with_steps(with_moves(bars)), means)), w)
+    return bollinger(rows, band).select(*bars.columns, "ema_fast", "ema_slow", "adx", "atr", "rsi", "upper", "lower")
 
 
 def cci(bars: DataFrame, w: int = 20) -> DataFrame:

@@ -73,6 +73,7 @@ def _values(rows: str, column: str, alpha: float, least: int, start: Column) ->
 def smooth(df: DataFrame, specs: dict[str, tuple[str, float, int]], key: str = "symbol", order: str = "opened_at", block: str = BLOCK, span: str = SPAN) -> DataFrame:
     """Adds exponential means: name -> (column, alpha, least rows). No bias correction; nulls before ``least`` values.
 
+    Means over the same rows belong in one call: each call reads its rows twice, so calls on calls' results double the plan.
     A null input leaves the mean as it is and does not count. Rows of a symbol have distinct times in ``order``.
     """
     names = list(specs)

@@ -65,3 +65,37 @@ def exhaustion_reversal(rows: DataFrame, move: int = 240, extreme: float = 0.02,
     place = F.try_divide(F.col("close") - F.col("rl"), F.col("rh") - F.col("rl"))
     long = F.col("warm") & (F.col("gain") <= -extreme) & (F.col("back") >= reclaim) & (place <= low)
     return signal(rows, long, F.col("warm") & (F.col("gain") >= extreme) & (F.col("back") <= -reclaim) & (place >= high), F.lit(1.0))
+
+
+#: Levels of the regime entry and exit, and what their confidence is made of.
+ENTRY = {"short_adx": 20.0, "long_adx": 22.0, "atr_ratio": 0.004, "short_rsi": 57.0, "long_rsi": 43.0}
+EXIT_LOW, EXIT_HIGH, EXIT_CONFIDENCE = 45.0, 55.0, 0.70
+
+
+def regime_entry(rows: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
+    """Against a close beyond a band that goes with the averages: short above the upper one in a fall, long below the lower one in a rise.
+
+    ``rows`` are of ``indicators.together``. Needs all indicators, a positive close and volume, a strong and wide enough market. Short is asked first; confidence grows with ADX and ATR.
+    """
+    k = ENTRY | (limits or {})
+    ratio = F.try_divide(F.col("atr"), F.col("close"))
+    known = F.col("ema_fast").isNotNull() & F.col("ema_slow").isNotNull() & F.col("rsi").isNotNull() & F.col("upper").isNotNull() & (F.col("close") > 0) & (F.col("volume") > 0)
+    wide = known & (ratio > k["atr_ratio"])
+    short = wide & (F.col("ema_fast") < F.col("ema_slow")) & (F.col("adx") > k["short_adx"]) & (F.col("close") > F.col("upper")) & (F.col("rsi") > k["short_rsi"])
+    long = wide & (F.col("ema_fast") > F.col("ema_slow")) & (F.col("adx") > k["long_adx"]) & (F.col("close") < F.col("lower")) & (F.col("rsi") < k["long_rsi"])
+    part = lambda x, low, span: F.least(F.greatest((x - low) / span, F.lit(0.0)), F.lit(1.0))
+    sure = F.least(0.55 + 0.25 * part(F.col("adx"), 20.0, 20.0) + 0.20 * part(ratio, 0.004, 0.008), F.lit(0.98))
+    return signal(rows, long & ~F.coalesce(short, F.lit(False)), short, sure)
+
+
+def regime_exit(rows: DataFrame, close: str = "c_close") -> DataFrame:
+    """Which side to leave: ``leave`` is long (asked first), short or keep, with confidence and reason.
+
+    The close is read from a column of its own (``c_close``); where that is missing nothing is left.
+    """
+    price = F.col(close) if close in rows.columns else F.lit(None).cast("double")
+    known = F.col("ema_slow").isNotNull() & F.col("rsi").isNotNull() & price.isNotNull()
+    down, up = known & ((price < F.col("ema_slow")) | (F.col("rsi") < EXIT_LOW)), known & ((price > F.col("ema_slow")) | (F.col("rsi") > EXIT_HIGH))
+    leave = F.when(down, "long").when(up, "short").otherwise("keep")
+    reason = F.when(~known, "missing_required_fields").when(down, "exit_long_signal").when(up, "exit_short_signal").otherwise("keep_position")
+    return rows.withColumn("leave", leave).withColumn("reason", reason).withColumn("confidence", F.when(F.col("leave") == "keep", 0.0).otherwise(EXIT_CONFIDENCE))

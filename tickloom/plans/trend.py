@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from ..operators import htf
+from pyspark.sql import functions as F
+
+from ..operators import htf, indicators
 from ..operators import trend as t
 from ..sources import adapters as a
+from . import fragments as f
+from .market import _STEPS
 from .registry import query
 from .signals import OUT, D, _full, _lag, _prior, _sql
 
@@ -124,3 +128,45 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return htf.acceleration(a.bars_1h(spark, sf), 96, 12, 36, 0.02, 0.005, 0.01, 5, 120).select(*OUT)
+
+
+def _least(name: str, n: int, column: str) -> str:
+    return f"CASE WHEN r.rn >= {n} THEN {name}.v END AS {column}"
+
+
+REGIME = (
+    f"WITH RECURSIVE {_STEPS}, "
+    + ", ".join(f.ema(c, al, 1, n) for n, c, al in (("ef", "close", "2.0/13"), ("es", "close", "2.0/27"), ("g", "gain", "1.0/14"), ("l", "loss", "1.0/14"), ("t", "tr", "1.0/14"), ("p", "pdm", "1.0/14"), ("m", "mdm", "1.0/14")))
+    + f""", d AS (SELECT r.*, {_least("ef", 12, "ema_fast")}, {_least("es", 26, "ema_slow")}, {_least("t", 14, "atr")}, CASE WHEN r.rn >= 14 AND l.v > 0 THEN 100 - 100 / (1 + g.v / l.v) ELSE 0 END AS rsi,
+  CASE WHEN r.rn >= 14 THEN p.v * 100 / nullif(t.v, 0) END AS pdi, CASE WHEN r.rn >= 14 THEN m.v * 100 / nullif(t.v, 0) END AS mdi
+  FROM r JOIN ef USING (symbol, rn) JOIN es USING (symbol, rn) JOIN g USING (symbol, rn) JOIN l USING (symbol, rn) JOIN t USING (symbol, rn) JOIN p USING (symbol, rn) JOIN m USING (symbol, rn)),
+dx AS (SELECT *, abs(pdi - mdi) * 100 / nullif(pdi + mdi, 0) AS dx FROM d),
+y AS (SELECT symbol, dx, opened_at, row_number() OVER (PARTITION BY symbol ORDER BY opened_at) AS rn FROM dx WHERE dx IS NOT NULL), {f.ema("dx", "1.0/14", 14, "z", "y")},
+ax AS (SELECT y.symbol, y.opened_at, CASE WHEN y.rn >= 14 THEN z.v END AS v FROM y JOIN z USING (symbol, rn)),
+bb AS (SELECT dx.*, coalesce(ax.v, 0) AS adx, CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END AS mid, CASE WHEN count(*) OVER w = 20 THEN stddev_pop(close) OVER w END AS dev
+  FROM dx LEFT JOIN ax USING (symbol, opened_at) WINDOW w AS (PARTITION BY symbol ORDER BY opened_at ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+ri AS (SELECT *, mid + 2 * dev AS upper, mid - 2 * dev AS lower, atr / nullif(close, 0) AS ratio FROM bb)"""
+)
+
+
+@query(
+    "t32_regime_entry",
+    f"""{REGIME}, e AS (SELECT *, ema_slow IS NOT NULL AND mid IS NOT NULL AND close > 0 AND volume > 0 AND ratio > 0.004 AS wide FROM ri),
+sg AS (SELECT *, CASE WHEN coalesce(wide AND ema_fast < ema_slow AND adx > 5 AND close > upper AND rsi > 52, false) THEN 'short' WHEN coalesce(wide AND ema_fast > ema_slow AND adx > 5 AND close < lower AND rsi < 48, false) THEN 'long' ELSE 'wait' END AS direction FROM e) ---
+SELECT symbol, opened_at, direction, CASE WHEN direction = 'wait' THEN 0.0::DOUBLE ELSE least(0.55 + 0.25 * least(greatest((adx - 20) / 20, 0), 1) + 0.2 * least(greatest((ratio - 0.004) / 0.008, 0), 1), 0.98) END AS confidence FROM sg""",
+    D,
+)
+def _(spark, sf):
+    return t.regime_entry(indicators.together(a.bars_1h(spark, sf)), {"short_adx": 5.0, "long_adx": 5.0, "short_rsi": 52.0, "long_rsi": 48.0}).select(*OUT)
+
+
+@query(
+    "t32_regime_exit",
+    f"""{REGIME}, e AS (SELECT *, ema_slow IS NOT NULL AND close IS NOT NULL AS known FROM ri),
+sg AS (SELECT *, CASE WHEN known AND (close < ema_slow OR rsi < 45) THEN 'long' WHEN known AND (close > ema_slow OR rsi > 55) THEN 'short' ELSE 'keep' END AS leave FROM e) ---
+SELECT symbol, opened_at, leave, CASE WHEN NOT known THEN 'missing_required_fields' WHEN leave = 'long' THEN 'exit_long_signal' WHEN leave = 'short' THEN 'exit_short_signal' ELSE 'keep_position' END AS reason, CASE WHEN leave = 'keep' THEN 0.0::DOUBLE ELSE 0.7 END AS confidence FROM sg""",
+    D,
+)
+def _(spark, sf):
+    rows = indicators.together(a.bars_1h(spark, sf)).withColumn("c_close", F.col("close"))
+    return t.regime_exit(rows).select("symbol", "opened_at", "leave", "reason", "confidence")
