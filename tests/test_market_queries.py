@@ -6,7 +6,7 @@ from oracle import compare, connect
 from tickloom.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-MAY_BE_EMPTY = {"s5_violations", "c14_walk_forward", "a22_walk_forward_summary", "a16_worst_7_days", "a16_worst_14_days", "t28_chart_patterns", "b3_scheduler_guarded", "b7_regime_routed", "a2_closed_bars_4h", "l11_dynamic_threshold", "l13_train_selection"}
+MAY_BE_EMPTY = {"s5_violations", "c14_walk_forward", "a22_walk_forward_summary", "a16_worst_7_days", "a16_worst_14_days", "t28_chart_patterns", "b3_scheduler_guarded", "b7_regime_routed", "a2_closed_bars_4h", "l11_dynamic_threshold", "l13_train_selection", "l8_weekly_ranks"}
 
 
 @pytest.fixture(scope="module")
