@@ -221,7 +221,7 @@ def parts_of(runs: DataFrame) -> DataFrame:
 
 def added_runs(runs: DataFrame, tests: tuple[str, ...] = TESTS) -> DataFrame:
     """The runs that are shown to be no names, by ``tests`` of the battery."""
-    alternative = written(fitted(names_of(runs.sparkSession), tests))
+    alternative = written(fitted(written(names_of(runs.sparkSession)), tests))  # a table between keeps the plan small
     return discoveries(written(scored(battery(parts_of(runs)), alternative, tests)), "p").where("shown")
 
 
