@@ -74,8 +74,8 @@ def monthly(trades: DataFrame, cash: float = CASH) -> DataFrame:
 
 
 def compounded(column: Column) -> Column:
-    """Product of (1 + r) minus 1, for r above -1."""
-    return F.exp(F.sum(F.log1p(column))) - 1
+    """Product of (1 + r) minus 1; -1 once an r is -1 or less, as nothing is left then."""
+    return F.when(F.min(column) <= -1, -1.0).otherwise(F.exp(F.sum(F.log1p(F.when(column > -1, column)))) - 1)
 
 
 def tail_stats(months: DataFrame, by: str = "candidate_id", value: str = "return_ratio", at: str = "month") -> DataFrame:
@@ -87,7 +87,7 @@ def tail_stats(months: DataFrame, by: str = "candidate_id", value: str = "return
     return rows.groupBy(by).agg(
         F.avg(F.when(F.col("low") <= tenth, F.col(value))).alias("shortfall"),
         F.max(F.when(F.col("low") == tenth, F.col(value))).alias("tenth_percentile"),
-        F.coalesce(F.exp(F.sum(F.when(F.col("top") > 1, F.log1p(value)))) - 1, F.lit(0.0)).alias("without_best"),
+        F.coalesce(compounded(F.when(F.col("top") > 1, F.col(value))), F.lit(0.0)).alias("without_best"),
         compounded(F.col(value)).alias("compounded"),
         F.median(value).alias("median"),
     )
@@ -104,10 +104,12 @@ def concentration(trades: DataFrame, by: str = "candidate_id", top: int = 5) ->
 
 
 def worst_block(days: DataFrame, n: int, cash: float = CASH, by: str = "candidate_id") -> DataFrame:
-    """The worst compounded return of ``n`` days in a row that all have trades (complete calendar blocks)."""
+    """The worst compounded return of ``n`` days in a row that all have trades (complete calendar blocks); -1 with a day that loses all."""
     order = Window.partitionBy(by).orderBy("day")
-    rows = days.withColumn("first", F.lag("day", n - 1).over(order)).withColumn("r", F.log1p(F.col("pnl") / cash))
-    rows = rows.withColumn("block", F.exp(F.sum("r").over(order.rowsBetween(1 - n, 0))) - 1)
+    rows = days.withColumn("first", F.lag("day", n - 1).over(order)).withColumn("r", F.col("pnl") / cash)
+    block = order.rowsBetween(1 - n, 0)
+    left = F.exp(F.sum(F.log1p(F.when(F.col("r") > -1, F.col("r")))).over(block)) - 1
+    rows = rows.withColumn("block", F.when(F.min("r").over(block) <= -1, -1.0).otherwise(left))
     return rows.where(F.datediff("day", "first") == n - 1).groupBy(by).agg(F.min("block").alias("worst"), F.count(F.lit(1)).alias("blocks"))
 
 

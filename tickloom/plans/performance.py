@@ -13,6 +13,13 @@ from .registry import query
 DAILY = f"{f.LEDGER}, days AS (SELECT candidate_id, CAST(exit_ts AS DATE) AS day, sum(pnl) AS pnl, count(*) AS trades FROM ledger GROUP BY candidate_id, CAST(exit_ts AS DATE))"
 EQUITY = f"""{DAILY}, e0 AS (SELECT *, 1000000.0 + sum(pnl) OVER (PARTITION BY candidate_id ORDER BY day) AS equity FROM days),
 e1 AS (SELECT *, greatest(1000000.0, max(equity) OVER (PARTITION BY candidate_id ORDER BY day)) AS peak FROM e0)"""
+
+
+def compounded(value: str, over: str = "") -> str:
+    """Product of (1 + value) minus 1; -1 once a value is -1 or less, as nothing is left then."""
+    return f"CASE WHEN min({value}){over} <= -1 THEN -1.0 ELSE exp(sum(ln(CASE WHEN {value} > -1 THEN 1 + {value} END)){over}) - 1 END"
+
+
 MONTHS = f"""{DAILY}, m0 AS (SELECT *, strftime(day, '%Y-%m') AS month FROM days),
 m1 AS (SELECT *, 1000000.0 + sum(pnl) OVER (PARTITION BY candidate_id, month ORDER BY day) AS equity FROM m0),
 m2 AS (SELECT *, greatest(1000000.0, max(equity) OVER (PARTITION BY candidate_id, month ORDER BY day)) AS peak FROM m1),
@@ -49,7 +56,7 @@ def _(spark, sf):
     f"""WITH {MONTHS}, n AS (SELECT *, count(*) OVER (PARTITION BY candidate_id) AS n, row_number() OVER (PARTITION BY candidate_id ORDER BY return_ratio, month) AS low, row_number() OVER (PARTITION BY candidate_id ORDER BY return_ratio DESC, month) AS top FROM months),
 t AS (SELECT *, greatest(1, ceil(n * 0.1::DOUBLE)) AS tenth FROM n) ---
 SELECT candidate_id, avg(CASE WHEN low <= tenth THEN return_ratio END) AS shortfall, max(CASE WHEN low = tenth THEN return_ratio END) AS tenth_percentile,
-  coalesce(exp(sum(CASE WHEN top > 1 THEN ln(1 + return_ratio) END)) - 1, 0) AS without_best, exp(sum(ln(1 + return_ratio))) - 1 AS compounded, median(return_ratio) AS median FROM t GROUP BY candidate_id""",
+  coalesce({compounded("(CASE WHEN top > 1 THEN return_ratio END)")}, 0) AS without_best, {compounded("return_ratio")} AS compounded, median(return_ratio) AS median FROM t GROUP BY candidate_id""",
     ["shortfall", "tenth_percentile", "without_best", "compounded", "median"],
 )
 def _(spark, sf):
@@ -68,7 +75,7 @@ def _(spark, sf):
 
 @query(
     "a16_worst_7_days",
-    f"""WITH {DAILY}, n AS (SELECT *, lag(day, 6) OVER w AS first, exp(sum(ln(1 + pnl / 1000000.0)) OVER (PARTITION BY candidate_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) - 1 AS block FROM days WINDOW w AS (PARTITION BY candidate_id ORDER BY day)) ---
+    f"""WITH {DAILY}, n AS (SELECT *, lag(day, 6) OVER w AS first, {compounded("(pnl / 1000000.0)", " OVER (PARTITION BY candidate_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)")} AS block FROM days WINDOW w AS (PARTITION BY candidate_id ORDER BY day)) ---
 SELECT candidate_id, min(block) AS worst, count(*) AS blocks FROM n WHERE day - first = 6 GROUP BY candidate_id""",
     ["worst"],
 )
@@ -143,7 +150,7 @@ def _(spark, sf):
     return rows.select("a", "b", "months", F.when((F.col("months") >= 2) & (F.col("sa") > 0) & (F.col("sb") > 0), F.col("c")).alias("correlation"))
 
 
-SCORES = f"""{MONTHS}, s0 AS (SELECT candidate_id, exp(sum(ln(1 + return_ratio))) - 1 AS total, avg(CAST(return_ratio > 0 AS INTEGER)) AS positive, sum(expectancy / 1000000.0 * trades) / sum(trades) AS expectancy,
+SCORES = f"""{MONTHS}, s0 AS (SELECT candidate_id, {compounded("return_ratio")} AS total, avg(CAST(return_ratio > 0 AS INTEGER)) AS positive, sum(expectancy / 1000000.0 * trades) / sum(trades) AS expectancy,
   max(max_drawdown) AS worst_drawdown, CAST(sum(trades) AS BIGINT) AS trades, count(*) AS months FROM months GROUP BY candidate_id), s1 AS (SELECT *, (total * positive + expectancy) / (1 + worst_drawdown) AS score FROM s0)"""
 
 
@@ -332,7 +339,7 @@ def _(spark, sf):
 
 @query(
     "a16_worst_14_days",
-    f"""WITH {DAILY}, n AS (SELECT *, lag(day, 13) OVER w AS first, exp(sum(ln(1 + pnl / 1000000.0)) OVER (PARTITION BY candidate_id ORDER BY day ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) - 1 AS block FROM days WINDOW w AS (PARTITION BY candidate_id ORDER BY day)) ---
+    f"""WITH {DAILY}, n AS (SELECT *, lag(day, 13) OVER w AS first, {compounded("(pnl / 1000000.0)", " OVER (PARTITION BY candidate_id ORDER BY day ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)")} AS block FROM days WINDOW w AS (PARTITION BY candidate_id ORDER BY day)) ---
 SELECT candidate_id, min(block) AS worst, count(*) AS blocks FROM n WHERE day - first = 13 GROUP BY candidate_id""",
     ["worst"],
 )

@@ -9,7 +9,7 @@ from ..operators import performance as p
 from ..operators import ranking as r
 from ..sources import adapters as a
 from . import fragments as f
-from .performance import MONTHS
+from .performance import MONTHS, compounded
 from .registry import query
 
 RESULTS = f"""{MONTHS}, tr AS (SELECT candidate_id, strftime(exit_ts, '%Y-%m') AS month, avg(CAST(pnl > 0 AS DOUBLE)) AS win_rate, avg(ret) AS average_return, avg(ret + 0.0008) AS average_gross, sum(notional) / 1000000 AS turnover FROM ledger GROUP BY ALL),
@@ -110,7 +110,7 @@ def _(spark, sf):
 EVIDENCE = f"""{f.LEDGER}, ev AS (SELECT flag, candidate_id, strftime(exit_ts, '%Y-%m') AS month, sum(pnl) / 1000000 AS v FROM ledger GROUP BY ALL),
 c0 AS (SELECT *, sum(v) OVER (PARTITION BY flag, candidate_id ORDER BY month) AS cum, row_number() OVER (PARTITION BY flag, candidate_id ORDER BY v, month) AS low, row_number() OVER (PARTITION BY flag, candidate_id ORDER BY v DESC, month) AS top, count(*) OVER (PARTITION BY flag, candidate_id) AS n FROM ev),
 c1 AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY flag, candidate_id ORDER BY month)) - cum AS dd FROM c0),
-sc AS (SELECT flag, candidate_id, round(avg(v) - 1.96 * stddev_samp(v) / sqrt(count(*)), 9) AS lower_bound, round(median(v), 9) AS median_return, round(avg(v), 9) AS mean_return, round(exp(sum(CASE WHEN top > 1 THEN ln(1 + v) END)) - 1, 9) AS without_best,
+sc AS (SELECT flag, candidate_id, round(avg(v) - 1.96 * stddev_samp(v) / sqrt(count(*)), 9) AS lower_bound, round(median(v), 9) AS median_return, round(avg(v), 9) AS mean_return, round({compounded("(CASE WHEN top > 1 THEN v END)")}, 9) AS without_best,
   round(avg(CASE WHEN low <= ceil(n * 0.1::DOUBLE) THEN v END), 9) AS shortfall, round(max(dd), 9) AS max_drawdown FROM c1 GROUP BY flag, candidate_id)"""
 
 
@@ -123,7 +123,7 @@ def evidence(spark, sf):
     rounded = lambda c, name: F.round(c, 9).alias(name)
     return rows.groupBy(*key).agg(
         rounded(F.avg("v") - 1.96 * F.stddev_samp("v") / F.sqrt(F.count(F.lit(1))), "lower_bound"), rounded(F.percentile("v", F.lit(0.5)), "median_return"), rounded(F.avg("v"), "mean_return"),
-        rounded(F.exp(F.sum(F.when(F.col("top") > 1, F.log1p("v")))) - 1, "without_best"), rounded(F.avg(F.when(F.col("low") <= F.ceil(F.col("n") * 0.1), F.col("v"))), "shortfall"), rounded(F.max("dd"), "max_drawdown"),
+        rounded(p.compounded(F.when(F.col("top") > 1, F.col("v"))), "without_best"), rounded(F.avg(F.when(F.col("low") <= F.ceil(F.col("n") * 0.1), F.col("v"))), "shortfall"), rounded(F.max("dd"), "max_drawdown"),
     )
 
 
