@@ -6,8 +6,8 @@ import pytest
 from oracle import TABLES, compare, connect
 from pyspark.sql import functions as F
 
-from tickloom.operators import performance
-from tickloom.plans import catalog
+from tickloom.operators import bootstrap, indicators, performance
+from tickloom.plans import catalog, history, registry
 from tickloom.sources import adapters
 
 FOLDER = "/root/testdata/sf0.001"
@@ -36,3 +36,13 @@ def test_compounding_ends_with_a_total_loss(spark):
     rows = spark.createDataFrame([("a", 0.5), ("a", -1.5), ("a", -2.0), ("b", 0.5), ("b", -0.5), ("c", -1.0), ("c", 3.0)], "k string, v double")
     got = {r.k: r.c for r in rows.groupBy("k").agg(performance.compounded(F.col("v")).alias("c")).collect()}
     assert got == {"a": -1.0, "b": pytest.approx(-0.25), "c": -1.0}
+
+
+def test_flat_windows_late_in_a_series_have_no_direction(spark):
+    ends = [0.1 * (i % 50 + 1) for i in range(25)]
+    closes = [100.1 + v for v in ends + ends[::-1]] * 40  # the same fifty values, mirrored: slope 0 at each fiftieth row
+    rows = spark.createDataFrame([("a", i + 1, v) for i, v in enumerate(closes)], "symbol string, n int, high double").selectExpr("symbol", "timestamp_seconds(n * 3600) AS opened_at", "n", "high", "high - 1 AS low", "high AS close")
+    got = {r.n: r for r in indicators.slope(rows).collect()}
+    assert {got[n].direction for n in range(50, len(closes) + 1, 50)} == {0}
+    assert {got[n].direction for n in range(60, len(closes) + 1, 50)} == {got[60].direction}
+    assert got[49].slope_high is None and got[50].slope_high is not None

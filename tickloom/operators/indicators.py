@@ -132,8 +132,16 @@ def vwap(bars: DataFrame) -> DataFrame:
 
 
 def slope(bars: DataFrame, w: int = 50) -> DataFrame:
-    """Least-squares slopes of highs and lows over the row number, and the common direction."""
-    rows = bars.withColumn("rn", F.row_number().over(by_time()).cast("double"))
-    rows = rows.withColumn("slope_high", full(F.regr_slope("high", "rn"), w)).withColumn("slope_low", full(F.regr_slope("low", "rn"), w))
+    """Least-squares slopes of highs and lows over the row number, and the common direction.
+
+    Positions count from the middle of the window, so the sums keep their digits however long the series is; the direction is that
+    of the slopes to nine digits, as a flat window's slope is a few last bits around 0.
+    """
+    frame = by_time().rowsBetween(1 - w, 0)
+    weigh = lambda v, i: v * (i.cast("double") - (w - 1) / 2)
+    fit = lambda c: F.aggregate(F.transform(c, weigh), F.lit(0.0), lambda s, v: s + v) / (w * (w * w - 1) / 12)
+    rows = bars.withColumns({f"slope_{c}": F.collect_list(c).over(frame) for c in ("high", "low")})  # w numbers a row
+    for c in ("high", "low"):
+        rows = rows.withColumn(f"slope_{c}", F.when(F.size(f"slope_{c}") == w, F.round(fit(F.col(f"slope_{c}")), 9)))
     up, down = (F.col("slope_high") > 0) & (F.col("slope_low") > 0), (F.col("slope_high") < 0) & (F.col("slope_low") < 0)
-    return rows.withColumn("direction", F.when(up, 1).when(down, -1).otherwise(0)).drop("rn")
+    return rows.withColumn("direction", F.when(up, 1).when(down, -1).otherwise(0))

@@ -258,8 +258,8 @@ def _(spark, sf):
 
 @query(
     "i16_slope",
-    f"""WITH {f.NUMBERED}, s AS (SELECT symbol, opened_at, CASE WHEN count(*) OVER w = 50 THEN regr_slope(high, rn) OVER w END AS slope_high, CASE WHEN count(*) OVER w = 50 THEN regr_slope(low, rn) OVER w END AS slope_low
-  FROM r WINDOW w AS ({f.W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)) ---
+    f"""WITH {f.BARS}, h AS (SELECT symbol, opened_at, list(high) OVER w AS hs, list(low) OVER w AS ls FROM bars WINDOW w AS ({f.W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+s AS (SELECT symbol, opened_at, {", ".join(f"CASE WHEN len({v}) = 50 THEN round(list_sum(list_transform({v}, lambda y, i: y * (i - 25.5::DOUBLE))) / 10412.5::DOUBLE, 9) END AS slope_{c}" for c, v in (("high", "hs"), ("low", "ls")))} FROM h) ---
 SELECT *, CASE WHEN slope_high > 0 AND slope_low > 0 THEN 1 WHEN slope_high < 0 AND slope_low < 0 THEN -1 ELSE 0 END AS direction FROM s""",
     ["slope_high", "slope_low"],
 )
