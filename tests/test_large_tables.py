@@ -46,3 +46,16 @@ def test_flat_windows_late_in_a_series_have_no_direction(spark):
     assert {got[n].direction for n in range(50, len(closes) + 1, 50)} == {0}
     assert {got[n].direction for n in range(60, len(closes) + 1, 50)} == {got[60].direction}
     assert got[49].slope_high is None and got[50].slope_high is not None
+
+
+@pytest.mark.parametrize("name", ["c9_mapping", "l8_weekly_ranks", "c7_weekly_bounds"])
+def test_trades_are_read_once_for_all_weekly_figures(spark, name, monkeypatch):
+    made, table = [], bootstrap.written
+
+    def kept(df):
+        made.append("lineitem" in "".join(df.inputFiles()))
+        return table(df)
+
+    monkeypatch.setattr(bootstrap, "written", kept)
+    df = catalog.QUERIES[name](spark, FOLDER)
+    assert sum(made) == 1 and not any("lineitem" in f for f in df.inputFiles())

@@ -105,18 +105,13 @@ cr AS (SELECT flag, list_sort(list(top))[1900] AS critical FROM dr GROUP BY flag
 bd AS (SELECT en.flag, candidate_id, n, months, trades, mean, median, adjacent, enough, CASE WHEN enough THEN mean - critical ELSE 0.0 END AS bound FROM en LEFT JOIN cr USING (flag))"""
 
 
-def weekly(spark, sf):
-    return bootstrap.weekly_bounds(a.ledger(spark, sf), "flag", "candidate_id", "exit_ts", "ret")
-
-
-def weekly_medians(spark, sf):
-    weeks = a.ledger(spark, sf).groupBy("flag", "candidate_id", F.date_trunc("week", "exit_ts").alias("week")).agg(F.sum("ret").alias("v"))
-    return weeks.groupBy("flag", "candidate_id").agg(F.percentile("v", F.lit(0.5)).alias("median"))
+def weeks(spark, sf):
+    return bootstrap.weeks_of(a.ledger(spark, sf), "flag", "candidate_id", "exit_ts", "ret")
 
 
 @query("c7_weekly_bounds", f"WITH {BOUNDS_SQL} --- SELECT flag, candidate_id, n, months, trades, mean, adjacent, enough, bound FROM bd", ["mean", "bound"])
 def _(spark, sf):
-    return weekly(spark, sf).withColumn("n", F.col("n").cast("long")).withColumn("months", F.col("months").cast("long"))
+    return bootstrap.bounds_of_weeks(weeks(spark, sf), "flag", "candidate_id").withColumn("n", F.col("n").cast("long")).withColumn("months", F.col("months").cast("long"))
 
 
 @query("c8_daily_bounds")
@@ -134,7 +129,8 @@ SELECT al.flag, CASE WHEN candidate_id IS NULL THEN 'cash' ELSE 'strategy' END A
     ["bound"],
 )
 def _(spark, sf):
-    return bootstrap.weekly_mapping(weekly(spark, sf), weekly_medians(spark, sf), "flag", "candidate_id")
+    rows, key = weeks(spark, sf), ("flag", "candidate_id")
+    return bootstrap.weekly_mapping(bootstrap.bounds_of_weeks(rows, *key), bootstrap.weekly_medians(rows, *key), *key)
 
 
 @query(
@@ -143,7 +139,8 @@ def _(spark, sf):
     ["bound"],
 )
 def _(spark, sf):
-    rows = weekly(spark, sf).where("enough").join(weekly_medians(spark, sf), ["flag", "candidate_id"])
+    own, key = weeks(spark, sf), ["flag", "candidate_id"]
+    rows = bootstrap.bounds_of_weeks(own, *key).where("enough").join(bootstrap.weekly_medians(own, *key), key)
     rows = rows.select("flag", "candidate_id", "bound", F.col("bound").alias("lower_bound"), F.col("median").alias("median_return"), F.col("mean").alias("mean_return"))
     return ranking.ranked(rows, ranking.KEYS["weekly_winner"], "candidate_id", ["flag"]).select("flag", "candidate_id", "bound", "place")
 
