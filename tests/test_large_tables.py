@@ -59,3 +59,11 @@ def test_trades_are_read_once_for_all_weekly_figures(spark, name, monkeypatch):
     monkeypatch.setattr(bootstrap, "written", kept)
     df = catalog.QUERIES[name](spark, FOLDER)
     assert sum(made) == 1 and not any("lineitem" in f for f in df.inputFiles())
+
+
+def test_orders_of_candidates_are_told_apart_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(history, "TASK_ROWS", 500)
+    df = registry.QUERIES["q4_trade_lookups"](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and "REPARTITION_BY_NUM" in plan
+    assert compare(df, connect(FOLDER), registry.SQL["q4_trade_lookups"])

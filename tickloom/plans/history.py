@@ -39,6 +39,9 @@ def _(spark, sf):
     return archives.funding_rows(rows.select("symbol", raw.alias("raw"))).select("symbol", "funding_at", "rate", "broken")
 
 
+#: Rows of the ledger a task joins and groups by order at a time: bounds its memory whatever the table.
+TASK_ROWS = 500_000
+
 FILES = """lines AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS day, string_agg(CAST(event_id AS VARCHAR) || ',' || CAST(CAST(round(value * 1000000) AS BIGINT) AS VARCHAR), chr(10) ORDER BY event_id) AS content, count(*) AS n FROM events WHERE value > 0 GROUP BY ALL),
 found AS (SELECT symbol, day, n, sha256(content) AS hash FROM lines)"""
 
@@ -100,7 +103,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     closed = F.col("status") == "F"
-    return a.ledger(spark, sf).groupBy("candidate_id").agg(
+    parts = max(1, a.read(spark, sf, "lineitem").count() // TASK_ROWS)
+    return a.ledger(spark, sf, parts=parts).groupBy("candidate_id").agg(  # distinct orders are told apart in the join's tasks
         F.count(F.when(closed & (F.col("exit_ts") >= F.lit("1995-01-01").cast("timestamp")), 1)).alias("closed_since"), F.count(F.when(F.col("status") == "O", 1)).alias("open_positions"),
         F.max(F.when(closed, F.col("trade_id"))).alias("last_closed"), F.countDistinct("order_id").alias("orders"),
     )

@@ -67,10 +67,15 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("symbol", F.col("w.end").alias("metric_at"), "open_interest", "ratio")
 
 
-def ledger(spark: SparkSession, sf_dir: str, candidates: int = 10) -> DataFrame:
-    """Closed trades: candidate_id, trade_id, entry_ts, exit_ts, notional, fee, pnl, ret, confidence."""
+def ledger(spark: SparkSession, sf_dir: str, candidates: int = 10, parts: int = 1) -> DataFrame:
+    """Closed trades: candidate_id, trade_id, entry_ts, exit_ts, notional, fee, pnl, ret, confidence.
+
+    With more than one of ``parts`` both tables are dealt into so many by order, and rows stay so.
+    """
     line = read(spark, sf_dir, "lineitem")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    if parts > 1:
+        line, orders = line.repartition(parts, "l_orderkey"), orders.repartition(parts, "o_orderkey")
     rows = line.join(orders, line["l_orderkey"] == orders["o_orderkey"])
     pnl = (F.col("l_discount") - 0.05) * F.col("l_extendedprice")
     return rows.select(
