@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from oracle import TABLES, compare, connect
 from pyspark.sql import functions as F
@@ -67,3 +68,33 @@ def test_orders_of_candidates_are_told_apart_in_bounded_tasks(spark, monkeypatch
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(l_orderkey" in plan and "REPARTITION_BY_NUM" in plan
     assert compare(df, connect(FOLDER), registry.SQL["q4_trade_lookups"])
+
+
+def test_stability_of_fewer_than_two_refits_has_no_rows(spark):
+    from tickloom.operators import fits
+
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 11)]) for i in range(60)], "vec_id long, x array<double>")
+    one = [f for f in fits.fit_all(rows, [fits.Fit("kmeans", "", 3, 0)]) if f.status == "converged"]
+    for refits in ([], one):
+        got = fits.seed_stability(rows, refits, "vec_id")
+        assert got.columns == ["a", "b", "ari", "nmi", "centroid_distance"] and got.count() == 0
+
+
+def test_kmeans_ends_when_its_centres_hardly_move(spark):
+    from tickloom.operators import fits
+
+    rng = np.random.default_rng(3)
+    x = rng.random((3000, 8))  # no clusters: the last rows change sides for very long
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, x array<double>")
+    done = fits.fit_all(rows, [fits.Fit("kmeans", "", 6, s) for s in range(2)])
+    near = np.array([r.x for r in rows.select("x").orderBy(F.xxhash64("x"), "x").collect()])
+    for fit in done:
+        means, moved, turns = fits.seeds(near, 6, fit.start), np.inf, 0
+        while moved > fits.SHIFT * x.var(0).mean():
+            labels, turns, old = fits.squared_distances(x, means).argmin(1), turns + 1, means
+            means = np.array([x[labels == c].mean(0) for c in range(6)])
+            moved = ((means - old) ** 2).sum()
+        assert fit.status == "converged" and fit.rounds == turns + 1
+        np.testing.assert_allclose(fit.means, means, atol=1e-9)
+        labels = fits.squared_distances(x, means).argmin(1)
+        assert fit.score == pytest.approx(-((x - means[labels]) ** 2).sum(1).mean())

@@ -7,9 +7,15 @@ summed by fit. The parameters (fits x k x d numbers, whatever the table) are com
 the next round. A tied covariance is the scatter of all rows less that of the means, so one d x d sum, taken in
 the first round, serves all rounds, and its Cholesky factor turns distances into plain ones.
 
-A fit ends when its mean log likelihood (k-means: its inertia, in parts of itself) changes by less than the
-tolerance. One that does not within the rounds, or loses a component, is rejected with the reason; of the starts of a
-setting the converged one with the best score is taken.
+A mixture ends when its mean log likelihood changes by less than the tolerance, k-means when its centres move by no more than
+``SHIFT`` of the features' mean variance (summed squares), the rule of the older engine's fits: rows that still change sides then
+number few, and waiting for the last of them takes the more rounds the more rows there are. As there, k-means is taken as it stands after
+three times the rounds of a mixture. A mixture that does not end within the rounds, or a fit that loses a component, is rejected
+with the reason; of the starts of a setting the converged one with the best score is taken.
+
+Fits of one form and k are computed together: their log densities (k-means: distances) are one matrix product of the rows with
+stacked coefficients. Under a tied covariance the part that is quadratic in the row is the same for all components, and
+its sum over the rows comes from the scatter. Rows are dealt over the tasks once and kept there for all rounds.
 
 Starts are k-means++ on a bounded sample of rows (those with the smallest hash), seeded by start and k. Rows with
 null or non-finite features take no part.
@@ -22,13 +28,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 4096
 SEED = 20260714
 #: What the older engine's fits use.
-FLOOR, TOLERANCE, ROUNDS, STARTS, CLUSTERS = 1e-6, 1e-3, 100, 20, range(3, 9)
+FLOOR, TOLERANCE, SHIFT, ROUNDS, STARTS, CLUSTERS = 1e-6, 1e-3, 1e-4, 100, 20, range(3, 9)
+#: Rows that a task computes with at a time, and the least rows that make a task of their own.
+CHUNK, TASK_ROWS = 512, 1000
 SUMS = "fit int, n double, score double, w binary, s binary, q binary"
 
 
@@ -45,6 +55,7 @@ class Fit:
     score: float = -np.inf  # mean log likelihood, or the negative mean squared distance
     n: int = 0
     rounds: int = 0
+    settled: bool = False  # the centres hardly move any more: one more round scores them
     status: str = "running"
     reason: str = ""
     history: list[float] = field(default_factory=list)
@@ -98,21 +109,93 @@ def matrices(frames: Iterable[pd.DataFrame], column: str) -> Iterator[tuple[pd.D
             yield f, np.stack(f[column].to_numpy()).astype(np.float64)
 
 
+@dataclass
+class Stack:
+    """Fits of one form and k: rows of the matrices are component by component, fit by fit."""
+
+    numbers: list[int]
+    k: int
+    hard: bool
+    squares: bool
+    linear: np.ndarray
+    constant: np.ndarray
+    quadratic: np.ndarray | None
+
+    def sums(self, x: np.ndarray, x2: np.ndarray) -> list[tuple]:
+        """(number, n, score, w, s, q) of each fit; a tied fit's score lacks what the scatter gives."""
+        z = self.linear @ x.T + self.constant[:, None]
+        if self.quadratic is not None:
+            z += self.quadratic @ x2.T
+        z = z.reshape(self.k, len(self.numbers), len(x))
+        if self.hard:
+            score = np.minimum(z.max(0) - x2.sum(1), 0).sum(1)
+            r = (z.argmax(0) == np.arange(self.k)[:, None, None]).astype(np.float64)
+        else:
+            top = z.max(0)
+            r = np.exp(np.subtract(z, top, out=z), out=z)
+            total = r.sum(0)
+            score = (top + np.log(total)).sum(1)
+            r /= total
+        flat = r.reshape(-1, len(x))
+        shape = (self.k, len(self.numbers), -1)
+        w, s = r.sum(2), (flat @ x).reshape(shape)
+        q = (flat @ x2).reshape(shape) if self.squares else None
+        return [(number, len(x), float(score[i]), w[:, i], s[:, i], q[:, i] if self.squares else np.empty(0)) for i, number in enumerate(self.numbers)]
+
+
+def stacks(live: list[tuple[int, Fit]]) -> list[Stack]:
+    groups: dict[tuple, list[tuple[int, Fit]]] = {}
+    for number, fit in live:
+        groups.setdefault((fit.family == "kmeans" or fit.spread is None, fit.covariance, fit.k), []).append((number, fit))
+    out = []
+    for (hard, covariance, k), own in groups.items():
+        quadratic, linear, constant = [], [], []
+        for _, fit in own:
+            m = fit.means
+            if hard:
+                linear.append(2 * m)
+                constant.append(-(m * m).sum(1))
+                continue
+            base = np.log(fit.weights) - m.shape[1] * np.log(2 * np.pi) / 2
+            if covariance == "tied":
+                moved = m @ fit.factor
+                linear.append(moved @ fit.factor.T)
+                constant.append(base - (moved * moved).sum(1) / 2 + np.log(np.abs(np.diag(fit.factor))).sum())
+            else:
+                p = 1 / fit.spread
+                linear.append(m * p)
+                quadratic.append(-p / 2)
+                constant.append(base - ((m * m * p).sum(1) + np.log(fit.spread).sum(1)) / 2)
+        by_component = lambda parts: np.concatenate(np.stack(parts, axis=1))
+        out.append(Stack([n for n, _ in own], k, hard, covariance == "diag", by_component(linear), by_component(constant), by_component(quadratic) if quadratic else None))
+    return out
+
+
 def _pass(held, first: bool):
-    def run(frames):
-        live, sums, scatter = held.value, {}, None
-        for _, x in matrices(frames, "x"):
-            x2 = x * x
-            for number, fit in live:
-                r, score = shares(fit, x)
-                part = [len(x), score, r.sum(0), r.T @ x, r.T @ x2 if fit.covariance == "diag" else np.empty(0)]
-                sums[number] = [a + b for a, b in zip(sums[number], part, strict=True)] if number in sums else part
-            if first:
-                scatter = x.T @ x if scatter is None else scatter + x.T @ x
+    def run(batches):
+        together, sums, scatter = stacks(held.value), {}, None
+        for batch in batches:
+            lists = batch.column(0)
+            if not len(lists):
+                continue
+            widths = np.diff(lists.offsets.to_numpy())
+            if (widths != widths[0]).any():
+                raise ValueError("rows have different numbers of features")
+            rows = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+            for at in range(0, len(rows), CHUNK):
+                x = rows[at : at + CHUNK]
+                x2 = x * x
+                for stack in together:
+                    for number, *part in stack.sums(x, x2):
+                        sums[number] = [a + b for a, b in zip(sums[number], part, strict=True)] if number in sums else part
+                if first:
+                    scatter = x.T @ x if scatter is None else scatter + x.T @ x
         if scatter is not None:
             sums[-1] = [0, 0.0, np.empty(0), scatter, np.empty(0)]
         rows = [(k, float(n), float(score), *(a.astype("<f8").tobytes() for a in arrays)) for k, (n, score, *arrays) in sums.items()]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in SUMS.split(", ")])
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        kinds = [pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SUMS.split(", ")])
 
     return run
 
@@ -128,13 +211,14 @@ def _summed(part: pd.DataFrame) -> pd.DataFrame:
 def step(fit: Fit, n: float, score: float, w: np.ndarray, s: np.ndarray, q: np.ndarray, scatter: np.ndarray, tolerance: float) -> None:
     """The next parameters of a fit from its sums, or its end."""
     started = bool(fit.history) or fit.family == "kmeans"
+    if fit.covariance == "tied" and fit.factor is not None:
+        score -= ((fit.factor.T @ scatter) * fit.factor.T).sum() / 2  # the rows' own quadratic part
     before, fit.n = fit.score, int(n)
     if started:
         fit.score = score / n
         fit.history.append(fit.score)
         fit.rounds += 1
-        least = tolerance if fit.family == "gmm" else 1e-9 * abs(before)
-        if fit.rounds > 1 and abs(fit.score - before) <= least:
+        if fit.settled or (fit.family == "gmm" and fit.rounds > 1 and abs(fit.score - before) <= tolerance):
             fit.status = "converged"
             return
     else:
@@ -143,7 +227,10 @@ def step(fit: Fit, n: float, score: float, w: np.ndarray, s: np.ndarray, q: np.n
         fit.reject("a component has no rows")
         return
     d = len(s) // fit.k
-    fit.means, fit.weights = s.reshape(fit.k, d) / w[:, None], w / w.sum()
+    old, fit.means, fit.weights = fit.means, s.reshape(fit.k, d) / w[:, None], w / w.sum()
+    if fit.family == "kmeans":
+        variance = max(0.0, np.trace(scatter) / n - ((s.reshape(fit.k, d).sum(0) / n) ** 2).sum()) / d
+        fit.settled = bool(((fit.means - old) ** 2).sum() <= SHIFT * variance)
     if fit.covariance == "diag":
         fit.spread = np.maximum(q.reshape(fit.k, d) / w[:, None] - fit.means**2, 0) + FLOOR
     elif fit.covariance == "tied":
@@ -183,10 +270,13 @@ def fit_all(rows: DataFrame, fits: list[Fit], features: str = "x", tolerance: fl
     """``fits`` with their parameters; all of them together take one pass over the rows a round."""
     spark, rows = rows.sparkSession, feature_rows(rows, features).select("x")
     n = rows.count()
+    tasks = max(1, min(2 * spark.sparkContext.defaultParallelism, n // TASK_ROWS))
+    rows = rows.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
     near = rows.where(F.pmod(F.xxhash64("x"), F.lit(1 << 40)) < (1 << 40) * min(1.0, 2 * SAMPLE / max(n, 1))).orderBy(F.xxhash64("x"), "x").limit(SAMPLE)
     sample = np.array([r.x for r in near.collect()])
     for fit in fits:
-        fit.status, fit.reason, fit.history, fit.rounds, fit.score = "running", "", [], 0, -np.inf
+        fit.status, fit.reason, fit.history, fit.rounds, fit.score, fit.settled = "running", "", [], 0, -np.inf, False
+        fit.factor = None
         if n < fit.k:
             fit.reject("fewer rows than components")
         else:
@@ -194,7 +284,7 @@ def fit_all(rows: DataFrame, fits: list[Fit], features: str = "x", tolerance: fl
     scatter = None
     while live := [(i, fit) for i, fit in enumerate(fits) if fit.status == "running"]:
         held = spark.sparkContext.broadcast(live)
-        parts = rows.mapInPandas(_pass(held, scatter is None), SUMS)
+        parts = rows.mapInArrow(_pass(held, scatter is None), SUMS)
         for r in parts.groupBy("fit").applyInPandas(_summed, SUMS).collect():  # a row a fit
             w, s, q = (np.frombuffer(v, "<f8") for v in (r.w, r.s, r.q))
             if r.fit < 0:
@@ -204,8 +294,11 @@ def fit_all(rows: DataFrame, fits: list[Fit], features: str = "x", tolerance: fl
         held.unpersist()
         for _, fit in live:
             step(fit, *fit.__dict__.pop("sums"), scatter, tolerance)
-            if fit.status == "running" and fit.rounds >= rounds:
+            if fit.status == "running" and fit.family == "kmeans":
+                fit.settled |= fit.rounds >= 3 * rounds - 1
+            elif fit.status == "running" and fit.rounds >= rounds:
                 fit.reject("not converged")
+    rows.unpersist()
     return fits
 
 
@@ -281,6 +374,8 @@ def seed_stability(rows: DataFrame, refits: list[Fit], key: str, features: str =
     spark = rows.sparkSession
     labels = assigned(rows, refits, [key], features).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("fit", "component"))).alias("l"))  # a few refits a row
     pairs = [(i, j) for i in range(len(refits)) for j in range(i + 1, len(refits))]
+    if not pairs:  # fewer than two refits converged: nothing to compare
+        return spark.createDataFrame([], "a int, b int, ari double, nmi double, centroid_distance double")
     options = F.array(*(F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.col("l")[i]["component"].alias("la"), F.col("l")[j]["component"].alias("lb")) for i, j in pairs))
     cells = labels.select(F.explode(options).alias("c")).groupBy("c.a", "c.b", "c.la", "c.lb").agg(F.count(F.lit(1)).cast("double").alias("n"))
     two = lambda c: c * (c - 1) / 2
