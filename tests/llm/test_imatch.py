@@ -174,3 +174,20 @@ def test_frequent_ids_are_split(spark, monkeypatch):
     order = sorted(((r.doc_id, r.text_key) for r in got), key=lambda x: key(*x), reverse=True)
     place = {x: i for i, x in enumerate(order)}
     assert len(got) == 450 and all(place[(r.next.doc_id, r.next.text_key)] == (place[(r.doc_id, r.text_key)] + 1) % 450 for r in got)
+
+
+def test_next_fingerprints_are_found_in_the_bucket_without_writing_or_shuffling_any(spark, monkeypatch):
+    monkeypatch.setattr(op, "BUCKET_ROWS", 50)
+    wrote, write = [], op.written
+    monkeypatch.setattr(op, "written", lambda df: wrote.append(df.columns) or write(df))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(d.doc_id, d.text) for d in docs.collect()] + [(None, "a text without id"), (9000, None), (9001, "")]
+    out = op.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = out.collect()
+    assert not [c for columns in wrote for c in columns if "fingerprint" in c]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "fingerprint" in x] and "SortMergeJoin" not in plan
+    prints = {r.doc_id: r.fingerprint for r in got}
+    assert len(got) == len(prints) == len(rows)
+    for r in got:
+        assert r.near_next == pytest.approx(likeness_by_hand(r.fingerprint, prints[r.next_id]))

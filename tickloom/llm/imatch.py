@@ -24,7 +24,8 @@ shuffled join, which Spark can split for frequent terms.
 
 The next document (by descending doc_id) is found in buckets of the id's quantiles, a frequent id's (and
 null's) bucket being split by the texts' hash; each bucket gets the head of the next one as an
-additional row. Whole texts are shuffled once, for this.
+additional row. Whole texts are shuffled once, for this. The additional row gets its fingerprint too, so the
+next document's fingerprint is found in the bucket as well, and no fingerprint is written or joined.
 
 Defined results: null text is empty, has no terms and the fingerprint of no terms; a null doc_id comes
 after all others; rows repeated with one doc_id follow each other in the order of a hash of their text;
@@ -49,6 +50,7 @@ SENT_TERMS = 1 << 21
 BAND = (0.2, 0.95)
 BUCKET_ROWS = 500
 MOST_BUCKETS = 16_384
+MOST_PARTS = 1 << 15  # more than MOST_BUCKETS, with which bucket numbers stay below 2^30
 
 
 def terms_of(text: Column) -> Column:
@@ -91,14 +93,22 @@ def bucket_of(bounds: list[int], doc_id: Column) -> Column:
     return F.when(doc_id.isNull(), -1).otherwise(at)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """bucket, doc_id, text_key, text, next (doc_id, text_key, text) by descending doc_id, around the end."""
+def down_ids():
+    """Window over a bucket by descending doc_id, the head of the next bucket last."""
+    return Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("doc_id"), F.desc("text_key"))
+
+
+def with_next(docs: DataFrame, heads_stay: bool = False) -> DataFrame:
+    """bucket, doc_id, text_key, text, next (doc_id, text_key, text) by descending doc_id, around the end.
+
+    With ``heads_stay`` the additional rows (extra = 1, without a next) are returned too.
+    """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("text_key", F.xxhash64("text"))
     bounds, parts = bounds_of(base, base.count())
     base = base.withColumn("id_bucket", bucket_of(bounds, F.col("doc_id")))
     many = F.get(F.lit(parts).cast("array<int>"), F.col("id_bucket") + 1)
     part = F.floor((F.col("text_key").cast("double") / 2.0**64 + 0.5) * many).cast("int")
-    base = base.withColumn("bucket", F.struct("id_bucket", F.least(part, many - 1).alias("part"))).drop("id_bucket")
+    base = base.withColumn("bucket", (F.col("id_bucket") + 1) * MOST_PARTS + F.least(part, many - 1)).drop("id_bucket")
     heads = base.groupBy("bucket").agg(F.max(F.struct("doc_id", "text_key")).alias("head"))
     down = Window.orderBy(F.desc("bucket"))  # one row a bucket
     first = F.first("bucket").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -108,10 +118,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = written(heads)
     tails = base.join(F.broadcast(heads), (F.col("bucket") == F.col("from")) & F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_key") == F.col("h_key")))
     tails = tails.select("doc_id", "text", "text_key", F.col("to").alias("bucket"), F.lit(1).alias("extra")).dropDuplicates(["bucket"])
-    order = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("doc_id"), F.desc("text_key"))
     both = base.withColumn("extra", F.lit(0)).select("doc_id", "text", "text_key", "bucket", "extra").unionByName(tails)
-    both = both.withColumn("next", F.lead(F.struct("doc_id", "text_key", "text")).over(order))
-    return both.where("extra = 0").drop("extra")
+    both = both.withColumn("next", F.lead(F.struct("doc_id", "text_key", "text")).over(down_ids()))
+    return both if heads_stay else both.where("extra = 0").drop("extra")
 
 
 def fingerprint(kept: str, whole: str) -> Column:
@@ -121,22 +130,22 @@ def fingerprint(kept: str, whole: str) -> Column:
     end tell the term's last rung.
     """
 
+    def rungs(held, k):
+        """The hash of the terms on rung ``k``, and those of the sparser rungs until one is empty."""
+        shown = F.substring(F.concat(F.lit("0" * DIGITS), F.hex(F.xxhash64(held))), -DIGITS, DIGITS)
+        if k == RUNGS - 1:
+            return shown
+        sparser = F.filter(held, lambda h: h.bitwiseAND(F.lit((1 << 2 * (k + 1)) - 1).cast("long")) == 0)
+        return F.concat(shown, let(sparser, lambda held: F.when(F.size(held) > 0, F.concat(F.lit(","), rungs(held, k + 1))).otherwise("")))
+
     def ladder(group):
         own = F.filter(F.transform(kept, lambda t: F.xxhash64(group, t)), lambda h: h % 3 != 0)
-        step = lambda rungs, k: F.concat(rungs, F.array(F.filter(F.element_at(rungs, -1), lambda h: h.bitwiseAND(_ones(k)) == 0)))
-        rungs = F.filter(F.aggregate(F.sequence(F.lit(1), F.lit(RUNGS - 1)), F.array(own), step), lambda r: F.size(r) > 0)
-        shown = F.transform(rungs, lambda r: F.right(F.concat(F.lit("0" * DIGITS), F.hex(F.xxhash64(r))), F.lit(DIGITS)))
-        return F.array_join(shown, ",")
+        return let(own, lambda held: F.when(F.size(held) > 0, rungs(held, 0)).otherwise(""))
 
     ladders = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), ladder), ".")
     return let(ladders, lambda x: F.when(x != "." * (GROUPS - 1), x).otherwise(F.col(whole)))
 
 
-def _ones(k: Column) -> Column:
-    """2 k one bits at the end of a long."""
-    return F.get(F.array(*(F.lit((1 << 2 * i) - 1).cast("long") for i in range(RUNGS))), k)
-
-
 def let(value: Column, then) -> Column:
     """``then(value)`` with ``value`` computed once."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
@@ -169,19 +178,19 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), 1.0).when(none, 0.0).otherwise(share).cast("double")
 
 
-META = ("doc_id", "text_key", "n_chars", "edited_sha256", "next_id", "next_key", "own_whole", "other_whole")
-
-
 def term_items(docs: DataFrame) -> DataFrame:
-    """bucket, row, items: of each document one item with its META, and one for each term of text (side 1), edited text (2) or both (3)."""
-    pairs = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """bucket, row, meta, items: of each document one item without a term, and one for each term of text (side 1), edited text (2) or both (3).
+
+    The heads of the next buckets are among them (extra = 1), with an empty edited text.
+    """
+    pairs = with_next(docs, heads_stay=True).withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.substring(F.col("next.text"), F.lit(1), third))
-    pairs = pairs.withColumn("edited", edited)
+    pairs = pairs.withColumn("edited", F.when(F.col("extra") == 0, edited).otherwise(""))
     pairs = pairs.withColumn("own", terms_of(F.col("text"))).withColumn("other", terms_of(F.col("edited")))
     whole = lambda terms: F.concat(F.lit("="), F.hex(F.xxhash64(F.sort_array(terms))))
     meta = F.struct(
-        "doc_id", "text_key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("next.doc_id").alias("next_id"), F.col("next.text_key").alias("next_key"), whole("own").alias("own_whole"), whole("other").alias("other_whole")
+        "extra", "doc_id", "text_key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("next.doc_id").alias("next_id"), whole("own").alias("own_whole"), whole("other").alias("other_whole")
     )
     pairs = pairs.select("bucket", F.monotonically_increasing_id().alias("row"), meta.alias("meta"), "own", "other")
     item = lambda side, terms: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(side).alias("side")))
@@ -190,7 +199,7 @@ def term_items(docs: DataFrame) -> DataFrame:
 
 
 def with_lexicon_terms(items: DataFrame, words: DataFrame, sent: bool) -> DataFrame:
-    """META and the sorted lexicon terms k_own, k_other of every document.
+    """bucket, what is in meta, and the sorted lexicon terms k_own, k_other of every document.
 
     The groups are of (bucket, row), and rows are dealt by bucket already, so without a shuffled join nothing moves.
     """
@@ -202,7 +211,7 @@ def with_lexicon_terms(items: DataFrame, words: DataFrame, sent: bool) -> DataFr
     met = rows.join(F.broadcast(known) if sent else known, "term", "left").where("side = 0 or known")
     of = lambda other: F.sort_array(F.collect_list(F.when((F.col("side") > 0) & (F.col("side") != other), F.col("term"))))
     out = met.groupBy("bucket", "row").agg(F.first("meta", ignorenulls=True).alias("meta"), of(2).alias("k_own"), of(1).alias("k_other"))
-    return out.select("meta.*", "k_own", "k_other")
+    return out.select("bucket", "meta.*", "k_own", "k_other")
 
 
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
@@ -211,9 +220,8 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     words = written(lexicon(terms, docs.count(), band))
     rows = with_lexicon_terms(term_items(docs), words, words.count() <= SENT_TERMS)
     prints = [fingerprint("k_own", "own_whole").alias("fingerprint"), fingerprint("k_other", "other_whole").alias("edited_fingerprint")]
-    out = written(rows.select("doc_id", "text_key", "n_chars", "edited_sha256", *prints, "next_id", "next_key"))
-    after = out.groupBy(F.col("doc_id").alias("n_id"), F.col("text_key").alias("n_key")).agg(F.first("fingerprint").alias("next_fingerprint"))
-    out = out.join(written(after), F.col("next_id").eqNullSafe(F.col("n_id")) & (F.col("next_key") == F.col("n_key")), "left")
+    out = rows.select("bucket", "extra", "doc_id", "text_key", "n_chars", "edited_sha256", *prints, "next_id")
+    out = out.withColumn("next_fingerprint", F.lead("fingerprint").over(down_ids())).where("extra = 0")
     return out.select(
         "doc_id",
         "n_chars",
