@@ -191,3 +191,16 @@ def test_next_fingerprints_are_found_in_the_bucket_without_writing_or_shuffling_
     assert len(got) == len(prints) == len(rows)
     for r in got:
         assert r.near_next == pytest.approx(likeness_by_hand(r.fingerprint, prints[r.next_id]))
+
+
+@pytest.mark.parametrize("most", [op.SENT_TERMS, 0])
+def test_items_are_made_once_and_terms_are_hashed_in_rows_that_nothing_moves_afterwards(spark, monkeypatch, most):
+    monkeypatch.setattr(op, "SENT_TERMS", most)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = op.fingerprints(docs)._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [x for x in plan if "Filter" in x and "array_except" in x]  # a filter in front of the explosion would make the items again
+    assert not [x for x in plan if "ObjectHashAggregate" in x]
+    hashed = next(i for i, x in enumerate(plan) if "xxhash64(0, term" in x)
+    listed = next(i for i, x in enumerate(plan) if "Window" in x and "collect_list" in x)
+    assert listed < hashed and not [x for x in plan[listed + 1 : hashed] if "Sort" in x or "Exchange" in x]
+    assert "Sort" in plan[hashed + 1]

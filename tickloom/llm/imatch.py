@@ -123,11 +123,11 @@ def with_next(docs: DataFrame, heads_stay: bool = False) -> DataFrame:
     return both if heads_stay else both.where("extra = 0").drop("extra")
 
 
-def fingerprint(kept: str, whole: str) -> Column:
-    """Of the sorted lexicon terms ``kept``; where there is none in any subset, ``whole``.
+def fingerprint(left_out: int, whole: str) -> Column:
+    """Of the terms in ``kept`` but those of one side; where there is none in any subset, ``whole``.
 
-    A group has a hash of its own for each term: a third of them (its remainder by 3) is dropped, and the pairs of zero bits at its
-    end tell the term's last rung.
+    A group has a hash of its own for each term: a third of them (its remainder by 3, here 0) is dropped, and the pairs of zero bits at
+    its end tell the term's last rung.
     """
 
     def rungs(held, k):
@@ -138,11 +138,11 @@ def fingerprint(kept: str, whole: str) -> Column:
         sparser = F.filter(held, lambda h: h.bitwiseAND(F.lit((1 << 2 * (k + 1)) - 1).cast("long")) == 0)
         return F.concat(shown, let(sparser, lambda held: F.when(F.size(held) > 0, F.concat(F.lit(","), rungs(held, k + 1))).otherwise("")))
 
-    def ladder(group):
-        own = F.filter(F.transform(kept, lambda t: F.xxhash64(group, t)), lambda h: h % 3 != 0)
-        return let(own, lambda held: F.when(F.size(held) > 0, rungs(held, 0)).otherwise(""))
+    def by_group(terms):
+        return F.array(*(F.array_remove(terms[f"h{g}"], F.lit(0).cast("long")) for g in range(GROUPS)))
 
-    ladders = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), ladder), ".")
+    groups = let(F.filter("kept", lambda x: x["side"] != left_out), by_group)
+    ladders = F.array_join(F.transform(groups, lambda held: F.when(F.size(held) > 0, rungs(held, 0)).otherwise("")), ".")
     return let(ladders, lambda x: F.when(x != "." * (GROUPS - 1), x).otherwise(F.col(whole)))
 
 
@@ -199,27 +199,36 @@ def term_items(docs: DataFrame) -> DataFrame:
 
 
 def with_lexicon_terms(items: DataFrame, words: DataFrame, sent: bool) -> DataFrame:
-    """bucket, what is in meta, and the sorted lexicon terms k_own, k_other of every document.
+    """bucket, what is in meta, and the sorted lexicon terms ``kept`` of every document: term, side and h0, h1 ..., its hash in each group (0: dropped).
 
-    The groups are of (bucket, row), and rows are dealt by bucket already, so without a shuffled join nothing moves.
+    Rows are dealt by bucket already, so without a shuffled join nothing moves. The hashes are taken of rows, which Spark compiles, and
+    not in arrays, where it walks an expression for each of them; the rows are sorted before they have them. Only the document's own
+    item has terms one after its place, so only it gets a list.
     """
     if not sent:
         items = written(items)
     known = words.select("term", F.lit(True).alias("known"))
     first = F.when(F.col("x.side") == 0, F.col("meta"))
-    rows = items.select("bucket", "row", "meta", F.explode("items").alias("x")).select("bucket", "row", first.alias("meta"), "x.term", "x.side")
+    rows = items.select("bucket", "row", "meta", F.explode_outer("items").alias("x")).select("bucket", "row", first.alias("meta"), "x.term", "x.side")
     met = rows.join(F.broadcast(known) if sent else known, "term", "left").where("side = 0 or known")
-    of = lambda other: F.sort_array(F.collect_list(F.when((F.col("side") > 0) & (F.col("side") != other), F.col("term"))))
-    out = met.groupBy("bucket", "row").agg(F.first("meta", ignorenulls=True).alias("meta"), of(2).alias("k_own"), of(1).alias("k_other"))
-    return out.select("bucket", "meta.*", "k_own", "k_other")
+    if not sent:
+        met = met.repartition("bucket")
+    met = met.select("bucket", "row", "meta", "term", "side", (F.col("side") > 0).cast("int").alias("place"))
+    met = met.sortWithinPartitions("bucket", "row", "place", "term")
+    met = met.select("*", *(F.xxhash64(F.lit(g), "term").alias(f"h{g}") for g in range(GROUPS)))
+    kept = (F.when(F.col(f"h{g}") % 3 != 0, F.col(f"h{g}")).otherwise(0).alias(f"h{g}") for g in range(GROUPS))
+    met = met.select("bucket", "row", "meta", "place", F.struct("term", "side", *kept).alias("x"))
+    terms = Window.partitionBy("bucket", "row").orderBy("place").rangeBetween(1, 1)
+    out = met.withColumn("kept", F.collect_list("x").over(terms)).where("place = 0")
+    return out.select("bucket", "meta.*", F.sort_array("kept").alias("kept"))
 
 
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id."""
-    terms = docs.select(F.explode(terms_of(text_of())).alias("term"))
+    terms = docs.select(F.explode_outer(terms_of(text_of())).alias("term")).where("term is not null")
     words = written(lexicon(terms, docs.count(), band))
     rows = with_lexicon_terms(term_items(docs), words, words.count() <= SENT_TERMS)
-    prints = [fingerprint("k_own", "own_whole").alias("fingerprint"), fingerprint("k_other", "other_whole").alias("edited_fingerprint")]
+    prints = [fingerprint(2, "own_whole").alias("fingerprint"), fingerprint(1, "other_whole").alias("edited_fingerprint")]
     out = rows.select("bucket", "extra", "doc_id", "text_key", "n_chars", "edited_sha256", *prints, "next_id")
     out = out.withColumn("next_fingerprint", F.lead("fingerprint").over(down_ids())).where("extra = 0")
     return out.select(
